@@ -85,3 +85,221 @@ SELECT i.callee AS name, CAST(i.callers AS BIGINT) AS callers, {SCORE_SQL} AS co
 FROM ind i JOIN corpus p ON p.proc = i.callee
 ORDER BY callers DESC, name ASC LIMIT 10
 """
+
+
+def _re2(p: str) -> str:
+    """Java inline flags -> RE2: RE2 has no (?d); its '.' and '$' already use '\\n' only."""
+    import re as _re
+    return _re.sub(r"\(\?([a-z]+)\)", lambda m: "(?" + m.group(1).replace("d", "") + ")" if m.group(1).replace("d", "") else "", p)
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+_KW = _list(K.SQL_BUILTINS)
+
+# P7 as a chain of CTE columns: e0 -> e1 (alias cut) -> e2 (prefix cut) -> e3 (unwrap) -> name
+def _field_name_ctes(src: str, e0: str) -> str:
+    return f"""
+f1 AS (SELECT *, CASE WHEN contains(upper({e0}), ' AS ') THEN string_split({e0}, ' AS ')[1]
+                      WHEN contains({e0}, ' ') AND len(list_filter({_KW}, lambda k: contains(upper({e0}), k))) = 0
+                           THEN regexp_split_to_array({_strip(e0)}, '\\s+')[1]
+                      ELSE {e0} END AS e1 FROM {src}),
+f2 AS (SELECT *, CASE WHEN contains(e1, '.') THEN string_split(e1, '.')[-1] ELSE e1 END AS e2 FROM f1),
+f3 AS (SELECT *, regexp_extract(e2, '\\(([^)]+)\\)', 1) AS inner_arg FROM f2),
+f4 AS (SELECT *, CASE WHEN contains(e2, '(') AND regexp_matches(e2, '\\(([^)]+)\\)')
+                      THEN (CASE WHEN contains(inner_arg, '.') THEN string_split(inner_arg, '.')[-1] ELSE inner_arg END)
+                      ELSE e2 END AS e3 FROM f3),
+f5 AS (SELECT *, upper({_strip('e3')}) AS fname FROM f4),
+named AS (SELECT * FROM f5 WHERE fname <> '' AND NOT list_contains({_KW}, fname)
+                              AND regexp_full_match(fname, '[A-Z_][A-Z0-9_]*'))"""
+
+
+_SEL = _q(_re2(K.SELECT_PATTERN))
+SELECT_ROWS = f"""
+sm AS (SELECT proc, unnest(regexp_extract_all(code, {_SEL}, 1)) AS clause,
+              unnest(regexp_extract_all(code, {_SEL}, 0)) AS whole FROM corpus),
+sp AS (SELECT proc, whole, {_strip('part')} AS part FROM (SELECT proc, whole, unnest(string_split(clause, ',')) AS part FROM sm)),
+{_field_name_ctes('sp', 'part')},
+sel AS (SELECT proc, fname AS field, left(whole, 100) AS context FROM named WHERE fname <> '*')"""
+
+_UPD = _q(_re2(K.UPDATE_PATTERN))
+UPDATE_ROWS = f"""
+um AS (SELECT proc, unnest(regexp_extract_all(code, {_UPD}, 1)) AS clause,
+              unnest(regexp_extract_all(code, {_UPD}, 0)) AS whole FROM corpus),
+ua AS (SELECT proc, whole, unnest(string_split(clause, ',')) AS a FROM um),
+ul AS (SELECT proc, whole, upper({_strip("split_part(a, '=', 1)")}) AS lft FROM ua WHERE contains(a, '=')),
+upd AS (SELECT proc, CASE WHEN contains(lft, '.') THEN string_split(lft, '.')[-1] ELSE lft END AS field,
+               left(whole, 100) AS context FROM ul)"""
+
+_INS = _q(_re2(K.INSERT_PATTERN))
+INSERT_ROWS = f"""
+im AS (SELECT proc, unnest(regexp_extract_all(code, {_INS}, 1)) AS clause,
+              unnest(regexp_extract_all(code, {_INS}, 0)) AS whole FROM corpus),
+ins AS (SELECT proc, f AS field, left(whole, 100) AS context
+        FROM (SELECT proc, whole, upper({_strip('unnest(string_split(clause, \',\'))')}) AS f FROM im) WHERE f <> '')"""
+
+TRANSFORM_ROWS = "tr AS (" + " UNION ALL ".join(
+    f"SELECT proc, upper(x) AS field, '{fn}(' || upper(x) || ')' AS transformation "
+    f"FROM (SELECT proc, unnest(regexp_extract_all(code, {_q(K.TRANSFORM_PATTERN.format(func=fn))}, 1)) AS x FROM corpus)"
+    for fn in K.TRANSFORM_FUNCS) + ")"
+
+ORACLES["proc_select_fields"] = f"WITH {CORPUS}, {SELECT_ROWS} SELECT proc, field, context FROM sel"
+ORACLES["proc_update_fields"] = f"WITH {CORPUS}, {UPDATE_ROWS} SELECT proc, field, context FROM upd WHERE field <> ''"
+ORACLES["proc_transforms"] = f"WITH {CORPUS}, {TRANSFORM_ROWS} SELECT proc, field, transformation FROM tr"
+
+FIELD_USAGE = f"""{SELECT_ROWS}, {INSERT_ROWS}, {UPDATE_ROWS}, {TRANSFORM_ROWS},
+usage AS (
+  SELECT proc, field, 'read' AS operation, 'select' AS kind, context, CAST(NULL AS VARCHAR) AS transformation FROM sel
+  UNION ALL SELECT proc, field, 'write', 'insert', context, NULL FROM ins
+  UNION ALL SELECT proc, field, 'write', 'update', context, NULL FROM upd WHERE field <> ''
+  UNION ALL SELECT proc, field, 'transform', 'transform', NULL, transformation FROM tr)"""
+
+ORACLES["field_usage"] = f"WITH {CORPUS}, {FIELD_USAGE} SELECT * FROM usage"
+ORACLES["field_usage_one"] = (f"WITH {CORPUS}, {FIELD_USAGE} SELECT * FROM usage "
+                              "WHERE upper(field) = 'TOTAL' AND proc LIKE '%7'")
+
+_PAR = _q(K.PARAM_PATTERN)
+ORACLES["proc_params"] = f"""
+WITH {CORPUS}, m AS (SELECT proc, regexp_extract_all(code, {_PAR}, 1) AS n, regexp_extract_all(code, {_PAR}, 2) AS d,
+                            regexp_extract_all(code, {_PAR}, 3) AS t FROM corpus),
+x AS (SELECT proc, unnest(n) AS n, unnest(d) AS d, unnest(t) AS t, unnest(generate_series(1, len(n))) AS seq FROM m)
+SELECT proc, n AS param_name, replace(upper(d), ' ', '_') AS direction, upper(t) AS param_type, CAST(seq AS BIGINT) AS seq FROM x
+"""
+
+# RE2 has no look-ahead: the corpus signature has no nested parentheses, so a
+# plain comma split is the same split there.
+ORACLES["proc_signature_params"] = f"""
+WITH {CORPUS}, h AS (SELECT proc, substr(code, 1, 500) AS head FROM corpus),
+s AS (SELECT proc, string_split(regexp_extract(head, {_q(K.SIGNATURE_PATTERN)}, 1), ',') AS pieces FROM h
+      WHERE regexp_matches(head, {_q(K.SIGNATURE_PATTERN)})),
+p AS (SELECT proc, unnest(pieces) AS raw, unnest(generate_series(1, len(pieces))) AS pos FROM s),
+w AS (SELECT proc, pos, {_strip('raw')} AS t FROM p),
+v AS (SELECT proc, pos, t, regexp_split_to_array(t, '\\s+') AS words FROM w WHERE t <> '')
+SELECT proc, words[1] AS param_name,
+       {_strip("replace(replace(array_to_string(words[2:], ' '), 'IN', ''), 'OUT', '')")} AS param_type,
+       CASE WHEN contains(upper(t), 'OUT') THEN (CASE WHEN contains(upper(t), 'IN') THEN 'IN OUT' ELSE 'OUT' END) ELSE 'IN' END AS direction,
+       CAST(pos AS BIGINT) AS position
+FROM v WHERE len(words) >= 2
+"""
+
+ORACLES["proc_variables"] = f"""
+WITH {CORPUS} SELECT DISTINCT proc, upper(unnest(regexp_extract_all(code, {_q(K.VARIABLE_PATTERN)}, 1))) AS variable FROM corpus
+"""
+
+ORACLES["proc_control"] = f"WITH {CORPUS}, c AS (" + " UNION ALL ".join(
+    f"SELECT proc, '{k}' AS structure, CAST(len(regexp_extract_all(code, '(?i)\\b{k}\\b')) AS BIGINT) AS n FROM corpus"
+    for k in K.CONTROL_KINDS) + ") SELECT * FROM c WHERE n > 0"
+
+INTERNAL_EDGES = """
+e AS (SELECT DISTINCT c.proc AS src, c.callee AS dst FROM calls c JOIN corpus p ON p.proc = c.callee WHERE c.proc <> c.callee)"""
+
+LEVELS = f"""{CALL_EDGES}, {INTERNAL_EDGES},
+paths(node, depth) AS (SELECT proc, 0 FROM corpus UNION SELECT e.src, p.depth + 1 FROM paths p JOIN e ON e.dst = p.node),
+lv AS (SELECT node AS proc, CAST(max(depth) AS BIGINT) AS level FROM paths GROUP BY node)"""
+
+ORACLES["proc_levels"] = f"WITH RECURSIVE {CORPUS}, {LEVELS} SELECT proc, level FROM lv"
+ORACLES["hierarchy"] = (f"WITH RECURSIVE {CORPUS}, {LEVELS} SELECT level, CAST(count(*) AS BIGINT) AS n_procedures, "
+                        "min(proc) AS first_name, max(proc) AS last_name FROM lv GROUP BY level")
+ORACLES["proc_statistics"] = f"""
+WITH RECURSIVE {CORPUS}, {LEVELS}
+SELECT CAST(count(*) AS BIGINT) AS total_procedures, round(avg({SCORE_SQL}), 6) AS avg_complexity,
+       (SELECT CAST(coalesce(max(level), 0) AS BIGINT) FROM lv) AS max_dependency_level FROM corpus
+"""
+ORACLES["index_statistics"] = f"""
+WITH {CORPUS}, {CALL_EDGES}, t_raw AS ({_unnest_union(K.TABLE_PATTERNS)})
+SELECT CAST(count(*) AS BIGINT) AS indexed_count, round(avg({SCORE_SQL}), 2) AS avg_complexity,
+       (SELECT CAST(count(DISTINCT callee) AS BIGINT) FROM calls) AS procedures_extracted,
+       (SELECT CAST(count(DISTINCT v) AS BIGINT) FROM t_raw) AS tables_extracted FROM corpus
+"""
+
+CYCLIC_CORPUS = (
+    "corpus0 AS (SELECT " + CORPUS_NAME_SQL + " AS proc, " + CORPUS_TEXT_SQL + " AS code FROM orders), "
+    "corpus AS (SELECT proc, CASE WHEN proc = 'P0' THEN code || chr(10) || ' CALL P' || "
+    "CAST((SELECT max(o_orderkey) FROM orders) AS VARCHAR) || '();' ELSE code END AS code FROM corpus0)"
+)
+ORACLES["cycle_members"] = f"""
+WITH RECURSIVE {CYCLIC_CORPUS}, {CALL_EDGES}, {INTERNAL_EDGES},
+reach(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst)
+SELECT a.src AS proc, CAST(count(*) AS BIGINT) AS scc_size
+FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src
+WHERE a.src IN (SELECT src FROM reach WHERE src = dst)
+GROUP BY a.src
+"""
+ORACLES["proc_levels_cyclic"] = f"""
+WITH RECURSIVE {CYCLIC_CORPUS}, {CALL_EDGES}, {INTERNAL_EDGES},
+reach(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst),
+cyc AS (SELECT DISTINCT src AS n FROM reach WHERE src = dst),
+bad AS (SELECT n FROM cyc UNION SELECT r.src FROM reach r JOIN cyc ON r.dst = cyc.n),
+ok_e AS (SELECT * FROM e WHERE src NOT IN (SELECT n FROM bad)),
+paths(node, depth) AS (SELECT proc, 0 FROM corpus WHERE proc NOT IN (SELECT n FROM bad)
+                       UNION SELECT ok_e.src, p.depth + 1 FROM paths p JOIN ok_e ON ok_e.dst = p.node)
+SELECT node AS proc, CAST(max(depth) AS BIGINT) AS level, false AS in_cycle FROM paths GROUP BY node
+UNION ALL SELECT n, NULL, true FROM bad
+"""
+
+# ---------------------------------------------------------------- graph
+GRAPH = f"""{CALL_EDGES}, t_raw AS ({_unnest_union(K.TABLE_PATTERNS)}),
+tabs AS (SELECT DISTINCT proc, v AS tbl FROM t_raw),
+nodes AS (SELECT 'UNKNOWN.' || proc AS id, 'procedure' AS node_type, 'UNKNOWN' AS schema, proc AS name,
+                 CAST({SCORE_SQL} AS BIGINT) AS complexity_score FROM corpus),
+edges AS (
+  SELECT 'UNKNOWN.' || c.proc AS src, CASE WHEN p.proc IS NOT NULL THEN 'UNKNOWN.' || c.callee ELSE c.callee END AS dst,
+         'calls' AS edge_type, 'procedure_call' AS relationship
+  FROM calls c LEFT JOIN corpus p ON p.proc = c.callee
+  UNION ALL SELECT 'UNKNOWN.' || proc, tbl, 'accesses', 'table_access' FROM tabs)"""
+
+ORACLES["graph_nodes"] = f"WITH {CORPUS}, {GRAPH} SELECT * FROM nodes"
+ORACLES["graph_edges"] = f"WITH {CORPUS}, {GRAPH} SELECT * FROM edges"
+ORACLES["graph_statistics"] = f"""
+WITH {CORPUS}, {GRAPH},
+ends AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges),
+alln AS (SELECT id, node_type FROM nodes UNION ALL SELECT id, NULL FROM ends WHERE id NOT IN (SELECT id FROM nodes))
+SELECT 'total' AS kind, 'nodes' AS key, CAST(count(*) AS BIGINT) AS n FROM alln
+UNION ALL SELECT 'total', 'edges', CAST(count(*) AS BIGINT) FROM edges
+UNION ALL SELECT 'node_type', coalesce(node_type, 'unknown'), CAST(count(*) AS BIGINT) FROM alln GROUP BY 2
+UNION ALL SELECT 'edge_type', coalesce(edge_type, 'unknown'), CAST(count(*) AS BIGINT) FROM edges GROUP BY 2
+"""
+ORACLES["callers"] = f"""
+WITH {CORPUS}, {GRAPH}
+SELECT DISTINCT e.dst AS id, e.src AS caller FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.edge_type = 'calls'
+"""
+ORACLES["proc_context"] = f"""
+WITH {CORPUS}, {GRAPH}
+SELECT DISTINCT src AS id, CASE WHEN edge_type = 'calls' THEN 'called_procedures' ELSE 'called_tables' END AS rel, dst AS target
+FROM edges WHERE src IN (SELECT id FROM nodes)
+"""
+ORACLES["total_dependencies"] = f"""
+WITH {CORPUS}, {GRAPH}
+SELECT n.id, CAST(count(e.dst) AS BIGINT) AS total_dependencies FROM nodes n LEFT JOIN edges e ON e.src = n.id GROUP BY n.id
+"""
+
+
+def _walk(depth: int) -> str:
+    return f"""{GRAPH},
+ce AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'calls'),
+te AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'accesses'),
+walk(root, node, depth) AS (SELECT id, id, 0 FROM nodes
+    UNION SELECT w.root, ce.dst, w.depth + 1 FROM walk w JOIN ce ON ce.src = w.node WHERE w.depth < {depth}),
+pf AS (SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY root, node),
+tf AS (SELECT pf.root, te.dst AS node, CAST(min(pf.depth) + 1 AS BIGINT) AS depth FROM pf JOIN te ON te.src = pf.node
+       GROUP BY pf.root, te.dst),
+crawl AS (SELECT root, node, 'procedure' AS node_type, depth FROM pf UNION ALL SELECT root, node, 'table', depth FROM tf),
+summ AS (SELECT root, CAST(count(*) FILTER (WHERE node_type = 'procedure') AS BIGINT) AS procedures_found,
+                CAST(count(*) FILTER (WHERE node_type = 'table') AS BIGINT) AS tables_found,
+                CAST(max(depth) FILTER (WHERE node_type = 'procedure') AS BIGINT) AS depth_reached FROM crawl GROUP BY root)"""
+
+
+ORACLES["crawl"] = f"WITH RECURSIVE {CORPUS}, {_walk(3)} SELECT * FROM crawl"
+ORACLES["crawl_summary"] = f"WITH RECURSIVE {CORPUS}, {_walk(5)} SELECT * FROM summ"
+ORACLES["impact"] = f"""
+WITH RECURSIVE {CORPUS}, {_walk(3)},
+cl AS (SELECT dst AS root, CAST(count(*) AS BIGINT) AS caller_count FROM ce WHERE dst IN (SELECT id FROM nodes) GROUP BY dst)
+SELECT n.id AS root, coalesce(cl.caller_count, 0) AS caller_count, coalesce(s.procedures_found, 0) AS dependency_count,
+       coalesce(s.tables_found, 0) AS affected_table_count,
+       coalesce(cl.caller_count, 0) + coalesce(s.procedures_found, 0) AS total_impact_score,
+       CASE WHEN coalesce(s.procedures_found, 0) > 10 THEN 'alta' WHEN coalesce(s.procedures_found, 0) > 5 THEN 'média'
+            ELSE 'baixa' END AS impact_class
+FROM nodes n LEFT JOIN summ s ON s.root = n.id LEFT JOIN cl ON cl.root = n.id
+"""

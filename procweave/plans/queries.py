@@ -62,3 +62,190 @@ def proc_complexity(spark, sf_dir):
 @register("top_called")
 def top_called(spark, sf_dir):
     return G.top_called_procedures(corpus_analysis(spark, sf_dir), 10)
+
+
+@register("proc_select_fields")
+def proc_select_fields(spark, sf_dir):
+    an = corpus_analysis(spark, sf_dir)
+    return an.select("proc", F.explode("select_fields").alias("u")).select("proc", "u.field", "u.context")
+
+
+@register("proc_update_fields")
+def proc_update_fields(spark, sf_dir):
+    an = corpus_analysis(spark, sf_dir)
+    return an.select("proc", F.explode("update_fields").alias("u")).select("proc", "u.field", "u.context")
+
+
+@register("proc_transforms")
+def proc_transforms(spark, sf_dir):
+    an = corpus_analysis(spark, sf_dir)
+    return an.select("proc", F.explode("transformations").alias("u")).select("proc", "u.field", "u.transformation")
+
+
+@register("field_usage")
+def field_usage(spark, sf_dir):
+    return A.field_usage(corpus_analysis(spark, sf_dir)).drop("seq")
+
+
+@register("field_usage_one")
+def field_usage_one(spark, sf_dir):
+    """Usage rows of field ``total`` (looked up upper-case) in procedures whose key ends with 7."""
+    usage = A.field_usage(corpus_analysis(spark, sf_dir))
+    return A.field_usage_one(usage, "total", procedure="7").drop("seq")
+
+
+@register("proc_params")
+def proc_params(spark, sf_dir):
+    return A.parameter_rows(corpus_analysis(spark, sf_dir), "static")
+
+
+@register("proc_signature_params")
+def proc_signature_params(spark, sf_dir):
+    return A.parameter_rows(corpus_analysis(spark, sf_dir), "signature")
+
+
+@register("proc_variables")
+def proc_variables(spark, sf_dir):
+    return corpus_analysis(spark, sf_dir).select("proc", F.explode("variables").alias("variable"))
+
+
+@register("proc_control")
+def proc_control(spark, sf_dir):
+    """P16 long form: (proc, structure, n) for every structure that occurs."""
+    an = corpus_analysis(spark, sf_dir)
+    kinds = ["if", "loop", "for", "while", "case", "exception"]
+    st = F.explode(F.array(*[F.struct(F.lit(k.upper()).alias("structure"), F.col(f"control.{k}").alias("n"))
+                             for k in kinds])).alias("s")
+    return an.select("proc", st).select("proc", "s.structure", "s.n").filter("n > 0")
+
+
+def _levels(spark, sf_dir, cyclic=False, compat=False):
+    procs = procedure_corpus_cyclic(spark, sf_dir) if cyclic else procedure_corpus(spark, sf_dir)
+    an = A.analyze(procs)
+    nodes = an.select(F.col("proc").alias("node"))
+    edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
+    return TR.dependency_levels(nodes, edges, drop_self=True, compat=compat), an
+
+
+@register("proc_levels")
+def proc_levels(spark, sf_dir):
+    lv, _ = _levels(spark, sf_dir)
+    return lv.select(F.col("node").alias("proc"), "level")
+
+
+@register("hierarchy")
+def hierarchy_rows(spark, sf_dir):
+    """Level -> procedures, as (level, n_procedures, first_name, last_name) rows."""
+    lv, _ = _levels(spark, sf_dir)
+    return (lv.groupBy("level").agg(F.count(F.lit(1)).cast("bigint").alias("n_procedures"),
+                                    F.min("node").alias("first_name"), F.max("node").alias("last_name")))
+
+
+@register("proc_statistics")
+def proc_statistics(spark, sf_dir):
+    """A1: total procedures, average complexity, maximum dependency level."""
+    lv, an = _levels(spark, sf_dir)
+    s = an.agg(F.count(F.lit(1)).cast("bigint").alias("total_procedures"),
+               F.round(F.avg("complexity_score"), 6).alias("avg_complexity"))
+    m = lv.agg(F.coalesce(F.max("level"), F.lit(0)).cast("bigint")).scalar()
+    return s.select("*", m.alias("max_dependency_level"))
+
+
+@register("index_statistics")
+def index_statistics(spark, sf_dir):
+    """A3: indexed count, distinct callees and tables over the corpus, avg complexity (2 dp)."""
+    an = corpus_analysis(spark, sf_dir)
+    calls = an.select(F.explode("calls").alias("v")).agg(F.countDistinct("v").cast("bigint")).scalar()
+    tabs = an.select(F.explode("tables").alias("v")).agg(F.countDistinct("v").cast("bigint")).scalar()
+    base = an.agg(F.count(F.lit(1)).cast("bigint").alias("indexed_count"),
+                  F.round(F.avg("complexity_score"), 2).alias("avg_complexity"))
+    return base.select("*", calls.alias("procedures_extracted"), tabs.alias("tables_extracted"))
+
+
+@register("cycle_members")
+def cycle_members(spark, sf_dir):
+    """G17 on the corpus with one back edge (P0 -> largest procedure)."""
+    an = A.analyze(procedure_corpus_cyclic(spark, sf_dir))
+    nodes = an.select(F.col("proc").alias("node"))
+    edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
+    return TR.cycle_members(nodes, edges, drop_self=True).select(F.col("node").alias("proc"), "scc_size")
+
+
+@register("proc_levels_cyclic")
+def proc_levels_cyclic(spark, sf_dir):
+    """G16 default mode on the cyclic corpus: acyclic nodes get levels, the rest in_cycle."""
+    lv, _ = _levels(spark, sf_dir, cyclic=True)
+    return lv.select(F.col("node").alias("proc"), "level", "in_cycle")
+
+
+def _graph(spark, sf_dir):
+    an = corpus_analysis(spark, sf_dir)
+    nodes, edges = G.build_graph(an)
+    return an, nodes, edges
+
+
+@register("graph_nodes")
+def graph_nodes(spark, sf_dir):
+    _, nodes, _ = _graph(spark, sf_dir)
+    return nodes
+
+
+@register("graph_edges")
+def graph_edges(spark, sf_dir):
+    _, _, edges = _graph(spark, sf_dir)
+    return edges
+
+
+@register("graph_statistics")
+def graph_statistics(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    return G.statistics(nodes, edges)
+
+
+@register("callers")
+def callers_all(spark, sf_dir):
+    """G6 for every procedure: (id, caller) over resolved call edges (self-calls included)."""
+    _, nodes, edges = _graph(spark, sf_dir)
+    return G.callers(edges, nodes.filter(F.col("node_type") == "procedure").select("id"))
+
+
+@register("proc_context")
+def proc_context(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    return G.procedure_context(nodes, edges)
+
+
+@register("total_dependencies")
+def total_dependencies(spark, sf_dir):
+    """Out-edge count per procedure node (calls + accesses, with multiplicity)."""
+    _, nodes, edges = _graph(spark, sf_dir)
+    p = nodes.filter(F.col("node_type") == "procedure").select(F.col("id").alias("src"))
+    return (p.join(edges, "src", "left").groupBy(F.col("src").alias("id"))
+            .agg(F.count("dst").cast("bigint").alias("total_dependencies")))
+
+
+def _crawl_inputs(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    calls = edges.filter(F.col("edge_type") == "calls").select("src", "dst")
+    tabs = edges.filter(F.col("edge_type") == "accesses").select("src", "dst")
+    roots = nodes.filter(F.col("node_type") == "procedure").select(F.col("id").alias("root"))
+    return calls, tabs, roots
+
+
+@register("crawl")
+def crawl_all(spark, sf_dir):
+    """G9 from every procedure at once, max depth 3 (the impact depth)."""
+    calls, tabs, roots = _crawl_inputs(spark, sf_dir)
+    return TR.crawl(calls, roots, 3, tabs)
+
+
+@register("crawl_summary")
+def crawl_summary_all(spark, sf_dir):
+    calls, tabs, roots = _crawl_inputs(spark, sf_dir)
+    return TR.crawl_summary(TR.crawl(calls, roots, 5, tabs))
+
+
+@register("impact")
+def impact_all(spark, sf_dir):
+    calls, tabs, roots = _crawl_inputs(spark, sf_dir)
+    return TR.impact(calls, tabs, roots, 3)
