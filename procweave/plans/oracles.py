@@ -303,3 +303,127 @@ SELECT n.id AS root, coalesce(cl.caller_count, 0) AS caller_count, coalesce(s.pr
             ELSE 'baixa' END AS impact_class
 FROM nodes n LEFT JOIN summ s ON s.root = n.id LEFT JOIN cl ON cl.root = n.id
 """
+
+
+# ---------------------------------------------------------------- catalog
+CATALOG = """
+li AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+        ORDER BY l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_quantity NULLS FIRST, l_extendedprice NULLS FIRST,
+                 l_discount NULLS FIRST, l_tax NULLS FIRST, l_returnflag NULLS FIRST, l_linestatus NULLS FIRST,
+                 l_shipdate NULLS FIRST) AS _rn FROM lineitem) WHERE _rn = 1),
+cols AS (SELECT 'S' || CAST(l_orderkey % 5 AS VARCHAR) AS table_schema, 'T' || CAST(l_orderkey AS VARCHAR) AS table_name,
+                'C' || CAST(l_linenumber AS VARCHAR) AS column_name, l_linenumber AS ordinal,
+                CASE l_linenumber % 4 WHEN 0 THEN 'varchar' WHEN 1 THEN 'numeric' WHEN 2 THEN 'integer' ELSE 'date' END AS data_type,
+                CASE WHEN l_linenumber % 4 = 0 THEN CAST(trunc(l_quantity) AS INTEGER) + 1 END AS char_len,
+                CASE WHEN l_linenumber % 4 = 1 THEN 12 END AS num_precision,
+                CASE WHEN l_linenumber % 4 = 1 THEN CAST(l_partkey % 3 AS INTEGER) END AS num_scale,
+                CASE WHEN l_linestatus = 'O' THEN 'YES' ELSE 'NO' END AS is_nullable,
+                CASE WHEN l_linenumber % 4 = 2 THEN '0' END AS column_default FROM li),
+keyrows AS (SELECT CASE WHEN l_linenumber = 1 THEN 'PK_T' ELSE 'FK_T' END || CAST(l_orderkey AS VARCHAR) AS constraint_name,
+                CASE WHEN l_linenumber = 1 THEN 'PRIMARY KEY' ELSE 'FOREIGN KEY' END AS constraint_type,
+                'S' || CAST(l_orderkey % 5 AS VARCHAR) AS table_schema, 'T' || CAST(l_orderkey AS VARCHAR) AS table_name,
+                'C' || CAST(l_linenumber AS VARCHAR) AS column_name, 1 AS ordinal,
+                CASE WHEN l_linenumber = 2 THEN 'S' || CAST((l_orderkey // 2) % 5 AS VARCHAR) END AS ref_schema,
+                CASE WHEN l_linenumber = 2 THEN 'T' || CAST(l_orderkey // 2 AS VARCHAR) END AS ref_table,
+                CASE WHEN l_linenumber = 2 THEN 'C1' END AS ref_column,
+                CASE WHEN l_linenumber = 2 THEN (CASE WHEN l_returnflag = 'R' THEN 'CASCADE' ELSE 'NO_ACTION' END) END AS delete_rule,
+                CASE WHEN l_linenumber = 2 THEN (CASE WHEN l_returnflag = 'A' THEN 'SET_NULL' ELSE 'NO_ACTION' END) END AS update_rule
+            FROM li WHERE l_linenumber IN (1, 2)),
+idxrows AS (SELECT 'S' || CAST(l_orderkey % 5 AS VARCHAR) AS table_schema, 'T' || CAST(l_orderkey AS VARCHAR) AS table_name,
+                CASE WHEN l_returnflag = 'N' THEN 'PK_T' || CAST(l_orderkey AS VARCHAR) || '_N'
+                     ELSE 'IX_T' || CAST(l_orderkey AS VARCHAR) || '_' || l_returnflag END AS index_name,
+                'C' || CAST(l_linenumber AS VARCHAR) AS column_name, l_linenumber AS position,
+                l_returnflag = 'N' AS is_unique, 'btree' AS index_type FROM li),
+pk AS (SELECT table_schema, table_name, constraint_name, string_agg(column_name, ', ' ORDER BY ordinal, column_name) AS pk_columns
+       FROM keyrows WHERE constraint_type = 'PRIMARY KEY' GROUP BY ALL),
+fks AS (SELECT table_schema, table_name, constraint_name,
+               string_agg(column_name, ', ' ORDER BY ordinal, column_name, ref_column) AS columns,
+               min(ref_schema) || '.' || min(ref_table) AS referenced_table,
+               string_agg(ref_column, ', ' ORDER BY ordinal, column_name, ref_column) AS referenced_columns,
+               replace(min(delete_rule), '_', ' ') AS on_delete, replace(min(update_rule), '_', ' ') AS on_update
+        FROM keyrows WHERE constraint_type = 'FOREIGN KEY' GROUP BY ALL),
+ptype AS (SELECT *, CASE WHEN coalesce(char_len, 0) <> 0 THEN data_type || '(' || char_len || ')'
+                       WHEN coalesce(num_precision, 0) <> 0 THEN
+                          (CASE WHEN coalesce(num_scale, 0) <> 0 THEN data_type || '(' || num_precision || ',' || num_scale || ')'
+                                ELSE data_type || '(' || num_precision || ')' END)
+                       ELSE data_type END AS pg_type FROM cols),
+fkfirst AS (SELECT table_schema, table_name, column_name, arg_min(ref_schema || '.' || ref_table, constraint_name) AS fkt,
+                   arg_min(ref_column, constraint_name) AS fkc FROM keyrows WHERE constraint_type = 'FOREIGN KEY' GROUP BY ALL),
+acols AS (SELECT c.table_schema, c.table_name, c.column_name, CAST(c.ordinal AS BIGINT) AS ordinal, c.pg_type AS data_type,
+                 c.is_nullable = 'YES' AS nullable, c.column_default AS default_value,
+                 EXISTS (SELECT 1 FROM keyrows k WHERE k.constraint_type = 'PRIMARY KEY' AND k.table_schema = c.table_schema
+                         AND k.table_name = c.table_name AND k.column_name = c.column_name) AS is_primary_key,
+                 f.fkt IS NOT NULL AS is_foreign_key, f.fkt AS foreign_key_table, f.fkc AS foreign_key_column
+          FROM ptype c LEFT JOIN fkfirst f USING (table_schema, table_name, column_name)),
+idx AS (SELECT i.table_schema, i.table_name, i.index_name, string_agg(i.column_name, ', ' ORDER BY i.position, i.column_name) AS columns,
+               bool_or(i.is_unique) AS is_unique, min(i.index_type) AS index_type FROM idxrows i GROUP BY ALL),
+aidx AS (SELECT x.*, EXISTS (SELECT 1 FROM pk WHERE pk.table_schema = x.table_schema AND pk.table_name = x.table_name
+                             AND contains(x.index_name, pk.constraint_name)) AS is_primary FROM idx x),
+summary AS (SELECT c.table_schema, c.table_name, CAST(count(*) AS BIGINT) AS n_columns,
+                   CAST(coalesce((SELECT count(*) FROM fks f WHERE f.table_schema = c.table_schema AND f.table_name = c.table_name), 0) AS BIGINT) AS n_fks,
+                   CAST(coalesce((SELECT count(*) FROM aidx i WHERE i.table_schema = c.table_schema AND i.table_name = c.table_name), 0) AS BIGINT) AS n_indexes
+            FROM cols c GROUP BY ALL),
+scored AS (SELECT *, least(CAST(trunc(1.0::DOUBLE + least(n_columns // 5, 3) + least(n_fks::DOUBLE, 3.0::DOUBLE)
+                                + least(n_indexes * 0.5::DOUBLE, 2.0::DOUBLE)) AS BIGINT), 10) AS complexity_score FROM summary),
+tabs AS (SELECT DISTINCT table_schema || '.' || table_name AS tbl FROM cols),
+fke AS (SELECT table_schema || '.' || table_name AS src, referenced_table AS dst, constraint_name, columns, referenced_columns
+        FROM fks WHERE referenced_table IN (SELECT tbl FROM tabs))"""
+
+ORACLES["catalog_columns"] = f"WITH {CATALOG} SELECT * FROM acols"
+ORACLES["catalog_pk"] = f"WITH {CATALOG} SELECT * FROM pk"
+ORACLES["catalog_fks"] = f"WITH {CATALOG} SELECT * FROM fks"
+ORACLES["catalog_indexes"] = (f"WITH {CATALOG} SELECT table_schema, table_name, index_name, columns, is_unique, "
+                              "is_primary, index_type FROM aidx")
+ORACLES["type_text"] = f"""
+WITH {CATALOG}
+SELECT table_schema, table_name, column_name, pg_type AS postgresql,
+  CASE WHEN coalesce(char_len, 0) <> 0 THEN data_type || '(' || char_len || ')'
+       WHEN coalesce(num_precision, 0) <> 0 THEN (CASE WHEN num_scale IS NOT NULL THEN data_type || '(' || num_precision || ',' || num_scale || ')'
+                                                   ELSE data_type || '(' || num_precision || ')' END)
+       ELSE data_type END AS mssql,
+  CASE WHEN coalesce(char_len, 0) <> 0 THEN data_type || '(' || char_len || ')'
+       WHEN coalesce(num_precision, 0) <> 0 THEN (CASE WHEN num_scale IS NOT NULL THEN data_type || '(' || num_precision || ',' || num_scale || ')'
+                                                   ELSE data_type || '(' || num_precision || ')' END)
+       ELSE data_type END AS mysql,
+  CASE WHEN coalesce(char_len, num_precision, 0) <> 0 THEN
+       (CASE WHEN num_scale IS NOT NULL THEN data_type || '(' || coalesce(CAST(num_precision AS VARCHAR), 'None') || ',' || num_scale || ')'
+             WHEN num_precision IS NOT NULL THEN data_type || '(' || num_precision || ')'
+             ELSE data_type || '(' || char_len || ')' END)
+       ELSE data_type END AS oracle
+FROM ptype
+"""
+ORACLES["table_ddl"] = f"""
+WITH {CATALOG},
+cd AS (SELECT table_schema, table_name,
+              string_agg('    ' || column_name || ' ' || data_type || CASE WHEN NOT nullable THEN ' NOT NULL' ELSE '' END
+                         || CASE WHEN default_value IS NOT NULL AND default_value <> '' THEN ' DEFAULT ' || default_value ELSE '' END,
+                         ',' || chr(10) ORDER BY ordinal) AS col_defs,
+              coalesce(string_agg(CASE WHEN is_primary_key THEN column_name END, ', ' ORDER BY ordinal), '') AS pk_cols
+       FROM acols GROUP BY ALL),
+fl AS (SELECT table_schema, table_name,
+              string_agg(',' || chr(10) || '    CONSTRAINT ' || constraint_name || ' FOREIGN KEY (' || columns || ') REFERENCES '
+                         || referenced_table || ' (' || referenced_columns || ')'
+                         || CASE WHEN on_delete IS NOT NULL THEN ' ON DELETE ' || on_delete ELSE '' END
+                         || CASE WHEN on_update IS NOT NULL THEN ' ON UPDATE ' || on_update ELSE '' END,
+                         chr(10) ORDER BY constraint_name) AS fk_text FROM fks GROUP BY ALL)
+SELECT cd.table_schema, cd.table_name,
+       'CREATE TABLE ' || cd.table_schema || '.' || cd.table_name || ' (' || chr(10) || col_defs
+       || CASE WHEN pk_cols <> '' THEN chr(10) || ',' || chr(10) || '    PRIMARY KEY (' || pk_cols || ')' ELSE '' END
+       || CASE WHEN fk_text IS NOT NULL THEN chr(10) || fk_text ELSE '' END || chr(10) || chr(10) || ');' AS ddl
+FROM cd LEFT JOIN fl USING (table_schema, table_name)
+"""
+ORACLES["table_complexity"] = f"WITH {CATALOG} SELECT * FROM scored"
+ORACLES["table_statistics"] = f"""
+WITH {CATALOG} SELECT CAST(count(*) AS BIGINT) AS total_tables, round(avg(complexity_score), 6) AS avg_complexity,
+  CAST(coalesce(sum(n_fks), 0) AS BIGINT) AS total_foreign_keys, CAST(coalesce(sum(n_indexes), 0) AS BIGINT) AS total_indexes FROM scored
+"""
+ORACLES["fk_edges"] = f"WITH {CATALOG} SELECT * FROM fke"
+ORACLES["table_levels"] = f"""
+WITH RECURSIVE {CATALOG},
+e AS (SELECT DISTINCT src, dst FROM fke WHERE src <> dst),
+paths(node, depth) AS (SELECT tbl, 0 FROM tabs UNION SELECT e.src, p.depth + 1 FROM paths p JOIN e ON e.dst = p.node)
+SELECT node AS "table", CAST(max(depth) AS BIGINT) AS level FROM paths GROUP BY node
+"""
+ORACLES["table_levels_compat"] = f"""
+WITH {CATALOG} SELECT tbl AS "table", CAST(CASE WHEN tbl IN (SELECT dst FROM fke) THEN 1 ELSE 0 END AS BIGINT) AS level FROM tabs
+"""

@@ -249,3 +249,96 @@ def crawl_summary_all(spark, sf_dir):
 def impact_all(spark, sf_dir):
     calls, tabs, roots = _crawl_inputs(spark, sf_dir)
     return TR.impact(calls, tabs, roots, 3)
+
+
+# ------------------------------------------------------------- catalog
+from procweave.operators import catalog as C  # noqa: E402
+from procweave.sources import tables as S  # noqa: E402
+
+
+def _catalog(spark, sf_dir):
+    cols = S.catalog_columns(spark, sf_dir)
+    keys = S.catalog_key_rows(spark, sf_dir)
+    idx_rows = S.catalog_index_rows(spark, sf_dir)
+    return cols, keys, idx_rows
+
+
+@register("catalog_columns")
+def catalog_columns(spark, sf_dir):
+    cols, keys, _ = _catalog(spark, sf_dir)
+    return C.assemble_columns(cols, keys).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+
+
+@register("catalog_pk")
+def catalog_pk(spark, sf_dir):
+    _, keys, _ = _catalog(spark, sf_dir)
+    return C.primary_keys(keys)
+
+
+@register("catalog_fks")
+def catalog_fks(spark, sf_dir):
+    _, keys, _ = _catalog(spark, sf_dir)
+    return C.foreign_keys(keys)
+
+
+@register("catalog_indexes")
+def catalog_indexes(spark, sf_dir):
+    _, keys, idx_rows = _catalog(spark, sf_dir)
+    return C.assemble_indexes(idx_rows, keys)
+
+
+@register("type_text")
+def type_text_all(spark, sf_dir):
+    cols, _, _ = _catalog(spark, sf_dir)
+    return cols.select("table_schema", "table_name", "column_name",
+                       *[C.type_text(d).alias(d) for d in ("postgresql", "mssql", "mysql", "oracle")])
+
+
+@register("table_ddl")
+def table_ddl(spark, sf_dir):
+    cols, keys, _ = _catalog(spark, sf_dir)
+    return C.table_ddl(C.assemble_columns(cols, keys), C.foreign_keys(keys))
+
+
+def _summary(spark, sf_dir):
+    cols, keys, idx_rows = _catalog(spark, sf_dir)
+    return C.table_summary(cols, C.foreign_keys(keys), C.assemble_indexes(idx_rows, keys))
+
+
+@register("table_complexity")
+def table_complexity(spark, sf_dir):
+    return _summary(spark, sf_dir)
+
+
+@register("table_statistics")
+def table_statistics(spark, sf_dir):
+    return C.table_statistics(_summary(spark, sf_dir))
+
+
+def _fk_graph(spark, sf_dir, compat=False):
+    cols, keys, _ = _catalog(spark, sf_dir)
+    tables = cols.select(F.concat_ws(".", "table_schema", "table_name").alias("table")).distinct()
+    return tables, C.resolve_fk_targets(C.foreign_keys(keys), tables, compat=compat)
+
+
+@register("fk_edges")
+def fk_edges(spark, sf_dir):
+    _, e = _fk_graph(spark, sf_dir)
+    return e
+
+
+@register("table_levels")
+def table_levels(spark, sf_dir):
+    """G18 longest-path mode: level = longest FK chain down to a table without FKs."""
+    tables, e = _fk_graph(spark, sf_dir)
+    lv = TR.dependency_levels(tables.select(F.col("table").alias("node")), e.select("src", "dst"))
+    return lv.select(F.col("node").alias("table"), "level")
+
+
+@register("table_levels_compat")
+def table_levels_compat(spark, sf_dir):
+    """G18 compat mode: 1 when some table references it, else 0."""
+    tables, e = _fk_graph(spark, sf_dir)
+    referenced = e.select(F.col("dst").alias("table")).distinct().withColumn("r", F.lit(1))
+    return (tables.join(referenced, "table", "left")
+            .select("table", F.coalesce("r", F.lit(0)).cast("bigint").alias("level")))

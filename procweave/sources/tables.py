@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -67,19 +66,26 @@ def procedure_corpus_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- catalog
 def _lineitem_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with (l_orderkey, l_linenumber) made unique: keep the first by
-    (l_partkey, l_suppkey, l_quantity, l_extendedprice)."""
+    """lineitem with (l_orderkey, l_linenumber) made unique: keep the first row by
+    (l_partkey, l_suppkey, l_quantity, l_extendedprice).
+
+    A ``min(struct)`` aggregate instead of a ranking window: it combines
+    map-side, so a key holding a third of all rows is pre-reduced before the
+    shuffle instead of being sorted in one task.
+    """
     li = read_table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return (li.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))
+    order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    rest = [c for c in li.columns if c not in order + ["l_orderkey", "l_linenumber"]]
+    best = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*order, *rest)).alias("b"))
+    return best.select("l_orderkey", "l_linenumber", "b.*")
 
 
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``catalog_columns`` in information-schema shape, one row per column.
+    """``information_schema.columns``-shaped rows, one per column.
 
-    table ``S<l_orderkey % 5>.T<l_orderkey>``, column ``C<l_linenumber>``,
-    type by ``l_linenumber % 4``: varchar(n), numeric(p,s), integer, date.
+    Table ``S<k % 5>.T<k>`` for ``l_orderkey`` k, column ``C<l_linenumber>``,
+    type by ``l_linenumber % 4``: varchar(n), numeric(p,s), integer, date;
+    nullable when ``l_linestatus = 'O'``.
     """
     li = _lineitem_dedup(spark, sf_dir)
     t = F.col("l_linenumber") % 4
@@ -89,13 +95,56 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("C"), F.col("l_linenumber").cast("string")).alias("column_name"),
         F.col("l_linenumber").cast("int").alias("ordinal"),
         F.when(t == 0, "varchar").when(t == 1, "numeric").when(t == 2, "integer").otherwise("date").alias("data_type"),
-        F.when(t == 0, (F.col("l_quantity").cast("int") + 1)).cast("int").alias("char_len"),
+        F.when(t == 0, F.col("l_quantity").cast("int") + 1).cast("int").alias("char_len"),
         F.when(t == 1, F.lit(12)).cast("int").alias("num_precision"),
         F.when(t == 1, (F.col("l_partkey") % 3).cast("int")).cast("int").alias("num_scale"),
         F.when(F.col("l_linestatus") == "O", "YES").otherwise("NO").alias("is_nullable"),
-        F.lit(None).cast("string").alias("column_default"),
+        F.when(t == 2, F.lit("0")).cast("string").alias("column_default"),
         F.lit(None).cast("string").alias("comment"),
-        F.col("l_returnflag").alias("_flag"),
+    )
+
+
+def catalog_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key-constraint rows (constraints x key usage x referenced columns x rules).
+
+    Line 1 of an order is the primary key ``PK_T<k>(C1)``; line 2 is a foreign
+    key ``FK_T<k>(C2)`` to ``S<j % 5>.T<j>(C1)`` with ``j = floor(k / 2)``,
+    which is missing when order j has no line items.
+    """
+    li = _lineitem_dedup(spark, sf_dir).filter(F.col("l_linenumber").isin(1, 2))
+    k = F.col("l_orderkey")
+    j = F.floor(k / 2).cast("bigint")
+    is_pk = F.col("l_linenumber") == 1
+    return li.select(
+        F.when(is_pk, F.concat(F.lit("PK_T"), k.cast("string"))).otherwise(F.concat(F.lit("FK_T"), k.cast("string"))).alias("constraint_name"),
+        F.when(is_pk, "PRIMARY KEY").otherwise("FOREIGN KEY").alias("constraint_type"),
+        F.concat(F.lit("S"), (k % 5).cast("string")).alias("table_schema"),
+        F.concat(F.lit("T"), k.cast("string")).alias("table_name"),
+        F.concat(F.lit("C"), F.col("l_linenumber").cast("string")).alias("column_name"),
+        F.lit(1).cast("int").alias("ordinal"),
+        F.when(~is_pk, F.concat(F.lit("S"), (j % 5).cast("string"))).alias("ref_schema"),
+        F.when(~is_pk, F.concat(F.lit("T"), j.cast("string"))).alias("ref_table"),
+        F.when(~is_pk, F.lit("C1")).alias("ref_column"),
+        F.when(~is_pk, F.when(F.col("l_returnflag") == "R", "CASCADE").otherwise("NO_ACTION")).alias("delete_rule"),
+        F.when(~is_pk, F.when(F.col("l_returnflag") == "A", "SET_NULL").otherwise("NO_ACTION")).alias("update_rule"),
+    )
+
+
+def catalog_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index-column rows: one index per (table, l_returnflag) over that flag's
+    columns in ordinal order, unique for flag N. The flag-N index is named
+    ``PK_T<k>_N`` so that the primary-key name test (P33) can mark it."""
+    li = _lineitem_dedup(spark, sf_dir)
+    k = F.col("l_orderkey")
+    return li.select(
+        F.concat(F.lit("S"), (k % 5).cast("string")).alias("table_schema"),
+        F.concat(F.lit("T"), k.cast("string")).alias("table_name"),
+        F.when(F.col("l_returnflag") == "N", F.concat(F.lit("PK_T"), k.cast("string"), F.lit("_N")))
+         .otherwise(F.concat(F.lit("IX_T"), k.cast("string"), F.lit("_"), F.col("l_returnflag"))).alias("index_name"),
+        F.concat(F.lit("C"), F.col("l_linenumber").cast("string")).alias("column_name"),
+        F.col("l_linenumber").cast("int").alias("position"),
+        (F.col("l_returnflag") == "N").alias("is_unique"),
+        F.lit("btree").alias("index_type"),
     )
 
 
