@@ -427,3 +427,88 @@ SELECT node AS "table", CAST(max(depth) AS BIGINT) AS level FROM paths GROUP BY
 ORACLES["table_levels_compat"] = f"""
 WITH {CATALOG} SELECT tbl AS "table", CAST(CASE WHEN tbl IN (SELECT dst FROM fke) THEN 1 ELSE 0 END AS BIGINT) AS level FROM tabs
 """
+
+
+# ---------------------------------------------------------------- relationship map
+from procweave.sources.tables import DDL_OBJECTS_SQL  # noqa: E402
+
+OBJS = "objs AS (" + " UNION ALL ".join(
+    f"SELECT 'APP' AS schema, '{kind}' AS obj_type, {name_sql} AS name, {ddl_sql} AS ddl, {i} AS kind_idx FROM {table}"
+    for i, (kind, (table, name_sql, ddl_sql)) in enumerate(DDL_OBJECTS_SQL.items())) + ")"
+
+
+def _tref_rows(type_override=None, only_views=False):
+    parts = []
+    for i, (pat, typ) in enumerate(K.MAPPER_TABLE_PATTERNS):
+        p = _q("(?i)" + pat)
+        t = type_override or typ
+        where = " AND obj_type = 'views'" if only_views else ""
+        parts.append(
+            f"SELECT schema, name AS source, obj_type AS source_type, kind_idx, upper(x) AS target, '{t}' AS type, "
+            f"{3 if only_views else 0} AS stage, {i} * 1000000 + mi AS sub FROM (SELECT *, "
+            f"unnest(regexp_extract_all(upper(ddl), {p}, 1)) AS x, "
+            f"unnest(generate_series(1, len(regexp_extract_all(upper(ddl), {p}, 1)))) AS mi FROM objs) "
+            f"WHERE upper(x) <> '' AND upper(x) <> upper(name){where}")
+    return " UNION ALL ".join(parts)
+
+
+_MKW = _list(K.MAPPER_KEYWORDS)
+RELS = f"""{OBJS},
+calls_raw AS (
+  SELECT schema, name, obj_type, kind_idx, upper(x) AS target FROM (SELECT *, unnest(regexp_extract_all(upper(ddl), {_q('(?i)' + K.MAPPER_CALL_EXPLICIT)}, 2)) AS x FROM objs)
+  WHERE NOT list_contains({_MKW}, upper(x)) AND upper(x) <> upper(name) AND x <> ''
+  UNION ALL
+  SELECT schema, name, obj_type, kind_idx, upper(x) FROM (SELECT *, unnest(regexp_extract_all(upper(ddl), {_q(K.MAPPER_CALL_PAREN)}, 1)) AS x FROM objs)
+  WHERE NOT list_contains({_MKW}, upper(x)) AND upper(x) <> upper(name) AND length(x) >= 3),
+rels_all AS (
+  {_tref_rows()}
+  UNION ALL SELECT DISTINCT schema, name, obj_type, kind_idx, target, 'CALLS', 1, 0 FROM calls_raw
+            WHERE obj_type IN ('procedures', 'functions', 'packages', 'triggers')
+  UNION ALL SELECT schema, name, obj_type, kind_idx, upper(x), 'USES_SEQUENCE', 2, 0
+            FROM (SELECT *, unnest(regexp_extract_all(ddl, {_q('(?i)' + K.MAPPER_SEQUENCE)}, 1)) AS x FROM objs)
+            WHERE upper(x) <> '' AND upper(x) <> upper(name)
+  UNION ALL {_tref_rows('VIEW_DEPENDS', True)}
+  UNION ALL SELECT schema, name, obj_type, kind_idx, upper(x), 'CONTAINS_PROCEDURE', 4, 0
+            FROM (SELECT *, unnest(regexp_extract_all(upper(ddl), {_q('(?i)' + K.MAPPER_PACKAGE_PROC)}, 1)) AS x FROM objs WHERE obj_type = 'packages')
+            WHERE upper(x) IN (SELECT name FROM objs WHERE obj_type = 'procedures')
+  UNION ALL SELECT schema, name, obj_type, kind_idx, upper(x), 'CONTAINS_FUNCTION', 5, 0
+            FROM (SELECT *, unnest(regexp_extract_all(upper(ddl), {_q('(?i)' + K.MAPPER_PACKAGE_FUNC)}, 1)) AS x FROM objs WHERE obj_type = 'packages')
+            WHERE upper(x) IN (SELECT name FROM objs WHERE obj_type = 'functions')),
+rels AS (SELECT * FROM rels_all WHERE target IN (SELECT name FROM objs)),
+gnodes AS (SELECT schema, name, arg_max(obj_type, kind_idx) AS node_type FROM objs GROUP BY ALL),
+dp AS (SELECT DISTINCT schema, source, target FROM rels),
+deg AS (SELECT n.schema, n.name, n.node_type,
+               CAST(coalesce((SELECT count(*) FROM dp WHERE dp.schema = n.schema AND dp.target = n.name), 0) AS BIGINT) AS in_degree,
+               CAST(coalesce((SELECT count(*) FROM dp WHERE dp.schema = n.schema AND dp.source = n.name), 0) AS BIGINT) AS out_degree
+        FROM gnodes n)"""
+
+_REL_COLS = "schema, source, target, type, source_type"
+ORACLES["relations"] = f"WITH {RELS} SELECT {_REL_COLS} FROM rels"
+ORACLES["relations_by_type"] = f"WITH {RELS} SELECT schema, type, CAST(count(*) AS BIGINT) AS count FROM rels GROUP BY ALL"
+ORACLES["degrees"] = f"WITH {RELS} SELECT * FROM deg"
+ORACLES["top_referenced"] = f"""WITH {RELS} SELECT schema, rank, name, count FROM (
+  SELECT schema, CAST(row_number() OVER (PARTITION BY schema ORDER BY in_degree DESC, name) AS BIGINT) AS rank, name,
+         in_degree AS count FROM deg) WHERE rank <= 10"""
+ORACLES["top_referencing"] = f"""WITH {RELS} SELECT schema, rank, name, count FROM (
+  SELECT schema, CAST(row_number() OVER (PARTITION BY schema ORDER BY out_degree DESC, name) AS BIGINT) AS rank, name,
+         out_degree AS count FROM deg) WHERE rank <= 10"""
+ORACLES["isolated_objects"] = f"WITH {RELS} SELECT schema, name, node_type FROM deg WHERE in_degree + out_degree = 0"
+ORACLES["object_counts"] = f"""WITH {OBJS}, k(obj_type) AS (VALUES {', '.join("('" + k + "')" for k in K.OBJECT_KINDS)}),
+per AS (SELECT DISTINCT schema, obj_type, name FROM objs), s AS (SELECT DISTINCT schema FROM objs)
+SELECT s.schema, k.obj_type, CAST((SELECT count(*) FROM per WHERE per.schema = s.schema AND per.obj_type = k.obj_type) AS BIGINT) AS count
+FROM s, k
+UNION ALL SELECT schema, 'total', CAST(count(*) AS BIGINT) FROM per GROUP BY schema"""
+ORACLES["package_contains"] = f"WITH {RELS} SELECT {_REL_COLS} FROM rels WHERE type IN ('CONTAINS_PROCEDURE', 'CONTAINS_FUNCTION')"
+ORACLES["sequence_uses"] = f"WITH {RELS} SELECT {_REL_COLS} FROM rels WHERE type = 'USES_SEQUENCE'"
+ORACLES["view_depends"] = f"WITH {RELS} SELECT {_REL_COLS} FROM rels WHERE type = 'VIEW_DEPENDS'"
+
+_COLORS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in K.DOT_COLORS.items()) + "}"
+ORACLES["dot_lines"] = f"""WITH {RELS},
+lab AS (SELECT schema, source, target, arg_max(type, kind_idx * 1000000000000 + stage * 10000000000 + sub) AS rel
+        FROM rels GROUP BY ALL)
+SELECT DISTINCT schema, CAST(0 AS BIGINT) AS section,
+       'digraph Relationships {{' || chr(10) || '  rankdir=LR;' || chr(10) || '  node [shape=box, style=filled];' || chr(10) AS line FROM objs
+UNION ALL SELECT schema, 1, '  "' || name || '" [fillcolor=' || coalesce({_COLORS}[node_type], 'white') || ', label="'
+          || replace(name, '_', '\\n') || '"];' FROM gnodes
+UNION ALL SELECT schema, 2, '  "' || source || '" -> "' || target || '" [label="' || rel || '"];' FROM lab
+UNION ALL SELECT DISTINCT schema, 3, chr(10) || '}}' FROM objs"""

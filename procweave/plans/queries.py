@@ -342,3 +342,77 @@ def table_levels_compat(spark, sf_dir):
     referenced = e.select(F.col("dst").alias("table")).distinct().withColumn("r", F.lit(1))
     return (tables.join(referenced, "table", "left")
             .select("table", F.coalesce("r", F.lit(0)).cast("bigint").alias("level")))
+
+
+# ------------------------------------------------------------- relationship map
+from procweave.operators import relmap as RM  # noqa: E402
+
+
+def _rels(spark, sf_dir):
+    objs = S.ddl_objects(spark, sf_dir)
+    return objs, RM.relations(objs)
+
+
+@register("relations")
+def relations(spark, sf_dir):
+    _, r = _rels(spark, sf_dir)
+    return r.drop("ord")
+
+
+@register("relations_by_type")
+def relations_by_type(spark, sf_dir):
+    _, r = _rels(spark, sf_dir)
+    return RM.relations_by_type(r)
+
+
+@register("degrees")
+def degrees(spark, sf_dir):
+    objs, r = _rels(spark, sf_dir)
+    return RM.degrees(objs, r)
+
+
+@register("top_referenced")
+def top_referenced(spark, sf_dir):
+    objs, r = _rels(spark, sf_dir)
+    return RM.top_nodes(RM.degrees(objs, r), "in_degree")
+
+
+@register("top_referencing")
+def top_referencing(spark, sf_dir):
+    objs, r = _rels(spark, sf_dir)
+    return RM.top_nodes(RM.degrees(objs, r), "out_degree")
+
+
+@register("isolated_objects")
+def isolated_objects(spark, sf_dir):
+    objs, r = _rels(spark, sf_dir)
+    return RM.isolated(RM.degrees(objs, r))
+
+
+@register("object_counts")
+def object_counts(spark, sf_dir):
+    return RM.object_counts(S.ddl_objects(spark, sf_dir))
+
+
+@register("package_contains")
+def package_contains(spark, sf_dir):
+    _, r = _rels(spark, sf_dir)
+    return r.filter(F.col("type").isin("CONTAINS_PROCEDURE", "CONTAINS_FUNCTION")).drop("ord")
+
+
+@register("sequence_uses")
+def sequence_uses(spark, sf_dir):
+    _, r = _rels(spark, sf_dir)
+    return r.filter(F.col("type") == "USES_SEQUENCE").drop("ord")
+
+
+@register("view_depends")
+def view_depends(spark, sf_dir):
+    _, r = _rels(spark, sf_dir)
+    return r.filter(F.col("type") == "VIEW_DEPENDS").drop("ord")
+
+
+@register("dot_lines")
+def dot_lines(spark, sf_dir):
+    objs, r = _rels(spark, sf_dir)
+    return RM.dot_lines(objs, r).select("schema", F.col("section").cast("bigint").alias("section"), "line")

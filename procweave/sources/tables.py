@@ -155,3 +155,56 @@ CATALOG_SQL = {
         "ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS _rn FROM lineitem) WHERE _rn = 1"
     ),
 }
+
+
+# ---------------------------------------------------------------- DDL objects
+# One DDL text per row of part / supplier / nation / region / customer, in the
+# nine object kinds of a schema export. Names are upper case like Oracle's.
+# Together they produce all twelve relation types; the SQL runs unchanged in
+# DuckDB (oracles).
+DDL_OBJECTS_SQL = {
+    "tables": ("part", "'TB_' || CAST(p_partkey AS VARCHAR(20))",
+               "'CREATE TABLE TB_' || CAST(p_partkey AS VARCHAR(20)) || ' (' || chr(10) || '  ID NUMBER PRIMARY KEY,' || chr(10) || "
+               "'  PARENT_ID NUMBER REFERENCES TB_' || CAST(CAST(FLOOR(p_partkey / 2.0) AS BIGINT) AS VARCHAR(20)) || '(ID),' || chr(10) || "
+               "'  SIZE_' || CAST(p_size AS VARCHAR(20)) || ' NUMBER' || chr(10) || ')'"),
+    "views": ("part", "'V_' || CAST(p_partkey AS VARCHAR(20))",
+              "'CREATE VIEW V_' || CAST(p_partkey AS VARCHAR(20)) || ' AS SELECT * FROM TB_' || CAST(p_partkey AS VARCHAR(20)) || "
+              "' T JOIN TB_' || CAST(p_size AS VARCHAR(20)) || ' S ON S.ID = T.ID'"),
+    "procedures": ("supplier", "'PR_' || CAST(s_suppkey AS VARCHAR(20))",
+                   "'CREATE PROCEDURE PR_' || CAST(s_suppkey AS VARCHAR(20)) || ' AS' || chr(10) || 'BEGIN' || chr(10) || "
+                   "'  INSERT INTO TB_' || CAST(s_suppkey % 200 AS VARCHAR(20)) || ' (ID) VALUES (SEQ_' || CAST(s_nationkey AS VARCHAR(20)) || '.NEXTVAL);' || chr(10) || "
+                   "'  UPDATE TB_' || CAST((s_suppkey * 3) % 200 AS VARCHAR(20)) || ' SET ID = 1;' || chr(10) || "
+                   "'  DELETE FROM TB_' || CAST((s_suppkey * 7) % 200 AS VARCHAR(20)) || ';' || chr(10) || "
+                   "'  PR_' || CAST(CAST(FLOOR(s_suppkey / 2.0) AS BIGINT) AS VARCHAR(20)) || '(1);' || chr(10) || "
+                   "'  EXEC FN_' || CAST(s_nationkey AS VARCHAR(20)) || ';' || chr(10) || 'END;'"),
+    "functions": ("nation", "'FN_' || CAST(n_nationkey AS VARCHAR(20))",
+                  "'CREATE FUNCTION FN_' || CAST(n_nationkey AS VARCHAR(20)) || ' RETURN NUMBER IS' || chr(10) || "
+                  "'BEGIN' || chr(10) || '  RETURN seq_' || CAST(n_nationkey AS VARCHAR(20)) || '.currval;' || chr(10) || 'END;'"),
+    "packages": ("region", "'PKG_' || CAST(r_regionkey AS VARCHAR(20))",
+                 "'CREATE PACKAGE PKG_' || CAST(r_regionkey AS VARCHAR(20)) || ' AS' || chr(10) || "
+                 "'  PROCEDURE PR_' || CAST(r_regionkey AS VARCHAR(20)) || ';' || chr(10) || "
+                 "'  FUNCTION FN_' || CAST(r_regionkey AS VARCHAR(20)) || ' RETURN NUMBER;' || chr(10) || 'END;'"),
+    "triggers": ("nation", "'TRG_' || CAST(n_nationkey AS VARCHAR(20))",
+                 "CASE WHEN n_nationkey % 2 = 0 THEN 'CREATE TRIGGER TRG_' ELSE 'CREATE OR REPLACE TRIGGER TRG_' END || "
+                 "CAST(n_nationkey AS VARCHAR(20)) || ' BEFORE INSERT ON TB_' || CAST(n_nationkey AS VARCHAR(20)) || chr(10) || "
+                 "'FOR EACH ROW' || chr(10) || 'BEGIN' || chr(10) || '  PR_' || CAST(n_nationkey AS VARCHAR(20)) || '(0);' || chr(10) || 'END;'"),
+    "sequences": ("nation", "'SEQ_' || CAST(n_nationkey AS VARCHAR(20))",
+                  "'CREATE SEQUENCE SEQ_' || CAST(n_nationkey AS VARCHAR(20)) || ' START WITH 1 INCREMENT BY 1'"),
+    "indexes": ("customer", "'IX_' || CAST(c_custkey AS VARCHAR(20))",
+                "'CREATE INDEX IX_' || CAST(c_custkey AS VARCHAR(20)) || ' ON TB_' || CAST(c_custkey % 200 AS VARCHAR(20)) || ' (ID)'"),
+    "constraints": ("supplier", "'FK_' || CAST(s_suppkey AS VARCHAR(20))",
+                    "'ALTER TABLE TB_' || CAST(s_suppkey % 200 AS VARCHAR(20)) || ' ADD CONSTRAINT FK_' || CAST(s_suppkey AS VARCHAR(20)) || "
+                    "' FOREIGN KEY (PARENT_ID) REFERENCES TB_' || CAST((s_suppkey + 1) % 200 AS VARCHAR(20)) || ' (ID)'"),
+}
+
+
+def ddl_objects(spark: SparkSession, sf_dir: str, schema: str = "APP") -> DataFrame:
+    """``objects(schema, obj_type, name, ddl)`` derived from the driver tables."""
+    frames = []
+    for kind, (table, name_sql, ddl_sql) in DDL_OBJECTS_SQL.items():
+        frames.append(read_table(spark, sf_dir, table).selectExpr(
+            f"'{schema}' AS schema", f"'{kind}' AS obj_type", f"{name_sql} AS name", f"{ddl_sql} AS ddl"))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
