@@ -512,3 +512,93 @@ UNION ALL SELECT schema, 1, '  "' || name || '" [fillcolor=' || coalesce({_COLOR
           || replace(name, '_', '\\n') || '"];' FROM gnodes
 UNION ALL SELECT schema, 2, '  "' || source || '" -> "' || target || '" [label="' || rel || '"];' FROM lab
 UNION ALL SELECT DISTINCT schema, 3, chr(10) || '}}' FROM objs"""
+
+
+# ---------------------------------------------------------------- profiles, guard, tokens
+from procweave.sources.tables import QUERY_TEXT_SQL, RESPONSE_JSON_SQL  # noqa: E402
+
+
+def _profile(table: str, cols) -> str:
+    parts = []
+    for c in cols:
+        parts.append(
+            f"SELECT '{c}' AS field_name, CAST(count(*) AS BIGINT) AS total_count, CAST(count({c}) AS BIGINT) AS non_null_count, "
+            f"CAST(count(*) - count({c}) AS BIGINT) AS null_count, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count, "
+            f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, "
+            f"round(avg(TRY_CAST({c} AS DOUBLE)), 6) AS avg_value FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["field_profile_lineitem"] = _profile("lineitem", ["l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"])
+ORACLES["field_profile_orders"] = _profile("orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+ORACLES["sample_orders"] = ("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice "
+                            "FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10)")
+ORACLES["guarded_sql"] = ("SELECT o_orderpriority, CAST(count(*) AS VARCHAR) AS n, CAST(round(sum(o_totalprice), 2) AS VARCHAR) AS total "
+                          "FROM orders GROUP BY o_orderpriority LIMIT 100")
+
+_GUARD = f"""
+ql AS (SELECT event_id AS id, {QUERY_TEXT_SQL} AS sql FROM events),
+c1 AS (SELECT id, sql, regexp_replace(regexp_replace(sql, '(?m)--.*?$', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g') AS t FROM ql),
+c2 AS (SELECT id, sql, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS clean FROM c1),
+c3 AS (SELECT *, list_filter({_list(K.GUARD_BANNED)}, lambda k: regexp_matches(upper(clean), '\\b' || k || '\\b')) AS hits,
+              list_filter(string_split(clean, ';')[2:], lambda p: trim(p) <> '' AND NOT starts_with(trim(p), '--')) AS extra FROM c2),
+g AS (SELECT id, sql, CASE WHEN NOT regexp_matches(clean, '(?i)^\\s*SELECT\\s+') THEN '{K.GUARD_MSG_NOT_SELECT}'
+                           WHEN len(hits) > 0 THEN 'Comando ''' || hits[1] || ''' não é permitido por segurança'
+                           WHEN len(extra) > 0 THEN '{K.GUARD_MSG_MULTI}' END AS error FROM c3)"""
+
+ORACLES["sql_audit"] = f"WITH {_GUARD} SELECT id, error IS NULL AS allowed, error FROM g"
+ORACLES["limit_policy"] = f"""WITH ql AS (SELECT event_id AS id, {QUERY_TEXT_SQL} AS sql FROM events)
+SELECT id, CASE
+  WHEN regexp_matches(upper(sql), '\\bLIMIT\\s+\\d+') THEN
+       (CASE WHEN CAST(regexp_extract(upper(sql), '\\bLIMIT\\s+(\\d+)', 1) AS DOUBLE) > 1000
+             THEN regexp_replace(sql, '(?i)\\bLIMIT\\s+\\d+', 'LIMIT 1000', 'g') ELSE sql END)
+  WHEN regexp_matches(upper(sql), '\\bTOP\\s+\\d+') THEN sql
+  ELSE regexp_replace(regexp_replace(sql, '\\s+$', ''), ';+$', '') || ' LIMIT 1000' END AS limited_sql FROM ql"""
+
+TOKENS = """tm AS (SELECT event_id AS request_id, event_type AS operation, CAST(floor(value) AS BIGINT) AS tokens_in,
+                   CAST(event_id % 100 AS BIGINT) AS tokens_out, CAST(floor(value) AS BIGINT) + CAST(event_id % 100 AS BIGINT) AS tokens_total,
+                   ts AS timestamp, event_id % 2 = 0 AS use_toon FROM events)"""
+ORACLES["token_totals"] = (f"WITH {TOKENS} SELECT CAST(coalesce(sum(tokens_in), 0) AS BIGINT) AS prompt_tokens, "
+                           "CAST(coalesce(sum(tokens_out), 0) AS BIGINT) AS completion_tokens, "
+                           "CAST(coalesce(sum(tokens_total), 0) AS BIGINT) AS total_tokens FROM tm")
+ORACLES["token_by_operation"] = f"""WITH {TOKENS} SELECT operation, CAST(count(*) AS BIGINT) AS count, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
+  CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(tokens_total) AS BIGINT) AS tokens_total,
+  round(avg(tokens_in), 6) AS avg_tokens_in, round(avg(tokens_out), 6) AS avg_tokens_out, round(avg(tokens_total), 6) AS avg_tokens_total
+  FROM tm GROUP BY operation"""
+ORACLES["token_overall"] = f"""WITH {TOKENS} SELECT CAST(count(*) AS BIGINT) AS total_requests,
+  round(coalesce(avg(tokens_in), 0), 6) AS avg_prompt_tokens, round(coalesce(avg(tokens_out), 0), 6) AS avg_completion_tokens,
+  round(coalesce(avg(tokens_total), 0), 6) AS avg_total_tokens FROM tm"""
+ORACLES["token_compare"] = f"""WITH {TOKENS},
+w AS (SELECT operation, sum(tokens_total) AS t FROM tm WHERE use_toon GROUP BY operation),
+wo AS (SELECT operation, sum(tokens_total) AS t FROM tm WHERE NOT use_toon GROUP BY operation)
+SELECT w.operation, CAST(w.t AS BIGINT) AS with_toon, CAST(wo.t AS BIGINT) AS without_toon,
+       round((wo.t - w.t) / wo.t * 100.0, 6) AS savings_percent, CAST(wo.t - w.t AS BIGINT) AS savings_tokens
+FROM w JOIN wo ON w.operation = wo.operation WHERE wo.t > 0"""
+ORACLES["token_compare_overall"] = f"""WITH {TOKENS},
+g AS (SELECT sum(tokens_total) FILTER (WHERE use_toon) AS w, sum(tokens_total) FILTER (WHERE NOT use_toon) AS wo,
+             count(*) FILTER (WHERE use_toon) AS nw, count(*) FILTER (WHERE NOT use_toon) AS nwo FROM tm)
+SELECT CASE WHEN nw > 0 THEN CAST(coalesce(w, 0) AS BIGINT) END AS with_toon_tokens, CAST(nw AS BIGINT) AS with_toon_requests,
+       CASE WHEN nw > 0 AND nwo > 0 THEN CAST(coalesce(wo, 0) AS BIGINT) END AS without_toon_tokens, CAST(nwo AS BIGINT) AS without_toon_requests,
+       CASE WHEN nw > 0 AND nwo > 0 THEN (CASE WHEN coalesce(wo, 0) > 0 THEN round((wo - w) / wo * 100.0, 6) ELSE 0.0 END) END AS overall_savings_percent,
+       CASE WHEN nw > 0 AND nwo > 0 THEN CAST(coalesce(wo, 0) - coalesce(w, 0) AS BIGINT) END AS overall_savings_tokens,
+       CASE WHEN nw > 0 AND nwo = 0 THEN 'TOON foi usado em todas as requisições. Não há comparação disponível.' END AS note FROM g"""
+
+
+def _nz(expr: str) -> str:
+    return f"nullif(TRY_CAST(json_extract_string(u, '{expr}') AS BIGINT), 0)"
+
+
+ORACLES["token_usage_json"] = f"""WITH r AS (SELECT event_id AS request_id, {RESPONSE_JSON_SQL} AS response FROM events),
+c AS (SELECT request_id, coalesce(
+        CASE WHEN json_extract(response, '$.llm_output.token_usage')::VARCHAR NOT IN ('{{}}') THEN json_extract(response, '$.llm_output.token_usage')::VARCHAR END,
+        json_extract(response, '$.kwargs.token_usage')::VARCHAR,
+        CASE WHEN json_extract(response, '$.response_metadata.token_usage')::VARCHAR NOT IN ('{{}}') THEN json_extract(response, '$.response_metadata.token_usage')::VARCHAR END,
+        json_extract(response, '$.llm_output.usage')::VARCHAR,
+        json_extract(response, '$.llm_output.tokenUsage')::VARCHAR,
+        list_filter(list_transform(flatten(CAST(json_extract(response, '$.generations') AS JSON[][])),
+                                   lambda g: json_extract(g, '$.response_metadata.token_usage')::VARCHAR),
+                    lambda x: x IS NOT NULL AND x <> '{{}}')[1]) AS u FROM r),
+p AS (SELECT request_id, coalesce({_nz('$.prompt_tokens')}, {_nz('$.promptTokens')}, {_nz('$.input_tokens')}, {_nz('$.inputTokens')}, 0) AS pt,
+             coalesce({_nz('$.completion_tokens')}, {_nz('$.completionTokens')}, {_nz('$.output_tokens')}, {_nz('$.outputTokens')}, 0) AS ct,
+             coalesce({_nz('$.total_tokens')}, {_nz('$.totalTokens')}) AS tt FROM c)
+SELECT request_id, CAST(pt AS BIGINT) AS prompt_tokens, CAST(ct AS BIGINT) AS completion_tokens, CAST(coalesce(tt, pt + ct) AS BIGINT) AS total_tokens FROM p"""

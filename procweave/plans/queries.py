@@ -416,3 +416,77 @@ def view_depends(spark, sf_dir):
 def dot_lines(spark, sf_dir):
     objs, r = _rels(spark, sf_dir)
     return RM.dot_lines(objs, r).select("schema", F.col("section").cast("bigint").alias("section"), "line")
+
+
+# ------------------------------------------------------------- profiles, samples, guarded SQL
+from procweave.operators import profile as PR  # noqa: E402
+from procweave.operators import tokens as TK  # noqa: E402
+
+
+@register("field_profile_lineitem")
+def field_profile_lineitem(spark, sf_dir):
+    li = S.read_table(spark, sf_dir, "lineitem")
+    return PR.field_profile(li, ["l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"])
+
+
+@register("field_profile_orders")
+def field_profile_orders(spark, sf_dir):
+    o = S.read_table(spark, sf_dir, "orders")
+    return PR.field_profile(o, ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+
+
+@register("sample_orders")
+def sample_orders(spark, sf_dir):
+    o = S.read_table(spark, sf_dir, "orders")
+    return PR.sample_rows(o, ["o_orderkey", "o_orderstatus", "o_totalprice"], limit=10, order_by=["o_orderkey"])
+
+
+@register("guarded_sql")
+def guarded_sql(spark, sf_dir):
+    S.read_table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    q = ("-- priorities\nSELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total "
+         "FROM orders GROUP BY o_orderpriority;")
+    return PR.guarded_query(spark, q, limit=100)
+
+
+@register("sql_audit")
+def sql_audit(spark, sf_dir):
+    return PR.audit_queries(S.query_log(spark, sf_dir)).select("id", "allowed", "error")
+
+
+@register("limit_policy")
+def limit_policy(spark, sf_dir):
+    return PR.audit_queries(S.query_log(spark, sf_dir)).select("id", "limited_sql")
+
+
+# ------------------------------------------------------------- token metrics
+@register("token_totals")
+def token_totals(spark, sf_dir):
+    return TK.totals(S.token_metrics(spark, sf_dir))
+
+
+@register("token_by_operation")
+def token_by_operation(spark, sf_dir):
+    return TK.by_operation(S.token_metrics(spark, sf_dir))
+
+
+@register("token_overall")
+def token_overall(spark, sf_dir):
+    return TK.overall(S.token_metrics(spark, sf_dir))
+
+
+@register("token_compare")
+def token_compare(spark, sf_dir):
+    return TK.compare_by_operation(S.token_metrics(spark, sf_dir))
+
+
+@register("token_compare_overall")
+def token_compare_overall(spark, sf_dir):
+    return TK.compare_overall(S.token_metrics(spark, sf_dir))
+
+
+@register("token_usage_json")
+def token_usage_json(spark, sf_dir):
+    r = S.llm_responses(spark, sf_dir)
+    u = TK.parse_usage(TK.usage_from_response("response"))
+    return r.select("request_id", u.alias("u")).select("request_id", "u.*")

@@ -208,3 +208,52 @@ def ddl_objects(spark: SparkSession, sf_dir: str, schema: str = "APP") -> DataFr
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+# ---------------------------------------------------------------- query log, token metrics, responses
+QUERY_TEXT_SQL = (
+    "CASE event_id % 8 "
+    "WHEN 0 THEN 'SELECT * FROM ' || event_type || ' WHERE id = ' || CAST(user_id AS VARCHAR(20)) "
+    "WHEN 1 THEN 'select user_id, value from ' || event_type || ' limit ' || CAST(event_id % 3000 AS VARCHAR(20)) "
+    "WHEN 2 THEN '-- report' || chr(10) || 'SELECT count(*) FROM ' || event_type || ';' "
+    "WHEN 3 THEN 'SELECT * FROM ' || event_type || '; DELETE FROM ' || event_type "
+    "WHEN 4 THEN 'DELETE FROM ' || event_type || ' WHERE id = ' || CAST(user_id AS VARCHAR(20)) "
+    "WHEN 5 THEN 'SELECT TOP 5 * FROM ' || event_type "
+    "WHEN 6 THEN 'SELECT a.updated_at FROM ' || event_type || ' a /* drop later */ JOIN users u ON u.id = a.user_id' "
+    "ELSE 'SELECT 1; -- done' || chr(10) || 'SELECT 2' END"
+)
+
+
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``queries(id, sql)``: one query text per event, eight shapes (allowed, banned, commented, multi)."""
+    return read_table(spark, sf_dir, "events").selectExpr("event_id AS id", f"{QUERY_TEXT_SQL} AS sql")
+
+
+def token_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``token_metrics(request_id, operation, tokens_in, tokens_out, tokens_total, timestamp, use_toon)`` from events."""
+    ev = read_table(spark, sf_dir, "events")
+    tin = F.floor("value").cast("bigint")
+    tout = (F.col("event_id") % 100).cast("bigint")
+    return ev.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("operation"),
+                     tin.alias("tokens_in"), tout.alias("tokens_out"), (tin + tout).alias("tokens_total"),
+                     F.col("ts").alias("timestamp"), ((F.col("event_id") % 2) == 0).alias("use_toon"))
+
+
+RESPONSE_JSON_SQL = (
+    "CASE event_id % 5 "
+    "WHEN 0 THEN '{\"llm_output\": {\"token_usage\": {\"prompt_tokens\": ' || CAST(event_id % 1000 AS VARCHAR(20)) || "
+    "', \"completion_tokens\": ' || CAST(user_id AS VARCHAR(20)) || '}}}' "
+    "WHEN 1 THEN '{\"response_metadata\": {\"token_usage\": {\"promptTokens\": ' || CAST(event_id % 1000 AS VARCHAR(20)) || "
+    "', \"completionTokens\": ' || CAST(user_id AS VARCHAR(20)) || ', \"totalTokens\": ' || CAST(event_id % 1000 + user_id + 1 AS VARCHAR(20)) || '}}}' "
+    "WHEN 2 THEN '{\"llm_output\": {\"usage\": {\"input_tokens\": ' || CAST(event_id % 1000 AS VARCHAR(20)) || "
+    "', \"output_tokens\": ' || CAST(user_id AS VARCHAR(20)) || '}}}' "
+    "WHEN 3 THEN '{\"generations\": [[{\"text\": \"x\"}, {\"response_metadata\": {\"token_usage\": {\"inputTokens\": ' || "
+    "CAST(event_id % 1000 AS VARCHAR(20)) || ', \"outputTokens\": ' || CAST(user_id AS VARCHAR(20)) || '}}}]]}' "
+    "ELSE '{\"llm_output\": {\"token_usage\": {}}, \"kwargs\": {\"token_usage\": {\"prompt_tokens\": 0, \"input_tokens\": ' || "
+    "CAST(event_id % 1000 AS VARCHAR(20)) || ', \"total_tokens\": 7}}}' END"
+)
+
+
+def llm_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``responses(request_id, response)``: provider response documents in five layouts."""
+    return read_table(spark, sf_dir, "events").selectExpr("event_id AS request_id", f"{RESPONSE_JSON_SQL} AS response")
