@@ -602,3 +602,55 @@ p AS (SELECT request_id, coalesce({_nz('$.prompt_tokens')}, {_nz('$.promptTokens
              coalesce({_nz('$.completion_tokens')}, {_nz('$.completionTokens')}, {_nz('$.output_tokens')}, {_nz('$.outputTokens')}, 0) AS ct,
              coalesce({_nz('$.total_tokens')}, {_nz('$.totalTokens')}) AS tt FROM c)
 SELECT request_id, CAST(pt AS BIGINT) AS prompt_tokens, CAST(ct AS BIGINT) AS completion_tokens, CAST(coalesce(tt, pt + ct) AS BIGINT) AS total_tokens FROM p"""
+
+
+# ---------------------------------------------------------------- vector search
+_L2 = ("1 - list_sum(list_transform(list_zip(e.embedding, q.embedding), "
+       "lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))")
+_COS = "list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE))"
+
+
+def _topk(sim: str, k: int) -> str:
+    return f"""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+s AS (SELECT e.vec_id, {sim} AS sim FROM embeddings e, q)
+SELECT CAST(row_number() OVER (ORDER BY sim DESC, vec_id) AS BIGINT) AS rank, vec_id, round(sim, 4) AS similarity
+FROM s WHERE sim >= -1.0 ORDER BY sim DESC, vec_id LIMIT {k}"""
+
+
+ORACLES["semantic_topk"] = _topk(_L2, 10)
+ORACLES["cosine_topk"] = _topk(_COS, 10)
+ORACLES["semantic_topk_multi"] = f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE label = 0),
+s AS (SELECT q.query_id, e.vec_id, {_L2} AS sim FROM embeddings e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s WHERE sim >= -1.0)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(sim, 4) AS similarity FROM r WHERE rank <= 5"""
+ORACLES["hybrid_search"] = f"""WITH {CORPUS}, {GRAPH},
+q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+s AS (SELECT 'UNKNOWN.P' || CAST(e.vec_id AS VARCHAR) AS node_id, {_L2} AS sim FROM embeddings e, q),
+hits AS (SELECT node_id, sim, row_number() OVER (ORDER BY sim DESC, node_id) AS rank FROM s WHERE sim >= -1.0),
+top AS (SELECT * FROM hits WHERE rank <= 5),
+nb AS (SELECT src AS node_id, edge_type, dst AS other FROM edges UNION ALL SELECT dst, edge_type, src FROM edges),
+g AS (SELECT t.node_id, nb.edge_type, count(*) AS n,
+             list_sort(list(other ORDER BY other))[1:10] AS firsts FROM top t JOIN nb ON nb.node_id = t.node_id GROUP BY ALL)
+SELECT CAST(t.rank AS BIGINT) AS rank, t.node_id, round(t.sim, 4) AS similarity, g.edge_type,
+       CAST(g.n AS BIGINT) AS n_neighbours, array_to_string(g.firsts, ', ') AS first_neighbours
+FROM top t LEFT JOIN g ON g.node_id = t.node_id"""
+
+_T_RAW = _unnest_union(K.TABLE_PATTERNS)
+ORACLES["code_documents"] = f"""WITH {CORPUS}, {CALL_EDGES}, t_raw AS ({_T_RAW}),
+pm AS (SELECT proc, regexp_extract_all(code, {_PAR}, 1) AS n, regexp_extract_all(code, {_PAR}, 2) AS d,
+              regexp_extract_all(code, {_PAR}, 3) AS t FROM corpus),
+px AS (SELECT proc, unnest(n) AS n, unnest(d) AS d, unnest(t) AS t, unnest(generate_series(1, len(n))) AS seq FROM pm),
+pl AS (SELECT proc, string_agg(n || ' ' || replace(upper(d), ' ', '_') || ' ' || upper(t), ', ' ORDER BY seq) AS params
+       FROM px WHERE seq <= 10 GROUP BY proc),
+cl AS (SELECT proc, array_to_string(list_sort(list(callee))[1:15], ', ') AS calls FROM calls GROUP BY proc),
+tl AS (SELECT proc, array_to_string(list_sort(list(DISTINCT v))[1:15], ', ') AS tabs FROM t_raw GROUP BY proc)
+SELECT 'UNKNOWN.' || c.proc AS node_id,
+       concat_ws(chr(10), 'Procedure: ' || c.proc, 'Schema: UNKNOWN',
+                 CASE WHEN pl.params IS NOT NULL THEN 'Parameters: ' || pl.params END,
+                 CASE WHEN cl.calls IS NOT NULL THEN 'Calls: ' || cl.calls END,
+                 CASE WHEN tl.tabs IS NOT NULL THEN 'Tables: ' || tl.tabs END,
+                 'Complexity: ' || CAST({SCORE_SQL} AS VARCHAR) || '/10',
+                 chr(10) || 'Code:' || chr(10) || CASE WHEN length(c.code) > 2000 THEN left(c.code, 2000) || '...' ELSE c.code END) AS text,
+       CAST(length(c.code) AS BIGINT) AS code_length
+FROM corpus c LEFT JOIN pl USING (proc) LEFT JOIN cl USING (proc) LEFT JOIN tl USING (proc)"""
+ORACLES["vector_statistics"] = "SELECT 'procedure' AS node_type, CAST(count(*) AS BIGINT) AS count FROM orders"

@@ -490,3 +490,60 @@ def token_usage_json(spark, sf_dir):
     r = S.llm_responses(spark, sf_dir)
     u = TK.parse_usage(TK.usage_from_response("response"))
     return r.select("request_id", u.alias("u")).select("request_id", "u.*")
+
+
+# ------------------------------------------------------------- vector search
+from procweave.operators import vector as V  # noqa: E402
+
+# The default threshold 0.0 keeps only near-duplicates under squared-L2
+# similarity on these unit vectors (cos >= 0.5); -1 keeps the ranking whole.
+SEARCH_THRESHOLD = -1.0
+
+
+def _embeddings(spark, sf_dir):
+    return S.read_table(spark, sf_dir, "embeddings")
+
+
+def _query_vec(emb, vec_id=0):
+    """The query embedding: one stored vector, read as a parameter."""
+    return V.query_vector(emb.filter(F.col("vec_id") == vec_id).select("embedding").first()["embedding"])
+
+
+@register("semantic_topk")
+def semantic_topk(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    return V.search(emb, _query_vec(emb), k=10, threshold=SEARCH_THRESHOLD, id_col="vec_id")
+
+
+@register("cosine_topk")
+def cosine_topk(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    return V.search(emb, _query_vec(emb), k=10, threshold=SEARCH_THRESHOLD, metric="cosine", id_col="vec_id")
+
+
+@register("semantic_topk_multi")
+def semantic_topk_multi(spark, sf_dir):
+    """Top-5 neighbours of every label-0 vector (a bounded, checked query set)."""
+    emb = _embeddings(spark, sf_dir)
+    queries = emb.filter(F.col("label") == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.search_many(emb, queries, k=5, threshold=SEARCH_THRESHOLD, id_col="vec_id")
+
+
+@register("hybrid_search")
+def hybrid_search(spark, sf_dir):
+    """Embeddings attached to corpus procedures (vec i -> procedure Pi), searched
+    with vec 0 and expanded with call-graph neighbours in both directions."""
+    emb = _embeddings(spark, sf_dir)
+    docs = emb.select(F.concat(F.lit("UNKNOWN.P"), F.col("vec_id").cast("string")).alias("node_id"), "embedding")
+    _, _, edges = _graph(spark, sf_dir)
+    return V.hybrid_search(docs, edges, _query_vec(emb), k=5, threshold=SEARCH_THRESHOLD)
+
+
+@register("code_documents")
+def code_documents(spark, sf_dir):
+    return V.code_document(corpus_analysis(spark, sf_dir)).select("node_id", "text", "code_length")
+
+
+@register("vector_statistics")
+def vector_statistics(spark, sf_dir):
+    return V.statistics(V.code_document(corpus_analysis(spark, sf_dir)))
