@@ -93,8 +93,8 @@ def usage_from_response(response) -> Column:
     token_usage / tokenUsage, then the first generation carrying one."""
     r = F.col(response) if isinstance(response, str) else response
     gens = F.from_json(F.get_json_object(r, "$.generations"), "array<array<string>>")
-    gen_usage = F.element_at(F.filter(F.transform(F.flatten(gens), lambda g: _nonempty_obj(
-        F.get_json_object(g, "$.response_metadata.token_usage"))), lambda u: u.isNotNull()), 1)
+    gen_usage = F.try_element_at(F.filter(F.transform(F.flatten(gens), lambda g: _nonempty_obj(
+        F.get_json_object(g, "$.response_metadata.token_usage"))), lambda u: u.isNotNull()), F.lit(1))
     return F.coalesce(
         _nonempty_obj(F.get_json_object(r, "$.llm_output.token_usage")),
         F.when(F.get_json_object(r, "$.kwargs.token_usage").startswith("{"), F.get_json_object(r, "$.kwargs.token_usage")),

@@ -654,3 +654,51 @@ SELECT 'UNKNOWN.' || c.proc AS node_id,
        CAST(length(c.code) AS BIGINT) AS code_length
 FROM corpus c LEFT JOIN pl USING (proc) LEFT JOIN cl USING (proc) LEFT JOIN tl USING (proc)"""
 ORACLES["vector_statistics"] = "SELECT 'procedure' AS node_type, CAST(count(*) AS BIGINT) AS count FROM orders"
+
+
+# ---------------------------------------------------------------- model steps, caches
+from procweave.plans.queries import NOISY_JSON_SQL, PARSE_RESPONSE_SQL, SCORE_RESPONSE_SQL  # noqa: E402
+
+ORACLES["llm_prompts"] = (f"WITH {CORPUS} SELECT proc, 'Rate the complexity of this code from 1 to 10. Answer with the number.' "
+                          "|| chr(10) || 'Code:' || chr(10) || left(code, 2000) AS prompt FROM corpus")
+BATCHED = f"""{CATALOG},
+ct AS (SELECT table_name AS "table", table_schema || '.' || table_name AS full_name, CAST(count(*) AS BIGINT) AS n_columns,
+              CAST(substr(table_name, 2) AS BIGINT) AS k FROM cols GROUP BY ALL),
+bt AS (SELECT *, CAST(k % 8 AS VARCHAR) || ':' || CAST((row_number() OVER (PARTITION BY k % 8 ORDER BY "table") - 1) // 5 AS VARCHAR) AS batch_id,
+              CAST((row_number() OVER (PARTITION BY k % 8 ORDER BY "table") - 1) % 5 AS INTEGER) AS batch_pos FROM ct)"""
+ORACLES["llm_batches"] = f'WITH {BATCHED} SELECT "table", batch_id, batch_pos FROM bt'
+ORACLES["llm_parse"] = f"""WITH r AS (SELECT p_partkey, {PARSE_RESPONSE_SQL} AS response FROM part),
+t AS (SELECT p_partkey, regexp_replace(response, '^\\s+|\\s+$', '', 'g') AS t FROM r),
+b AS (SELECT p_partkey, CASE WHEN starts_with(t, '```') THEN regexp_replace(regexp_replace(t, '^```[^\\n]*(\\n|$)', ''), '\\n\\s*```\\s*$', '') ELSE t END AS body FROM t),
+v AS (SELECT * FROM b WHERE json_valid(body) AND json_type(body::JSON) = 'OBJECT')
+SELECT p_partkey, key, json_extract_string(body, '$."' || key || '"') AS purpose FROM (SELECT *, unnest(json_keys(body)) AS key FROM v)"""
+ORACLES["llm_first_json"] = f"""WITH e AS (SELECT event_id, {NOISY_JSON_SQL} AS text FROM events)
+SELECT event_id, list_filter(regexp_extract_all(text, {_q('(?s)' + chr(92) + '{[^{}]*(?:' + chr(92) + '{[^{}]*' + chr(92) + '}[^{}]*)*' + chr(92) + '}')}, 0),
+                             lambda c: json_valid(c))[1] AS obj FROM e"""
+ORACLES["llm_score"] = f"""WITH corpus AS (SELECT {CORPUS_NAME_SQL} AS proc, {CORPUS_TEXT_SQL} AS code, {SCORE_RESPONSE_SQL} AS response FROM orders),
+s AS (SELECT proc, coalesce(TRY_CAST(nullif(regexp_extract(response, '\\b([1-9]|10)\\b', 1), '') AS BIGINT), {SCORE_SQL}) AS sc FROM corpus)
+SELECT proc, CAST(CASE WHEN sc BETWEEN 1 AND 10 THEN sc ELSE 5 END AS BIGINT) AS score FROM s"""
+ORACLES["purpose_match"] = f"""WITH {BATCHED},
+ans AS (SELECT batch_id, CASE WHEN k % 4 = 0 THEN full_name WHEN k % 4 = 1 THEN "table" ELSE 'purpose of ' || "table" END AS key,
+               'stores rows of ' || "table" AS purpose FROM bt WHERE k % 4 <> 3),
+c AS (SELECT t.batch_id, t."table", CASE WHEN a.key = t.full_name THEN 0 WHEN a.key = t."table" THEN 1
+                                         WHEN contains(t."table", a.key) OR contains(a.key, t."table") THEN 2 END AS prio, a.key, a.purpose
+      FROM bt t JOIN ans a ON a.batch_id = t.batch_id),
+best AS (SELECT batch_id, "table", arg_min(purpose, (prio, key)) AS purpose FROM c WHERE prio IS NOT NULL GROUP BY ALL)
+SELECT t.batch_id, t."table", coalesce(b.purpose, 'Tabela ' || t."table" || ' com ' || CAST(t.n_columns AS VARCHAR) || ' colunas') AS purpose,
+       b.purpose IS NULL AS used_default FROM bt t LEFT JOIN best b ON b.batch_id = t.batch_id AND b."table" = t."table\""""
+ORACLES["cache_key"] = """SELECT c_custkey, left(sha256(concat_ws('|', lower(c_mktsegment), 'h' || CAST(c_nationkey AS VARCHAR),
+  coalesce(CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey % 5000 AS VARCHAR) END, ''), 'db',
+  coalesce(CASE WHEN c_custkey % 3 <> 0 THEN 'app' END, ''), c_name)), 16) AS cache_key FROM customer"""
+ORACLES["cache_misses"] = f"""WITH {CATALOG},
+ct AS (SELECT DISTINCT table_schema || '.' || table_name AS "table", CAST(substr(table_name, 2) AS BIGINT) AS k FROM cols),
+cache AS (SELECT "table", CASE WHEN k % 2 = 0 THEN '1.0' ELSE '0.9' END AS cache_version FROM ct WHERE k % 3 = 0)
+SELECT "table", translate("table" || '/ddl', '/\\', '__') AS file_name FROM ct
+WHERE "table" NOT IN (SELECT "table" FROM cache WHERE cache_version = '1.0')"""
+ORACLES["source_priority"] = """SELECT 'P' || CAST(o_orderkey AS VARCHAR) AS name,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'cache' WHEN o_orderkey % 3 = 0 THEN 'file' ELSE 'database' END AS source FROM orders"""
+ORACLES["latest_upsert"] = """SELECT 'UNKNOWN.P' || CAST(o_orderkey AS VARCHAR) AS node_id,
+  CAST(CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM orders
+UNION ALL SELECT 'NEW.P' || CAST(o_orderkey AS VARCHAR), CAST(2 AS BIGINT) FROM orders WHERE o_orderkey % 50 = 1"""
+ORACLES["keep_latest"] = "SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id"
+ORACLES["stale_nodes"] = "SELECT 'UNKNOWN.P' || CAST(o_orderkey AS VARCHAR) AS node_id FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-01 00:00:00'"

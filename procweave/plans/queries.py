@@ -547,3 +547,137 @@ def code_documents(spark, sf_dir):
 @register("vector_statistics")
 def vector_statistics(spark, sf_dir):
     return V.statistics(V.code_document(corpus_analysis(spark, sf_dir)))
+
+
+# ------------------------------------------------------------- model steps
+from procweave.operators import cache as CA  # noqa: E402
+from procweave.operators import llm as L  # noqa: E402
+
+PARSE_RESPONSE_SQL = (
+    "CASE p_partkey % 4 "
+    "WHEN 0 THEN '{\"TB_' || CAST(p_partkey AS VARCHAR(20)) || '\": \"' || p_type || '\"}' "
+    "WHEN 1 THEN '```json' || chr(10) || '{\"TB_' || CAST(p_partkey AS VARCHAR(20)) || '\": \"' || p_type || "
+    "'\", \"V_' || CAST(p_partkey AS VARCHAR(20)) || '\": \"view of ' || p_brand || '\"}' || chr(10) || '```' "
+    "WHEN 2 THEN '  ```' || chr(10) || '{\"TB_' || CAST(p_partkey AS VARCHAR(20)) || '\": \"' || p_name || '\"}' || chr(10) || '```  ' "
+    "ELSE '{\"TB_' || CAST(p_partkey AS VARCHAR(20)) || '\": ' END"
+)
+NOISY_JSON_SQL = (
+    "CASE event_id % 3 WHEN 0 THEN 'see {not json} then ' || props || ' and {\"n\": {\"k\": 1}}' "
+    "WHEN 1 THEN 'result: ' || props ELSE 'nothing here {x' END"
+)
+SCORE_RESPONSE_SQL = (
+    "CASE o_orderkey % 3 WHEN 0 THEN 'Score: ' || CAST(o_orderkey % 12 AS VARCHAR(20)) || ' of 10' "
+    "WHEN 1 THEN 'It is fairly complex' ELSE 'I rate it ' || CAST(o_orderkey % 11 AS VARCHAR(20)) || '/10' END"
+)
+
+
+@register("llm_prompts")
+def llm_prompts(spark, sf_dir):
+    procs = procedure_corpus(spark, sf_dir)
+    return procs.select(F.col("name").alias("proc"), L.prompt("complexity", code=F.col("source_code")).alias("prompt"))
+
+
+def _catalog_tables(spark, sf_dir):
+    cols = S.catalog_columns(spark, sf_dir)
+    return (cols.groupBy("table_schema", "table_name").agg(F.count(F.lit(1)).cast("bigint").alias("n_columns"))
+            .select(F.col("table_name").alias("table"), F.concat_ws(".", "table_schema", "table_name").alias("full_name"),
+                    "n_columns", F.substring("table_name", 2, 20).cast("bigint").alias("k")))
+
+
+def _batched_tables(spark, sf_dir):
+    t = _catalog_tables(spark, sf_dir)
+    return L.assign_batches(t, "table", 5, bucket=F.col("k") % 8)
+
+
+@register("llm_batches")
+def llm_batches(spark, sf_dir):
+    return _batched_tables(spark, sf_dir).select("table", "batch_id", "batch_pos")
+
+
+@register("llm_parse")
+def llm_parse(spark, sf_dir):
+    part = S.read_table(spark, sf_dir, "part")
+    r = part.selectExpr("p_partkey", f"{PARSE_RESPONSE_SQL} AS response")
+    return r.select("p_partkey", F.explode(L.parse_object("response")).alias("key", "purpose"))
+
+
+@register("llm_first_json")
+def llm_first_json(spark, sf_dir):
+    ev = S.read_table(spark, sf_dir, "events").selectExpr("event_id", f"{NOISY_JSON_SQL} AS text")
+    return ev.select("event_id", L.first_json_object("text").alias("obj"))
+
+
+@register("llm_score")
+def llm_score(spark, sf_dir):
+    o = S.read_table(spark, sf_dir, "orders")
+    r = o.selectExpr(f"{S.CORPUS_NAME_SQL} AS proc", f"{S.CORPUS_TEXT_SQL} AS code", f"{SCORE_RESPONSE_SQL} AS response")
+    return r.select("proc", L.score_from_response("response", F.col("code")).alias("score"))
+
+
+@register("purpose_match")
+def purpose_match(spark, sf_dir):
+    bt = _batched_tables(spark, sf_dir)
+    k = F.col("k")
+    answers = bt.filter(k % 4 != 3).select(
+        "batch_id",
+        F.when(k % 4 == 0, F.col("full_name")).when(k % 4 == 1, F.col("table"))
+         .otherwise(F.concat(F.lit("purpose of "), F.col("table"))).alias("key"),
+        F.concat(F.lit("stores rows of "), F.col("table")).alias("purpose"))
+    return L.match_purposes(bt, answers)
+
+
+# ------------------------------------------------------------- caches and upserts
+@register("cache_key")
+def cache_key_q(spark, sf_dir):
+    c = S.read_table(spark, sf_dir, "customer")
+    cfg = c.select("c_custkey", F.lower("c_mktsegment").alias("db_type"),
+                   F.concat(F.lit("h"), F.col("c_nationkey").cast("string")).alias("host"),
+                   F.when(F.col("c_custkey") % 7 != 0, (F.col("c_custkey") % 5000)).alias("port"),
+                   F.lit("db").alias("database"), F.when(F.col("c_custkey") % 3 != 0, F.lit("app")).alias("schema"),
+                   F.col("c_name").alias("user"))
+    return cfg.select("c_custkey", CA.cache_key("db_type", "host", "port", "database", "schema", "user").alias("cache_key"))
+
+
+@register("cache_misses")
+def cache_misses(spark, sf_dir):
+    t = _catalog_tables(spark, sf_dir).select(F.col("full_name").alias("table"), "k")
+    cache = (t.filter(F.col("k") % 3 == 0)
+             .select("table", F.when(F.col("k") % 2 == 0, F.lit("1.0")).otherwise(F.lit("0.9")).alias("cache_version")))
+    miss = CA.cache_misses(t.select("table"), cache)
+    return miss.select("table", CA.safe_name(F.concat(F.col("table"), F.lit("/ddl"))).alias("file_name"))
+
+
+@register("source_priority")
+def source_priority(spark, sf_dir):
+    procs = procedure_corpus(spark, sf_dir).withColumn("k", F.substring("name", 2, 20).cast("bigint"))
+    cache = procs.filter(F.col("k") % 5 == 0).select("name", "source_code")
+    files = procs.filter(F.col("k") % 3 == 0).select("name", "source_code")
+    db = procs.select("name", "source_code")
+    return CA.prefer_sources([("cache", cache), ("file", files), ("database", db)], "name")
+
+
+@register("latest_upsert")
+def latest_upsert(spark, sf_dir):
+    o = S.read_table(spark, sf_dir, "orders")
+    existing = o.select(F.concat(F.lit("UNKNOWN.P"), F.col("o_orderkey").cast("string")).alias("node_id"),
+                        F.lit(1).cast("bigint").alias("version"))
+    incoming = o.filter((F.col("o_orderkey") % 4 == 0) | (F.col("o_orderkey") % 50 == 1)).select(
+        F.concat(F.when(F.col("o_orderkey") % 50 == 1, F.lit("NEW.P")).otherwise(F.lit("UNKNOWN.P")),
+                 F.col("o_orderkey").cast("string")).alias("node_id"),
+        F.lit(2).cast("bigint").alias("version"))
+    return CA.upsert(existing, incoming, "node_id")
+
+
+@register("keep_latest")
+def keep_latest_q(spark, sf_dir):
+    """Last event per user by timestamp (dict overwrite order)."""
+    ev = S.read_table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "event_id")
+    return CA.keep_latest(ev, "user_id", "ts").select("user_id", "event_type", "event_id")
+
+
+@register("stale_nodes")
+def stale_nodes(spark, sf_dir):
+    o = S.read_table(spark, sf_dir, "orders")
+    nodes = o.select(F.concat(F.lit("UNKNOWN.P"), F.col("o_orderkey").cast("string")).alias("node_id"),
+                     F.col("o_orderdate").alias("updated_at"))
+    return V.stale(nodes, F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")).select("node_id")
