@@ -177,3 +177,47 @@ MAX_QUERY_LIMIT = 1000
 DEFAULT_SAMPLE = 10
 MAX_SAMPLE = 100
 CACHE_VERSION = "1.0"
+
+# Mermaid output blocks (fixed text of the diagram exports).
+MERMAID_CLASS_DEFS = (
+    "\n"
+    "    classDef high fill:#ff6b6b,stroke:#c92a2a,color:#fff\n"
+    "    classDef medium fill:#ffd93d,stroke:#f59f00,color:#000\n"
+    "    classDef low fill:#51cf66,stroke:#2b8a3e,color:#000\n"
+    "```"
+)
+MERMAID_THEME_VARIABLES = (
+    "  'theme': 'base',\n"
+    "  'themeVariables': {\n"
+    "    'fontSize': '16px',\n"
+    "    'fontFamily': 'Arial, sans-serif',\n"
+    "    'primaryColor': '#ff6b6b',\n"
+    "    'primaryTextColor': '#fff',\n"
+    "    'primaryBorderColor': '#c92a2a',\n"
+    "    'lineColor': '#333',\n"
+    "    'secondaryColor': '#ffd93d',\n"
+    "    'tertiaryColor': '#51cf66'\n"
+    "  },\n"
+)
+MERMAID_INIT_FLOWCHART = (
+    "%%{init: {\n" + MERMAID_THEME_VARIABLES +
+    "  'flowchart': {\n"
+    "    'nodeSpacing': 50,\n"
+    "    'rankSpacing': 80,\n"
+    "    'curve': 'basis'\n"
+    "  }\n"
+    "}}%%"
+)
+MERMAID_INIT_ER = (
+    "%%{init: {\n" + MERMAID_THEME_VARIABLES +
+    "  'er': {\n"
+    "    'entityPadding': 15,\n"
+    "    'fill': '#fff',\n"
+    "    'stroke': '#333'\n"
+    "  }\n"
+    "}}%%"
+)
+ER_MAX_PK = 3
+ER_FIRST_COLUMNS = 5
+ER_MAX_COLUMNS = 8
+ER_TYPE_CHARS = 30

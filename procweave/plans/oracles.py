@@ -702,3 +702,16 @@ ORACLES["latest_upsert"] = """SELECT 'UNKNOWN.P' || CAST(o_orderkey AS VARCHAR)
 UNION ALL SELECT 'NEW.P' || CAST(o_orderkey AS VARCHAR), CAST(2 AS BIGINT) FROM orders WHERE o_orderkey % 50 = 1"""
 ORACLES["keep_latest"] = "SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id"
 ORACLES["stale_nodes"] = "SELECT 'UNKNOWN.P' || CAST(o_orderkey AS VARCHAR) AS node_id FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-01 00:00:00'"
+
+
+# ---------------------------------------------------------------- reports
+ORACLES["mermaid_lines"] = f"""WITH RECURSIVE {CORPUS}, {LEVELS},
+gn AS (SELECT proc AS node FROM corpus UNION SELECT proc FROM calls UNION SELECT callee FROM calls),
+chosen AS (SELECT node FROM gn ORDER BY node LIMIT 50),
+p AS (SELECT c.proc, {SCORE_SQL} AS sc, lv.level FROM corpus c JOIN lv ON lv.proc = c.proc WHERE c.proc IN (SELECT node FROM chosen)),
+ed AS (SELECT DISTINCT proc AS src, callee AS dst FROM calls WHERE proc IN (SELECT node FROM chosen) AND callee IN (SELECT node FROM chosen))
+SELECT CAST(0 AS BIGINT) AS section, '```mermaid' || chr(10) || 'graph TD' AS line
+UNION ALL SELECT 1, '    ' || translate(proc, '.- ', '___') || '["' || translate(proc || '\\n[Nível ' || CAST(level AS VARCHAR) || ', Complex: '
+                 || CAST(sc AS VARCHAR) || ']', '"[]', '''()') || '"]:::' || {CLASS_SQL.format(s='sc')} FROM p
+UNION ALL SELECT 2, '    ' || translate(src, '.- ', '___') || ' --> ' || translate(dst, '.- ', '___') FROM ed
+UNION ALL SELECT 3, {_q(K.MERMAID_CLASS_DEFS)}"""

@@ -681,3 +681,46 @@ def stale_nodes(spark, sf_dir):
     nodes = o.select(F.concat(F.lit("UNKNOWN.P"), F.col("o_orderkey").cast("string")).alias("node_id"),
                      F.col("o_orderdate").alias("updated_at"))
     return V.stale(nodes, F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")).select("node_id")
+
+
+# ------------------------------------------------------------- reports
+from procweave.sinks import reports as RP  # noqa: E402
+
+
+def _procs_with_levels(spark, sf_dir):
+    lv, an = _levels(spark, sf_dir)
+    procs = an.select("proc", "complexity_score").join(lv.select(F.col("node").alias("proc"), "level"), "proc")
+    edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
+    return procs, edges, an, lv
+
+
+@register("mermaid_lines")
+def mermaid_lines(spark, sf_dir):
+    procs, edges, _, _ = _procs_with_levels(spark, sf_dir)
+    return RP.call_diagram(procs, edges).select(F.col("section").cast("bigint").alias("section"), "line")
+
+
+@register("mermaid_hierarchy_lines")
+def mermaid_hierarchy_lines(spark, sf_dir):
+    procs, edges, _, _ = _procs_with_levels(spark, sf_dir)
+    return RP.hierarchy_diagram(procs, edges).select(F.col("section").cast("bigint").alias("section"), "sort_key", "line")
+
+
+@register("flowchart_lines")
+def flowchart_lines(spark, sf_dir):
+    _, _, an, lv = _procs_with_levels(spark, sf_dir)
+    return RP.flowcharts(an, lv).select("proc", F.col("section").cast("bigint").alias("section"), "sort_key", "line")
+
+
+@register("mermaid_er_lines")
+def mermaid_er_lines(spark, sf_dir):
+    cols, keys, _ = _catalog(spark, sf_dir)
+    tables, e = _fk_graph(spark, sf_dir)
+    return RP.er_diagram(C.assemble_columns(cols, keys), e).select(F.col("section").cast("bigint").alias("section"), "sort_key", "line")
+
+
+@register("report_lines")
+def report_lines(spark, sf_dir):
+    objs, r = _rels(spark, sf_dir)
+    return RP.markdown_report(objs, r, RM.degrees(objs, r), generated_at="2024-01-01 00:00:00").select(
+        "schema", F.col("section").cast("bigint").alias("section"), "sort_key", "line")

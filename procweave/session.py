@@ -36,6 +36,9 @@ def get_spark(master: str | None = None, app: str = "procweave",
     settings = dict(DEFAULT_CONF)
     if shuffle_partitions is not None:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode runs everything in the driver JVM: give it the heap
+        settings.setdefault("spark.driver.memory", os.environ.get("PROCWEAVE_DRIVER_MEMORY", "16g"))
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
