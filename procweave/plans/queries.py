@@ -724,3 +724,12 @@ def report_lines(spark, sf_dir):
     objs, r = _rels(spark, sf_dir)
     return RP.markdown_report(objs, r, RM.degrees(objs, r), generated_at="2024-01-01 00:00:00").select(
         "schema", F.col("section").cast("bigint").alias("section"), "sort_key", "line")
+
+
+# ------------------------------------------------------------- token windows (T2 batch form)
+from procweave.streaming import tokens as TS  # noqa: E402
+
+
+@register("token_windows")
+def token_windows(spark, sf_dir):
+    return TS.windowed(S.token_metrics(spark, sf_dir), "1 hour")

@@ -223,3 +223,30 @@ def export_partitioned(df: DataFrame, path: str, key: str, fmt: str = "json") ->
     replacing only the partitions present in ``df`` (dynamic overwrite)."""
     df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     df.write.mode("overwrite").partitionBy(key).format(fmt).save(path)
+
+
+# ------------------------------------------------------------- K15
+_DIAGRAM_PATTERNS = [
+    (r"(?i)```mermaid\s*\n\s*(erDiagram)", "er"),
+    (r"(?i)```mermaid\s*\n\s*(graph\s+(TD|LR|TB|RL))", "graph"),
+    (r"(?i)```mermaid\s*\n\s*(flowchart\s+(TD|LR|TB|RL))", "flowchart"),
+]
+
+
+def add_mermaid_init(docs: DataFrame, content_col: str = "content") -> DataFrame:
+    """Markdown files whose first 200 characters open a Mermaid fence get
+    the init block of their diagram type inserted after the fence, unless an
+    init block is already there. Adds ``diagram_type``, ``updated`` and
+    ``new_content``; write ``new_content`` to a new directory."""
+    c = F.col(content_col)
+    is_mermaid = F.substring(c, 1, 200).contains("```mermaid")
+    kind = F.coalesce(*[F.when(c.rlike(p), F.lit(k)) for p, k in _DIAGRAM_PATTERNS])
+    line = F.coalesce(*[F.when(c.rlike(p), F.regexp_extract(c, p, 1)) for p, _ in _DIAGRAM_PATTERNS])
+    init = F.when(kind == "er", F.lit(K.MERMAID_INIT_ER + "\n")).otherwise(F.lit(K.MERMAID_INIT_FLOWCHART + "\n"))
+    # the first diagram line is matched literally (quoted), like re.escape
+    pattern = F.concat(F.lit(r"(?i)```mermaid\s*\n\s*(\Q"), line, F.lit(r"\E)"))
+    new = F.regexp_replace(c, pattern, F.concat(F.lit("```mermaid\n"), F.regexp_replace(init, r"([\\$])", r"\\$1"), F.lit("$1")))
+    eligible = is_mermaid & ~c.contains("%%{init:") & kind.isNotNull()
+    return docs.select("*", F.when(eligible, kind).alias("diagram_type"),
+                       (eligible & (new != c)).alias("updated"),
+                       F.when(eligible, new).otherwise(c).alias("new_content"))
