@@ -720,3 +720,28 @@ SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, time_bucket(INTE
        operation, CAST(count(*) AS BIGINT) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
        CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(tokens_total) AS BIGINT) AS tokens_total,
        round(avg(tokens_total), 6) AS avg_tokens_total FROM tm GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------- field lineage
+ORACLES["field_sources"] = f"WITH {CORPUS}, {FIELD_USAGE} SELECT DISTINCT field, 'procedure' AS source_type, proc AS name FROM usage WHERE operation = 'write'"
+ORACLES["field_destinations"] = f"WITH {CORPUS}, {FIELD_USAGE} SELECT DISTINCT field, proc AS name FROM usage WHERE operation = 'read'"
+ORACLES["field_flow"] = f"""WITH {CORPUS}, {FIELD_USAGE},
+s AS (SELECT field, count(DISTINCT proc) AS n FROM usage WHERE operation = 'write' GROUP BY field),
+d AS (SELECT field, count(DISTINCT proc) AS n FROM usage WHERE operation = 'read' GROUP BY field)
+SELECT f.field, CAST(coalesce(s.n, 0) AS BIGINT) AS total_sources, CAST(coalesce(d.n, 0) AS BIGINT) AS total_destinations
+FROM (SELECT DISTINCT field FROM usage) f LEFT JOIN s USING (field) LEFT JOIN d USING (field)"""
+ORACLES["analyze_field"] = f"""WITH {CORPUS}, {FIELD_USAGE},
+per AS (SELECT field, proc, max(CASE WHEN operation = 'read' THEN 1 ELSE 0 END) AS r, max(CASE WHEN operation = 'write' THEN 1 ELSE 0 END) AS w,
+               max(CASE WHEN operation = 'transform' THEN 1 ELSE 0 END) AS t FROM usage GROUP BY ALL)
+SELECT field, CAST(count(*) AS BIGINT) AS procedures, CAST(sum(r) AS BIGINT) AS read_by, CAST(sum(w) AS BIGINT) AS written_by,
+       CAST(sum(t) AS BIGINT) AS transformed_by FROM per GROUP BY field"""
+ORACLES["trace_field"] = f"""WITH RECURSIVE {CORPUS}, {CALL_EDGES}, {FIELD_USAGE},
+ce AS (SELECT DISTINCT proc AS src, callee AS dst FROM calls),
+st AS (SELECT 'P' || CAST(max(o_orderkey) AS VARCHAR) AS root FROM orders),
+walk(root, node, depth) AS (SELECT root, root, 0 FROM st UNION SELECT w.root, ce.dst, w.depth + 1 FROM walk w JOIN ce ON ce.src = w.node WHERE w.depth < 10),
+reach AS (SELECT root, node AS proc, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY ALL),
+hit AS (SELECT r.root, r.proc, r.depth, u.operation, u.transformation FROM reach r JOIN usage u ON u.proc = r.proc WHERE u.field = 'STATUS')
+SELECT root, 'step' AS kind, proc AS procedure, operation, depth, CAST(NULL AS VARCHAR) AS detail FROM hit
+UNION ALL SELECT DISTINCT root, 'source', proc, 'write', depth, NULL FROM hit WHERE operation = 'write'
+UNION ALL SELECT DISTINCT root, 'destination', proc, 'read', depth, NULL FROM hit WHERE operation = 'read'
+UNION ALL SELECT root, 'transformation', NULL, 'transform', min(depth), transformation FROM hit WHERE operation = 'transform' GROUP BY root, transformation"""

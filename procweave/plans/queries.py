@@ -733,3 +733,42 @@ from procweave.streaming import tokens as TS  # noqa: E402
 @register("token_windows")
 def token_windows(spark, sf_dir):
     return TS.windowed(S.token_metrics(spark, sf_dir), "1 hour")
+
+
+# ------------------------------------------------------------- field lineage
+from procweave.operators import lineage as LN  # noqa: E402
+
+
+def _usage(spark, sf_dir):
+    return A.field_usage(corpus_analysis(spark, sf_dir))
+
+
+@register("field_sources")
+def field_sources(spark, sf_dir):
+    return LN.sources(_usage(spark, sf_dir))
+
+
+@register("field_destinations")
+def field_destinations(spark, sf_dir):
+    return LN.destinations(_usage(spark, sf_dir))
+
+
+@register("field_flow")
+def field_flow(spark, sf_dir):
+    return LN.flow(_usage(spark, sf_dir))
+
+
+@register("analyze_field")
+def analyze_field(spark, sf_dir):
+    return LN.usage_summary(_usage(spark, sf_dir))
+
+
+@register("trace_field")
+def trace_field(spark, sf_dir):
+    """G10 for field STATUS from the procedure of the largest order key, depth 10."""
+    an = corpus_analysis(spark, sf_dir)
+    usage = A.field_usage(an)
+    edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
+    top = S.read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).scalar()
+    starts = spark.range(1).select(F.concat(F.lit("P"), top.cast("string")).alias("root"))
+    return LN.trace(edges, usage, starts, "status", 10)
