@@ -30,8 +30,10 @@ def windowed(metrics: DataFrame, window: str = "1 hour") -> DataFrame:
 
 
 def stream(metrics_stream: DataFrame, window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
-    """Streaming form with a watermark on ``timestamp``."""
-    return windowed(metrics_stream.withWatermark("timestamp", watermark), window)
+    """Streaming form with a watermark on ``timestamp`` (a watermark needs
+    TIMESTAMP, so wall-clock NTZ values are read as session-time-zone time)."""
+    ts = metrics_stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return windowed(ts.withWatermark("timestamp", watermark), window)
 
 
 def start_to_table(metrics_stream: DataFrame, path: str, checkpoint: str, window: str = "1 hour",
