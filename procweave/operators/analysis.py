@@ -71,14 +71,15 @@ def analyze(procs: DataFrame, variant: str = "static", code_col: str = "source_c
 
 def call_edges(analysis: DataFrame, drop_self: bool = False) -> DataFrame:
     """G1: one row per (proc, callee). Self-calls kept unless ``drop_self``."""
-    e = analysis.select("proc", "id", F.explode("calls").alias("callee"))
+    e = analysis.select("proc", "id", F.explode_outer("calls").alias("callee")).filter(F.col("callee").isNotNull())
     if drop_self:
         e = e.filter(F.col("callee") != F.col("proc"))
     return e
 
 
 def table_edges(analysis: DataFrame) -> DataFrame:
-    return analysis.select("proc", "id", F.explode("tables").alias("table_name"))
+    return (analysis.select("proc", "id", F.explode_outer("tables").alias("table_name"))
+            .filter(F.col("table_name").isNotNull()))
 
 
 def field_usage(analysis: DataFrame) -> DataFrame:
@@ -96,11 +97,11 @@ def field_usage(analysis: DataFrame) -> DataFrame:
     frames = []
     for i, (col, op, kind, _) in enumerate(parts):
         frames.append(analysis.select(
-            "proc", F.posexplode(col).alias("pos", "u")).select(
+            "proc", F.posexplode_outer(col).alias("pos", "u")).filter(F.col("pos").isNotNull()).select(
             "proc", F.col("u.field").alias("field"), F.lit(op).alias("operation"), F.lit(kind).alias("kind"),
             F.col("u.context").alias("context"), F.lit(None).cast("string").alias("transformation"),
             (F.lit(i * 1_000_000) + F.col("pos")).cast("bigint").alias("seq")))
-    frames.append(analysis.select("proc", F.posexplode("transformations").alias("pos", "u")).select(
+    frames.append(analysis.select("proc", F.posexplode_outer("transformations").alias("pos", "u")).filter(F.col("pos").isNotNull()).select(
         "proc", F.col("u.field").alias("field"), F.lit("transform").alias("operation"),
         F.lit("transform").alias("kind"), F.lit(None).cast("string").alias("context"),
         F.col("u.transformation").alias("transformation"),
@@ -127,9 +128,9 @@ def field_usage_one(usage: DataFrame, field: str, procedure: str | None = None,
 def parameter_rows(analysis: DataFrame, form: str = "static") -> DataFrame:
     """Parameters in long form (P13 or P14 with position W5)."""
     if form == "static":
-        return analysis.select("proc", F.posexplode("parameters").alias("pos", "p")).select(
+        return analysis.select("proc", F.posexplode_outer("parameters").alias("pos", "p")).filter(F.col("pos").isNotNull()).select(
             "proc", F.col("p.name").alias("param_name"), F.col("p.direction").alias("direction"),
             F.col("p.type").alias("param_type"), (F.col("pos") + 1).cast("bigint").alias("seq"))
-    return analysis.select("proc", F.explode("signature_parameters").alias("p")).select(
+    return analysis.select("proc", F.explode_outer("signature_parameters").alias("p")).filter(F.col("p").isNotNull()).select(
         "proc", F.col("p.name").alias("param_name"), F.col("p.direction").alias("direction"),
         F.col("p.type").alias("param_type"), F.col("p.position").cast("bigint").alias("position"))

@@ -59,14 +59,15 @@ def build_graph(analysis: DataFrame, table_nodes: DataFrame | None = None,
     nodes = procedure_nodes(analysis)
     if table_nodes is not None:
         nodes = nodes.unionByName(table_nodes, allowMissingColumns=True)
-    calls = analysis.select(F.col("id").alias("src"), F.explode("calls").alias("dst"))
+    calls = analysis.select(F.col("id").alias("src"), F.explode_outer("calls").alias("dst")).filter(F.col("dst").isNotNull())
     if resolve:
         r = resolve_names(calls.select(F.col("dst").alias("name")), nodes, "procedure")
         calls = (calls.join(r, calls.dst == r.name, "left")
                  .select("src", F.coalesce("resolved_id", "dst").alias("dst")))
     calls = calls.select("src", "dst", F.lit("calls").alias("edge_type"), F.lit("procedure_call").alias("relationship"))
-    access = analysis.select(F.col("id").alias("src"), F.explode("tables").alias("dst"),
-                             F.lit("accesses").alias("edge_type"), F.lit("table_access").alias("relationship"))
+    access = analysis.select(F.col("id").alias("src"), F.explode_outer("tables").alias("dst"),
+                             F.lit("accesses").alias("edge_type"), F.lit("table_access").alias("relationship")) \
+        .filter(F.col("dst").isNotNull())
     edges = calls.unionByName(access)
     if fk_edges is not None:
         edges = edges.unionByName(fk_edges.select("src", "dst", "edge_type", "relationship"))

@@ -75,7 +75,7 @@ def relations(objects: DataFrame, compat: bool = True) -> DataFrame:
 
     def stage(col, stage_no, target, typ):
         return base.select("schema", "source", "source_type", "kind_idx",
-                           F.posexplode(col).alias("pos", "x")).select(
+                           F.posexplode_outer(col).alias("pos", "x")).filter(F.col("pos").isNotNull()).select(
             "schema", "source", target.alias("target"), typ.alias("type"), "source_type",
             F.struct("kind_idx", "source", F.lit(stage_no).alias("stage"), "pos").alias("ord"))
 

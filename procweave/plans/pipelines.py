@@ -29,8 +29,8 @@ def fast_index(procs: DataFrame, out: str | None = None, dim: int = 64, encoder=
     nodes, edges = G.build_graph(an)
     statistics = an.agg(F.count(F.lit(1)).cast("bigint").alias("indexed_count"),
                         F.round(F.avg("complexity_score"), 2).alias("avg_complexity")).select(
-        "*", an.select(F.explode("calls").alias("v")).agg(F.countDistinct("v").cast("bigint")).scalar().alias("procedures_extracted"),
-        an.select(F.explode("tables").alias("v")).agg(F.countDistinct("v").cast("bigint")).scalar().alias("tables_extracted"))
+        "*", an.select(F.explode_outer("calls").alias("v")).agg(F.countDistinct("v").cast("bigint")).scalar().alias("procedures_extracted"),
+        an.select(F.explode_outer("tables").alias("v")).agg(F.countDistinct("v").cast("bigint")).scalar().alias("tables_extracted"))
     result = {"documents": docs, "nodes": nodes, "edges": edges, "statistics": statistics}
     if out:
         p = out.rstrip("/")

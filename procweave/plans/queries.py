@@ -67,19 +67,19 @@ def top_called(spark, sf_dir):
 @register("proc_select_fields")
 def proc_select_fields(spark, sf_dir):
     an = corpus_analysis(spark, sf_dir)
-    return an.select("proc", F.explode("select_fields").alias("u")).select("proc", "u.field", "u.context")
+    return an.select("proc", F.explode_outer("select_fields").alias("u")).filter(F.col("u").isNotNull()).select("proc", "u.field", "u.context")
 
 
 @register("proc_update_fields")
 def proc_update_fields(spark, sf_dir):
     an = corpus_analysis(spark, sf_dir)
-    return an.select("proc", F.explode("update_fields").alias("u")).select("proc", "u.field", "u.context")
+    return an.select("proc", F.explode_outer("update_fields").alias("u")).filter(F.col("u").isNotNull()).select("proc", "u.field", "u.context")
 
 
 @register("proc_transforms")
 def proc_transforms(spark, sf_dir):
     an = corpus_analysis(spark, sf_dir)
-    return an.select("proc", F.explode("transformations").alias("u")).select("proc", "u.field", "u.transformation")
+    return an.select("proc", F.explode_outer("transformations").alias("u")).filter(F.col("u").isNotNull()).select("proc", "u.field", "u.transformation")
 
 
 @register("field_usage")
@@ -106,7 +106,7 @@ def proc_signature_params(spark, sf_dir):
 
 @register("proc_variables")
 def proc_variables(spark, sf_dir):
-    return corpus_analysis(spark, sf_dir).select("proc", F.explode("variables").alias("variable"))
+    return corpus_analysis(spark, sf_dir).select("proc", F.explode_outer("variables").alias("variable")).filter(F.col("variable").isNotNull())
 
 
 @register("proc_control")
@@ -155,8 +155,8 @@ def proc_statistics(spark, sf_dir):
 def index_statistics(spark, sf_dir):
     """A3: indexed count, distinct callees and tables over the corpus, avg complexity (2 dp)."""
     an = corpus_analysis(spark, sf_dir)
-    calls = an.select(F.explode("calls").alias("v")).agg(F.countDistinct("v").cast("bigint")).scalar()
-    tabs = an.select(F.explode("tables").alias("v")).agg(F.countDistinct("v").cast("bigint")).scalar()
+    calls = an.select(F.explode_outer("calls").alias("v")).agg(F.countDistinct("v").cast("bigint")).scalar()
+    tabs = an.select(F.explode_outer("tables").alias("v")).agg(F.countDistinct("v").cast("bigint")).scalar()
     base = an.agg(F.count(F.lit(1)).cast("bigint").alias("indexed_count"),
                   F.round(F.avg("complexity_score"), 2).alias("avg_complexity"))
     return base.select("*", calls.alias("procedures_extracted"), tabs.alias("tables_extracted"))

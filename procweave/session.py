@@ -100,3 +100,18 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     path = f"{base}/procweave/{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a frame over the cluster's cores when its scan yields fewer splits.
+
+    A big input already arrives in thousands of splits and is returned as
+    is; a small file (one Parquet row group is one task) is redistributed
+    round-robin so that CPU-heavy per-row work (regexes, scoring, vectors)
+    runs on every core. Planning only, no job is started to decide.
+    """
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

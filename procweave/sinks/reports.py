@@ -99,17 +99,17 @@ def flowcharts(analysis: DataFrame, levels: DataFrame) -> DataFrame:
     p_head = params.select("proc", *_line(1, "", F.concat(F.lit("    Params[Parâmetros: "),
                                                           F.size("signature_parameters").cast("string"),
                                                           F.lit("]\n    Start --> Params"))))
-    p_lines = params.select("proc", F.explode("signature_parameters").alias("p")).select(
+    p_lines = params.select("proc", F.explode_outer("signature_parameters").alias("p")).filter(F.col("p").isNotNull()).select(
         "proc", *_line(2, F.lpad(F.col("p.position").cast("string"), 6, "0"), F.concat(
             F.lit("    Params --> P"), F.col("p.position").cast("string"), F.lit('["'), quote(F.col("p.name")), F.lit(": "),
             F.translate(quote(F.col("p.type")), "- ", "__"), F.lit(" ("), F.col("p.direction"), F.lit(')"]'))))
     callers = a.filter(F.size("calls") > 0)
     c_head = callers.select("proc", *_line(3, "", F.lit("    Procs[Procedures Chamadas]\n    Start --> Procs")))
-    c_lines = callers.select("proc", F.explode("calls").alias("c")).select(
+    c_lines = callers.select("proc", F.explode_outer("calls").alias("c")).filter(F.col("c").isNotNull()).select(
         "proc", *_line(4, F.col("c"), F.concat(F.lit("    Procs --> Proc_"), mermaid_id("c"), F.lit('["'), quote(F.col("c")), F.lit('"]'))))
     tab = a.filter(F.size("tables") > 0)
     t_head = tab.select("proc", *_line(5, "", F.lit("    Tables[Tabelas Acessadas]\n    Start --> Tables")))
-    t_lines = tab.select("proc", F.explode("tables").alias("t")).select(
+    t_lines = tab.select("proc", F.explode_outer("tables").alias("t")).filter(F.col("t").isNotNull()).select(
         "proc", *_line(6, F.col("t"), F.concat(F.lit("    Tables --> Table_"), mermaid_id("t"), F.lit('["'), quote(F.col("t")), F.lit('"]'))))
     tail = a.select("proc", *_line(7, "", F.lit("    End([Fim])\n    Start --> End\n```\n\n## Lógica de Negócio\n\n")))
     out = head
