@@ -30,28 +30,42 @@ def _internal_edges(nodes: DataFrame, edges: DataFrame, drop_self: bool) -> Data
 
 
 def _peel(nodes: DataFrame, e: DataFrame, forward: bool, tag: str):
-    """Kahn peeling. forward: repeatedly remove nodes without remaining out-edges.
-
-    Returns (peeled frames with ``level``, remaining edges). Round r removes
-    exactly the nodes whose longest path to a sink is r.
+    """Kahn peeling with counters. forward: repeatedly remove nodes without
+    remaining out-edges (backward: without remaining in-edges).
+
+    The edge list is written once and never rewritten; the state is one row
+    per still-unpeeled node with its count of remaining edges. Each round
+    counts the edges that point into the current frontier (the frontier is
+    small, so AQE broadcasts it and the edge scan is not shuffled),
+    subtracts, and writes the shrunken state once: per round O(|E|) read,
+    O(|unpeeled|) written. Round r removes exactly the nodes whose longest
+    path to a sink is r.
+
+    Returns (peeled frames with ``level``, edges among the nodes never peeled).
     """
     near, far = ("src", "dst") if forward else ("dst", "src")
-    e = materialize(e, f"{tag}-e")
-    peeled = materialize(
-        nodes.join(e.select(F.col(near).alias("node")).distinct(), "node", "left_anti")
-        .withColumn("level", F.lit(0).cast("bigint")), f"{tag}-p")
+    e = materialize(e.select("src", "dst"), f"{tag}-e")
+    deg = e.groupBy(F.col(near).alias("node")).agg(F.count(F.lit(1)).alias("c"))
+    state = materialize(nodes.select("node").join(deg, "node", "left")
+                        .select("node", F.coalesce("c", F.lit(0)).cast("bigint").alias("remaining")), f"{tag}-s")
+    frontier = state.filter(F.col("remaining") == 0).select("node")
+    alive = state.filter(F.col("remaining") > 0)
     out = []
     r = 0
-    while not peeled.isEmpty():
-        out.append(peeled)
-        removed = e.join(peeled.select(F.col("node").alias(far)), far, "left_semi")
-        e = materialize(e.join(peeled.select(F.col("node").alias(far)), far, "left_anti"), f"{tag}-e")
-        cand = removed.select(F.col(near).alias("node")).distinct()
+    while not frontier.isEmpty():
+        out.append(frontier.withColumn("level", F.lit(r).cast("bigint")))
+        hit = (e.join(frontier.select(F.col("node").alias(far)), far)
+               .groupBy(F.col(near).alias("node")).agg(F.count(F.lit(1)).alias("c")))
+        state = materialize(alive.join(hit, "node", "left")
+                            .select("node", (F.col("remaining") - F.coalesce("c", F.lit(0))).cast("bigint").alias("remaining")),
+                            f"{tag}-s")
+        frontier = state.filter(F.col("remaining") == 0).select("node")
+        alive = state.filter(F.col("remaining") > 0)
         r += 1
-        peeled = materialize(
-            cand.join(e.select(F.col(near).alias("node")).distinct(), "node", "left_anti")
-            .withColumn("level", F.lit(r).cast("bigint")), f"{tag}-p")
-    return out, e
+    left = alive.select("node")
+    rest = (e.join(left.select(F.col("node").alias("src")), "src", "left_semi")
+            .join(left.select(F.col("node").alias("dst")), "dst", "left_semi"))
+    return out, rest
 
 
 def _union(frames, schema_df: DataFrame) -> DataFrame:
