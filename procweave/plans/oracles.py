@@ -745,3 +745,42 @@ SELECT root, 'step' AS kind, proc AS procedure, operation, depth, CAST(NULL AS V
 UNION ALL SELECT DISTINCT root, 'source', proc, 'write', depth, NULL FROM hit WHERE operation = 'write'
 UNION ALL SELECT DISTINCT root, 'destination', proc, 'read', depth, NULL FROM hit WHERE operation = 'read'
 UNION ALL SELECT root, 'transformation', NULL, 'transform', min(depth), transformation FROM hit WHERE operation = 'transform' GROUP BY root, transformation"""
+
+
+# ---------------------------------------------------------------- second corpus (loaders)
+from procweave.sources.tables import LOADER_NAME_SQL, LOADER_TEXT_SQL  # noqa: E402
+
+LOADERS = f"""li AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+        ORDER BY l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_quantity NULLS FIRST, l_extendedprice NULLS FIRST,
+                 l_discount NULLS FIRST, l_tax NULLS FIRST, l_returnflag NULLS FIRST, l_linestatus NULLS FIRST,
+                 l_shipdate NULLS FIRST) AS _rn FROM lineitem) WHERE _rn = 1),
+corpus AS (SELECT {LOADER_NAME_SQL} AS proc, {LOADER_TEXT_SQL} AS code FROM li)"""
+
+# top-level items of a SELECT list with at most one nesting level (RE2 has no recursion)
+_ITEMS = "'(?:[^,(]|\\([^)]*\\))+'"
+LOADER_SELECT = f"""
+sm AS (SELECT proc, unnest(regexp_extract_all(code, {_SEL}, 1)) AS clause,
+              unnest(regexp_extract_all(code, {_SEL}, 0)) AS whole FROM corpus),
+sp AS (SELECT proc, whole, {_strip('part')} AS part FROM (SELECT proc, whole, unnest(regexp_extract_all(clause, {_ITEMS})) AS part FROM sm)),
+{_field_name_ctes('sp', 'part')},
+sel AS (SELECT proc, fname AS field, left(whole, 100) AS context FROM named WHERE fname <> '*')"""
+
+LOADER_USAGE = f"""{LOADER_SELECT}, {INSERT_ROWS}, {UPDATE_ROWS}, {TRANSFORM_ROWS},
+usage AS (
+  SELECT proc, field, 'read' AS operation, 'select' AS kind, context, CAST(NULL AS VARCHAR) AS transformation FROM sel
+  UNION ALL SELECT proc, field, 'write', 'insert', context, NULL FROM ins
+  UNION ALL SELECT proc, field, 'write', 'update', context, NULL FROM upd WHERE field <> ''
+  UNION ALL SELECT proc, field, 'transform', 'transform', NULL, transformation FROM tr)"""
+
+ORACLES["loader_calls"] = f"""WITH {LOADERS}, raw AS ({_unnest_union(K.CALL_PATTERNS)})
+SELECT DISTINCT proc, v AS callee FROM raw WHERE v LIKE '%.%' OR NOT list_contains({_list(K.SQL_BUILTINS)}, v)"""
+ORACLES["loader_tables"] = f"WITH {LOADERS}, raw AS ({_unnest_union(K.TABLE_PATTERNS)}) SELECT DISTINCT proc, v AS table_name FROM raw"
+ORACLES["proc_insert_fields"] = f"WITH {LOADERS}, {INSERT_ROWS} SELECT proc, field, context FROM ins"
+ORACLES["loader_field_usage"] = f"WITH {LOADERS}, {LOADER_USAGE} SELECT * FROM usage"
+ORACLES["loader_complexity"] = f"""WITH {LOADERS} SELECT proc, {SCORE_SQL} AS complexity_score,
+  CAST(length(code) - length(replace(code, chr(10), '')) + 1 AS BIGINT) AS lines,
+  CAST(len(regexp_extract_all(code, '(?i)\\bIF\\b')) AS BIGINT) AS n_if,
+  CAST(len(regexp_extract_all(code, '(?i)\\bLOOP\\b')) AS BIGINT) AS n_loop,
+  CAST(len(regexp_extract_all(code, '(?i)\\bWHILE\\b')) AS BIGINT) AS n_while,
+  CAST(len(regexp_extract_all(code, '(?i)\\bCASE\\b')) AS BIGINT) AS n_case FROM corpus"""
+ORACLES["loader_variables"] = f"""WITH {LOADERS} SELECT DISTINCT proc, upper(unnest(regexp_extract_all(code, {_q(K.VARIABLE_PATTERN)}, 1))) AS variable FROM corpus"""

@@ -772,3 +772,44 @@ def trace_field(spark, sf_dir):
     top = S.read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).scalar()
     starts = spark.range(1).select(F.concat(F.lit("P"), top.cast("string")).alias("root"))
     return LN.trace(edges, usage, starts, "status", 10)
+
+
+# ------------------------------------------------------------- second corpus (loaders)
+def loader_analysis(spark, sf_dir):
+    return A.analyze(S.loader_corpus(spark, sf_dir))
+
+
+@register("loader_calls")
+def loader_calls(spark, sf_dir):
+    return A.call_edges(loader_analysis(spark, sf_dir)).select("proc", "callee")
+
+
+@register("loader_tables")
+def loader_tables(spark, sf_dir):
+    return A.table_edges(loader_analysis(spark, sf_dir)).select("proc", "table_name")
+
+
+@register("proc_insert_fields")
+def proc_insert_fields(spark, sf_dir):
+    an = loader_analysis(spark, sf_dir)
+    return an.select("proc", F.explode_outer("insert_fields").alias("u")).filter(F.col("u").isNotNull()) \
+        .select("proc", "u.field", "u.context")
+
+
+@register("loader_field_usage")
+def loader_field_usage(spark, sf_dir):
+    return A.field_usage(loader_analysis(spark, sf_dir)).drop("seq")
+
+
+@register("loader_complexity")
+def loader_complexity(spark, sf_dir):
+    an = loader_analysis(spark, sf_dir)
+    return an.select("proc", "complexity_score", "lines", F.col("control.if").alias("n_if"),
+                     F.col("control.loop").alias("n_loop"), F.col("control.while").alias("n_while"),
+                     F.col("control.case").alias("n_case"))
+
+
+@register("loader_variables")
+def loader_variables(spark, sf_dir):
+    return loader_analysis(spark, sf_dir).select("proc", F.explode_outer("variables").alias("variable")) \
+        .filter(F.col("variable").isNotNull())

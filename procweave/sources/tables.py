@@ -261,3 +261,34 @@ RESPONSE_JSON_SQL = (
 def llm_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``responses(request_id, response)``: provider response documents in five layouts."""
     return read_table(spark, sf_dir, "events").selectExpr("event_id AS request_id", f"{RESPONSE_JSON_SQL} AS response")
+
+
+# ---------------------------------------------------------------- second code corpus
+# One loader procedure per deduplicated lineitem row: INSERT column lists,
+# nested commas in SELECT lists, MERGE / DELETE, dotted package calls, a call
+# inside a comment, CURSOR / WHILE / CASE. Same text in Spark and DuckDB.
+LOADER_NAME_SQL = "'LOAD_' || l_returnflag || '_' || CAST(l_orderkey AS VARCHAR(20)) || '_' || CAST(l_linenumber AS VARCHAR(20))"
+LOADER_TEXT_SQL = (
+    "'CREATE OR REPLACE PROCEDURE pkg_load.load_' || lower(l_returnflag) || '_' || CAST(l_orderkey AS VARCHAR(20)) || '_' || "
+    "CAST(l_linenumber AS VARCHAR(20)) || ' IS' || chr(10) || "
+    "'  l_qty NUMBER;' || chr(10) || '  v_x VARCHAR2(30);' || chr(10) || "
+    "'  CURSOR c_lines IS SELECT l.qty, NVL(l.price, 0) AS price, ROUND(l.tax, 2) tax_r, discount d FROM s' || "
+    "CAST(l_suppkey % 10 AS VARCHAR(20)) || '.lines l;' || chr(10) || 'BEGIN' || chr(10) || "
+    "'  /* audit: CALL legacy_hook */' || chr(10) || "
+    "'  INSERT INTO stage_' || l_linestatus || ' (qty, price, ship_' || CAST(l_linenumber AS VARCHAR(20)) || ') VALUES (l_qty, 1, 2);' || chr(10) || "
+    "CASE WHEN l_quantity > 25 THEN '  DELETE FROM archive_' || l_returnflag || ' WHERE id = ' || CAST(l_partkey AS VARCHAR(20)) || ';' || chr(10) ELSE '' END || "
+    "CASE WHEN l_discount > 0.05 THEN '  MERGE INTO totals_' || CAST(l_linenumber AS VARCHAR(20)) || ' t USING dual ON (1 = 1);' || chr(10) ELSE '' END || "
+    "'  WHILE l_qty < ' || CAST(l_linenumber AS VARCHAR(20)) || ' LOOP l_qty := l_qty + 1; END LOOP;' || chr(10) || "
+    "'  pkg_util.log_item(' || CAST(l_partkey AS VARCHAR(20)) || ', SUBSTR(name, 1, 3));' || chr(10) || "
+    "'  SELECT LOWER(name), CONCAT(first_name, last_name), REPLACE(code, x, y), CASE WHEN a > 1 THEN 1 ELSE 0 END INTO v_x FROM part_' || "
+    "CAST(l_partkey % 100 AS VARCHAR(20)) || ';' || chr(10) || "
+    "'  UPDATE s' || CAST(l_suppkey % 10 AS VARCHAR(20)) || '.lines l SET l.qty = l_qty, price = TRIM(price) WHERE id = 1;' || chr(10) || "
+    "CASE WHEN l_tax > 0.04 THEN '  IF l_qty > 0 THEN NULL; END IF;' || chr(10) ELSE '' END || "
+    "'END;'"
+)
+
+
+def loader_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``procedures(name, schema, source_code)``: one loader procedure per line item."""
+    return _lineitem_dedup(spark, sf_dir).selectExpr(
+        f"{LOADER_NAME_SQL} AS name", "CAST(NULL AS STRING) AS schema", f"{LOADER_TEXT_SQL} AS source_code")

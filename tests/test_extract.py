@@ -118,3 +118,18 @@ def test_field_usage_long_form(spark, analysed):
     assert ("NAME", "read") in ops and ("NAME", "transform") in ops and ("EVENT", "write") in ops
     one = A.field_usage_one(usage, "status").collect()
     assert [(r["operation"], r["kind"]) for r in one] == [("write", "update")]
+
+
+def test_loader_corpus_expectations(spark, sf_small):
+    from procweave.sources.tables import loader_corpus
+    an = A.analyze(loader_corpus(spark, sf_small)).filter("source_code LIKE '%MERGE INTO%'").limit(1).collect()[0]
+    calls = set(an["calls"])
+    assert {"LEGACY_HOOK", "PKG_UTIL.LOG_ITEM", "VALUES", "ON"} <= calls        # comment text counts too
+    assert not calls & {"NVL", "ROUND", "LOWER", "CONCAT", "REPLACE", "TRIM", "SUBSTR"}
+    assert [s["field"] for s in an["select_fields"]] == ["QTY", "NAME"]        # nested commas kept whole
+    assert [s["field"] for s in an["insert_fields"]][:2] == ["QTY", "PRICE"]
+    assert [s["field"] for s in an["update_fields"]] == ["QTY", "PRICE"]
+    assert sorted(t["transformation"] for t in an["transformations"]) == \
+        ["CONCAT(FIRST_NAME)", "LOWER(NAME)", "REPLACE(CODE)", "SUBSTR(NAME)", "TRIM(PRICE)"]
+    assert set(an["variables"]) == {"L_QTY", "V_X"}
+    assert any(t.startswith("TOTALS_") for t in an["tables"]) and "V_X" in an["tables"]
