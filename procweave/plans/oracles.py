@@ -784,3 +784,64 @@ ORACLES["loader_complexity"] = f"""WITH {LOADERS} SELECT proc, {SCORE_SQL} AS co
   CAST(len(regexp_extract_all(code, '(?i)\\bWHILE\\b')) AS BIGINT) AS n_while,
   CAST(len(regexp_extract_all(code, '(?i)\\bCASE\\b')) AS BIGINT) AS n_case FROM corpus"""
 ORACLES["loader_variables"] = f"""WITH {LOADERS} SELECT DISTINCT proc, upper(unnest(regexp_extract_all(code, {_q(K.VARIABLE_PATTERN)}, 1))) AS variable FROM corpus"""
+
+
+# ---------------------------------------------------------------- diagram sinks
+_FLOW_LV = f"""{CALL_EDGES}, {INTERNAL_EDGES},
+paths(node, depth) AS (SELECT proc, 0 FROM corpus UNION SELECT e.src, p.depth + 1 FROM paths p JOIN e ON e.dst = p.node),
+lv AS (SELECT node AS proc, CAST(max(depth) AS BIGINT) AS level FROM paths GROUP BY node)"""
+
+ORACLES["mermaid_hierarchy_lines"] = f"""WITH RECURSIVE {CORPUS}, {_FLOW_LV},
+p AS (SELECT c.proc, {SCORE_SQL} AS sc, lv.level FROM corpus c JOIN lv ON lv.proc = c.proc),
+ed AS (SELECT DISTINCT c.proc AS src, c.callee AS dst FROM calls c WHERE c.callee IN (SELECT proc FROM corpus))
+SELECT CAST(0 AS BIGINT) AS section, '```mermaid' || chr(10) || 'graph TD' AS line
+UNION ALL SELECT 1, '    ' || translate(proc, '.- ', '___') || '["' || translate(proc || '\\n[Nível ' || CAST(level AS VARCHAR) || ', Complex: '
+                 || CAST(sc AS VARCHAR) || ']', '"[]', '''()') || '"]:::' || {CLASS_SQL.format(s='sc')} FROM p
+UNION ALL SELECT 1, '    ' || translate(src, '.- ', '___') || ' --> ' || translate(dst, '.- ', '___') FROM ed
+UNION ALL SELECT 3, {_q(K.MERMAID_CLASS_DEFS)}"""
+
+_SIGP = f"""
+sg AS (SELECT proc, substr(code, 1, 500) AS head FROM corpus),
+sgs AS (SELECT proc, string_split(regexp_extract(head, {_q(K.SIGNATURE_PATTERN)}, 1), ',') AS pieces FROM sg
+        WHERE regexp_matches(head, {_q(K.SIGNATURE_PATTERN)})),
+sgp AS (SELECT proc, unnest(pieces) AS raw, unnest(generate_series(1, len(pieces))) AS pos FROM sgs),
+sgw AS (SELECT proc, pos, {_strip('raw')} AS t FROM sgp),
+sgv AS (SELECT proc, pos, t, regexp_split_to_array(t, '\\s+') AS words FROM sgw WHERE t <> ''),
+sig AS (SELECT proc, pos, words[1] AS pname,
+               {_strip("replace(replace(array_to_string(words[2:], ' '), 'IN', ''), 'OUT', '')")} AS ptype,
+               CASE WHEN contains(upper(t), 'OUT') THEN (CASE WHEN contains(upper(t), 'IN') THEN 'IN OUT' ELSE 'OUT' END) ELSE 'IN' END AS dir
+        FROM sgv WHERE len(words) >= 2)"""
+
+ORACLES["flowchart_lines"] = f"""WITH RECURSIVE {CORPUS}, {_FLOW_LV}, {_SIGP},
+t_raw AS ({_unnest_union(K.TABLE_PATTERNS)}), tabs AS (SELECT DISTINCT proc, v AS tbl FROM t_raw),
+np AS (SELECT proc, count(*) AS n FROM sig GROUP BY proc)
+SELECT c.proc, CAST(0 AS BIGINT) AS section,
+       '# Flowchart: ' || c.proc || chr(10) || chr(10) || '**Complexidade:** ' || CAST({SCORE_SQL} AS VARCHAR) || '/10' || chr(10)
+       || '**Nível de Dependência:** ' || coalesce(CAST(lv.level AS VARCHAR), '0') || chr(10) || chr(10) || '```mermaid' || chr(10)
+       || {_q(K.MERMAID_INIT_FLOWCHART)} || chr(10) || 'flowchart TD' || chr(10) || '    Start([Início: ' || translate(c.proc, '"', '''') || '])' AS line
+FROM corpus c LEFT JOIN lv ON lv.proc = c.proc
+UNION ALL SELECT proc, 1, '    Params[Parâmetros: ' || CAST(n AS VARCHAR) || ']' || chr(10) || '    Start --> Params' FROM np
+UNION ALL SELECT proc, 2, '    Params --> P' || CAST(pos AS VARCHAR) || '["' || translate(pname, '"', '''') || ': '
+          || translate(translate(ptype, '"', ''''), '- ', '__') || ' (' || dir || ')"]' FROM sig
+UNION ALL SELECT DISTINCT proc, 3, '    Procs[Procedures Chamadas]' || chr(10) || '    Start --> Procs' FROM calls
+UNION ALL SELECT proc, 4, '    Procs --> Proc_' || translate(callee, '.- ', '___') || '["' || translate(callee, '"', '''') || '"]' FROM calls
+UNION ALL SELECT DISTINCT proc, 5, '    Tables[Tabelas Acessadas]' || chr(10) || '    Start --> Tables' FROM tabs
+UNION ALL SELECT proc, 6, '    Tables --> Table_' || translate(tbl, '.- ', '___') || '["' || translate(tbl, '"', '''') || '"]' FROM tabs
+UNION ALL SELECT proc, 7, '    End([Fim])' || chr(10) || '    Start --> End' || chr(10) || '```' || chr(10) || chr(10)
+          || '## Lógica de Negócio' || chr(10) || chr(10) FROM corpus"""
+
+ORACLES["mermaid_er_lines"] = f"""WITH {CATALOG},
+ct AS (SELECT *, table_schema || '.' || table_name AS tbl FROM acols),
+chosen AS (SELECT DISTINCT tbl FROM ct ORDER BY tbl LIMIT 50),
+c AS (SELECT ct.*, CASE WHEN is_primary_key THEN row_number() OVER (PARTITION BY tbl, is_primary_key ORDER BY ordinal) END AS pk_rank,
+             row_number() OVER (PARTITION BY tbl ORDER BY ordinal) AS pos FROM ct WHERE tbl IN (SELECT tbl FROM chosen)),
+erpick AS (SELECT *, CASE WHEN pk_rank <= 3 THEN pk_rank ELSE 100 + pos END AS o FROM c WHERE pk_rank <= 3 OR pos <= 5),
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY o) AS k FROM erpick) WHERE k <= 8),
+fk AS (SELECT DISTINCT src, dst FROM fke WHERE src IN (SELECT tbl FROM chosen) AND dst IN (SELECT tbl FROM chosen))
+SELECT CAST(0 AS BIGINT) AS section, '```mermaid' || chr(10) || {_q(K.MERMAID_INIT_ER)} || chr(10) || 'erDiagram' AS line
+UNION ALL SELECT 1, '    ' || translate(tbl, '.- ', '___') || ' {{' FROM chosen
+UNION ALL SELECT 1, '        ' || column_name || ' ' || substr(translate(trim(split_part(data_type, '(', 1)), '- ', '__'), 1, 30)
+          || CASE WHEN is_primary_key THEN ' PK' ELSE '' END || CASE WHEN is_foreign_key THEN ' FK' ELSE '' END FROM picked
+UNION ALL SELECT 1, '    }}' FROM chosen
+UNION ALL SELECT 2, '    ' || translate(src, '.- ', '___') || ' ||--o{{ ' || translate(dst, '.- ', '___') || ' : "foreign_key"' FROM fk
+UNION ALL SELECT 3, '```'"""

@@ -703,20 +703,20 @@ def mermaid_lines(spark, sf_dir):
 @register("mermaid_hierarchy_lines")
 def mermaid_hierarchy_lines(spark, sf_dir):
     procs, edges, _, _ = _procs_with_levels(spark, sf_dir)
-    return RP.hierarchy_diagram(procs, edges).select(F.col("section").cast("bigint").alias("section"), "sort_key", "line")
+    return RP.hierarchy_diagram(procs, edges).select(F.col("section").cast("bigint").alias("section"), "line")
 
 
 @register("flowchart_lines")
 def flowchart_lines(spark, sf_dir):
     _, _, an, lv = _procs_with_levels(spark, sf_dir)
-    return RP.flowcharts(an, lv).select("proc", F.col("section").cast("bigint").alias("section"), "sort_key", "line")
+    return RP.flowcharts(an, lv).select("proc", F.col("section").cast("bigint").alias("section"), "line")
 
 
 @register("mermaid_er_lines")
 def mermaid_er_lines(spark, sf_dir):
     cols, keys, _ = _catalog(spark, sf_dir)
     tables, e = _fk_graph(spark, sf_dir)
-    return RP.er_diagram(C.assemble_columns(cols, keys), e).select(F.col("section").cast("bigint").alias("section"), "sort_key", "line")
+    return RP.er_diagram(C.assemble_columns(cols, keys), e).select(F.col("section").cast("bigint").alias("section"), "line")
 
 
 @register("report_lines")
