@@ -234,3 +234,17 @@ def resolve_fk_targets(fks: DataFrame, tables: DataFrame, compat: bool = False)
     best = (exact.unionByName(by_short).groupBy(*keys)
             .agg(F.min(F.struct("prio", "dst")).alias("b")))
     return best.select("src", F.col("b.dst").alias("dst"), "constraint_name", "columns", "referenced_columns")
+
+
+def field_definition(cols: DataFrame, table: str, field: str, case_sensitive: bool = False) -> DataFrame:
+    """One column's assembled definition inside a table (key ``schema.table`` or bare name)."""
+    key = F.concat_ws(".", "table_schema", "table_name")
+    tmatch = (key == table) | (F.col("table_name") == table)
+    fmatch = (F.col("column_name") == field) if case_sensitive else (F.upper("column_name") == field.upper())
+    return cols.filter(tmatch & fmatch)
+
+
+def limit_entities(df: DataFrame, n: int | None, key: str = "name") -> DataFrame:
+    """L3: the first ``n`` entities by key, applied before any analysis (pushed
+    into the plan as a top-n instead of loading everything first)."""
+    return df if n is None else df.orderBy(key).limit(n)

@@ -845,3 +845,7 @@ UNION ALL SELECT 1, '        ' || column_name || ' ' || substr(translate(trim(sp
 UNION ALL SELECT 1, '    }}' FROM chosen
 UNION ALL SELECT 2, '    ' || translate(src, '.- ', '___') || ' ||--o{{ ' || translate(dst, '.- ', '___') || ' : "foreign_key"' FROM fk
 UNION ALL SELECT 3, '```'"""
+ORACLES["node_documents"] = f"""WITH {CORPUS}, {GRAPH}
+SELECT id AS node_id, node_type, 'Procedure: ' || name || chr(10) || 'Schema: ' || schema
+       || CASE WHEN complexity_score <> 0 THEN chr(10) || 'Complexity: ' || CAST(complexity_score AS VARCHAR) ELSE '' END AS text
+FROM nodes"""

@@ -813,3 +813,10 @@ def loader_complexity(spark, sf_dir):
 def loader_variables(spark, sf_dir):
     return loader_analysis(spark, sf_dir).select("proc", F.explode_outer("variables").alias("variable")) \
         .filter(F.col("variable").isNotNull())
+
+
+@register("node_documents")
+def node_documents(spark, sf_dir):
+    """Embedding text of every graph node of the corpus graph."""
+    _, nodes, edges = _graph(spark, sf_dir)
+    return V.node_document(nodes, edges).select("node_id", "node_type", "text")
