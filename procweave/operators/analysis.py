@@ -134,3 +134,21 @@ def parameter_rows(analysis: DataFrame, form: str = "static") -> DataFrame:
     return analysis.select("proc", F.explode_outer("signature_parameters").alias("p")).filter(F.col("p").isNotNull()).select(
         "proc", F.col("p.name").alias("param_name"), F.col("p.direction").alias("direction"),
         F.col("p.type").alias("param_type"), F.col("p.position").cast("bigint").alias("position"))
+
+
+GRAPH_COLUMNS = ["proc", "schema", "short_name", "id", "calls", "tables", "complexity_score"]
+USAGE_COLUMNS = ["select_fields", "insert_fields", "update_fields", "transformations"]
+
+
+def shared(analysis: DataFrame, columns: list[str] | None = None, tag: str = "analysis") -> DataFrame:
+    """Write the analysis once (without the source text) for plans with several consumers.
+
+    Graph building reads the analysis for nodes, call edges and name
+    resolution; without this each consumer would re-run every regex over the
+    corpus. Only the requested columns are computed and written (under the
+    shared checkpoint folder), so all consumers scan the extracted result.
+    """
+    from procweave.session import materialize
+
+    cols = columns or GRAPH_COLUMNS
+    return materialize(analysis.select(*cols), tag)

@@ -61,7 +61,7 @@ def proc_complexity(spark, sf_dir):
 
 @register("top_called")
 def top_called(spark, sf_dir):
-    return G.top_called_procedures(corpus_analysis(spark, sf_dir), 10)
+    return G.top_called_procedures(A.shared(corpus_analysis(spark, sf_dir)), 10)
 
 
 @register("proc_select_fields")
@@ -119,9 +119,9 @@ def proc_control(spark, sf_dir):
     return an.select("proc", st).select("proc", "s.structure", "s.n").filter("n > 0")
 
 
-def _levels(spark, sf_dir, cyclic=False, compat=False):
+def _levels(spark, sf_dir, cyclic=False, compat=False, extra_columns=()):
     procs = procedure_corpus_cyclic(spark, sf_dir) if cyclic else procedure_corpus(spark, sf_dir)
-    an = A.analyze(procs)
+    an = A.shared(A.analyze(procs), A.GRAPH_COLUMNS + list(extra_columns))
     nodes = an.select(F.col("proc").alias("node"))
     edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
     return TR.dependency_levels(nodes, edges, drop_self=True, compat=compat), an
@@ -165,7 +165,7 @@ def index_statistics(spark, sf_dir):
 @register("cycle_members")
 def cycle_members(spark, sf_dir):
     """G17 on the corpus with one back edge (P0 -> largest procedure)."""
-    an = A.analyze(procedure_corpus_cyclic(spark, sf_dir))
+    an = A.shared(A.analyze(procedure_corpus_cyclic(spark, sf_dir)))
     nodes = an.select(F.col("proc").alias("node"))
     edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
     return TR.cycle_members(nodes, edges, drop_self=True).select(F.col("node").alias("proc"), "scc_size")
@@ -179,7 +179,7 @@ def proc_levels_cyclic(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    an = corpus_analysis(spark, sf_dir)
+    an = A.shared(corpus_analysis(spark, sf_dir))
     nodes, edges = G.build_graph(an)
     return an, nodes, edges
 
@@ -687,8 +687,8 @@ def stale_nodes(spark, sf_dir):
 from procweave.sinks import reports as RP  # noqa: E402
 
 
-def _procs_with_levels(spark, sf_dir):
-    lv, an = _levels(spark, sf_dir)
+def _procs_with_levels(spark, sf_dir, extra_columns=()):
+    lv, an = _levels(spark, sf_dir, extra_columns=extra_columns)
     procs = an.select("proc", "complexity_score").join(lv.select(F.col("node").alias("proc"), "level"), "proc")
     edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
     return procs, edges, an, lv
@@ -708,7 +708,7 @@ def mermaid_hierarchy_lines(spark, sf_dir):
 
 @register("flowchart_lines")
 def flowchart_lines(spark, sf_dir):
-    _, _, an, lv = _procs_with_levels(spark, sf_dir)
+    _, _, an, lv = _procs_with_levels(spark, sf_dir, ["signature_parameters"])
     return RP.flowcharts(an, lv).select("proc", F.col("section").cast("bigint").alias("section"), "line")
 
 
@@ -766,7 +766,7 @@ def analyze_field(spark, sf_dir):
 @register("trace_field")
 def trace_field(spark, sf_dir):
     """G10 for field STATUS from the procedure of the largest order key, depth 10."""
-    an = corpus_analysis(spark, sf_dir)
+    an = A.shared(corpus_analysis(spark, sf_dir), A.GRAPH_COLUMNS + A.USAGE_COLUMNS)
     usage = A.field_usage(an)
     edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
     top = S.read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).scalar()
