@@ -55,14 +55,15 @@ def prompt(kind: str, name=None, code=None, ddl=None, columns=None) -> Column:
     return F.concat(*out)
 
 
-def assign_batches(df: DataFrame, order_col: str, size: int = 5, bucket: Column | None = None) -> DataFrame:
+def assign_batches(df: DataFrame, order_col: str, size: int = 5, bucket: Column | None = None,
+                   n_buckets: int = 4096) -> DataFrame:
     """Groups of ``size`` rows for grouped prompts.
 
     Numbering runs inside buckets (``bucket`` column, e.g. a hash or key
     modulo), never over one global window, so a single task never has to
     rank the whole input. ``batch_id = bucket:floor((rank-1)/size)``.
     """
-    b = bucket if bucket is not None else F.pmod(F.xxhash64(order_col), F.lit(64))
+    b = bucket if bucket is not None else F.pmod(F.xxhash64(order_col), F.lit(n_buckets))
     w = Window.partitionBy("_bucket").orderBy(order_col)
     out = df.withColumn("_bucket", b).withColumn("_rn", F.row_number().over(w))
     return (out.withColumn("batch_id", F.concat_ws(":", F.col("_bucket").cast("string"),

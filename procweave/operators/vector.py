@@ -117,28 +117,34 @@ def search_many(docs: DataFrame, queries: DataFrame, k: int = 5, threshold: floa
                 digits: int | None = 4) -> DataFrame:
     """Top-k per query for a bounded set of query vectors ``queries(query_id, embedding)``.
 
-    The query count is checked; sets above ``max_queries`` are split into
-    chunks of that size by ``query_id`` rank and answered chunk by chunk, so
-    the broadcast stays bounded whatever the input.
+    The query set is split by hash until each chunk is proven (by a bounded
+    collect) to hold at most ``max_queries`` rows; chunks are answered one by
+    one, so every broadcast stays bounded whatever the input.
     """
     spark = docs.sparkSession
-    n = queries.count()
-    # hash chunks with 2x slack keep every broadcast under max_queries rows
-    chunks = 1 if n <= max_queries else 2 * (-(-n // max_queries))
     q = queries.select(F.col("query_id").cast("bigint"), F.col(vec_col).alias("_qv"))
-    if chunks > 1:
-        q = q.withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
+    # Split the query set by hash until every chunk is proven to hold at most
+    # max_queries rows (each chunk is collected with limit(max_queries + 1)).
+    pending = [(q, 0)]
     results = []
-    for c in range(chunks):
-        part = q if chunks == 1 else q.filter(F.col("_chunk") == c)
-        rows = part.select("query_id", "_qv").collect()  # at most max_queries rows (checked above)
+    while pending:
+        part, salt = pending.pop()
+        rows = part.limit(max_queries + 1).collect()
+        if len(rows) > max_queries:
+            n_sub = 4
+            bucket = F.pmod(F.xxhash64(F.col("query_id"), F.lit(salt + 1)), F.lit(n_sub))
+            pending.extend((part.filter(bucket == i), salt + 1) for i in range(n_sub))
+            continue
+        if not rows:
+            continue
         qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
         qmat = np.array([np.asarray(r["_qv"], dtype=np.float64) for r in rows]).reshape(len(rows), -1)
         bq = spark.sparkContext.broadcast((qids, qmat))
         fn = _score_partition(bq, k, threshold, metric, id_col, vec_col)
-        cand = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vec_col)).mapInPandas(
-            fn, f"query_id bigint, {id_col} bigint, similarity double")
-        results.append(cand)
+        results.append(docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vec_col)).mapInPandas(
+            fn, f"query_id bigint, {id_col} bigint, similarity double"))
+    if not results:
+        return spark.createDataFrame([], f"query_id bigint, rank bigint, {id_col} bigint, similarity double")
     cand = results[0]
     for r in results[1:]:
         cand = cand.unionByName(r)
