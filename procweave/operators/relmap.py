@@ -64,38 +64,38 @@ def relations(objects: DataFrame, compat: bool = True) -> DataFrame:
     seqs = F.transform(extract_all(F.col("ddl"), "(?i)" + K.MAPPER_SEQUENCE, 1), _normalize)
     seqs = F.filter(seqs, lambda x: (x != "") & (x != name_up))
 
-    base = objects.select(
-        "schema", F.col("name").alias("source"), F.col("obj_type").alias("source_type"),
-        _kind_idx(F.col("obj_type")).alias("kind_idx"),
-        refs.alias("refs"), calls.alias("calls"), seqs.alias("seqs"),
-        F.when(F.col("obj_type") == "packages", F.transform(extract_all(up, _flagged(K.MAPPER_PACKAGE_PROC), 1), _normalize))
-         .otherwise(F.array().cast("array<string>")).alias("pkg_procs"),
-        F.when(F.col("obj_type") == "packages", F.transform(extract_all(up, _flagged(K.MAPPER_PACKAGE_FUNC), 1), _normalize))
-         .otherwise(F.array().cast("array<string>")).alias("pkg_funcs"))
-
-    def stage(col, stage_no, target, typ):
-        return base.select("schema", "source", "source_type", "kind_idx",
-                           F.posexplode_outer(col).alias("pos", "x")).filter(F.col("pos").isNotNull()).select(
-            "schema", "source", target.alias("target"), typ.alias("type"), "source_type",
-            F.struct("kind_idx", "source", F.lit(stage_no).alias("stage"), "pos").alias("ord"))
-
-    x = F.col("x")
-    rels = (stage("refs", 0, x["target"], x["type"])
-            .unionByName(stage("calls", 1, x, F.lit("CALLS")))
-            .unionByName(stage("seqs", 2, x, F.lit("USES_SEQUENCE")))
-            .unionByName(stage(F.when(F.col("source_type") == "views", F.col("refs")), 3, x["target"], F.lit("VIEW_DEPENDS")))
-            .unionByName(stage("pkg_procs", 4, x, F.lit("CONTAINS_PROCEDURE")))
-            .unionByName(stage("pkg_funcs", 5, x, F.lit("CONTAINS_FUNCTION"))))
-
-    names = objects.select("schema", F.col("name").alias("target"), F.col("obj_type").alias("target_type"))
-    # Package members must exist as an object of that kind
-    member = (F.col("type") == "CONTAINS_PROCEDURE") | (F.col("type") == "CONTAINS_FUNCTION")
-    need = F.when(F.col("type") == "CONTAINS_PROCEDURE", "procedures").when(F.col("type") == "CONTAINS_FUNCTION", "functions")
-    pk = rels.filter(member).withColumn("target_type", need).join(names, ["schema", "target", "target_type"], "left_semi").drop("target_type")
-    other = rels.filter(~member)
-    # Keep a relation only if its target is a node of the graph
-    other = other.join(names.select("schema", "target").distinct(), ["schema", "target"], "left_semi")
-    return other.unionByName(pk).select("schema", "source", "target", "type", "source_type", "ord")
+    empty = F.array().cast("array<string>")
+    pkg = F.col("obj_type") == "packages"
+    procs_in_pkg = F.when(pkg, F.transform(extract_all(up, _flagged(K.MAPPER_PACKAGE_PROC), 1), _normalize)).otherwise(empty)
+    funcs_in_pkg = F.when(pkg, F.transform(extract_all(up, _flagged(K.MAPPER_PACKAGE_FUNC), 1), _normalize)).otherwise(empty)
+
+    def tag(arr, stage_no, typ=None):
+        if typ is None:  # refs carry their own type
+            return F.transform(arr, lambda s: F.struct(s["target"].alias("target"), s["type"].alias("type"),
+                                                       F.lit(stage_no).alias("stage")))
+        return F.transform(arr, lambda x: F.struct(x.alias("target"), F.lit(typ).alias("type"), F.lit(stage_no).alias("stage")))
+
+    # every relation of an object in one array, in the order the original appends them
+    all_rels = F.concat(
+        tag(refs, 0), tag(calls, 1, "CALLS"), tag(seqs, 2, "USES_SEQUENCE"),
+        tag(F.transform(F.filter(refs, lambda r: F.col("obj_type") == "views"), lambda r: r["target"]), 3, "VIEW_DEPENDS"),
+        tag(procs_in_pkg, 4, "CONTAINS_PROCEDURE"), tag(funcs_in_pkg, 5, "CONTAINS_FUNCTION"))
+    rels = (objects.select("schema", F.col("name").alias("source"), F.col("obj_type").alias("source_type"),
+                           _kind_idx(F.col("obj_type")).alias("kind_idx"), F.posexplode_outer(all_rels).alias("pos", "r"))
+            .filter(F.col("pos").isNotNull())
+            .select("schema", "source", F.col("r.target").alias("target"), F.col("r.type").alias("type"), "source_type",
+                    F.struct("kind_idx", "source", F.col("r.stage").alias("stage"), "pos").alias("ord")))
+
+    # J5 + J11 in one join: a relation survives when its target is an object
+    # name; package members must be an object of that kind
+    names = objects.groupBy("schema", F.col("name").alias("target")).agg(
+        F.max((F.col("obj_type") == "procedures").cast("int")).alias("is_proc"),
+        F.max((F.col("obj_type") == "functions").cast("int")).alias("is_func"))
+    kept = rels.join(names, ["schema", "target"]).filter(
+        F.when(F.col("type") == "CONTAINS_PROCEDURE", F.col("is_proc") == 1)
+         .when(F.col("type") == "CONTAINS_FUNCTION", F.col("is_func") == 1)
+         .otherwise(F.lit(True)))
+    return kept.select("schema", "source", "target", "type", "source_type", "ord")
 
 
 def graph_nodes(objects: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from procweave.operators import relmap as RM
 from procweave.operators import traversal as TR
 from procweave.operators import vector as V
 from procweave.sinks import reports as RP
+from procweave.session import materialize
 from procweave.sources import stores
 
 
@@ -75,7 +76,7 @@ def analyze_tables(columns: DataFrame, key_rows: DataFrame, index_rows: DataFram
 
 def relationship_map(objects: DataFrame, generated_at: str) -> dict[str, DataFrame]:
     """Relationship map (K3, K12, K13): relations, degrees, DOT and Markdown lines, all schemas at once."""
-    rels = RM.relations(objects)
+    rels = materialize(RM.relations(objects), "relations")  # many consumers: extract once
     deg = RM.degrees(objects, rels)
     return {"relations": rels, "degrees": deg, "object_counts": RM.object_counts(objects),
             "dot": RM.dot_lines(objects, rels), "markdown": RP.markdown_report(objects, rels, deg, generated_at)}
