@@ -87,3 +87,23 @@ def test_relmap_traps(spark):
     assert {r["name"] for r in RM.isolated(deg).collect()} == {"T1"}
     counts = {r["obj_type"]: r["count"] for r in RM.object_counts(objs).collect()}
     assert counts["tables"] == 2 and counts["triggers"] == 2 and counts["views"] == 0 and counts["total"] == 5
+
+
+def test_markdown_report_structure(spark):
+    from procweave.sinks import reports as RP
+    objs = spark.createDataFrame([
+        ("X", "tables", "A", "CREATE TABLE A (ID NUMBER)"),
+        ("X", "views", "V", "CREATE VIEW V AS SELECT * FROM A"),
+        ("X", "sequences", "S", "CREATE SEQUENCE S"),
+    ], "schema string, obj_type string, name string, ddl string")
+    rels = RM.relations(objs)
+    lines = [r["line"] for r in RP.markdown_report(objs, rels, RM.degrees(objs, rels), "2024-01-01 00:00:00")
+             .orderBy("section", "sort_key").collect()]
+    text = "\n".join(lines)
+    assert text.startswith("# Mapa de Relacionamentos - Schema: X\n\n**Gerado em:** 2024-01-01 00:00:00")
+    assert "- **Total de objetos:** 3\n- **Total de relacionamentos:** 2" in text
+    assert "| Tables | 1 |" in lines and "| Views | 1 |" in lines and "| Constraints | 0 |" in lines
+    assert "| A | 1 |" in lines                       # most referenced (distinct pairs)
+    assert "\n### Objetos Isolados (1)\n" in lines and "S" in lines
+    assert "| SELECT_FROM | 1 |" in lines and "| VIEW_DEPENDS | 1 |" in lines
+    assert "| V | SELECT_FROM | A |" in lines
