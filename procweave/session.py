@@ -54,11 +54,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session without any setting (tests) gets a fresh
     directory under the system temp folder.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: only the configured folder can be used
+        if configured:
+            return configured
+        raise RuntimeError("spark.checkpoint.dir is not set")
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
@@ -110,9 +115,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     round-robin so that CPU-heavy per-row work (regexes, scoring, vectors)
     runs on every core. Planning only, no job is started to decide.
     """
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        sc = df.sparkSession.sparkContext
+        target = min_partitions or sc.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
+        return df
+    if current < target:
         return df.repartition(target)
     return df
 
