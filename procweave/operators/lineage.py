@@ -35,21 +35,39 @@ def usage_summary(usage: DataFrame, field: str | None = None, case_sensitive: bo
 
 
 def sources(usage: DataFrame, columns: DataFrame | None = None, field: str | None = None,
-            case_sensitive: bool = False) -> DataFrame:
+            case_sensitive: bool = False, max_results: int | None = None, compat: bool = False) -> DataFrame:
     """(field, source_type, name) - procedures writing the field, and
     tables having a column of that name (J10). The original cuts the usage
     list to 10 before testing for writes (L7); here the answer is whole and a
     caller may ``limit`` it."""
     u = usage if field is None else usage.filter(F.col("field") == _norm(field, case_sensitive))
+    if compat and max_results is not None:
+        # L7 literal form: the first max_results procedures using the field
+        # (ordered by name here) are tested for writes, and the whole list is cut again
+        from pyspark.sql import Window
+        users = u.select("field", "proc").distinct()
+        w = Window.partitionBy("field").orderBy("proc")
+        first = users.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_results).drop("_r")
+        u = u.join(first, ["field", "proc"], "left_semi")
     procs = (u.filter(F.col("operation") == "write").select("field", F.lit("procedure").alias("source_type"),
                                                             F.col("proc").alias("name")).distinct())
     if columns is None:
-        return procs
+        return _cap(procs, max_results)
     col_name = F.col("column_name") if case_sensitive else F.upper("column_name")
     fields = u.select("field").distinct()
     tabs = (columns.select(col_name.alias("field"), F.concat_ws(".", "table_schema", "table_name").alias("name"))
             .join(fields, "field", "left_semi").select("field", F.lit("table").alias("source_type"), "name").distinct())
-    return procs.unionByName(tabs)
+    return _cap(procs.unionByName(tabs), max_results)
+
+
+def _cap(df: DataFrame, n: int | None) -> DataFrame:
+    """Optional per-field cap (procedures first, then tables, by name): a
+    ranking filter, which Spark pre-limits per map task."""
+    if n is None:
+        return df
+    from pyspark.sql import Window
+    w = Window.partitionBy("field").orderBy(F.desc(F.col("source_type") == "procedure"), "name")
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
 def destinations(usage: DataFrame, field: str | None = None, case_sensitive: bool = False) -> DataFrame:

@@ -180,7 +180,7 @@ def cycle_members(nodes: DataFrame, edges: DataFrame, drop_self: bool = False) -
 
 
 def crawl(call_edges: DataFrame, roots: DataFrame, max_depth: int = 5,
-          table_edges: DataFrame | None = None) -> DataFrame:
+          table_edges: DataFrame | None = None, table_columns: DataFrame | None = None) -> DataFrame:
     """Rows (root, node, node_type, depth) reached from each root.
 
     Breadth-first by shortest depth, procedures at depth 0..max_depth,
@@ -215,6 +215,11 @@ def crawl(call_edges: DataFrame, roots: DataFrame, max_depth: int = 5,
         tabs = (procs.join(t, "node").groupBy("root", "table").agg((F.min("depth") + 1).alias("depth"))
                 .select("root", F.col("table").alias("node"), F.lit("table").alias("node_type"),
                         F.col("depth").cast("bigint")))
+        if table_columns is not None:
+            # Column count of each reached table from its metadata, 0 when unknown
+            n = table_columns.groupBy(F.col("table").alias("node")).agg(F.count(F.lit(1)).cast("bigint").alias("columns"))
+            tabs = tabs.join(n, "node", "left").withColumn("columns", F.coalesce("columns", F.lit(0)).cast("bigint"))
+            out = out.withColumn("columns", F.lit(None).cast("bigint"))
         out = out.unionByName(tabs)
     return out
 

@@ -215,18 +215,42 @@ def code_document(analysis: DataFrame) -> DataFrame:
                            F.length(code).cast("bigint").alias("code_length"))
 
 
-def node_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Embedding text of any graph node: type title, schema, FK targets
-    (<=5, for tables), complexity when non-zero."""
+def node_document(nodes: DataFrame, edges: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """Embedding text of any graph node: type title, schema, purpose,
+    up to 15 columns (tables), up to 5 FK targets, business logic cut to 300
+    characters, up to 10 parameters, complexity when non-zero. Optional
+    attributes are used when the node frame has them (``business_purpose``,
+    ``business_logic``, ``parameters``); ``columns(table, column_name,
+    data_type, ordinal)`` supplies table columns."""
     fk = (edges.filter(F.col("edge_type") == "references")
           .groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("fks")))
     n = nodes.join(fk, "id", "left")
+    has = set(nodes.columns)
+    if columns is not None:
+        # first 15 columns by ordinal: a ranking filter, pre-limited per map task
+        from pyspark.sql import Window
+        w = Window.partitionBy("table").orderBy("ordinal")
+        c = (columns.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= K.NODE_DOC_MAX_COLUMNS)
+             .groupBy(F.col("table").alias("id"))
+             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "column_name", "data_type"))),
+                                           lambda x: F.concat_ws(" ", x["column_name"], x["data_type"])), ", ").alias("cols")))
+        n = n.join(c, "id", "left")
+    else:
+        n = n.withColumn("cols", F.lit(None).cast("string"))
+    purpose = F.col("business_purpose") if "business_purpose" in has else F.lit(None).cast("string")
+    logic = F.col("business_logic") if "business_logic" in has else F.lit(None).cast("string")
+    params = (F.array_join(F.transform(F.slice("parameters", 1, K.NODE_DOC_MAX_PARAMS), lambda p: p["name"]), ", ")
+              if "parameters" in has else F.lit(None).cast("string"))
     title = F.concat(F.initcap(F.coalesce("node_type", F.lit("unknown"))), F.lit(": "), F.col("name"))
     text = F.concat_ws(
         "\n", title,
         F.when(F.col("schema").isNotNull(), F.concat(F.lit("Schema: "), F.col("schema"))),
+        F.when(purpose.isNotNull() & (purpose != ""), F.concat(F.lit("Purpose: "), purpose)),
+        F.when(F.col("cols").isNotNull(), F.concat(F.lit("Columns: "), F.col("cols"))),
         F.when(F.size(F.coalesce("fks", F.array())) > 0,
                F.concat(F.lit("References: "), F.array_join(F.slice("fks", 1, K.NODE_DOC_MAX_FKS), ", "))),
+        F.when(logic.isNotNull() & (logic != ""), F.concat(F.lit("Logic: "), F.substring(logic, 1, K.NODE_DOC_LOGIC_CHARS))),
+        F.when(params.isNotNull() & (params != ""), F.concat(F.lit("Parameters: "), params)),
         F.when(F.coalesce("complexity_score", F.lit(0)) != 0,
                F.concat(F.lit("Complexity: "), F.col("complexity_score").cast("string"))))
     return n.select(F.col("id").alias("node_id"), "node_type", "schema", "name", text.alias("text"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from procweave.operators import catalog as C
 from procweave.operators import relmap as RM
-from procweave.operators import traversal as TR
+from procweave.operators import traversal as TR  # noqa: F401
 
 COLS = "table_schema string, table_name string, column_name string, ordinal int, data_type string, char_len int, " \
        "num_precision int, num_scale int, is_nullable string, column_default string, comment string"
@@ -107,3 +107,24 @@ def test_markdown_report_structure(spark):
     assert "\n### Objetos Isolados (1)\n" in lines and "S" in lines
     assert "| SELECT_FROM | 1 |" in lines and "| VIEW_DEPENDS | 1 |" in lines
     assert "| V | SELECT_FROM | A |" in lines
+
+
+def test_index_definition_parsing(spark):
+    defs = spark.createDataFrame([("CREATE UNIQUE INDEX ix_a ON s.t USING btree (\"Col A\", col_b)",),
+                                  ("CREATE INDEX ix_b ON s.t USING btree (col_c)",)], "indexdef string")
+    rows = C.index_columns_from_definition(defs).collect()
+    assert [(r["columns"], r["is_unique"]) for r in rows] == [(["Col A", "col_b"], True), (["col_c"], False)]
+
+
+def test_crawl_table_columns_and_field_source_caps(spark):
+    from procweave.operators import lineage as LN
+    calls = spark.createDataFrame([("A", "B")], "src string, dst string")
+    tabs = spark.createDataFrame([("A", "S.T1"), ("B", "S.T2")], "src string, dst string")
+    cols = spark.createDataFrame([("S.T1", "X"), ("S.T1", "Y")], "table string, column_name string")
+    got = {r["node"]: r["columns"] for r in TR.crawl(calls, spark.createDataFrame([("A",)], "root string"), 5, tabs, cols)
+           .filter("node_type = 'table'").collect()}
+    assert got == {"S.T1": 2, "S.T2": 0}
+    usage = spark.createDataFrame([(f"P{i:02d}", "F", "read" if i < 10 else "write") for i in range(12)],
+                                  "proc string, field string, operation string")
+    assert LN.sources(usage).count() == 2
+    assert LN.sources(usage, max_results=10, compat=True).count() == 0   # cut before the write test
