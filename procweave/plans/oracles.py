@@ -849,3 +849,15 @@ ORACLES["node_documents"] = f"""WITH {CORPUS}, {GRAPH}
 SELECT id AS node_id, node_type, 'Procedure: ' || name || chr(10) || 'Schema: ' || schema
        || CASE WHEN complexity_score <> 0 THEN chr(10) || 'Complexity: ' || CAST(complexity_score AS VARCHAR) ELSE '' END AS text
 FROM nodes"""
+ORACLES["mermaid_table_hierarchy_lines"] = f"""WITH RECURSIVE {CATALOG},
+e AS (SELECT DISTINCT src, dst FROM fke WHERE src <> dst),
+paths(node, depth) AS (SELECT tbl, 0 FROM tabs UNION SELECT e.src, p.depth + 1 FROM paths p JOIN e ON e.dst = p.node),
+lv AS (SELECT node AS tbl, CAST(max(depth) AS BIGINT) AS level FROM paths GROUP BY node),
+t AS (SELECT lv.tbl, lv.level, s.n_fks, s.complexity_score AS sc FROM lv JOIN scored s ON s.table_schema || '.' || s.table_name = lv.tbl)
+SELECT CAST(0 AS BIGINT) AS section, '```mermaid' || chr(10) || {_q(K.MERMAID_INIT_FLOWCHART)} || chr(10) || 'graph TD' AS line
+UNION ALL SELECT DISTINCT 1, '    subgraph Level' || CAST(level AS VARCHAR) || '["Nível ' || CAST(level AS VARCHAR) || '"]' FROM lv
+UNION ALL SELECT 1, '        ' || translate(tbl, '.- ', '___') || '["' || translate(tbl || '\\n[Complex: ' || CAST(sc AS VARCHAR) || ', FKs: '
+          || CAST(n_fks AS VARCHAR) || ']', '"[]', '''()') || '"]:::' || {CLASS_SQL.format(s='sc')} FROM t
+UNION ALL SELECT 1, '    end' FROM (SELECT DISTINCT level FROM lv)
+UNION ALL SELECT 2, '    ' || translate(src, '.- ', '___') || ' --> ' || translate(dst, '.- ', '___') FROM fke
+UNION ALL SELECT 3, {_q(K.MERMAID_CLASS_DEFS)}"""

@@ -822,3 +822,12 @@ def node_documents(spark, sf_dir):
     """Embedding text of every graph node of the corpus graph."""
     _, nodes, edges = _graph(spark, sf_dir)
     return V.node_document(nodes, edges).select("node_id", "node_type", "text")
+
+
+@register("mermaid_table_hierarchy_lines")
+def mermaid_table_hierarchy_lines(spark, sf_dir):
+    tables, e = _fk_graph(spark, sf_dir)
+    lv = TR.dependency_levels(tables.select(F.col("table").alias("node")), e.select("src", "dst"))
+    levels = lv.select(F.col("node").alias("table"), "level")
+    return RP.table_hierarchy_diagram(levels, _summary(spark, sf_dir), e).select(
+        F.col("section").cast("bigint").alias("section"), "line")

@@ -250,3 +250,31 @@ def add_mermaid_init(docs: DataFrame, content_col: str = "content") -> DataFrame
     return docs.select("*", F.when(eligible, kind).alias("diagram_type"),
                        (eligible & (new != c)).alias("updated"),
                        F.when(eligible, new).otherwise(c).alias("new_content"))
+
+
+def table_hierarchy_diagram(levels: DataFrame, summary: DataFrame, fk_edges: DataFrame) -> DataFrame:
+    """Mermaid graph with one subgraph per FK level; node label carries
+    complexity and FK count, class by complexity; every FK edge drawn.
+
+    ``levels(table, level)``, ``summary(table_schema, table_name, n_fks,
+    complexity_score)``, ``fk_edges(src, dst)``.
+    """
+    spark = levels.sparkSession
+    s = summary.select(F.concat_ws(".", "table_schema", "table_name").alias("table"), "n_fks", "complexity_score")
+    t = levels.filter(F.col("level").isNotNull()).join(s, "table")
+    lv = F.lpad(F.col("level").cast("string"), 6, "0")
+    opens = levels.filter(F.col("level").isNotNull()).select("level").distinct().select(
+        *_line(1, F.concat(lv, F.lit("\u0000")), F.concat(F.lit("    subgraph Level"), F.col("level").cast("string"),
+                                                          F.lit('["Nível '), F.col("level").cast("string"), F.lit('"]'))))
+    closes = levels.filter(F.col("level").isNotNull()).select("level").distinct().select(
+        *_line(1, F.concat(lv, F.lit("\u0002")), F.lit("    end")))
+    label = mermaid_label(F.concat(F.col("table"), F.lit("\\n[Complex: "), F.col("complexity_score").cast("string"),
+                                   F.lit(", FKs: "), F.col("n_fks").cast("string"), F.lit("]")))
+    nodes = t.select(*_line(1, F.concat(lv, F.lit("\u0001"), F.col("table")),
+                            F.concat(F.lit("        "), mermaid_id("table"), F.lit('["'), label, F.lit('"]:::'),
+                                     complexity_class("complexity_score"))))
+    edges = fk_edges.select(*_line(2, F.concat_ws("\u0001", "src", "dst"),
+                                   F.concat(F.lit("    "), mermaid_id("src"), F.lit(" --> "), mermaid_id("dst"))))
+    head = _frame(spark, [(0, "", "```mermaid\n" + K.MERMAID_INIT_FLOWCHART + "\ngraph TD")])
+    foot = _frame(spark, [(3, "", K.MERMAID_CLASS_DEFS)])
+    return head.unionByName(opens).unionByName(nodes).unionByName(closes).unionByName(edges).unionByName(foot)
