@@ -716,7 +716,8 @@ UNION ALL SELECT 1, '    ' || translate(proc, '.- ', '___') || '["' || translate
 UNION ALL SELECT 2, '    ' || translate(src, '.- ', '___') || ' --> ' || translate(dst, '.- ', '___') FROM ed
 UNION ALL SELECT 3, {_q(K.MERMAID_CLASS_DEFS)}"""
 ORACLES["token_windows"] = f"""WITH {TOKENS}
-SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 HOUR AS window_end,
+SELECT CAST(time_bucket(INTERVAL 1 HOUR, timestamp) AS VARCHAR) AS window_start,
+       CAST(time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 HOUR AS VARCHAR) AS window_end,
        operation, CAST(count(*) AS BIGINT) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
        CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(tokens_total) AS BIGINT) AS tokens_total,
        round(avg(tokens_total), 6) AS avg_tokens_total FROM tm GROUP BY ALL"""

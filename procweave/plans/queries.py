@@ -734,7 +734,10 @@ from procweave.streaming import tokens as TS  # noqa: E402
 
 @register("token_windows")
 def token_windows(spark, sf_dir):
-    return TS.windowed(S.token_metrics(spark, sf_dir), "1 hour")
+    w = TS.windowed(S.token_metrics(spark, sf_dir), "1 hour")
+    # window bounds as text so both engines report the same type
+    return w.withColumn("window_start", F.col("window_start").cast("string")) \
+            .withColumn("window_end", F.col("window_end").cast("string"))
 
 
 # ------------------------------------------------------------- field lineage
