@@ -156,3 +156,31 @@ def test_token_stream(spark, sf_small):
     # append mode emits only windows closed by the watermark: a subset of the batch answer, all equal
     assert streamed.count() > 0
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_catalog_sql_on_information_schema(spark):
+    """The PostgreSQL-dialect catalog SQL runs on DuckDB's standard information_schema;
+    its rows go through the same assembly as the JDBC frames."""
+    import duckdb
+    from procweave.operators import catalog as C
+    con = duckdb.connect()
+    con.execute("CREATE SCHEMA app")
+    con.execute("CREATE TABLE app.customers (id INTEGER PRIMARY KEY, name VARCHAR(40) NOT NULL, score DECIMAL(10,2))")
+    con.execute("CREATE TABLE app.orders (id INTEGER PRIMARY KEY, cust INTEGER REFERENCES app.customers(id), total DOUBLE)")
+
+    def frame(what, schema):
+        res = con.execute(J.POSTGRESQL.sql(what, "app"))
+        return spark.createDataFrame(res.fetchall(), schema)
+
+    cols = frame("columns", "table_schema string, table_name string, column_name string, ordinal int, data_type string, "
+                            "char_len int, num_precision int, num_scale int, is_nullable string, column_default string, comment string")
+    keys = frame("keys", "constraint_name string, constraint_type string, table_schema string, table_name string, "
+                         "column_name string, ordinal int, ref_schema string, ref_table string, ref_column string, "
+                         "delete_rule string, update_rule string")
+    assembled = {r["column_name"]: r for r in C.assemble_columns(cols, keys).filter("table_name = 'orders'").collect()}
+    assert assembled["id"]["is_primary_key"] and assembled["cust"]["foreign_key_table"] == "app.customers"
+    fks = C.foreign_keys(keys).collect()
+    assert [(r["columns"], r["referenced_table"], r["referenced_columns"]) for r in fks] == [("cust", "app.customers", "id")]
+    tables = spark.createDataFrame([("app.customers",), ("app.orders",)], "table string")
+    assert [(r["src"], r["dst"]) for r in C.resolve_fk_targets(C.foreign_keys(keys), tables).collect()] == \
+        [("app.orders", "app.customers")]
