@@ -75,36 +75,69 @@ def called_tables(code: ColumnOrName, variant: str = "static") -> Column:
 
 
 # ------------------------------------------------------------------ P6
+def _bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``fn`` as a lambda variable.
+
+    An expression referenced inside a higher-order lambda is re-evaluated for
+    every element; binding it through a one-element array avoids that.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _doubling_round(step: int):
+    def run(arr):
+        shifted = F.transform(arr, lambda x, i: x + F.when(i >= step, F.element_at(arr, i - step + 1)).otherwise(F.lit(0)))
+        return F.when(F.size(arr) > step, shifted).otherwise(arr)
+    return run
+
+
+def prefix_sums(arr: Column, max_log2: int = 24) -> Column:
+    """Inclusive prefix sums of an int array in O(n log n) element steps
+    (Hillis-Steele doubling; rounds beyond the array length are skipped)."""
+    out = arr
+    for r in range(max_log2):
+        out = _bind(out, _doubling_round(1 << r))
+    return out
+
+
 def split_top_level_commas(text: ColumnOrName) -> Column:
     """Split on commas that are outside parentheses; parts are stripped.
 
-    Exact for any nesting depth: a fold over the characters carrying
-    (parts, current, depth), like a hand-written scanner but as one
-    ``aggregate`` expression. A trailing part is kept when non-empty before
-    stripping; an empty part between two commas is kept as ''.
+    Same result as a character scanner tracking the parenthesis depth (also
+    for unbalanced text), without a per-character fold: the text is split on
+    every comma, each piece's net parenthesis count is summed with a prefix
+    sum, a comma is top-level when the running depth before it is 0, and
+    the pieces between top-level commas are joined back. A trailing part is
+    kept when characters follow the last top-level comma; an empty part
+    between two commas is kept as ''. Cost O(n + c log c) for c commas.
     """
-    chars = F.split(_col(text), "")
-    init = F.struct(
-        F.array().cast("array<string>").alias("parts"),
-        F.lit("").alias("cur"),
-        F.lit(0).alias("depth"),
-    )
-
-    def step(acc, ch):
-        parts, cur, depth = acc["parts"], acc["cur"], acc["depth"]
-        return (
-            F.when(ch == "(", F.struct(parts.alias("parts"), F.concat(cur, ch).alias("cur"), (depth + 1).alias("depth")))
-            .when(ch == ")", F.struct(parts.alias("parts"), F.concat(cur, ch).alias("cur"), (depth - 1).alias("depth")))
-            .when((ch == ",") & (depth == 0),
-                  F.struct(F.concat(parts, F.array(strip_ws(cur))).alias("parts"), F.lit("").alias("cur"), depth.alias("depth")))
-            .otherwise(F.struct(parts.alias("parts"), F.concat(cur, ch).alias("cur"), depth.alias("depth")))
-        )
-
-    def finish(acc):
-        return F.when(acc["cur"] != "", F.concat(acc["parts"], F.array(strip_ws(acc["cur"])))).otherwise(acc["parts"])
-
-    return F.when(_col(text).isNull(), F.lit(None).cast("array<string>")).otherwise(
-        F.aggregate(chars, init, step, finish))
+    t = _col(text)
+
+    def delta(p):
+        opens = F.length(p) - F.length(F.replace(p, F.lit("("), F.lit("")))
+        closes = F.length(p) - F.length(F.replace(p, F.lit(")"), F.lit("")))
+        return (opens - closes).cast("int")
+
+    def with_pieces(pieces):
+        m = F.size(pieces)
+
+        def with_depths(depth_after):
+            cuts = F.when(m > 1, F.filter(F.sequence(F.lit(0), m - 2), lambda j: F.element_at(depth_after, j + 1) == 0)) \
+                .otherwise(F.array().cast("array<int>"))
+            starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c + 1))
+            ends = F.concat(cuts, F.array(m - 1))
+            raw = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")),
+                              lambda z: F.array_join(F.slice(pieces, z["s"] + 1, z["e"] - z["s"] + 1), ","))
+
+            def finish(parts):
+                kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+                return F.transform(kept, strip_ws)
+            return _bind(raw, finish)
+        return _bind(prefix_sums(F.transform(pieces, delta)), with_depths)
+
+    return (F.when(t.isNull(), F.lit(None).cast("array<string>"))
+            .when(F.length(t) == 0, F.array().cast("array<string>"))
+            .otherwise(_bind(F.split(t, ","), with_pieces)))
 
 
 # ------------------------------------------------------------------ P7
