@@ -32,11 +32,19 @@ def _normalize(c):
     return F.upper(F.regexp_replace(F.trim(c), "^[\"']+|[\"']+$", ""))
 
 
-def _table_refs(upper_ddl, name_upper):
+_NAME = r"[\"']?(\w+)[\"']?"
+_QUALIFIED_NAME = r"[\"']?(?:\w+[\"']?\s*\.\s*[\"']?)?(\w+)[\"']?"
+
+
+def _table_refs(upper_ddl, name_upper, compat: bool = True):
+    """Table references of the eight DDL patterns. ``compat=True`` keeps the
+    literal patterns (a quoted ``"SCHEMA"."TABLE"`` captures SCHEMA);
+    ``compat=False`` skips an optional schema part and captures the table."""
     def tagged(typ):
         return lambda x: F.struct(_normalize(x).alias("target"), F.lit(typ).alias("type"))
 
-    parts = [F.transform(extract_all(upper_ddl, _flagged(pat), 1), tagged(typ)) for pat, typ in K.MAPPER_TABLE_PATTERNS]
+    pats = [(p if compat else p.replace(_NAME, _QUALIFIED_NAME), t) for p, t in K.MAPPER_TABLE_PATTERNS]
+    parts = [F.transform(extract_all(upper_ddl, _flagged(pat), 1), tagged(typ)) for pat, typ in pats]
     arr = F.concat(*parts)
     return F.filter(arr, lambda s: (s["target"] != "") & (s["target"] != name_upper))
 
@@ -48,11 +56,12 @@ def relations(objects: DataFrame, compat: bool = True) -> DataFrame:
     stage, position); it decides the DiGraph edge label (last wins) and the
     report's first-100 list. Duplicates are kept (the relation list is not
     a set); calls are deduplicated per object as in the original.
+    ``compat=False`` lets table references carry a (quoted) schema part.
     """
     up = F.upper(F.col("ddl"))
     name_up = F.upper(F.col("name"))
     kw = F.array(*[F.lit(k) for k in K.MAPPER_KEYWORDS])
-    refs = _table_refs(up, name_up)
+    refs = _table_refs(up, name_up, compat)
 
     explicit = F.transform(extract_all(up, _flagged(K.MAPPER_CALL_EXPLICIT), 2), _normalize)
     explicit = F.filter(explicit, lambda x: ~F.array_contains(kw, x) & (x != name_up) & (x != ""))

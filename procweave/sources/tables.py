@@ -152,15 +152,6 @@ def catalog_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CATALOG_SQL = {
-    # DuckDB text of the same frames, used by the oracles.
-    "lineitem_dedup": (
-        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber "
-        "ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS _rn FROM lineitem) WHERE _rn = 1"
-    ),
-}
-
-
 # ---------------------------------------------------------------- DDL objects
 # One DDL text per row of part / supplier / nation / region / customer, in the
 # nine object kinds of a schema export. Names are upper case like Oracle's.

@@ -128,3 +128,17 @@ def test_crawl_table_columns_and_field_source_caps(spark):
                                   "proc string, field string, operation string")
     assert LN.sources(usage).count() == 2
     assert LN.sources(usage, max_results=10, compat=True).count() == 0   # cut before the write test
+
+
+def test_relmap_schema_qualified_mode(spark):
+    objs = spark.createDataFrame([
+        ("X", "tables", "ORDERS", 'CREATE TABLE ORDERS (C NUMBER REFERENCES "X"."CUSTOMERS" (ID))'),
+        ("X", "tables", "CUSTOMERS", "CREATE TABLE CUSTOMERS (ID NUMBER)"),
+        ("X", "views", "V", "CREATE VIEW V AS SELECT * FROM X.ORDERS JOIN CUSTOMERS ON 1 = 1"),
+    ], "schema string, obj_type string, name string, ddl string")
+    literal = {(r["source"], r["target"], r["type"]) for r in RM.relations(objs).collect()}
+    qualified = {(r["source"], r["target"], r["type"]) for r in RM.relations(objs, compat=False).collect()}
+    assert ("ORDERS", "CUSTOMERS", "FOREIGN_KEY") not in literal
+    assert ("ORDERS", "CUSTOMERS", "FOREIGN_KEY") in qualified
+    assert ("V", "ORDERS", "SELECT_FROM") in qualified and ("V", "ORDERS", "SELECT_FROM") not in literal
+    assert ("V", "CUSTOMERS", "JOIN") in literal and ("V", "CUSTOMERS", "JOIN") in qualified
