@@ -137,6 +137,7 @@ def parameter_rows(analysis: DataFrame, form: str = "static") -> DataFrame:
 
 
 GRAPH_COLUMNS = ["proc", "schema", "short_name", "id", "calls", "tables", "complexity_score"]
+CALL_COLUMNS = ["proc", "schema", "short_name", "id", "calls", "complexity_score"]
 USAGE_COLUMNS = ["select_fields", "insert_fields", "update_fields", "transformations"]
 
 

@@ -65,10 +65,12 @@ def build_graph(analysis: DataFrame, table_nodes: DataFrame | None = None,
         calls = (calls.join(r, calls.dst == r.name, "left")
                  .select("src", F.coalesce("resolved_id", "dst").alias("dst")))
     calls = calls.select("src", "dst", F.lit("calls").alias("edge_type"), F.lit("procedure_call").alias("relationship"))
-    access = analysis.select(F.col("id").alias("src"), F.explode_outer("tables").alias("dst"),
-                             F.lit("accesses").alias("edge_type"), F.lit("table_access").alias("relationship")) \
-        .filter(F.col("dst").isNotNull())
-    edges = calls.unionByName(access)
+    edges = calls
+    if "tables" in analysis.columns:
+        access = analysis.select(F.col("id").alias("src"), F.explode_outer("tables").alias("dst"),
+                                 F.lit("accesses").alias("edge_type"), F.lit("table_access").alias("relationship")) \
+            .filter(F.col("dst").isNotNull())
+        edges = calls.unionByName(access)
     if fk_edges is not None:
         edges = edges.unionByName(fk_edges.select("src", "dst", "edge_type", "relationship"))
     return nodes, edges

@@ -61,7 +61,7 @@ def proc_complexity(spark, sf_dir):
 
 @register("top_called")
 def top_called(spark, sf_dir):
-    return G.top_called_procedures(A.shared(corpus_analysis(spark, sf_dir)), 10)
+    return G.top_called_procedures(A.shared(corpus_analysis(spark, sf_dir), A.CALL_COLUMNS), 10)
 
 
 @register("proc_select_fields")
@@ -121,7 +121,7 @@ def proc_control(spark, sf_dir):
 
 def _levels(spark, sf_dir, cyclic=False, compat=False, extra_columns=()):
     procs = procedure_corpus_cyclic(spark, sf_dir) if cyclic else procedure_corpus(spark, sf_dir)
-    an = A.shared(A.analyze(procs), A.GRAPH_COLUMNS + list(extra_columns))
+    an = A.shared(A.analyze(procs), A.CALL_COLUMNS + list(extra_columns))
     nodes = an.select(F.col("proc").alias("node"))
     edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
     return TR.dependency_levels(nodes, edges, drop_self=True, compat=compat), an
@@ -165,7 +165,7 @@ def index_statistics(spark, sf_dir):
 @register("cycle_members")
 def cycle_members(spark, sf_dir):
     """G17 on the corpus with one back edge (P0 -> largest procedure)."""
-    an = A.shared(A.analyze(procedure_corpus_cyclic(spark, sf_dir)))
+    an = A.shared(A.analyze(procedure_corpus_cyclic(spark, sf_dir)), A.CALL_COLUMNS)
     nodes = an.select(F.col("proc").alias("node"))
     edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
     return TR.cycle_members(nodes, edges, drop_self=True).select(F.col("node").alias("proc"), "scc_size")
@@ -708,7 +708,7 @@ def mermaid_hierarchy_lines(spark, sf_dir):
 
 @register("flowchart_lines")
 def flowchart_lines(spark, sf_dir):
-    _, _, an, lv = _procs_with_levels(spark, sf_dir, ["signature_parameters"])
+    _, _, an, lv = _procs_with_levels(spark, sf_dir, ["tables", "signature_parameters"])
     return RP.flowcharts(an, lv).select("proc", F.col("section").cast("bigint").alias("section"), "line")
 
 
