@@ -862,3 +862,37 @@ UNION ALL SELECT 1, '        ' || translate(tbl, '.- ', '___') || '["' || transl
 UNION ALL SELECT 1, '    end' FROM (SELECT DISTINCT level FROM lv)
 UNION ALL SELECT 2, '    ' || translate(src, '.- ', '___') || ' --> ' || translate(dst, '.- ', '___') FROM fke
 UNION ALL SELECT 3, {_q(K.MERMAID_CLASS_DEFS)}"""
+
+
+_NL = "chr(10)"
+ORACLES["report_lines"] = f"""WITH {RELS},
+kinds(obj_type, kidx) AS (VALUES {', '.join(f"('{k}', {i})" for i, k in enumerate(K.OBJECT_KINDS))}),
+per AS (SELECT DISTINCT schema, obj_type, name FROM objs),
+cnt AS (SELECT s.schema, k.obj_type, k.kidx, (SELECT count(*) FROM per WHERE per.schema = s.schema AND per.obj_type = k.obj_type) AS c
+        FROM (SELECT DISTINCT schema FROM objs) s, kinds k),
+tot AS (SELECT schema, sum(c) AS n_obj FROM cnt GROUP BY schema),
+nrel AS (SELECT schema, count(*) AS n_rel FROM rels GROUP BY schema),
+tin AS (SELECT * FROM (SELECT schema, name, in_degree AS c, row_number() OVER (PARTITION BY schema ORDER BY in_degree DESC, name) AS r FROM deg) WHERE r <= 10),
+tout AS (SELECT * FROM (SELECT schema, name, out_degree AS c, row_number() OVER (PARTITION BY schema ORDER BY out_degree DESC, name) AS r FROM deg) WHERE r <= 10),
+iso AS (SELECT schema, name FROM deg WHERE in_degree + out_degree = 0),
+byt AS (SELECT schema, type, count(*) AS c FROM rels GROUP BY ALL),
+ordered AS (SELECT schema, source, type, target,
+                   row_number() OVER (PARTITION BY schema ORDER BY kind_idx, source, stage, sub) AS r FROM rels)
+SELECT t.schema, CAST(0 AS BIGINT) AS section,
+       '# Mapa de Relacionamentos - Schema: ' || t.schema || {_NL} || {_NL} || '**Gerado em:** 2024-01-01 00:00:00' || {_NL} || {_NL}
+       || '## Estatísticas' || {_NL} || {_NL} || '- **Total de objetos:** ' || CAST(t.n_obj AS VARCHAR) || {_NL}
+       || '- **Total de relacionamentos:** ' || CAST(coalesce(n.n_rel, 0) AS VARCHAR) || {_NL} || {_NL} || '### Objetos por Tipo' || {_NL} || {_NL}
+       || '| Tipo | Quantidade |' || {_NL} || '|------|------------|' AS line
+FROM tot t LEFT JOIN nrel n USING (schema)
+UNION ALL SELECT schema, 1, '| ' || upper(left(obj_type, 1)) || lower(substr(obj_type, 2)) || ' | ' || CAST(c AS VARCHAR) || ' |' FROM cnt
+UNION ALL SELECT DISTINCT schema, 2, {_NL} || '### Objetos Mais Referenciados' || {_NL} || {_NL} || '| Objeto | Referências |' || {_NL} || '|--------|-------------|' FROM objs
+UNION ALL SELECT schema, 3, '| ' || name || ' | ' || CAST(c AS VARCHAR) || ' |' FROM tin
+UNION ALL SELECT DISTINCT schema, 4, {_NL} || '### Objetos que Mais Referenciam Outros' || {_NL} || {_NL} || '| Objeto | Referências |' || {_NL} || '|--------|-------------|' FROM objs
+UNION ALL SELECT schema, 5, '| ' || name || ' | ' || CAST(c AS VARCHAR) || ' |' FROM tout
+UNION ALL SELECT schema, 6, {_NL} || '### Objetos Isolados (' || CAST(count(*) AS VARCHAR) || ')' || {_NL} FROM iso GROUP BY schema
+UNION ALL SELECT schema, 7, name FROM iso
+UNION ALL SELECT DISTINCT schema, 8, {_NL} || '### Relacionamentos por Tipo' || {_NL} || {_NL} || '| Tipo | Quantidade |' || {_NL} || '|------|------------|' FROM objs
+UNION ALL SELECT schema, 9, '| ' || type || ' | ' || CAST(c AS VARCHAR) || ' |' FROM byt
+UNION ALL SELECT DISTINCT schema, 10, {_NL} || '## Relacionamentos' || {_NL} || {_NL} || '| Origem | Tipo | Destino |' || {_NL} || '|--------|------|---------|' FROM objs
+UNION ALL SELECT schema, 11, '| ' || source || ' | ' || type || ' | ' || target || ' |' FROM ordered WHERE r <= 100
+UNION ALL SELECT schema, 12, {_NL} || '*Mostrando 100 de ' || CAST(n_rel AS VARCHAR) || ' relacionamentos. Ver arquivo JSON para lista completa.*' FROM nrel WHERE n_rel > 100"""

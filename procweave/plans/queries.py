@@ -725,7 +725,7 @@ def report_lines(spark, sf_dir):
     objs, r = _rels(spark, sf_dir)
     r = materialize(r, "relations")  # read by six report sections: extract once
     return RP.markdown_report(objs, r, RM.degrees(objs, r), generated_at="2024-01-01 00:00:00").select(
-        "schema", F.col("section").cast("bigint").alias("section"), "sort_key", "line")
+        "schema", F.col("section").cast("bigint").alias("section"), "line")
 
 
 # ------------------------------------------------------------- token windows (T2 batch form)
