@@ -7,6 +7,10 @@ the document and edge tables. Readers take, per key, the row of the latest
 batch (:func:`current`), which is the upsert semantics of the original
 vector index, without rewriting old data. Re-running a batch overwrites
 only its own partition, so a retried epoch stays exactly-once.
+
+The file source tracks files by path: a changed procedure is delivered as
+a new file (for example in a new drop folder); its key (the upper-case
+stem) makes the newer batch supersede the older one.
 """
 
 from __future__ import annotations

@@ -139,6 +139,15 @@ def test_incremental_index_stream(spark):
     docs, edges = incremental.current(spark, out)
     assert {r["node_id"] for r in docs.collect()} == {"UNKNOWN.A", "UNKNOWN.B"}
     assert ("UNKNOWN.A", "B") in {(r["src"], r["dst"]) for r in edges.filter("edge_type = 'calls'").collect()}
+    # a changed procedure arrives as a new file (new drop folder): it replaces the old version
+    os.makedirs(f"{src}/v2")
+    open(f"{src}/v2/a.prc", "w").write("CREATE PROCEDURE a AS BEGIN c(); END;")
+    q = incremental.start(spark, src, out, ck)
+    q.awaitTermination(120)
+    docs, edges = incremental.current(spark, out)
+    assert docs.count() == 2
+    calls = {(r["src"], r["dst"]) for r in edges.filter("edge_type = 'calls'").collect()}
+    assert ("UNKNOWN.A", "C") in calls and ("UNKNOWN.A", "B") not in calls
 
 
 def test_token_stream(spark, sf_small):
@@ -184,3 +193,34 @@ def test_catalog_sql_on_information_schema(spark):
     tables = spark.createDataFrame([("app.customers",), ("app.orders",)], "table string")
     assert [(r["src"], r["dst"]) for r in C.resolve_fk_targets(C.foreign_keys(keys), tables).collect()] == \
         [("app.orders", "app.customers")]
+
+
+def test_token_stream_drops_late_rows(spark):
+    """Append mode with a watermark: a window is emitted once, after the
+    watermark passes its end; rows older than the watermark are dropped."""
+    import datetime as dt
+    from procweave.streaming import tokens as TS
+    src = tempfile.mkdtemp(prefix="pw-late-src-")
+    out = tempfile.mkdtemp(prefix="pw-late-out-")
+    ck = tempfile.mkdtemp(prefix="pw-late-ck-")
+    schema = "request_id long, operation string, tokens_in long, tokens_out long, tokens_total long, timestamp timestamp, use_toon boolean"
+
+    def batch(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{src}/{name}")
+
+    t0 = dt.datetime(2024, 1, 1, 0, 5)
+    batch([(1, "op", 10, 5, 15, t0, True), (2, "op", 20, 5, 25, t0 + dt.timedelta(minutes=10), False)], "b1")
+    batch([(3, "op", 1, 1, 2, t0 + dt.timedelta(hours=3), True)], "b2")   # moves the watermark past 01:00
+
+    def run():
+        st = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        q = TS.start_to_table(st, out, ck, "1 hour", "10 minutes", available_now=True)
+        q.awaitTermination(180)
+
+    run()
+    batch([(4, "op", 1000, 0, 1000, t0 + dt.timedelta(minutes=1), True)], "b3")   # late: before the watermark
+    run()
+    run()   # a further trigger lets the watermark close what is due
+    got = {(str(r["window_start"]), r["requests"], r["tokens_total"]) for r in spark.read.parquet(out).collect()}
+    assert ("2024-01-01 00:00:00", 2, 40) in got           # the late row was not added
+    assert all(total != 1040 for _, _, total in got)
