@@ -128,3 +128,16 @@ def test_cycle_members_match_reachability(spark, seed):
     got = TR.cycle_members(spark.createDataFrame([(v,) for v in nodes], "node string"),
                            spark.createDataFrame(edges, "src string, dst string"))
     assert {r["node"] for r in got.collect()} == py_cyclic_nodes(nodes, edges)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet="aZ_19 .(\n", min_size=0, max_size=40), min_size=5, max_size=30))
+def test_fast_call_patterns_match_python_re(spark, texts):
+    import re
+
+    from procweave.functions import constants as K
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in K.CALL_PATTERNS:
+        fast = X._fast_call_pattern(p)
+        got = [r[0] for r in df.select(X.extract_all("t", fast, 1)).collect()]
+        assert got == [[m.group(1) for m in re.finditer(p, t)] for t in texts], p
