@@ -141,3 +141,17 @@ def test_fast_call_patterns_match_python_re(spark, texts):
         fast = X._fast_call_pattern(p)
         got = [r[0] for r in df.select(X.extract_all("t", fast, 1)).collect()]
         assert got == [[m.group(1) for m in re.finditer(p, t)] for t in texts], p
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(["p", "_", "1", " ", "\n", "IN", "OUT", "in", " OUT ", "NUMBER", "(", ")", ","]),
+                         min_size=0, max_size=25).map("".join), min_size=5, max_size=30))
+def test_fast_param_pattern_matches_python_re(spark, texts):
+    import re
+
+    from procweave.functions import constants as K
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fast = X._fast_param_pattern(K.PARAM_PATTERN)
+    for g in (1, 2, 3):
+        got = [r[0] for r in df.select(X.extract_all("t", fast, g)).collect()]
+        assert got == [[m.group(g) for m in re.finditer(K.PARAM_PATTERN, t)] for t in texts]
