@@ -65,7 +65,8 @@ def relations(objects: DataFrame, compat: bool = True) -> DataFrame:
 
     explicit = F.transform(extract_all(up, _flagged(K.MAPPER_CALL_EXPLICIT), 2), _normalize)
     explicit = F.filter(explicit, lambda x: ~F.array_contains(kw, x) & (x != name_up) & (x != ""))
-    paren = F.transform(extract_all(up, K.MAPPER_CALL_PAREN, 1), _normalize)
+    # possessive form of the fixed pattern: same matches, no backtracking into the name
+    paren = F.transform(extract_all(up, K.MAPPER_CALL_PAREN.replace("]*)\\s*\\(", "]*+)\\s*+\\("), 1), _normalize)
     paren = F.filter(paren, lambda x: ~F.array_contains(kw, x) & (x != name_up) & (F.length(x) >= K.MAPPER_CALL_MIN_LEN))
     calls = F.when(F.col("obj_type").isin(*K.CALLER_KINDS), F.array_distinct(F.concat(explicit, paren))) \
         .otherwise(F.array().cast("array<string>"))

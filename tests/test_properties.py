@@ -155,3 +155,22 @@ def test_fast_param_pattern_matches_python_re(spark, texts):
     for g in (1, 2, 3):
         got = [r[0] for r in df.select(X.extract_all("t", fast, g)).collect()]
         assert got == [[m.group(g) for m in re.finditer(K.PARAM_PATTERN, t)] for t in texts]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(["v_", "l_", "x", "1", " ", "\n", ";", "(", ")", "NUMBER", "A", "_"]),
+                         min_size=0, max_size=25).map("".join), min_size=5, max_size=30))
+def test_fast_variable_and_mapper_patterns_match_python_re(spark, texts):
+    import re
+
+    from procweave.functions import constants as K
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fast_var = X._fast_variable_pattern(K.VARIABLE_PATTERN)
+    got = [r[0] for r in df.select(X.extract_all("t", fast_var, 1)).collect()]
+    assert got == [[m.group(1) for m in re.finditer(K.VARIABLE_PATTERN, t)] for t in texts]
+    fast_call = K.MAPPER_CALL_PAREN.replace("]*)\\s*\\(", "]*+)\\s*+\\(")
+    assert fast_call != K.MAPPER_CALL_PAREN
+    up = [t.upper() for t in texts]
+    dfu = spark.createDataFrame([(t,) for t in up], "t string")
+    got = [r[0] for r in dfu.select(X.extract_all("t", fast_call, 1)).collect()]
+    assert got == [[m.group(1) for m in re.finditer(K.MAPPER_CALL_PAREN, t)] for t in up]
