@@ -248,3 +248,10 @@ def limit_entities(df: DataFrame, n: int | None, key: str = "name") -> DataFrame
     """L3: the first ``n`` entities by key, applied before any analysis (pushed
     into the plan as a top-n instead of loading everything first)."""
     return df if n is None else df.orderBy(key).limit(n)
+
+
+def attach_stats(tables: DataFrame, stats: DataFrame) -> DataFrame:
+    """Table list left-joined to the dialect's statistics rows
+    (``row_count``, human-readable ``table_size``); missing stats stay NULL."""
+    keys = ["table_schema", "table_name"]
+    return tables.join(stats.select(*keys, "row_count", "table_size"), keys, "left")

@@ -127,3 +127,19 @@ def test_caches(spark):
     key = spark.range(1).select(CA.cache_key(F.lit("postgresql"), F.lit("h"), F.lit(None), F.lit("db"), F.lit(None), F.lit("u"))).first()[0]
     import hashlib
     assert key == hashlib.sha256("postgresql|h||db||u".encode()).hexdigest()[:16]
+
+
+def test_source_priority_and_stats(spark):
+    from procweave.operators import catalog as C
+    cache = spark.createDataFrame([("A", "c")], "name string, code string")
+    files = spark.createDataFrame([("A", "f"), ("B", "f")], "name string, code string")
+    db = spark.createDataFrame([("A", "d"), ("B", "d"), ("C", "d")], "name string, code string")
+    frames = [("cache", cache), ("file", files), ("database", db)]
+    got = {r["name"]: r["source"] for r in CA.prefer_sources(frames).collect()}
+    assert got == {"A": "cache", "B": "file", "C": "database"}
+    forced = {r["name"]: r["source"] for r in CA.prefer_sources(frames, force_refresh=True).collect()}
+    assert forced == {"A": "file", "B": "file", "C": "database"}
+    tables = spark.createDataFrame([("s", "t1"), ("s", "t2")], "table_schema string, table_name string")
+    stats = spark.createDataFrame([("s", "t1", 10, "1 MB")], "table_schema string, table_name string, row_count long, table_size string")
+    rows = {r["table_name"]: (r["row_count"], r["table_size"]) for r in C.attach_stats(tables, stats).collect()}
+    assert rows == {"t1": (10, "1 MB"), "t2": (None, None)}
