@@ -221,3 +221,6 @@ ER_MAX_PK = 3
 ER_FIRST_COLUMNS = 5
 ER_MAX_COLUMNS = 8
 ER_TYPE_CHARS = 30
+
+# Fallback DDL text of the Oracle and MySQL loaders when no DDL can be rebuilt.
+PLACEHOLDER_DDL = "-- DDL para {schema}.{table}\n-- (Reconstruído a partir de metadados)"

@@ -159,8 +159,15 @@ def table_ddl(cols: DataFrame, fks: DataFrame, style: str = "postgresql") -> Dat
     """CREATE TABLE text per table from assembled columns and FKs.
 
     Column definitions are ordered by ordinal; FK constraints by name.
-    ``style='mssql'`` brackets identifiers.
+    ``style='mssql'`` brackets identifiers; ``style='placeholder'`` gives the
+    fixed fallback text of the Oracle and MySQL loaders.
     """
+    if style == "placeholder":
+        from procweave.functions import constants as K
+        head, tail = K.PLACEHOLDER_DDL.split("{schema}")[0], K.PLACEHOLDER_DDL.split("{table}")[1]
+        tables = cols.select("table_schema", "table_name").distinct()
+        return tables.select("table_schema", "table_name", F.concat(F.lit(head), F.col("table_schema"), F.lit("."),
+                                                                    F.col("table_name"), F.lit(tail)).alias("ddl"))
     q = (lambda c: F.concat(F.lit("["), c, F.lit("]"))) if style == "mssql" else (lambda c: c)
     coldef = F.concat(F.lit("    "), q(F.col("column_name")), F.lit(" "), F.col("data_type"),
                       F.when(~F.col("nullable"), F.lit(" NOT NULL")).otherwise(F.lit("")),

@@ -142,3 +142,10 @@ def test_relmap_schema_qualified_mode(spark):
     assert ("ORDERS", "CUSTOMERS", "FOREIGN_KEY") in qualified
     assert ("V", "ORDERS", "SELECT_FROM") in qualified and ("V", "ORDERS", "SELECT_FROM") not in literal
     assert ("V", "CUSTOMERS", "JOIN") in literal and ("V", "CUSTOMERS", "JOIN") in qualified
+
+
+def test_placeholder_ddl(spark):
+    cols = spark.createDataFrame([("s", "t", "a", 1, "integer", None, None, None, "NO", None, None)], COLS)
+    keys = spark.createDataFrame([], KEYS)
+    ddl = C.table_ddl(C.assemble_columns(cols, keys), C.foreign_keys(keys), style="placeholder").first()["ddl"]
+    assert ddl == "-- DDL para s.t\n-- (Reconstruído a partir de metadados)"
