@@ -551,7 +551,7 @@ def vector_statistics(spark, sf_dir):
 
 # ------------------------------------------------------------- model steps
 from procweave.operators import cache as CA  # noqa: E402
-from procweave.operators import llm as L  # noqa: E402
+from procweave.operators import model_steps as L  # noqa: E402
 
 PARSE_RESPONSE_SQL = (
     "CASE p_partkey % 4 "

@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from procweave.plans import pipelines as P
+from procweave.plans import jobs as P
 from procweave.sinks import reports as RP
 from procweave.sources import stores
 from procweave.sources import tables as S

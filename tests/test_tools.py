@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from procweave.functions import constants as K
 from procweave.functions.sqlguard import apply_limit_policy, float_text, guard_error
 from procweave.operators import cache as CA
-from procweave.operators import llm as L
+from procweave.operators import model_steps as L
 from procweave.operators import profile as PR
 from procweave.operators import tokens as TK
 
