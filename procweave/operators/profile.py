@@ -29,6 +29,10 @@ def field_profile(df: DataFrame, columns: list[str], exact: bool = True, avg_dig
         return float_text(v) if t in ("float", "double") else v.cast("string")
 
     def avg_of(c, t):
+        if t in ("float", "double"):
+            # exact sum over DECIMAL: a DOUBLE sum depends on the order of the
+            # partial sums, which can flip the rounded average at a tie
+            return F.avg(F.expr(f"try_cast(`{c}` AS DECIMAL(38,10))"))
         if t in numeric or t.startswith("decimal"):
             return F.avg(F.col(c).cast("double"))
         if t == "string":
@@ -50,7 +54,7 @@ def field_profile(df: DataFrame, columns: list[str], exact: bool = True, avg_dig
                  (F.col("__total") - F.col(f"{c}__nn")).cast("bigint").alias("null_count"),
                  F.col(f"{c}__dc").cast("bigint").alias("distinct_count"),
                  F.col(f"{c}__min").alias("min_value"), F.col(f"{c}__max").alias("max_value"),
-                 F.round(F.col(f"{c}__avg"), avg_digits).alias("avg_value"))
+                 F.round(F.col(f"{c}__avg"), avg_digits).cast("double").alias("avg_value"))
         for c in columns]))
     return one.select(rows.alias("r")).select("r.*")
 

@@ -518,14 +518,19 @@ UNION ALL SELECT DISTINCT schema, 3, chr(10) || '}}' FROM objs"""
 from procweave.sources.tables import QUERY_TEXT_SQL, RESPONSE_JSON_SQL  # noqa: E402
 
 
+_FLOATING = {"l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice", "c_acctbal", "s_acctbal",
+             "p_retailprice", "value"}
+
+
 def _profile(table: str, cols) -> str:
     parts = []
     for c in cols:
+        avg_t = "DECIMAL(38,10)" if c in _FLOATING else "DOUBLE"
         parts.append(
             f"SELECT '{c}' AS field_name, CAST(count(*) AS BIGINT) AS total_count, CAST(count({c}) AS BIGINT) AS non_null_count, "
             f"CAST(count(*) - count({c}) AS BIGINT) AS null_count, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count, "
             f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, "
-            f"round(avg(TRY_CAST({c} AS DOUBLE)), 6) AS avg_value FROM {table}")
+            f"CAST(round(avg(TRY_CAST({c} AS {avg_t})), 6) AS DOUBLE) AS avg_value FROM {table}")
     return " UNION ALL ".join(parts)
 
 
