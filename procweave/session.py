@@ -107,13 +107,32 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a frame over the cluster's cores when its scan yields fewer splits.
+def _input_bytes(df: DataFrame) -> int | None:
+    """Total size of the files behind a scan (None when unknown)."""
+    try:
+        total = 0
+        for f in df.inputFiles():
+            if f.startswith("file:"):
+                total += os.path.getsize(f[len("file:"):])
+            else:
+                from pyarrow import fs as pafs
+                filesystem, path = pafs.FileSystem.from_uri(f)
+                total += filesystem.get_file_info(path).size
+        return total
+    except Exception:  # noqa: BLE001 - unknown size: decide on split count only
+        return None
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, bytes_per_partition: int = 64 * 1024) -> DataFrame:
+    """Spread a scan over the cluster's cores when it yields fewer splits than it should.
 
     A big input already arrives in thousands of splits and is returned as
-    is; a small file (one Parquet row group is one task) is redistributed
-    round-robin so that CPU-heavy per-row work (regexes, scoring, vectors)
-    runs on every core. Planning only, no job is started to decide.
+    is. A small file (one Parquet row group is one task) that feeds
+    CPU-heavy per-row work (regexes, scoring, vectors) is redistributed
+    round-robin: to about one partition per ``bytes_per_partition`` of
+    input, at most the default parallelism, so a tiny dimension table is
+    left alone instead of being cut into thousands of empty tasks. Only
+    metadata is read to decide; no job is started.
     """
     try:
         sc = df.sparkSession.sparkContext
@@ -121,6 +140,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         current = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
         return df
+    size = _input_bytes(df)
+    if size is not None and min_partitions is None:
+        target = min(target, max(1, -(-size // bytes_per_partition)))
     if current < target:
         return df.repartition(target)
     return df
