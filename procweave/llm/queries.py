@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_blocks, license_scan, packing, quality_rules, simhash, suffix_dedup, url_reputation
+from . import decontaminate, html_blocks, license_scan, packing, quality_rules, simhash, suffix_dedup, url_reputation
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,6 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
     "op10_license_scan": op10_license_scan,
 }
