@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_blocks, kneser_ney, license_scan, packing, quality_rules, simhash, suffix_dedup, url_reputation
+from . import chat, decontaminate, html_blocks, kneser_ney, license_scan, packing, quality_rules, simhash, suffix_dedup, url_reputation
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_kneser_ney": op2_kneser_ney,
     "op3_packing": op3_packing,
+    "op4_chat_perspectives": op4_chat_perspectives,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
