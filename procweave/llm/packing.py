@@ -223,7 +223,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", max_len: int
     data = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     kind = data.schema["_key"].dataType.simpleString()
     numbers = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"]
-    schema = f"_key {kind}, " + ", ".join(f"{n} long" for n in numbers) + (", ids array<long>" if with_ids else "")
+    schema = f"_key {kind}, " + ", ".join(f"{n} long" for n in numbers) + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -242,7 +242,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", max_len: int
             cols = list(zip(*out))
             arrays = [pa.array(cols[0], key_type), *(pa.array(c, pa.int64()) for c in cols[1:])]
             if with_ids:
-                arrays.append(pa.array([p.tolist() for p in pieces], pa.list_(pa.int64())))
+                bounds = np.cumsum([0, *map(len, pieces)])
+                arrays.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(pieces).astype(np.int32))))
             return pa.RecordBatch.from_arrays(arrays, names=["_key", *numbers, *["ids"] * with_ids])
 
         out, pieces = [], []

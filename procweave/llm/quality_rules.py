@@ -84,14 +84,16 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, _let(hashes, covered)).otherwise(F.lit(0).cast("long"))
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
+            carry: tuple[str, ...] = ()) -> DataFrame:
     """Counts of every text: one projection, no shuffle."""
+    carried = [f"_c{i}" for i in range(len(carry))]
     base = docs.select(F.col(key).alias("_key"), F.col(stratum).cast("string").alias("_stratum"),
-                       F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+                       *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     words = F.array_remove(F.split(F.col("_text"), SPACE + "+"), "")
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = base.select(
-        "_key", "_stratum",
+        "_key", "_stratum", *carried,
         _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"),
                                        F.length(F.array_join(w, "")).cast("long").alias("word_chars"))).alias("w"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -99,7 +101,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: s
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"),
                                        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (counts.select("_key", "_stratum", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines",
+    return (counts.select("_key", "_stratum", *carried, "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines",
                           "w.n_repeat_words", "n_bangs", "l.n_lines")
             .withColumn("base_failed", failed))
 
@@ -201,15 +203,26 @@ def apply_cutoffs(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
-          risk: float = RISK, delta: float = DELTA, grids=GRIDS) -> DataFrame:
-    """One row per input row: key, the counts, ``base_failed`` and ``kept``.
+          risk: float = RISK, delta: float = DELTA, grids=GRIDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: key, carried columns, the counts, ``base_failed`` and ``kept``.
 
     The counts are written once to the shared folder (a few numbers per text),
     so choosing cutoffs and applying them do not read the texts twice.
     """
     from .common import stage
 
-    counts = stage(measure(docs, key, text, stratum), "quality")
+    counts = stage(measure(docs, key, text, stratum, carry), "quality")
     cutoffs = choose_cutoffs(counts, labels, key, risk=risk, delta=delta, grids=grids)
     return (apply_cutoffs(counts, cutoffs).drop("_stratum", "n_bangs", "n_lines").withColumnRenamed("_key", key)
-            .select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+            .select(key, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],
+                    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **options) -> DataFrame:
+    """``docs`` without the rows that the rules reject."""
+    # rows of one id are judged by their own text: the verdicts are joined on id and content
+    marked = docs.withColumn("_llm_hash", F.xxhash64(text, stratum))
+    verdicts = judge(marked, labels, key, text, stratum, carry=("_llm_hash",), **options).where("kept")
+    verdicts = verdicts.select(F.col(key).alias("_llm_key"), F.col("_llm_hash").alias("_llm_h")).distinct()
+    return (marked.join(verdicts, marked[key].eqNullSafe(verdicts["_llm_key"]) & (marked["_llm_hash"] == verdicts["_llm_h"]), "left_semi")
+            .select(docs.columns))
