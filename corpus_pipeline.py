@@ -1,22 +1,57 @@
-"""Corpus pipeline: quality rules first; each stage reads what its predecessor kept."""
+"""Corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage reads what its predecessor kept. All stages but the last return the
+columns of ``documents``; the last returns the packed pieces with their ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procweave.llm import quality_rules
+from procweave.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup
 from procweave.llm.common import stage, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdicts = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    return docs.join(verdicts.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group (three-word shingles, at most two differing bits): the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 100-byte strings that start earlier; ``n_chars`` is the new length."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = suffix_dedup.dedup(docs, with_text=True, carry=others)
+    cut = cut.withColumn("text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("simhash near-dedup", near_duplicate_stage),
+    ("suffix-array dedup", passage_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
+#: The stages' methods are beyond SQL; tests hold the rows against brute-force versions.
 ORACLE_SQL = None
 
 
