@@ -160,13 +160,15 @@ def choose_cutoffs(counts: DataFrame, labels: DataFrame, key: str = "doc_id", go
     held = counts.where("not base_failed").select(
         "_key", "_stratum", *[c.alias(f"m_{m}") for m, c in measures().items() if m in grids])
     held = held.join(marks, "_key")
-    # every labelled text adds to one cell per measure: the number of grid cutoffs it exceeds
+    # every labelled text adds to one cell per measure: the first step of the (lenient to strict) grid that rejects it
     cells = F.array(*[F.struct(F.lit(m).alias("measure"), sum(
-        [(F.col(f"m_{m}") > c).cast("int") for c in grid], F.lit(0)).alias("beyond")) for m, grid in grids.items()])
-    binned = (held.select("_stratum", "_good", F.explode(cells).alias("c")).groupBy("_stratum", "c.measure", "c.beyond")
+        [(F.col(f"m_{m}") <= c).cast("int") for c in grid], F.lit(1)).alias("first"), F.lit(len(grid)).alias("last"))
+        for m, grid in grids.items()])
+    binned = (held.select("_stratum", "_good", F.explode(cells).alias("c")).groupBy("_stratum", "c.measure", "c.first", "c.last")
               .agg(F.sum((F.col("_good") == 1).cast("long")).alias("good"), F.sum((F.col("_good") == 0).cast("long")).alias("bad")))
-    # a text beyond b cutoffs is rejected by the first b of the (lenient to strict) grid
-    ladder = binned.select("_stratum", "measure", F.explode(F.sequence(F.lit(0), F.col("beyond"))).alias("step"), "good", "bad")
+    # and is rejected by all steps from there on; step 0 counts everyone
+    later = F.when(F.col("first") <= F.col("last"), F.sequence("first", "last")).otherwise(F.array().cast("array<int>"))
+    ladder = binned.select("_stratum", "measure", F.explode(F.concat(F.array(F.lit(0)), later)).alias("step"), "good", "bad")
     steps = ladder.groupBy("_stratum", "measure", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     everyone = steps.where("step = 0").select("_stratum", "measure", F.col("good").alias("n"))
     strata = everyone.agg(F.countDistinct(F.coalesce(F.concat(F.lit("s"), "_stratum"), F.lit("")))).first()[0]
