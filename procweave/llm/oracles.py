@@ -67,7 +67,7 @@ host_post AS (
   SELECT host, k * m + h.bad AS al, k * (1 - m) + h.n - h.bad AS be FROM hosts h JOIN domain_post USING (domain, suffix), host_level_k),
 rated AS (
   SELECT host, al / (al + be) AS mean,
-         al / (al + be) - 1.645 * sqrt((al / (al + be)) * (1 - al / (al + be)) / (al + be + 1)) AS low FROM host_post),
+         al / (al + be) - sqrt(0.95 / 0.05) * sqrt((al / (al + be)) * (1 - al / (al + be)) / (al + be + 1)) AS low FROM host_post),
 ruled AS (
   SELECT page_id, host, path, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'

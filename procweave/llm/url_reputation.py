@@ -6,7 +6,8 @@ the parent's posterior mean and its strength (the number of pseudo-pages) is
 the method-of-moments estimate over all labelled children, so a host with few
 labelled pages is pulled to its domain, a domain to its suffix, a suffix to the
 overall rate. A page without a matching rule is blocked when the lower bound of
-its host's posterior bad rate exceeds ``max_bad_rate``.
+its host's posterior bad rate (Cantelli's inequality, good for any shape and so
+for hosts with few pages) exceeds ``max_bad_rate``.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 no rule, and is judged by the reputation of the empty host. Outcome rows with a
@@ -18,6 +19,8 @@ only the key and url columns are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,8 @@ TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "
 
 #: Bounds of the intra-parent correlation estimate (prior strength is 1 / rho - 1).
 RHO_MIN, RHO_MAX = 0.001, 0.9
-Z = 1.645
+#: Cantelli: with z = sqrt((1 - d) / d) the posterior mass below mean - z * sd is at most d, whatever its shape; here d = 0.05.
+Z = math.sqrt(0.95 / 0.05)
 MAX_BAD_RATE = 0.5
 
 
