@@ -107,8 +107,9 @@ def _doubling_round(step: int):
 
 def prefix_sums(arr: Column, max_log2: int = 24) -> Column:
     """Inclusive prefix sums of an int array in O(n log n) element steps
-    (Hillis-Steele doubling; rounds beyond the array length are skipped)."""
-    out = arr
+    (Hillis-Steele doubling; rounds beyond the array length are skipped). An
+    array of over ``2 ** max_log2`` elements is an error, not a wrong sum."""
+    out = F.when(F.size(arr) > (1 << max_log2), F.raise_error(F.lit("prefix_sums: array too long"))).otherwise(arr)
     for r in range(max_log2):
         out = _bind(out, _doubling_round(1 << r))
     return out
@@ -178,34 +179,40 @@ def clean_field_name(expr: ColumnOrName) -> Column:
     return F.when(ok, name)
 
 
+def cut(text: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or all of them when no number is asked for."""
+    return text if n is None else F.substring(text, 1, n)
+
+
 # ------------------------------------------------------------------ P5
-def select_fields(code: ColumnOrName) -> Column:
-    """array<struct<field, context>> of fields read by SELECT lists."""
+def select_fields(code: ColumnOrName, context_chars: int | None = None) -> Column:
+    """array<struct<field, context>> of fields read by SELECT lists (P5-P7); the
+    context is the whole statement part, or its first ``context_chars`` characters."""
     clauses = extract_all(code, K.SELECT_PATTERN, 1)
     whole = extract_all(code, K.SELECT_PATTERN, 0)
     per_clause = F.transform(
         F.arrays_zip(clauses.alias("c"), whole.alias("w")),
         lambda z: F.transform(split_top_level_commas(z["c"]),
                               lambda part: F.struct(clean_field_name(part).alias("field"),
-                                                    F.substring(z["w"], 1, K.CONTEXT_CHARS).alias("context"))))
+                                                    cut(z["w"], context_chars).alias("context"))))
     flat = F.flatten(per_clause)
     return F.filter(flat, lambda s: s["field"].isNotNull() & (s["field"] != "*"))
 
 
 # ------------------------------------------------------------------ P8
-def insert_fields(code: ColumnOrName) -> Column:
+def insert_fields(code: ColumnOrName, context_chars: int | None = None) -> Column:
     lists = extract_all(code, K.INSERT_PATTERN, 1)
     whole = extract_all(code, K.INSERT_PATTERN, 0)
     per = F.transform(
         F.arrays_zip(lists.alias("c"), whole.alias("w")),
         lambda z: F.transform(F.split(z["c"], ","),
                               lambda p: F.struct(F.upper(strip_ws(p)).alias("field"),
-                                                 F.substring(z["w"], 1, K.CONTEXT_CHARS).alias("context"))))
+                                                 cut(z["w"], context_chars).alias("context"))))
     return F.filter(F.flatten(per), lambda s: s["field"] != "")
 
 
 # ------------------------------------------------------------------ P9
-def update_fields(code: ColumnOrName) -> Column:
+def update_fields(code: ColumnOrName, context_chars: int | None = None) -> Column:
     sets = extract_all(code, K.UPDATE_PATTERN, 1)
     whole = extract_all(code, K.UPDATE_PATTERN, 0)
 
@@ -217,7 +224,7 @@ def update_fields(code: ColumnOrName) -> Column:
     per = F.transform(
         F.arrays_zip(sets.alias("c"), whole.alias("w")),
         lambda z: F.transform(F.split(z["c"], ","),
-                              lambda a: one(a, F.substring(z["w"], 1, K.CONTEXT_CHARS))))
+                              lambda a: one(a, cut(z["w"], context_chars))))
     return F.filter(F.flatten(per), lambda s: s["field"].isNotNull() & (s["field"] != ""))
 
 
@@ -254,15 +261,16 @@ def parameters(code: ColumnOrName) -> Column:
 
 
 # ------------------------------------------------------------------ P14
-def signature_parameters(code: ColumnOrName, strict: bool = False) -> Column:
+def signature_parameters(code: ColumnOrName, strict: bool = False, max_chars: int | None = None) -> Column:
     """Signature-form parameters: array<struct<name, type, direction, position>>.
 
     Literal mode: the direction is found by *substring* (``OUT`` anywhere in
     the parameter text, then ``IN``), and the substrings ``IN``/``OUT`` are
     deleted from the type text (so ``INT`` becomes ``T``). ``strict=True``
-    uses whole-word tests instead.
+    uses whole-word tests instead. The signature is looked for in the whole
+    text, or in its first ``max_chars`` characters.
     """
-    head = F.substring(_col(code), 1, K.MAX_CODE_LENGTH_PARAMETERS)
+    head = cut(_col(code), max_chars)
     inside = F.regexp_extract(head, K.SIGNATURE_PATTERN, 1)
     has = head.rlike(K.SIGNATURE_PATTERN)
     pieces = F.split(inside, K.SIGNATURE_SPLIT)
@@ -271,7 +279,7 @@ def signature_parameters(code: ColumnOrName, strict: bool = False) -> Column:
         s = strip_ws(p)
         words = F.split(s, r"\s+")
         up = F.upper(s)
-        rest = F.array_join(F.slice(words, 2, 1_000_000), " ")
+        rest = F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
         if strict:
             out_w = up.rlike(r"\bOUT\b")
             in_w = up.rlike(r"\bIN\b")

@@ -100,12 +100,12 @@ def field_usage(analysis: DataFrame) -> DataFrame:
             "proc", F.posexplode_outer(col).alias("pos", "u")).filter(F.col("pos").isNotNull()).select(
             "proc", F.col("u.field").alias("field"), F.lit(op).alias("operation"), F.lit(kind).alias("kind"),
             F.col("u.context").alias("context"), F.lit(None).cast("string").alias("transformation"),
-            (F.lit(i * 1_000_000) + F.col("pos")).cast("bigint").alias("seq")))
+            (F.lit(i << 32) + F.col("pos")).cast("bigint").alias("seq")))
     frames.append(analysis.select("proc", F.posexplode_outer("transformations").alias("pos", "u")).filter(F.col("pos").isNotNull()).select(
         "proc", F.col("u.field").alias("field"), F.lit("transform").alias("operation"),
         F.lit("transform").alias("kind"), F.lit(None).cast("string").alias("context"),
         F.col("u.transformation").alias("transformation"),
-        (F.lit(3 * 1_000_000) + F.col("pos")).cast("bigint").alias("seq")))
+        (F.lit(3 << 32) + F.col("pos")).cast("bigint").alias("seq")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

@@ -31,30 +31,46 @@ def _suffix_keys(id_col: str = "id") -> DataFrame:
     parts = F.split(F.col(id_col), r"\.")
     n = F.size(parts)
     return F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))),
-                       lambda i: F.array_join(F.slice(parts, i, 1_000_000), "."))
+                       lambda i: F.array_join(F.slice(parts, i, n), "."))
 
 
 def resolve_names(names: DataFrame, nodes: DataFrame, node_type: str | None = "procedure",
-                  name_col: str = "name") -> DataFrame:
-    """(name, resolved_id). Unresolved names are absent (left-join to keep them)."""
+                  name_col: str = "name", ignore_case: bool = False) -> DataFrame:
+    """(name, resolved_id). Unresolved names are absent (left-join to keep them).
+
+    The node side is reduced to one id per key before the join, so a name that
+    exists in thousands of schemas costs one row; ``ignore_case`` compares
+    upper-cased names (extracted table names are upper-case, a catalog's keys
+    need not be).
+    """
+    fold = (lambda c: F.upper(c)) if ignore_case else (lambda c: c)
     cand = nodes if node_type is None else nodes.filter(F.col("node_type") == node_type)
-    wanted = names.select(F.col(name_col).alias("_q")).distinct()
+    wanted = names.select(F.col(name_col).alias("_n"), fold(F.col(name_col)).alias("_q")).distinct()
     exact = cand.select(F.col("id").alias("_q"), F.col("id").alias("rid"), F.lit(0).alias("prio"))
     by_suffix = (cand.select(F.explode(_suffix_keys("id")).alias("_q"), F.col("id").alias("rid"))
                  .withColumn("prio", F.lit(1)))
     by_name = cand.select(F.col("name").alias("_q"), F.col("id").alias("rid"), F.lit(1).alias("prio"))
-    keys = exact.unionByName(by_suffix).unionByName(by_name)
-    hits = wanted.join(keys, "_q")
-    best = hits.groupBy("_q").agg(F.min(F.struct("prio", "rid")).alias("b"))
-    return best.select(F.col("_q").alias(name_col), F.col("b.rid").alias("resolved_id"))
+    keys = (exact.unionByName(by_suffix).unionByName(by_name).withColumn("_q", fold(F.col("_q")))
+            .groupBy("_q").agg(F.min(F.struct("prio", "rid")).alias("b")))
+    return wanted.join(keys, "_q").select(F.col("_n").alias(name_col), F.col("b.rid").alias("resolved_id"))
+
+
+def resolve_access(access: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Access edges whose extracted table names are replaced by the table node they
+    mean (names without a node stay)."""
+    r = resolve_names(access.select(F.col("dst").alias("name")), nodes, "table", ignore_case=True)
+    others = [c for c in access.columns if c != "dst"]
+    return (access.join(r, access["dst"] == r["name"], "left")
+            .select(*others, F.coalesce("resolved_id", "dst").alias("dst")).select(access.columns))
 
 
 def build_graph(analysis: DataFrame, table_nodes: DataFrame | None = None,
                 fk_edges: DataFrame | None = None, resolve: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from a static analysis (and optionally a catalog).
 
-    ``resolve=True`` points call edges at resolved node ids (G3);
-    ``resolve=False`` keeps the bare callee names as the original does.
+    ``resolve=True`` points call edges at resolved node ids (G3), and access
+    edges at the table nodes where a catalog is given;
+    ``resolve=False`` keeps the bare names as the original does.
     """
     nodes = procedure_nodes(analysis)
     if table_nodes is not None:
@@ -70,6 +86,8 @@ def build_graph(analysis: DataFrame, table_nodes: DataFrame | None = None,
         access = analysis.select(F.col("id").alias("src"), F.explode_outer("tables").alias("dst"),
                                  F.lit("accesses").alias("edge_type"), F.lit("table_access").alias("relationship")) \
             .filter(F.col("dst").isNotNull())
+        if resolve and table_nodes is not None:
+            access = resolve_access(access, nodes)
         edges = calls.unionByName(access)
     if fk_edges is not None:
         edges = edges.unionByName(fk_edges.select("src", "dst", "edge_type", "relationship"))

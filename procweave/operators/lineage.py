@@ -86,7 +86,7 @@ def flow(usage: DataFrame, columns: DataFrame | None = None) -> DataFrame:
                     F.coalesce("total_destinations", F.lit(0)).cast("bigint").alias("total_destinations")))
 
 
-def trace(call_edges: DataFrame, usage: DataFrame, starts: DataFrame, field: str, max_depth: int = 10,
+def trace(call_edges: DataFrame, usage: DataFrame, starts: DataFrame, field: str, max_depth: int | None = 10,
           table_edges: DataFrame | None = None, columns: DataFrame | None = None,
           case_sensitive: bool = False) -> DataFrame:
     """Rows ``(root, kind, procedure, operation, depth, detail)`` for a field.

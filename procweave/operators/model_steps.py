@@ -15,38 +15,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procweave.functions import constants as K
+from procweave.functions.extract import cut
 from procweave.functions.scoring import code_complexity, repair_score
 
 # Prompt templates (ours; the wording only steers the model). {code}, {name},
-# {ddl}, {columns} are filled with the cut texts below.
+# {ddl}, {columns} are filled with whole texts, or cut ones when a number is given.
 TEMPLATES = {
     "business_logic": "Describe the business logic of procedure {name}.\nCode:\n{code}",
     "dependencies": "List the procedures and tables used by this code as JSON.\nCode:\n{code}",
     "complexity": "Rate the complexity of this code from 1 to 10. Answer with the number.\nCode:\n{code}",
     "table_purpose": "Describe the purpose of table {name}.\nColumns: {columns}\nDDL:\n{ddl}",
 }
-CUTS = {
-    "business_logic": K.MAX_CODE_LENGTH_BUSINESS_LOGIC,
-    "dependencies": K.MAX_CODE_LENGTH_DEPENDENCIES,
-    "complexity": K.MAX_CODE_LENGTH_COMPLEXITY,
-    "table_purpose": 2000,
-}
-MAX_PROMPT_COLUMNS = 20
-DEFAULT_PURPOSE = "Tabela {name} com {n} colunas"
-UNIDENTIFIED_PURPOSE = "Tabela {name} com propósito não identificado"
 JSON_OBJECT_PATTERN = r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
 
 
-def prompt(kind: str, name=None, code=None, ddl=None, columns=None) -> Column:
-    """Fill a template with cut texts (code/DDL to the configured length,
-    first 20 column names)."""
+def prompt(kind: str, name=None, code=None, ddl=None, columns=None, max_chars: int | None = None,
+           max_columns: int | None = None) -> Column:
+    """Fill a template with the code, DDL and column names; whole, or cut to
+    ``max_chars`` characters (``K.MAX_CODE_LENGTH_*``) and ``max_columns`` names
+    where a model's context asks for it."""
     parts = TEMPLATES[kind].split("{")
     out = [F.lit(parts[0])]
     values = {
         "name": name,
-        "code": F.substring(code, 1, CUTS[kind]) if code is not None else None,
-        "ddl": F.substring(ddl, 1, CUTS[kind]) if ddl is not None else None,
-        "columns": F.array_join(F.slice(columns, 1, MAX_PROMPT_COLUMNS), ", ") if columns is not None else None,
+        "code": cut(code, max_chars) if code is not None else None,
+        "ddl": cut(ddl, max_chars) if ddl is not None else None,
+        "columns": F.array_join(columns if max_columns is None else F.slice(columns, 1, max_columns), ", ") if columns is not None else None,
     }
     for p in parts[1:]:
         key, rest = p.split("}", 1)
@@ -128,7 +122,7 @@ def match_purposes(batch_tables: DataFrame, answers: DataFrame, n_columns_col: s
 
 def call_model(df: DataFrame, client: Callable[[list[str]], list[str]], prompt_col: str = "prompt",
                out_col: str = "response", batch_size: int = 5) -> DataFrame:
-    """X3 + X4: run a user model client over prompts in Arrow batches.
+    """X3 + X4: run a user model client over batches of ``batch_size`` prompts.
 
     The client takes a list of prompts and returns one text per prompt. A
     failing batch is retried prompt by prompt; a prompt that still fails gets
@@ -136,10 +130,10 @@ def call_model(df: DataFrame, client: Callable[[list[str]], list[str]], prompt_c
     spread over the cluster instead of a two-thread pool.
     """
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out_col}` string, `error` string"
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
 
     def run(batches):
-        for pdf in batches:
+        # cut into prompt batches here: the session's Arrow batch size stays as it is
+        for pdf in (whole.iloc[s:s + batch_size] for whole in batches for s in range(0, len(whole), batch_size)):
             prompts = pdf[prompt_col].fillna("").tolist()
             try:
                 res = list(client(prompts))
@@ -154,8 +148,8 @@ def call_model(df: DataFrame, client: Callable[[list[str]], list[str]], prompt_c
                         errs.append(None)
                     except Exception as ex:  # noqa: BLE001
                         res.append(None)
-                        errs.append(str(ex)[:500])
-            out = pdf.copy()
+                        errs.append(str(ex))
+            out = pdf.reset_index(drop=True)
             out[out_col] = pd.Series(res, dtype=object)
             out["error"] = pd.Series(errs, dtype=object)
             yield out

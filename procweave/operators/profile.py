@@ -61,12 +61,14 @@ def field_profile(df: DataFrame, columns: list[str], exact: bool = True, avg_dig
 
 def sample_rows(df: DataFrame, columns: list[str] | None = None, limit: int = K.DEFAULT_SAMPLE,
                 order_by: list[str] | None = None) -> DataFrame:
-    """L4: first ``min(limit, 100)`` rows of the chosen columns, as text.
+    """L4: the first ``limit`` rows of the chosen columns, as text.
 
     With ``order_by`` the sample is deterministic (TakeOrderedAndProject:
     a per-partition top-n, no full sort).
     """
-    n = max(1, min(int(limit), K.MAX_SAMPLE))
+    n = int(limit)
+    if n < 1:
+        raise ValueError("limit must be at least 1")
     out = df.select(*(columns or df.columns))
     if order_by:
         out = out.orderBy(*order_by)
@@ -74,8 +76,10 @@ def sample_rows(df: DataFrame, columns: list[str] | None = None, limit: int = K.
 
 
 def guarded_query(spark: SparkSession, query: str, limit: int = K.DEFAULT_QUERY_LIMIT) -> DataFrame:
-    """Run a user SELECT after the guard, capped at ``min(limit, 1000)`` rows, values as text."""
-    n = max(1, min(int(limit), K.MAX_QUERY_LIMIT))
+    """Run a user SELECT after the guard, its first ``limit`` rows, values as text."""
+    n = int(limit)
+    if n < 1:
+        raise ValueError("limit must be at least 1")
     check = spark.range(1).select(guard_error(F.lit(query)).alias("e")).first()["e"]
     if check is not None:
         raise ValueError(check)

@@ -13,6 +13,8 @@ collects a group into one task.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,11 +181,12 @@ def cycle_members(nodes: DataFrame, edges: DataFrame, drop_self: bool = False) -
     return members
 
 
-def crawl(call_edges: DataFrame, roots: DataFrame, max_depth: int = 5,
+def crawl(call_edges: DataFrame, roots: DataFrame, max_depth: int | None = 5,
           table_edges: DataFrame | None = None, table_columns: DataFrame | None = None) -> DataFrame:
     """Rows (root, node, node_type, depth) reached from each root.
 
-    Breadth-first by shortest depth, procedures at depth 0..max_depth,
+    Breadth-first by shortest depth, procedures at depth 0..max_depth (None:
+    the whole reach),
     tables of every reached procedure at its depth + 1, each table once per
     root at its smallest depth. Unresolved callees count as found and are not
     expanded (they have no out-edges). The original walks depth-first with a
@@ -198,7 +201,7 @@ def crawl(call_edges: DataFrame, roots: DataFrame, max_depth: int = 5,
                            "crawl-f")
     parts = [frontier]
     visited = frontier.select("root", "node")
-    for d in range(1, max_depth + 1):
+    for d in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         nxt = (frontier.join(e, frontier.node == e.src).select("root", F.col("dst").alias("node")).distinct()
                .join(visited, ["root", "node"], "left_anti")
                .withColumn("depth", F.lit(d).cast("bigint")))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procweave.functions import constants as K
+from procweave.functions.extract import cut
 
 
 def _as_double_array(c) -> Column:
@@ -172,40 +173,46 @@ def embed_hashing(df: DataFrame, text_col: str = "text", dim: int = 64, out_col:
 def embed_with(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], text_col: str = "text",
                dim: int = 64, out_col: str = "embedding", batch_size: int = K.EMBED_BATCH) -> DataFrame:
     """Pluggable encoder hook: ``encoder(list_of_texts) -> (n, dim) array``,
-    called once per Arrow batch of ``batch_size`` rows inside the tasks."""
+    called once per ``batch_size`` rows inside the tasks."""
     schema = f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, `{out_col}` array<float>"
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
 
     def run(batches):
-        for pdf in batches:
-            vecs = np.asarray(encoder(pdf[text_col].fillna("").tolist()), dtype=np.float32).reshape(len(pdf), dim)
-            pdf[out_col] = list(vecs)
-            yield pdf
+        for whole in batches:  # cut into encoder batches here: the session's Arrow batch size stays as it is
+            for s in range(0, len(whole), batch_size):
+                pdf = whole.iloc[s:s + batch_size].copy()
+                vecs = np.asarray(encoder(pdf[text_col].fillna("").tolist()), dtype=np.float32).reshape(len(pdf), dim)
+                pdf[out_col] = list(vecs)
+                yield pdf
     return df.mapInPandas(run, schema)
 
 
 # ------------------------------------------------------------- documents
-def _capped_list(arr, n: int) -> Column:
-    return F.array_join(F.slice(F.sort_array(arr), 1, n), ", ")
+def _first(arr, n: int | None) -> Column:
+    return arr if n is None else F.slice(arr, 1, n)
+
+
+def _joined(arr, n: int | None) -> Column:
+    return F.array_join(_first(F.sort_array(arr), n), ", ")
 
 
-def code_document(analysis: DataFrame) -> DataFrame:
-    """Embedding text of a procedure (name, schema, <=10 parameters,
-    <=15 callees, <=15 tables, complexity, first 2000 chars of code).
-    Sets have no order in the original; here they are sorted."""
-    params = F.transform(F.slice(F.col("parameters"), 1, K.DOC_MAX_PARAMS),
+def code_document(analysis: DataFrame, max_params: int | None = None, max_callees: int | None = None,
+                  max_tables: int | None = None, code_chars: int | None = None) -> DataFrame:
+    """Embedding text of a procedure (name, schema, parameters, callees,
+    tables, complexity, code), whole unless a number cuts a part
+    (``K.DOC_*`` hold the original's numbers). Sets have no order in the
+    original; here they are sorted."""
+    params = F.transform(_first(F.col("parameters"), max_params),
                          lambda p: F.concat_ws(" ", p["name"], p["direction"], p["type"]))
     code = F.col("source_code")
-    snippet = F.when(F.length(code) > K.DOC_CODE_CHARS, F.concat(F.substring(code, 1, K.DOC_CODE_CHARS), F.lit("...")))\
-        .otherwise(code)
+    snippet = code if code_chars is None else F.when(
+        F.length(code) > code_chars, F.concat(F.substring(code, 1, code_chars), F.lit("..."))).otherwise(code)
     text = F.concat_ws(
         "\n",
         F.concat(F.lit("Procedure: "), F.col("short_name")),
         F.concat(F.lit("Schema: "), F.col("schema")),
         F.when(F.size("parameters") > 0, F.concat(F.lit("Parameters: "), F.array_join(params, ", "))),
-        F.when(F.size("calls") > 0, F.concat(F.lit("Calls: "), _capped_list(F.col("calls"), K.DOC_MAX_CALLEES))),
-        F.when(F.size("tables") > 0, F.concat(F.lit("Tables: "), _capped_list(F.col("tables"), K.DOC_MAX_TABLES))),
+        F.when(F.size("calls") > 0, F.concat(F.lit("Calls: "), _joined(F.col("calls"), max_callees))),
+        F.when(F.size("tables") > 0, F.concat(F.lit("Tables: "), _joined(F.col("tables"), max_tables))),
         F.concat(F.lit("Complexity: "), F.col("complexity_score").cast("string"), F.lit("/10")),
         F.concat(F.lit("\nCode:\n"), snippet))
     return analysis.select(F.col("id").alias("node_id"), F.lit("procedure").alias("node_type"),
@@ -215,10 +222,11 @@ def code_document(analysis: DataFrame) -> DataFrame:
                            F.length(code).cast("bigint").alias("code_length"))
 
 
-def node_document(nodes: DataFrame, edges: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+def node_document(nodes: DataFrame, edges: DataFrame, columns: DataFrame | None = None, max_columns: int | None = None,
+                  max_fks: int | None = None, logic_chars: int | None = None, max_params: int | None = None) -> DataFrame:
     """Embedding text of any graph node: type title, schema, purpose,
-    up to 15 columns (tables), up to 5 FK targets, business logic cut to 300
-    characters, up to 10 parameters, complexity when non-zero. Optional
+    columns (tables), FK targets, business logic, parameters, complexity when
+    non-zero; whole unless a number cuts a part (``K.NODE_DOC_*``). Optional
     attributes are used when the node frame has them (``business_purpose``,
     ``business_logic``, ``parameters``); ``columns(table, column_name,
     data_type, ordinal)`` supplies table columns."""
@@ -227,11 +235,12 @@ def node_document(nodes: DataFrame, edges: DataFrame, columns: DataFrame | None
     n = nodes.join(fk, "id", "left")
     has = set(nodes.columns)
     if columns is not None:
-        # first 15 columns by ordinal: a ranking filter, pre-limited per map task
-        from pyspark.sql import Window
-        w = Window.partitionBy("table").orderBy("ordinal")
-        c = (columns.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= K.NODE_DOC_MAX_COLUMNS)
-             .groupBy(F.col("table").alias("id"))
+        c = columns
+        if max_columns is not None:
+            # first columns by ordinal: a ranking filter, pre-limited per map task
+            w = Window.partitionBy("table").orderBy("ordinal")
+            c = c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_columns)
+        c = (c.groupBy(F.col("table").alias("id"))
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "column_name", "data_type"))),
                                            lambda x: F.concat_ws(" ", x["column_name"], x["data_type"])), ", ").alias("cols")))
         n = n.join(c, "id", "left")
@@ -239,7 +248,7 @@ def node_document(nodes: DataFrame, edges: DataFrame, columns: DataFrame | None
         n = n.withColumn("cols", F.lit(None).cast("string"))
     purpose = F.col("business_purpose") if "business_purpose" in has else F.lit(None).cast("string")
     logic = F.col("business_logic") if "business_logic" in has else F.lit(None).cast("string")
-    params = (F.array_join(F.transform(F.slice("parameters", 1, K.NODE_DOC_MAX_PARAMS), lambda p: p["name"]), ", ")
+    params = (F.array_join(F.transform(_first(F.col("parameters"), max_params), lambda p: p["name"]), ", ")
               if "parameters" in has else F.lit(None).cast("string"))
     title = F.concat(F.initcap(F.coalesce("node_type", F.lit("unknown"))), F.lit(": "), F.col("name"))
     text = F.concat_ws(
@@ -248,8 +257,8 @@ def node_document(nodes: DataFrame, edges: DataFrame, columns: DataFrame | None
         F.when(purpose.isNotNull() & (purpose != ""), F.concat(F.lit("Purpose: "), purpose)),
         F.when(F.col("cols").isNotNull(), F.concat(F.lit("Columns: "), F.col("cols"))),
         F.when(F.size(F.coalesce("fks", F.array())) > 0,
-               F.concat(F.lit("References: "), F.array_join(F.slice("fks", 1, K.NODE_DOC_MAX_FKS), ", "))),
-        F.when(logic.isNotNull() & (logic != ""), F.concat(F.lit("Logic: "), F.substring(logic, 1, K.NODE_DOC_LOGIC_CHARS))),
+               F.concat(F.lit("References: "), F.array_join(_first(F.col("fks"), max_fks), ", "))),
+        F.when(logic.isNotNull() & (logic != ""), F.concat(F.lit("Logic: "), cut(logic, logic_chars))),
         F.when(params.isNotNull() & (params != ""), F.concat(F.lit("Parameters: "), params)),
         F.when(F.coalesce("complexity_score", F.lit(0)) != 0,
                F.concat(F.lit("Complexity: "), F.col("complexity_score").cast("string"))))
@@ -257,35 +266,37 @@ def node_document(nodes: DataFrame, edges: DataFrame, columns: DataFrame | None
 
 
 # ------------------------------------------------------------- hybrid
-def neighbours(edges: DataFrame, ids: DataFrame, per_type: int = K.NEIGHBOURS_PER_TYPE) -> DataFrame:
-    """J16 + A19: for each id, neighbours by edge type in both directions,
-    first ``per_type`` names (sorted) and the full count."""
+def neighbours(edges: DataFrame, ids: DataFrame, per_type: int | None = None) -> DataFrame:
+    """J16 + A19: for each id, neighbours by edge type in both directions, in
+    long form: a row per neighbour (``other``) with its number in name order
+    (``pos``) and the neighbour count, so a hub's list is never one value.
+    ``per_type`` keeps the first so many of each type."""
     ids = ids.select(F.col("node_id"))
     out_e = edges.select(F.col("src").alias("node_id"), "edge_type", F.col("dst").alias("other"))
     in_e = edges.select(F.col("dst").alias("node_id"), "edge_type", F.col("src").alias("other"))
     both = out_e.unionByName(in_e).join(ids, "node_id", "left_semi")
     counts = both.groupBy("node_id", "edge_type").agg(F.count(F.lit(1)).cast("bigint").alias("n_neighbours"))
-    # rank filter -> Spark adds a partial WindowGroupLimit before the shuffle,
-    # so a hub node ships at most per_type rows per map task, never all its edges
+    # with a rank filter Spark adds a partial WindowGroupLimit before the shuffle,
+    # so a hub node ships at most per_type rows per map task
     w = Window.partitionBy("node_id", "edge_type").orderBy("other")
-    first = (both.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_type)
-             .groupBy("node_id", "edge_type")
-             .agg(F.array_join(F.sort_array(F.collect_list("other")), ", ").alias("first_neighbours")))
-    return counts.join(first, ["node_id", "edge_type"])
+    listed = both.withColumn("pos", F.row_number().over(w).cast("bigint"))
+    if per_type is not None:
+        listed = listed.filter(F.col("pos") <= per_type)
+    return listed.join(counts, ["node_id", "edge_type"])
 
 
 def hybrid_search(docs: DataFrame, edges: DataFrame, query_vec: Column, k: int = 5, threshold: float = 0.0,
                   id_col: str = "node_id", vec_col: str = "embedding") -> DataFrame:
     """V5: semantic top-2k, first k of them, each expanded with its graph
     neighbours by edge type (rows ``(rank, node_id, similarity, edge_type,
-    n_neighbours, first_neighbours)``)."""
+    other, pos, n_neighbours)``)."""
     hits = search(docs, query_vec, 2 * k, threshold, id_col=id_col, vec_col=vec_col).filter(F.col("rank") <= k)
     nb = neighbours(edges, hits.select(F.col(id_col).alias("node_id")))
     return hits.withColumnRenamed(id_col, "node_id").join(nb, "node_id", "left")
 
 
 def preview(text, n: int = K.PREVIEW_CHARS) -> Column:
-    """First 200 characters plus '...' when longer."""
+    """First ``n`` characters plus '...' when longer (a preview beside the whole text)."""
     t = F.col(text) if isinstance(text, str) else text
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("..."))).otherwise(t)
 

@@ -24,6 +24,16 @@ from procweave.operators import traversal as TR
 from procweave.operators import vector as V
 
 
+KEY_ROWS = ("constraint_name string, constraint_type string, table_schema string, table_name string, column_name string, "
+            "ordinal int, ref_schema string, ref_table string, ref_column string, delete_rule string, update_rule string")
+
+
+def _positive(k: int) -> int:
+    if int(k) < 1:
+        raise ValueError("top_k must be at least 1")
+    return int(k)
+
+
 class Engine:
     def __init__(self, spark: SparkSession, procedures: DataFrame | None = None,
                  catalog: dict[str, DataFrame] | None = None, documents: DataFrame | None = None,
@@ -35,12 +45,13 @@ class Engine:
         for name, df in (tables or {}).items():
             df.createOrReplaceTempView(name)
         self._tables = tables or {}
-        nodes, edges = (G.build_graph(self.analysis) if self.analysis is not None else (None, None))
+        tnodes = None
         if self.catalog.get("columns") is not None:
-            cols = self.catalog["columns"]
-            tnodes = cols.select(F.concat_ws(".", "table_schema", "table_name").alias("id"), F.lit("table").alias("node_type"),
-                                 F.col("table_schema").alias("schema"), F.col("table_name").alias("name")).distinct()
-            nodes = tnodes if nodes is None else nodes.unionByName(tnodes, allowMissingColumns=True)
+            tnodes = self.catalog["columns"].select(
+                F.concat_ws(".", "table_schema", "table_name").alias("id"), F.lit("table").alias("node_type"),
+                F.col("table_schema").alias("schema"), F.col("table_name").alias("name")).distinct()
+        nodes, edges = (G.build_graph(self.analysis, tnodes) if self.analysis is not None else (tnodes, None))
+        if tnodes is not None:
             if self.catalog.get("keys") is not None:
                 tables_df = tnodes.select(F.col("id").alias("table"))
                 fk = C.resolve_fk_targets(C.foreign_keys(self.catalog["keys"]), tables_df).select(
@@ -71,7 +82,10 @@ class Engine:
         t = rid.select(F.col("resolved_id").alias("table"))
         out = t.select("table", F.lit("self").alias("kind"), F.lit(None).cast("string").alias("value"))
         if include_columns and self.catalog.get("columns") is not None:
-            cols = C.assemble_columns(self.catalog["columns"], self.catalog.get("keys", self.catalog["columns"].limit(0)))
+            keys = self.catalog.get("keys")
+            if keys is None:  # a catalog without key rows: no column is marked
+                keys = self.spark.createDataFrame([], KEY_ROWS)
+            cols = C.assemble_columns(self.catalog["columns"], keys).dropDuplicates(["table_schema", "table_name", "column_name"])
             cols = cols.withColumn("table", F.concat_ws(".", "table_schema", "table_name")).join(t, "table", "left_semi")
             out = out.unionByName(cols.select("table", F.lit("column").alias("kind"),
                                               F.concat_ws(" ", "column_name", "data_type").alias("value")))
@@ -83,9 +97,36 @@ class Engine:
 
     # 3
     def analyze_field(self, field: str, procedure: str | None = None, table: str | None = None) -> DataFrame:
-        usage = A.field_usage(self.analysis)
-        rows = A.field_usage_one(usage, field, procedure)
-        return rows.drop("seq")
+        """Rows ``(part, proc, field, operation, kind, context, transformation)``: the
+        usage of the field, its definition in the catalog (``definition``: table and
+        type) and the key relationships of its tables (``relationship``). ``table``
+        restricts definitions and relationships to that table."""
+        parts = []
+        empty = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+        if self.analysis is not None:
+            usage = A.field_usage_one(A.field_usage(self.analysis), field, procedure)
+            parts.append(usage.drop("seq").select(F.lit("usage").alias("part"), "proc", "field", "operation", "kind", "context", "transformation"))
+        if self.catalog.get("columns") is not None:
+            cols = self.catalog["columns"].filter(F.upper("column_name") == field.upper()) \
+                .withColumn("table", F.concat_ws(".", "table_schema", "table_name"))
+            if table is not None:
+                cols = cols.join(self._resolve(table, "table").select(F.col("resolved_id").alias("table")), "table", "left_semi")
+            cols = cols.select("table", "column_name", "data_type").distinct()
+            parts.append(cols.select(F.lit("definition").alias("part"), *empty("proc"), F.col("column_name").alias("field"),
+                                     *empty("operation"), F.lit("column").alias("kind"),
+                                     F.concat_ws(" ", "table", "data_type").alias("context"), *empty("transformation")))
+            if self.edges is not None:
+                ends = cols.select("table").distinct()
+                fk = self.edges.filter(F.col("edge_type") == "references").select("src", "dst", "relationship").distinct()
+                rel = (fk.join(ends.select(F.col("table").alias("src")), "src", "left_semi")
+                       .unionByName(fk.join(ends.select(F.col("table").alias("dst")), "dst", "left_semi"))).distinct()
+                parts.append(rel.select(F.lit("relationship").alias("part"), *empty("proc"), F.lit(field.upper()).alias("field"),
+                                        *empty("operation"), F.col("relationship").alias("kind"),
+                                        F.concat_ws(" -> ", "src", "dst").alias("context"), *empty("transformation")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     # 4
     def trace_field_flow(self, field: str, start_procedure: str, max_depth: int = 10) -> DataFrame:
@@ -123,22 +164,21 @@ class Engine:
         return self._semantic(query_vec, top_k, threshold, "procedure")
 
     def _semantic(self, query_vec, top_k, threshold, node_type):
-        k = max(1, min(int(top_k), 20))
-        t = threshold if 0.0 <= threshold <= 1.0 else 0.0
-        hits = V.search(self.documents, V.query_vector(query_vec), k, t, id_col="node_id",
+        hits = V.search(self.documents, V.query_vector(query_vec), _positive(top_k), threshold, id_col="node_id",
                         type_col="node_type", node_type=node_type)
         return hits.join(self.documents.select("node_id", V.preview("text").alias("preview")), "node_id", "left")
 
     # 11
     def hybrid_search(self, query_vec, top_k: int = 5) -> DataFrame:
-        k = max(1, min(int(top_k), 20))
-        return V.hybrid_search(self.documents, self.edges, V.query_vector(query_vec), k)
+        return V.hybrid_search(self.documents, self.edges, V.query_vector(query_vec), _positive(top_k))
 
     @staticmethod
     def to_json(df: DataFrame, max_rows: int = K.MAX_QUERY_LIMIT) -> str:
-        """Envelope for text callers; bounded by ``max_rows``."""
+        """Envelope for text callers: at most ``max_rows`` rows, and ``truncated``
+        says whether there are more (larger results are written, not collected)."""
         try:
-            rows = [r.asDict(recursive=True) for r in df.limit(max_rows).collect()]
-            return json.dumps({"success": True, "data": rows}, default=str, ensure_ascii=False)
+            rows = [r.asDict(recursive=True) for r in df.limit(max_rows + 1).collect()]
+            return json.dumps({"success": True, "data": rows[:max_rows], "truncated": len(rows) > max_rows},
+                              default=str, ensure_ascii=False)
         except Exception as ex:  # noqa: BLE001
             return json.dumps({"success": False, "error": str(ex)}, ensure_ascii=False)

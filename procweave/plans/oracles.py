@@ -122,7 +122,7 @@ sm AS (SELECT proc, unnest(regexp_extract_all(code, {_SEL}, 1)) AS clause,
               unnest(regexp_extract_all(code, {_SEL}, 0)) AS whole FROM corpus),
 sp AS (SELECT proc, whole, {_strip('part')} AS part FROM (SELECT proc, whole, unnest(string_split(clause, ',')) AS part FROM sm)),
 {_field_name_ctes('sp', 'part')},
-sel AS (SELECT proc, fname AS field, left(whole, 100) AS context FROM named WHERE fname <> '*')"""
+sel AS (SELECT proc, fname AS field, whole AS context FROM named WHERE fname <> '*')"""
 
 _UPD = _q(_re2(K.UPDATE_PATTERN))
 UPDATE_ROWS = f"""
@@ -131,13 +131,13 @@ um AS (SELECT proc, unnest(regexp_extract_all(code, {_UPD}, 1)) AS clause,
 ua AS (SELECT proc, whole, unnest(string_split(clause, ',')) AS a FROM um),
 ul AS (SELECT proc, whole, upper({_strip("split_part(a, '=', 1)")}) AS lft FROM ua WHERE contains(a, '=')),
 upd AS (SELECT proc, CASE WHEN contains(lft, '.') THEN string_split(lft, '.')[-1] ELSE lft END AS field,
-               left(whole, 100) AS context FROM ul)"""
+               whole AS context FROM ul)"""
 
 _INS = _q(_re2(K.INSERT_PATTERN))
 INSERT_ROWS = f"""
 im AS (SELECT proc, unnest(regexp_extract_all(code, {_INS}, 1)) AS clause,
               unnest(regexp_extract_all(code, {_INS}, 0)) AS whole FROM corpus),
-ins AS (SELECT proc, f AS field, left(whole, 100) AS context
+ins AS (SELECT proc, f AS field, whole AS context
         FROM (SELECT proc, whole, upper({_strip('unnest(string_split(clause, \',\'))')}) AS f FROM im) WHERE f <> '')"""
 
 TRANSFORM_ROWS = "tr AS (" + " UNION ALL ".join(
@@ -171,7 +171,7 @@ SELECT proc, n AS param_name, replace(upper(d), ' ', '_') AS direction, upper(t)
 # RE2 has no look-ahead: the corpus signature has no nested parentheses, so a
 # plain comma split is the same split there.
 ORACLES["proc_signature_params"] = f"""
-WITH {CORPUS}, h AS (SELECT proc, substr(code, 1, 500) AS head FROM corpus),
+WITH {CORPUS}, h AS (SELECT proc, code AS head FROM corpus),
 s AS (SELECT proc, string_split(regexp_extract(head, {_q(K.SIGNATURE_PATTERN)}, 1), ',') AS pieces FROM h
       WHERE regexp_matches(head, {_q(K.SIGNATURE_PATTERN)})),
 p AS (SELECT proc, unnest(pieces) AS raw, unnest(generate_series(1, len(pieces))) AS pos FROM s),
@@ -634,10 +634,10 @@ s AS (SELECT 'UNKNOWN.P' || CAST(e.vec_id AS VARCHAR) AS node_id, {_L2} AS sim F
 hits AS (SELECT node_id, sim, row_number() OVER (ORDER BY sim DESC, node_id) AS rank FROM s WHERE sim >= -1.0),
 top AS (SELECT * FROM hits WHERE rank <= 5),
 nb AS (SELECT src AS node_id, edge_type, dst AS other FROM edges UNION ALL SELECT dst, edge_type, src FROM edges),
-g AS (SELECT t.node_id, nb.edge_type, count(*) AS n,
-             list_sort(list(other ORDER BY other))[1:10] AS firsts FROM top t JOIN nb ON nb.node_id = t.node_id GROUP BY ALL)
-SELECT CAST(t.rank AS BIGINT) AS rank, t.node_id, round(t.sim, 4) AS similarity, g.edge_type,
-       CAST(g.n AS BIGINT) AS n_neighbours, array_to_string(g.firsts, ', ') AS first_neighbours
+g AS (SELECT t.node_id, nb.edge_type, nb.other, count(*) OVER (PARTITION BY t.node_id, nb.edge_type) AS n,
+             row_number() OVER (PARTITION BY t.node_id, nb.edge_type ORDER BY nb.other) AS pos FROM top t JOIN nb ON nb.node_id = t.node_id)
+SELECT CAST(t.rank AS BIGINT) AS rank, t.node_id, round(t.sim, 4) AS similarity, g.edge_type, g.other, CAST(g.pos AS BIGINT) AS pos,
+       CAST(g.n AS BIGINT) AS n_neighbours
 FROM top t LEFT JOIN g ON g.node_id = t.node_id"""
 
 _T_RAW = _unnest_union(K.TABLE_PATTERNS)
@@ -646,16 +646,16 @@ pm AS (SELECT proc, regexp_extract_all(code, {_PAR}, 1) AS n, regexp_extract_all
               regexp_extract_all(code, {_PAR}, 3) AS t FROM corpus),
 px AS (SELECT proc, unnest(n) AS n, unnest(d) AS d, unnest(t) AS t, unnest(generate_series(1, len(n))) AS seq FROM pm),
 pl AS (SELECT proc, string_agg(n || ' ' || replace(upper(d), ' ', '_') || ' ' || upper(t), ', ' ORDER BY seq) AS params
-       FROM px WHERE seq <= 10 GROUP BY proc),
-cl AS (SELECT proc, array_to_string(list_sort(list(callee))[1:15], ', ') AS calls FROM calls GROUP BY proc),
-tl AS (SELECT proc, array_to_string(list_sort(list(DISTINCT v))[1:15], ', ') AS tabs FROM t_raw GROUP BY proc)
+       FROM px GROUP BY proc),
+cl AS (SELECT proc, array_to_string(list_sort(list(callee)), ', ') AS calls FROM calls GROUP BY proc),
+tl AS (SELECT proc, array_to_string(list_sort(list(DISTINCT v)), ', ') AS tabs FROM t_raw GROUP BY proc)
 SELECT 'UNKNOWN.' || c.proc AS node_id,
        concat_ws(chr(10), 'Procedure: ' || c.proc, 'Schema: UNKNOWN',
                  CASE WHEN pl.params IS NOT NULL THEN 'Parameters: ' || pl.params END,
                  CASE WHEN cl.calls IS NOT NULL THEN 'Calls: ' || cl.calls END,
                  CASE WHEN tl.tabs IS NOT NULL THEN 'Tables: ' || tl.tabs END,
                  'Complexity: ' || CAST({SCORE_SQL} AS VARCHAR) || '/10',
-                 chr(10) || 'Code:' || chr(10) || CASE WHEN length(c.code) > 2000 THEN left(c.code, 2000) || '...' ELSE c.code END) AS text,
+                 chr(10) || 'Code:' || chr(10) || c.code) AS text,
        CAST(length(c.code) AS BIGINT) AS code_length
 FROM corpus c LEFT JOIN pl USING (proc) LEFT JOIN cl USING (proc) LEFT JOIN tl USING (proc)"""
 ORACLES["vector_statistics"] = "SELECT 'procedure' AS node_type, CAST(count(*) AS BIGINT) AS count FROM orders"
@@ -665,12 +665,12 @@ ORACLES["vector_statistics"] = "SELECT 'procedure' AS node_type, CAST(count(*) A
 from procweave.plans.queries import NOISY_JSON_SQL, PARSE_RESPONSE_SQL, SCORE_RESPONSE_SQL  # noqa: E402
 
 ORACLES["llm_prompts"] = (f"WITH {CORPUS} SELECT proc, 'Rate the complexity of this code from 1 to 10. Answer with the number.' "
-                          "|| chr(10) || 'Code:' || chr(10) || left(code, 2000) AS prompt FROM corpus")
+                          "|| chr(10) || 'Code:' || chr(10) || code AS prompt FROM corpus")
 BATCHED = f"""{CATALOG},
 ct AS (SELECT table_name AS "table", table_schema || '.' || table_name AS full_name, CAST(count(*) AS BIGINT) AS n_columns,
               CAST(substr(table_name, 2) AS BIGINT) AS k FROM cols GROUP BY ALL),
-bt AS (SELECT *, CAST(k % 8 AS VARCHAR) || ':' || CAST((row_number() OVER (PARTITION BY k % 8 ORDER BY "table") - 1) // 5 AS VARCHAR) AS batch_id,
-              CAST((row_number() OVER (PARTITION BY k % 8 ORDER BY "table") - 1) % 5 AS INTEGER) AS batch_pos FROM ct)"""
+bt AS (SELECT *, CAST(k // 50 AS VARCHAR) || ':' || CAST((row_number() OVER (PARTITION BY k // 50 ORDER BY "table") - 1) // 5 AS VARCHAR) AS batch_id,
+              CAST((row_number() OVER (PARTITION BY k // 50 ORDER BY "table") - 1) % 5 AS INTEGER) AS batch_pos FROM ct)"""
 ORACLES["llm_batches"] = f'WITH {BATCHED} SELECT "table", batch_id, batch_pos FROM bt'
 ORACLES["llm_parse"] = f"""WITH r AS (SELECT p_partkey, {PARSE_RESPONSE_SQL} AS response FROM part),
 t AS (SELECT p_partkey, regexp_replace(response, '^\\s+|\\s+$', '', 'g') AS t FROM r),
@@ -700,22 +700,21 @@ ct AS (SELECT DISTINCT table_schema || '.' || table_name AS "table", CAST(substr
 cache AS (SELECT "table", CASE WHEN k % 2 = 0 THEN '1.0' ELSE '0.9' END AS cache_version FROM ct WHERE k % 3 = 0)
 SELECT "table", translate("table" || '/ddl', '/\\', '__') AS file_name FROM ct
 WHERE "table" NOT IN (SELECT "table" FROM cache WHERE cache_version = '1.0')"""
-ORACLES["source_priority"] = """SELECT 'P' || CAST(o_orderkey AS VARCHAR) AS name,
-  CASE WHEN o_orderkey % 5 = 0 THEN 'cache' WHEN o_orderkey % 3 = 0 THEN 'file' ELSE 'database' END AS source FROM orders"""
+ORACLES["source_priority"] = f"""WITH {CORPUS}, s AS (SELECT proc, code, CAST(substr(proc, 2) AS BIGINT) AS k FROM corpus)
+SELECT proc AS name, CASE WHEN k % 5 = 0 THEN 'cache' WHEN k % 3 = 0 THEN 'file' ELSE 'database' END AS source,
+  CASE WHEN k % 5 = 0 THEN '-- cache' || chr(10) WHEN k % 3 = 0 THEN '-- file' || chr(10) ELSE '' END || code AS source_code FROM s"""
 ORACLES["latest_upsert"] = """SELECT 'UNKNOWN.P' || CAST(o_orderkey AS VARCHAR) AS node_id,
   CAST(CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM orders
 UNION ALL SELECT 'NEW.P' || CAST(o_orderkey AS VARCHAR), CAST(2 AS BIGINT) FROM orders WHERE o_orderkey % 50 = 1"""
-ORACLES["keep_latest"] = "SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id"
+ORACLES["keep_latest"] = "SELECT user_id, arg_max(event_type, (ts, event_type, event_id)) AS event_type, arg_max(event_id, (ts, event_type, event_id)) AS event_id FROM events GROUP BY user_id"
 ORACLES["stale_nodes"] = "SELECT 'UNKNOWN.P' || CAST(o_orderkey AS VARCHAR) AS node_id FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-01 00:00:00'"
 
 
 # ---------------------------------------------------------------- reports
 ORACLES["mermaid_lines"] = f"""WITH RECURSIVE {CORPUS}, {LEVELS},
-gn AS (SELECT proc AS node FROM corpus UNION SELECT proc FROM calls UNION SELECT callee FROM calls),
-chosen AS (SELECT node FROM gn ORDER BY node LIMIT 50),
-p AS (SELECT c.proc, {SCORE_SQL} AS sc, lv.level FROM corpus c JOIN lv ON lv.proc = c.proc WHERE c.proc IN (SELECT node FROM chosen)),
-ed AS (SELECT DISTINCT proc AS src, callee AS dst FROM calls WHERE proc IN (SELECT node FROM chosen) AND callee IN (SELECT node FROM chosen))
-SELECT CAST(0 AS BIGINT) AS section, '```mermaid' || chr(10) || 'graph TD' AS line
+p AS (SELECT c.proc, {SCORE_SQL} AS sc, lv.level FROM corpus c JOIN lv ON lv.proc = c.proc),
+ed AS (SELECT DISTINCT proc AS src, callee AS dst FROM calls)
+SELECT CAST(0 AS BIGINT) AS section, '```mermaid' || chr(10) || {_q(K.MERMAID_INIT_FLOWCHART)} || chr(10) || 'graph TD' AS line
 UNION ALL SELECT 1, '    ' || translate(proc, '.- ', '___') || '["' || translate(proc || '\\n[Nível ' || CAST(level AS VARCHAR) || ', Complex: '
                  || CAST(sc AS VARCHAR) || ']', '"[]', '''()') || '"]:::' || {CLASS_SQL.format(s='sc')} FROM p
 UNION ALL SELECT 2, '    ' || translate(src, '.- ', '___') || ' --> ' || translate(dst, '.- ', '___') FROM ed
@@ -729,10 +728,16 @@ SELECT CAST(time_bucket(INTERVAL 1 HOUR, timestamp) AS VARCHAR) AS window_start,
 
 
 # ---------------------------------------------------------------- field lineage
-ORACLES["field_sources"] = f"WITH {CORPUS}, {FIELD_USAGE} SELECT DISTINCT field, 'procedure' AS source_type, proc AS name FROM usage WHERE operation = 'write'"
+ACCESS_CATALOG = """tk AS (SELECT DISTINCT CAST(o_custkey % 7 AS VARCHAR) AS k FROM orders UNION SELECT substr(o_orderpriority, 1, 1) FROM orders),
+tcols AS (SELECT CASE WHEN k IN ('0', '2', '4', '6') THEN 'app' ELSE 'ops' END || '.t_' || k AS tbl, upper(c) AS col
+          FROM (SELECT k, unnest(CASE WHEN k IN ('1', '2', '5') THEN ['id', 'Total', 'STATUS'] ELSE ['id', 'Total'] END) AS c FROM tk))"""
+ORACLES["field_sources"] = f"""WITH {CORPUS}, {FIELD_USAGE}, {ACCESS_CATALOG}
+SELECT DISTINCT field, 'procedure' AS source_type, proc AS name FROM usage WHERE operation = 'write'
+UNION ALL SELECT DISTINCT u.field, 'table', t.tbl FROM (SELECT DISTINCT field FROM usage) u JOIN tcols t ON t.col = u.field"""
 ORACLES["field_destinations"] = f"WITH {CORPUS}, {FIELD_USAGE} SELECT DISTINCT field, proc AS name FROM usage WHERE operation = 'read'"
-ORACLES["field_flow"] = f"""WITH {CORPUS}, {FIELD_USAGE},
-s AS (SELECT field, count(DISTINCT proc) AS n FROM usage WHERE operation = 'write' GROUP BY field),
+ORACLES["field_flow"] = f"""WITH {CORPUS}, {FIELD_USAGE}, {ACCESS_CATALOG},
+s AS (SELECT field, count(*) AS n FROM (SELECT DISTINCT field, proc FROM usage WHERE operation = 'write'
+      UNION ALL SELECT DISTINCT u.field, t.tbl FROM (SELECT DISTINCT field FROM usage) u JOIN tcols t ON t.col = u.field) GROUP BY field),
 d AS (SELECT field, count(DISTINCT proc) AS n FROM usage WHERE operation = 'read' GROUP BY field)
 SELECT f.field, CAST(coalesce(s.n, 0) AS BIGINT) AS total_sources, CAST(coalesce(d.n, 0) AS BIGINT) AS total_destinations
 FROM (SELECT DISTINCT field FROM usage) f LEFT JOIN s USING (field) LEFT JOIN d USING (field)"""
@@ -741,13 +746,15 @@ per AS (SELECT field, proc, max(CASE WHEN operation = 'read' THEN 1 ELSE 0 END)
                max(CASE WHEN operation = 'transform' THEN 1 ELSE 0 END) AS t FROM usage GROUP BY ALL)
 SELECT field, CAST(count(*) AS BIGINT) AS procedures, CAST(sum(r) AS BIGINT) AS read_by, CAST(sum(w) AS BIGINT) AS written_by,
        CAST(sum(t) AS BIGINT) AS transformed_by FROM per GROUP BY field"""
-ORACLES["trace_field"] = f"""WITH RECURSIVE {CORPUS}, {CALL_EDGES}, {FIELD_USAGE},
+ORACLES["trace_field"] = f"""WITH RECURSIVE {CORPUS}, {CALL_EDGES}, {FIELD_USAGE}, {ACCESS_CATALOG}, traw AS ({_T_RAW}),
 ce AS (SELECT DISTINCT proc AS src, callee AS dst FROM calls),
 st AS (SELECT 'P' || CAST(max(o_orderkey) AS VARCHAR) AS root FROM orders),
-walk(root, node, depth) AS (SELECT root, root, 0 FROM st UNION SELECT w.root, ce.dst, w.depth + 1 FROM walk w JOIN ce ON ce.src = w.node WHERE w.depth < 10),
+walk(root, node, depth) AS (SELECT root, root, 0 FROM st UNION SELECT w.root, ce.dst, w.depth + 1 FROM walk w JOIN ce ON ce.src = w.node),
 reach AS (SELECT root, node AS proc, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY ALL),
 hit AS (SELECT r.root, r.proc, r.depth, u.operation, u.transformation FROM reach r JOIN usage u ON u.proc = r.proc WHERE u.field = 'STATUS')
 SELECT root, 'step' AS kind, proc AS procedure, operation, depth, CAST(NULL AS VARCHAR) AS detail FROM hit
+UNION ALL SELECT DISTINCT r.root, 'source', r.proc, 'read_from_table', r.depth, c.tbl || ' (table)'
+  FROM reach r JOIN traw t ON t.proc = r.proc JOIN tcols c ON upper(split_part(c.tbl, '.', 2)) = t.v AND c.col = 'STATUS'
 UNION ALL SELECT DISTINCT root, 'source', proc, 'write', depth, NULL FROM hit WHERE operation = 'write'
 UNION ALL SELECT DISTINCT root, 'destination', proc, 'read', depth, NULL FROM hit WHERE operation = 'read'
 UNION ALL SELECT root, 'transformation', NULL, 'transform', min(depth), transformation FROM hit WHERE operation = 'transform' GROUP BY root, transformation"""
@@ -769,7 +776,7 @@ sm AS (SELECT proc, unnest(regexp_extract_all(code, {_SEL}, 1)) AS clause,
               unnest(regexp_extract_all(code, {_SEL}, 0)) AS whole FROM corpus),
 sp AS (SELECT proc, whole, {_strip('part')} AS part FROM (SELECT proc, whole, unnest(regexp_extract_all(clause, {_ITEMS})) AS part FROM sm)),
 {_field_name_ctes('sp', 'part')},
-sel AS (SELECT proc, fname AS field, left(whole, 100) AS context FROM named WHERE fname <> '*')"""
+sel AS (SELECT proc, fname AS field, whole AS context FROM named WHERE fname <> '*')"""
 
 LOADER_USAGE = f"""{LOADER_SELECT}, {INSERT_ROWS}, {UPDATE_ROWS}, {TRANSFORM_ROWS},
 usage AS (
@@ -800,14 +807,14 @@ lv AS (SELECT node AS proc, CAST(max(depth) AS BIGINT) AS level FROM paths GROUP
 ORACLES["mermaid_hierarchy_lines"] = f"""WITH RECURSIVE {CORPUS}, {_FLOW_LV},
 p AS (SELECT c.proc, {SCORE_SQL} AS sc, lv.level FROM corpus c JOIN lv ON lv.proc = c.proc),
 ed AS (SELECT DISTINCT c.proc AS src, c.callee AS dst FROM calls c WHERE c.callee IN (SELECT proc FROM corpus))
-SELECT CAST(0 AS BIGINT) AS section, '```mermaid' || chr(10) || 'graph TD' AS line
+SELECT CAST(0 AS BIGINT) AS section, '```mermaid' || chr(10) || {_q(K.MERMAID_INIT_FLOWCHART)} || chr(10) || 'graph TD' AS line
 UNION ALL SELECT 1, '    ' || translate(proc, '.- ', '___') || '["' || translate(proc || '\\n[Nível ' || CAST(level AS VARCHAR) || ', Complex: '
                  || CAST(sc AS VARCHAR) || ']', '"[]', '''()') || '"]:::' || {CLASS_SQL.format(s='sc')} FROM p
 UNION ALL SELECT 1, '    ' || translate(src, '.- ', '___') || ' --> ' || translate(dst, '.- ', '___') FROM ed
 UNION ALL SELECT 3, {_q(K.MERMAID_CLASS_DEFS)}"""
 
 _SIGP = f"""
-sg AS (SELECT proc, substr(code, 1, 500) AS head FROM corpus),
+sg AS (SELECT proc, code AS head FROM corpus),
 sgs AS (SELECT proc, string_split(regexp_extract(head, {_q(K.SIGNATURE_PATTERN)}, 1), ',') AS pieces FROM sg
         WHERE regexp_matches(head, {_q(K.SIGNATURE_PATTERN)})),
 sgp AS (SELECT proc, unnest(pieces) AS raw, unnest(generate_series(1, len(pieces))) AS pos FROM sgs),
@@ -834,19 +841,18 @@ UNION ALL SELECT proc, 4, '    Procs --> Proc_' || translate(callee, '.- ', '___
 UNION ALL SELECT DISTINCT proc, 5, '    Tables[Tabelas Acessadas]' || chr(10) || '    Start --> Tables' FROM tabs
 UNION ALL SELECT proc, 6, '    Tables --> Table_' || translate(tbl, '.- ', '___') || '["' || translate(tbl, '"', '''') || '"]' FROM tabs
 UNION ALL SELECT proc, 7, '    End([Fim])' || chr(10) || '    Start --> End' || chr(10) || '```' || chr(10) || chr(10)
-          || '## Lógica de Negócio' || chr(10) || chr(10) FROM corpus"""
+          || '## Lógica de Negócio' || chr(10) || chr(10) || chr(10) FROM corpus"""
 
 ORACLES["mermaid_er_lines"] = f"""WITH {CATALOG},
 ct AS (SELECT *, table_schema || '.' || table_name AS tbl FROM acols),
-chosen AS (SELECT DISTINCT tbl FROM ct ORDER BY tbl LIMIT 50),
+chosen AS (SELECT DISTINCT tbl FROM ct),
 c AS (SELECT ct.*, CASE WHEN is_primary_key THEN row_number() OVER (PARTITION BY tbl, is_primary_key ORDER BY ordinal) END AS pk_rank,
              row_number() OVER (PARTITION BY tbl ORDER BY ordinal) AS pos FROM ct WHERE tbl IN (SELECT tbl FROM chosen)),
-erpick AS (SELECT *, CASE WHEN pk_rank <= 3 THEN pk_rank ELSE 100 + pos END AS o FROM c WHERE pk_rank <= 3 OR pos <= 5),
-picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY o) AS k FROM erpick) WHERE k <= 8),
+picked AS (SELECT * FROM c),
 fk AS (SELECT DISTINCT src, dst FROM fke WHERE src IN (SELECT tbl FROM chosen) AND dst IN (SELECT tbl FROM chosen))
 SELECT CAST(0 AS BIGINT) AS section, '```mermaid' || chr(10) || {_q(K.MERMAID_INIT_ER)} || chr(10) || 'erDiagram' AS line
 UNION ALL SELECT 1, '    ' || translate(tbl, '.- ', '___') || ' {{' FROM chosen
-UNION ALL SELECT 1, '        ' || column_name || ' ' || substr(translate(trim(split_part(data_type, '(', 1)), '- ', '__'), 1, 30)
+UNION ALL SELECT 1, '        ' || column_name || ' ' || translate(trim(split_part(data_type, '(', 1)), '- ', '__')
           || CASE WHEN is_primary_key THEN ' PK' ELSE '' END || CASE WHEN is_foreign_key THEN ' FK' ELSE '' END FROM picked
 UNION ALL SELECT 1, '    }}' FROM chosen
 UNION ALL SELECT 2, '    ' || translate(src, '.- ', '___') || ' ||--o{{ ' || translate(dst, '.- ', '___') || ' : "foreign_key"' FROM fk
@@ -899,5 +905,4 @@ UNION ALL SELECT schema, 7, name FROM iso
 UNION ALL SELECT DISTINCT schema, 8, {_NL} || '### Relacionamentos por Tipo' || {_NL} || {_NL} || '| Tipo | Quantidade |' || {_NL} || '|------|------------|' FROM objs
 UNION ALL SELECT schema, 9, '| ' || type || ' | ' || CAST(c AS VARCHAR) || ' |' FROM byt
 UNION ALL SELECT DISTINCT schema, 10, {_NL} || '## Relacionamentos' || {_NL} || {_NL} || '| Origem | Tipo | Destino |' || {_NL} || '|--------|------|---------|' FROM objs
-UNION ALL SELECT schema, 11, '| ' || source || ' | ' || type || ' | ' || target || ' |' FROM ordered WHERE r <= 100
-UNION ALL SELECT schema, 12, {_NL} || '*Mostrando 100 de ' || CAST(n_rel AS VARCHAR) || ' relacionamentos. Ver arquivo JSON para lista completa.*' FROM nrel WHERE n_rel > 100"""
+UNION ALL SELECT schema, 11, '| ' || source || ' | ' || type || ' | ' || target || ' |' FROM ordered"""

@@ -586,7 +586,8 @@ def _catalog_tables(spark, sf_dir):
 
 def _batched_tables(spark, sf_dir):
     t = _catalog_tables(spark, sf_dir)
-    return L.assign_batches(t, "table", 5, bucket=F.col("k") % 8)
+    # buckets of about 50 tables by key: their number grows with the catalog
+    return L.assign_batches(t, "table", 5, bucket=F.floor(F.col("k") / 50))
 
 
 @register("llm_batches")
@@ -650,8 +651,9 @@ def cache_misses(spark, sf_dir):
 @register("source_priority")
 def source_priority(spark, sf_dir):
     procs = procedure_corpus(spark, sf_dir).withColumn("k", F.substring("name", 2, 20).cast("bigint"))
-    cache = procs.filter(F.col("k") % 5 == 0).select("name", "source_code")
-    files = procs.filter(F.col("k") % 3 == 0).select("name", "source_code")
+    text = lambda label: F.concat(F.lit(f"-- {label}\n"), F.col("source_code")).alias("source_code")
+    cache = procs.filter(F.col("k") % 5 == 0).select("name", text("cache"))
+    files = procs.filter(F.col("k") % 3 == 0).select("name", text("file"))
     db = procs.select("name", "source_code")
     return CA.prefer_sources([("cache", cache), ("file", files), ("database", db)], "name")
 
@@ -748,9 +750,21 @@ def _usage(spark, sf_dir):
     return A.field_usage(corpus_analysis(spark, sf_dir))
 
 
+def _access_catalog(spark, sf_dir):
+    """Columns of the tables that the corpus reads and writes, in two schemas: every
+    table has ID and TOTAL, some have STATUS (mixed case, as a catalog may hold it)."""
+    o = S.read_table(spark, sf_dir, "orders")
+    t = o.select((F.col("o_custkey") % 7).cast("string").alias("k")).union(
+        o.select(F.substring("o_orderpriority", 1, 1).alias("k"))).distinct()
+    schema = F.when(F.col("k").isin("0", "2", "4", "6"), F.lit("app")).otherwise(F.lit("ops"))
+    cols = F.array(F.lit("id"), F.lit("Total"), F.when(F.col("k").isin("1", "2", "5"), F.lit("STATUS")))
+    return (t.select(schema.alias("table_schema"), F.concat(F.lit("t_"), "k").alias("table_name"), F.explode(cols).alias("column_name"))
+            .filter(F.col("column_name").isNotNull()))
+
+
 @register("field_sources")
 def field_sources(spark, sf_dir):
-    return LN.sources(_usage(spark, sf_dir))
+    return LN.sources(_usage(spark, sf_dir), _access_catalog(spark, sf_dir))
 
 
 @register("field_destinations")
@@ -760,7 +774,7 @@ def field_destinations(spark, sf_dir):
 
 @register("field_flow")
 def field_flow(spark, sf_dir):
-    return LN.flow(_usage(spark, sf_dir))
+    return LN.flow(_usage(spark, sf_dir), _access_catalog(spark, sf_dir))
 
 
 @register("analyze_field")
@@ -770,13 +784,18 @@ def analyze_field(spark, sf_dir):
 
 @register("trace_field")
 def trace_field(spark, sf_dir):
-    """G10 for field STATUS from the procedure of the largest order key, depth 10."""
+    """G10 for field STATUS from the procedure of the largest order key, to its whole
+    reach, with the accessed tables that have the column (names resolved against the catalog)."""
     an = A.shared(corpus_analysis(spark, sf_dir), A.GRAPH_COLUMNS + A.USAGE_COLUMNS)
+    columns = _access_catalog(spark, sf_dir)
+    tables = columns.select(F.concat_ws(".", "table_schema", "table_name").alias("id"), F.lit("table").alias("node_type"),
+                            F.col("table_schema").alias("schema"), F.col("table_name").alias("name")).distinct()
+    access = G.resolve_access(A.table_edges(an).select(F.col("proc").alias("src"), F.col("table_name").alias("dst")), tables)
     usage = A.field_usage(an)
     edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
     top = S.read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).scalar()
     starts = spark.range(1).select(F.concat(F.lit("P"), top.cast("string")).alias("root"))
-    return LN.trace(edges, usage, starts, "status", 10)
+    return LN.trace(edges, usage, starts, "status", None, access, columns)
 
 
 # ------------------------------------------------------------- second corpus (loaders)

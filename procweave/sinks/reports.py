@@ -2,8 +2,8 @@
 
 Every report is a DataFrame of ``(section, sort_key, line)`` rows built with
 string functions; writing it is ``orderBy(section, sort_key)`` then
-``write.text``. Diagrams that are capped (first 50 nodes) are small by
-construction; uncapped ones (a hierarchy of every procedure) stay
+``write.text``. Reports are whole unless a number asks for the first nodes or
+relations, and stay
 distributed: the ordered write produces range-partitioned files in order,
 and nothing is collected on the driver.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procweave.functions import constants as K
+from procweave.functions.extract import cut
 from procweave.functions.scoring import complexity_class
 
 
@@ -32,12 +33,19 @@ def _line(section: int, key, text) -> list[Column]:
             text.alias("line")]
 
 
+def _order_key(column: str, df: DataFrame) -> Column:
+    """A struct of numbers and names as text that sorts the same way."""
+    parts = [F.lpad(F.col(f"{column}.{f.name}").cast("string"), 20, "0") if f.dataType.typeName() in ("integer", "long", "short", "byte")
+             else F.col(f"{column}.{f.name}") for f in df.schema[column].dataType.fields]
+    return F.concat_ws("\u0001", *parts)
+
+
 def _frame(spark, rows):
     return spark.createDataFrame(rows, "section int, sort_key string, line string")
 
 
-def call_diagram(procs: DataFrame, edges: DataFrame, max_nodes: int = K.MERMAID_MAX_NODES) -> DataFrame:
-    """K7: Mermaid call graph of the first ``max_nodes`` graph nodes (by name).
+def call_diagram(procs: DataFrame, edges: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """K7: Mermaid call graph of all graph nodes, or of the first ``max_nodes`` (by name).
 
     ``procs(proc, complexity_score, level)``, ``edges(src, dst)`` with
     procedure keys. Graph nodes are procedures and callees; only procedure
@@ -45,19 +53,20 @@ def call_diagram(procs: DataFrame, edges: DataFrame, max_nodes: int = K.MERMAID_
     nodes. (The original takes the first nodes in insertion order.)
     """
     spark = procs.sparkSession
-    nodes = procs.select(F.col("proc").alias("node")).union(edges.select("src")).union(edges.select("dst")).distinct()
-    chosen = nodes.orderBy("node").limit(max_nodes)
-    p = procs.join(chosen.select(F.col("node").alias("proc")), "proc", "left_semi")
+    p, e = procs, edges.select("src", "dst").distinct()
+    if max_nodes is not None:
+        nodes = procs.select(F.col("proc").alias("node")).union(edges.select("src")).union(edges.select("dst")).distinct()
+        chosen = nodes.orderBy("node").limit(max_nodes)
+        p = procs.join(chosen.select(F.col("node").alias("proc")), "proc", "left_semi")
+        e = (e.join(chosen.select(F.col("node").alias("src")), "src", "left_semi")
+             .join(chosen.select(F.col("node").alias("dst")), "dst", "left_semi"))
     label = mermaid_label(F.concat(F.col("proc"), F.lit("\\n[Nível "), F.col("level").cast("string"),
                                    F.lit(", Complex: "), F.col("complexity_score").cast("string"), F.lit("]")))
     node_lines = p.select(*_line(1, F.col("proc"), F.concat(F.lit("    "), mermaid_id("proc"), F.lit('["'), label,
                                                               F.lit('"]:::'), complexity_class("complexity_score"))))
-    e = (edges.select("src", "dst").distinct()
-         .join(chosen.select(F.col("node").alias("src")), "src", "left_semi")
-         .join(chosen.select(F.col("node").alias("dst")), "dst", "left_semi"))
     edge_lines = e.select(*_line(2, F.concat_ws("\u0001", "src", "dst"),
                                  F.concat(F.lit("    "), mermaid_id("src"), F.lit(" --> "), mermaid_id("dst"))))
-    head = _frame(spark, [(0, "", "```mermaid\ngraph TD")])
+    head = _frame(spark, [(0, "", "```mermaid\n" + K.MERMAID_INIT_FLOWCHART + "\ngraph TD")])
     foot = _frame(spark, [(3, "", K.MERMAID_CLASS_DEFS)])
     return head.unionByName(node_lines).unionByName(edge_lines).unionByName(foot)
 
@@ -66,7 +75,7 @@ def hierarchy_diagram(procs: DataFrame, edges: DataFrame) -> DataFrame:
     """K8: every procedure by level, with its edges to other analysed procedures."""
     spark = procs.sparkSession
     lvl = procs.filter(F.col("level").isNotNull())
-    key = F.concat(F.lpad(F.col("level").cast("string"), 6, "0"), F.lit("\u0001"), F.col("proc"))
+    key = F.concat(F.lpad(F.col("level").cast("string"), 20, "0"), F.lit("\u0001"), F.col("proc"))
     label = mermaid_label(F.concat(F.col("proc"), F.lit("\\n[Nível "), F.col("level").cast("string"),
                                    F.lit(", Complex: "), F.col("complexity_score").cast("string"), F.lit("]")))
     node_lines = lvl.select(*_line(1, F.concat(key, F.lit("\u0000")),
@@ -75,9 +84,9 @@ def hierarchy_diagram(procs: DataFrame, edges: DataFrame) -> DataFrame:
     internal = (edges.select("src", "dst").distinct()
                 .join(procs.select(F.col("proc").alias("dst")), "dst", "left_semi")
                 .join(lvl.select(F.col("proc").alias("src"), "level"), "src"))
-    ekey = F.concat(F.lpad(F.col("level").cast("string"), 6, "0"), F.lit("\u0001"), F.col("src"), F.lit("\u0001"), F.col("dst"))
+    ekey = F.concat(F.lpad(F.col("level").cast("string"), 20, "0"), F.lit("\u0001"), F.col("src"), F.lit("\u0001"), F.col("dst"))
     edge_lines = internal.select(*_line(1, ekey, F.concat(F.lit("    "), mermaid_id("src"), F.lit(" --> "), mermaid_id("dst"))))
-    head = _frame(spark, [(0, "", "```mermaid\ngraph TD")])
+    head = _frame(spark, [(0, "", "```mermaid\n" + K.MERMAID_INIT_FLOWCHART + "\ngraph TD")])
     foot = _frame(spark, [(3, "", K.MERMAID_CLASS_DEFS)])
     return head.unionByName(node_lines).unionByName(edge_lines).unionByName(foot)
 
@@ -86,62 +95,71 @@ def flowcharts(analysis: DataFrame, levels: DataFrame) -> DataFrame:
     """K9: one Mermaid flowchart per procedure, all at once, keyed by ``proc``.
 
     Rows ``(proc, section, sort_key, line)``; parameters use the signature
-    form (P14), callees and tables the static sets.
+    form (P14), callees and tables the static sets; the text under the logic
+    heading is the ``business_logic`` column where the analysis has one. All
+    lines of a procedure come from one array, so the analysis is read once.
     """
     a = analysis.join(levels.select(F.col("node").alias("proc"), "level"), "proc", "left")
     quote = lambda c: F.translate(c, '"', "'")
-    head = a.select("proc", *_line(0, "", F.concat(
+    line = lambda section, key, text: F.struct(*_line(section, key, text))
+    none = F.array().cast("array<struct<section:int,sort_key:string,line:string>>")
+    logic = F.coalesce(F.col("business_logic"), F.lit("")) if "business_logic" in analysis.columns else F.lit("")
+
+    def listed(column, section, opening, one):
+        lines = F.concat(F.array(line(section, "", opening)), F.transform(F.col(column), one))
+        return F.when(F.size(column) > 0, lines).otherwise(none)
+
+    head = F.array(line(0, "", F.concat(
         F.lit("# Flowchart: "), F.col("proc"), F.lit("\n\n**Complexidade:** "), F.col("complexity_score").cast("string"),
         F.lit("/10\n**Nível de Dependência:** "), F.coalesce(F.col("level").cast("string"), F.lit("0")),
         F.lit("\n\n```mermaid\n" + K.MERMAID_INIT_FLOWCHART + "\nflowchart TD\n    Start([Início: "), quote(F.col("proc")),
         F.lit("])"))))
-    params = a.filter(F.size("signature_parameters") > 0)
-    p_head = params.select("proc", *_line(1, "", F.concat(F.lit("    Params[Parâmetros: "),
-                                                          F.size("signature_parameters").cast("string"),
-                                                          F.lit("]\n    Start --> Params"))))
-    p_lines = params.select("proc", F.explode_outer("signature_parameters").alias("p")).filter(F.col("p").isNotNull()).select(
-        "proc", *_line(2, F.lpad(F.col("p.position").cast("string"), 6, "0"), F.concat(
-            F.lit("    Params --> P"), F.col("p.position").cast("string"), F.lit('["'), quote(F.col("p.name")), F.lit(": "),
-            F.translate(quote(F.col("p.type")), "- ", "__"), F.lit(" ("), F.col("p.direction"), F.lit(')"]'))))
-    callers = a.filter(F.size("calls") > 0)
-    c_head = callers.select("proc", *_line(3, "", F.lit("    Procs[Procedures Chamadas]\n    Start --> Procs")))
-    c_lines = callers.select("proc", F.explode_outer("calls").alias("c")).filter(F.col("c").isNotNull()).select(
-        "proc", *_line(4, F.col("c"), F.concat(F.lit("    Procs --> Proc_"), mermaid_id("c"), F.lit('["'), quote(F.col("c")), F.lit('"]'))))
-    tab = a.filter(F.size("tables") > 0)
-    t_head = tab.select("proc", *_line(5, "", F.lit("    Tables[Tabelas Acessadas]\n    Start --> Tables")))
-    t_lines = tab.select("proc", F.explode_outer("tables").alias("t")).filter(F.col("t").isNotNull()).select(
-        "proc", *_line(6, F.col("t"), F.concat(F.lit("    Tables --> Table_"), mermaid_id("t"), F.lit('["'), quote(F.col("t")), F.lit('"]'))))
-    tail = a.select("proc", *_line(7, "", F.lit("    End([Fim])\n    Start --> End\n```\n\n## Lógica de Negócio\n\n")))
-    out = head
-    for f in (p_head, p_lines, c_head, c_lines, t_head, t_lines, tail):
-        out = out.unionByName(f)
-    return out
-
-
-def er_diagram(cols: DataFrame, fk_edges: DataFrame, max_nodes: int = K.MERMAID_MAX_NODES) -> DataFrame:
-    """Mermaid ER of the first ``max_nodes`` tables (by key): up to 3 PK
-    columns then the first 5 columns, unique, at most 8; type cut at ``(``,
-    blanks/hyphens to ``_``, 30 characters; PK / FK marks."""
+    params = listed("signature_parameters", 1, F.concat(
+        F.lit("    Params[Parâmetros: "), F.size("signature_parameters").cast("string"), F.lit("]\n    Start --> Params")),
+        lambda p: line(2, F.lpad(p["position"].cast("string"), 20, "0"), F.concat(
+            F.lit("    Params --> P"), p["position"].cast("string"), F.lit('["'), quote(p["name"]), F.lit(": "),
+            F.translate(quote(p["type"]), "- ", "__"), F.lit(" ("), p["direction"], F.lit(')"]'))))
+    calls = listed("calls", 3, F.lit("    Procs[Procedures Chamadas]\n    Start --> Procs"),
+                   lambda c: line(4, c, F.concat(F.lit("    Procs --> Proc_"), mermaid_id(c), F.lit('["'), quote(c), F.lit('"]'))))
+    tables = listed("tables", 5, F.lit("    Tables[Tabelas Acessadas]\n    Start --> Tables"),
+                    lambda t: line(6, t, F.concat(F.lit("    Tables --> Table_"), mermaid_id(t), F.lit('["'), quote(t), F.lit('"]'))))
+    tail = F.array(line(7, "", F.concat(F.lit("    End([Fim])\n    Start --> End\n```\n\n## Lógica de Negócio\n\n"), logic, F.lit("\n"))))
+    return a.select("proc", F.explode(F.concat(head, params, calls, tables, tail)).alias("l")).select("proc", "l.*")
+
+
+def er_diagram(cols: DataFrame, fk_edges: DataFrame, max_nodes: int | None = None, max_columns: int | None = None,
+               type_chars: int | None = None) -> DataFrame:
+    """Mermaid ER of all tables: PK columns first, then the others by
+    ordinal; type cut at ``(``, blanks/hyphens to ``_``; PK / FK marks.
+
+    ``max_nodes`` keeps the first tables by key, ``max_columns`` the first
+    columns of a table (at most 3 of them as PK columns and 5 others, as the
+    original picks them), ``type_chars`` cuts the type text (``K.ER_*``).
+    """
     spark = cols.sparkSession
     c = cols.withColumn("table", F.concat_ws(".", "table_schema", "table_name"))
-    chosen = c.select("table").distinct().orderBy("table").limit(max_nodes)
-    c = c.join(chosen, "table", "left_semi")
-    wpk = Window.partitionBy("table").orderBy("ordinal")
+    chosen = c.select("table").distinct()
+    if max_nodes is not None:
+        chosen = chosen.orderBy("table").limit(max_nodes)
+        c = c.join(chosen, "table", "left_semi")
     c = c.withColumn("pk_rank", F.when(F.col("is_primary_key"), F.row_number().over(
-        Window.partitionBy("table", "is_primary_key").orderBy("ordinal")))).withColumn("pos", F.row_number().over(wpk))
-    picked = c.filter(((F.col("pk_rank") <= K.ER_MAX_PK)) | (F.col("pos") <= K.ER_FIRST_COLUMNS))
-    # order: PK columns first (by PK rank), then the first columns that are not PK picks
-    picked = picked.withColumn("o", F.when(F.col("pk_rank") <= K.ER_MAX_PK, F.col("pk_rank")).otherwise(F.lit(100) + F.col("pos")))
-    picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("table").orderBy("o"))).filter(F.col("k") <= K.ER_MAX_COLUMNS)
-    typ = F.substring(F.translate(F.trim(F.substring_index("data_type", "(", 1)), "- ", "__"), 1, K.ER_TYPE_CHARS)
-    col_lines = picked.select(*_line(1, F.concat(F.col("table"), F.lit("\u0001"), F.lpad(F.col("o").cast("string"), 6, "0")),
+        Window.partitionBy("table", "is_primary_key").orderBy("ordinal")))).withColumn(
+        "pos", F.row_number().over(Window.partitionBy("table").orderBy("ordinal")))
+    pk_pick = F.col("pk_rank").isNotNull() if max_columns is None else F.col("pk_rank") <= K.ER_MAX_PK
+    picked = c if max_columns is None else c.filter(pk_pick | (F.col("pos") <= K.ER_FIRST_COLUMNS))
+    # order: PK columns first (by PK rank), then the columns that are not PK picks
+    picked = picked.withColumn("o", F.when(pk_pick, F.col("pk_rank").cast("bigint")).otherwise(F.lit(1 << 32) + F.col("pos")))
+    if max_columns is not None:
+        picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("table").orderBy("o"))).filter(F.col("k") <= max_columns)
+    typ = cut(F.translate(F.trim(F.substring_index("data_type", "(", 1)), "- ", "__"), type_chars)
+    col_lines = picked.select(*_line(1, F.concat(F.col("table"), F.lit("\u0001"), F.lpad(F.col("o").cast("string"), 20, "0")),
                                      F.concat(F.lit("        "), F.col("column_name"), F.lit(" "), typ,
                                               F.when(F.col("is_primary_key"), F.lit(" PK")).otherwise(F.lit("")),
                                               F.when(F.col("is_foreign_key"), F.lit(" FK")).otherwise(F.lit("")))))
     open_lines = chosen.select(*_line(1, F.concat(F.col("table"), F.lit("\u0000")),
                                       F.concat(F.lit("    "), mermaid_id("table"), F.lit(" {"))))
     close_lines = chosen.select(*_line(1, F.concat(F.col("table"), F.lit("\u0002")), F.lit("    }")))
-    e = (fk_edges.select("src", "dst").distinct()
+    e = (fk_edges.select("src", "dst").distinct()  # both ends must be tables of the diagram
          .join(chosen.select(F.col("table").alias("src")), "src", "left_semi")
          .join(chosen.select(F.col("table").alias("dst")), "dst", "left_semi"))
     rel_lines = e.select(*_line(2, F.concat_ws("\u0001", "src", "dst"),
@@ -153,10 +171,10 @@ def er_diagram(cols: DataFrame, fk_edges: DataFrame, max_nodes: int = K.MERMAID_
 
 
 def markdown_report(schema_objects: DataFrame, rels: DataFrame, deg: DataFrame, generated_at: str,
-                    max_relations: int = K.REPORT_MAX_RELATIONS, top_n: int = K.REPORT_TOP_N) -> DataFrame:
+                    max_relations: int | None = None, top_n: int = K.REPORT_TOP_N) -> DataFrame:
     """Relationship report lines per schema: statistics, objects per
     kind, top referenced / referencing, isolated objects, relations per type
-    and the first ``max_relations`` relations (in extraction order)."""
+    and all relations, or the first ``max_relations`` (in extraction order)."""
     from procweave.operators import relmap as RM
 
     counts = RM.object_counts(schema_objects)
@@ -172,13 +190,13 @@ def markdown_report(schema_objects: DataFrame, rels: DataFrame, deg: DataFrame,
             F.lit("\n\n### Objetos por Tipo\n\n| Tipo | Quantidade |\n|------|------------|"))))
     kind_idx = F.create_map(*[x for i, k in enumerate(K.OBJECT_KINDS) for x in (F.lit(k), F.lit(i))])
     kinds = counts.filter(F.col("obj_type") != "total").select(
-        "schema", *_line(1, F.lpad(kind_idx[F.col("obj_type")].cast("string"), 3, "0"),
+        "schema", *_line(1, F.lpad(kind_idx[F.col("obj_type")].cast("string"), 20, "0"),
                          F.concat(F.lit("| "), F.initcap("obj_type"), F.lit(" | "), F.col("count").cast("string"), F.lit(" |"))))
     top_in = RM.top_nodes(deg, "in_degree", top_n).select(
-        "schema", *_line(3, F.lpad(F.col("rank").cast("string"), 6, "0"),
+        "schema", *_line(3, F.lpad(F.col("rank").cast("string"), 20, "0"),
                          F.concat(F.lit("| "), F.col("name"), F.lit(" | "), F.col("count").cast("string"), F.lit(" |"))))
     top_out = RM.top_nodes(deg, "out_degree", top_n).select(
-        "schema", *_line(5, F.lpad(F.col("rank").cast("string"), 6, "0"),
+        "schema", *_line(5, F.lpad(F.col("rank").cast("string"), 20, "0"),
                          F.concat(F.lit("| "), F.col("name"), F.lit(" | "), F.col("count").cast("string"), F.lit(" |"))))
     heads = schemas.select("schema", *_line(2, "", F.lit("\n### Objetos Mais Referenciados\n\n| Objeto | Referências |\n|--------|-------------|"))) \
         .unionByName(schemas.select("schema", *_line(4, "", F.lit("\n### Objetos que Mais Referenciam Outros\n\n| Objeto | Referências |\n|--------|-------------|"))))
@@ -186,20 +204,23 @@ def markdown_report(schema_objects: DataFrame, rels: DataFrame, deg: DataFrame,
     iso_head = (RM.isolated(deg).groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
                 .select("schema", *_line(6, "", F.concat(F.lit("\n### Objetos Isolados ("), F.col("n").cast("string"), F.lit(")\n")))))
     by_type = RM.relations_by_type(rels).select(
-        "schema", *_line(9, F.concat(F.lpad((F.lit(10 ** 12) - F.col("count")).cast("string"), 13, "0"), F.col("type")),
+        "schema", *_line(9, F.concat(F.lpad((F.lit((1 << 63) - 1) - F.col("count")).cast("string"), 20, "0"), F.col("type")),
                          F.concat(F.lit("| "), F.col("type"), F.lit(" | "), F.col("count").cast("string"), F.lit(" |"))))
     bt_head = schemas.select("schema", *_line(8, "", F.lit("\n### Relacionamentos por Tipo\n\n| Tipo | Quantidade |\n|------|------------|")))
     w = Window.partitionBy("schema").orderBy("ord")
-    first = (rels.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max_relations)
-             .select("schema", *_line(11, F.lpad(F.col("r").cast("string"), 6, "0"),
-                                      F.concat(F.lit("| "), F.col("source"), F.lit(" | "), F.col("type"), F.lit(" | "),
-                                               F.col("target"), F.lit(" |")))))
+    row = F.concat(F.lit("| "), F.col("source"), F.lit(" | "), F.col("type"), F.lit(" | "), F.col("target"), F.lit(" |"))
+    if max_relations is None:
+        # the extraction order as a sort key: no ranking window over a schema's relations
+        first = rels.select("schema", *_line(11, _order_key("ord", rels), row))
+    else:
+        first = (rels.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max_relations)
+                 .select("schema", *_line(11, F.lpad(F.col("r").cast("string"), 20, "0"), row)))
     r_head = schemas.select("schema", *_line(10, "", F.lit("\n## Relacionamentos\n\n| Origem | Tipo | Destino |\n|--------|------|---------|")))
-    more = n_rel.filter(F.col("n_rel") > max_relations).select(
+    more = n_rel.filter(F.col("n_rel") > (F.lit(max_relations) if max_relations is not None else F.col("n_rel"))).select(
         "schema", *_line(12, "", F.concat(F.lit(f"\n*Mostrando {max_relations} de "), F.col("n_rel").cast("string"),
                                           F.lit(" relacionamentos. Ver arquivo JSON para lista completa.*"))))
     out = head
-    for f in (kinds, heads, top_in, top_out, iso_head, iso, bt_head, by_type, r_head, first, more):
+    for f in (kinds, heads, top_in, top_out, iso_head, iso, bt_head, by_type, r_head, first, *([more] if max_relations is not None else [])):
         out = out.unionByName(f)
     return out
 
@@ -221,8 +242,7 @@ def export_sections(frames: dict[str, DataFrame], path: str, fmt: str = "parquet
 def export_partitioned(df: DataFrame, path: str, key: str, fmt: str = "json") -> None:
     """One partition per key (cache entry per table, DDL per object kind),
     replacing only the partitions present in ``df`` (dynamic overwrite)."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy(key).format(fmt).save(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).format(fmt).save(path)
 
 
 # ------------------------------------------------------------- K15
@@ -234,12 +254,12 @@ _DIAGRAM_PATTERNS = [
 
 
 def add_mermaid_init(docs: DataFrame, content_col: str = "content") -> DataFrame:
-    """Markdown files whose first 200 characters open a Mermaid fence get
+    """Markdown files that open a Mermaid fence anywhere get
     the init block of their diagram type inserted after the fence, unless an
     init block is already there. Adds ``diagram_type``, ``updated`` and
     ``new_content``; write ``new_content`` to a new directory."""
     c = F.col(content_col)
-    is_mermaid = F.substring(c, 1, 200).contains("```mermaid")
+    is_mermaid = c.contains("```mermaid")
     kind = F.coalesce(*[F.when(c.rlike(p), F.lit(k)) for p, k in _DIAGRAM_PATTERNS])
     line = F.coalesce(*[F.when(c.rlike(p), F.regexp_extract(c, p, 1)) for p, _ in _DIAGRAM_PATTERNS])
     init = F.when(kind == "er", F.lit(K.MERMAID_INIT_ER + "\n")).otherwise(F.lit(K.MERMAID_INIT_FLOWCHART + "\n"))
@@ -262,7 +282,7 @@ def table_hierarchy_diagram(levels: DataFrame, summary: DataFrame, fk_edges: Dat
     spark = levels.sparkSession
     s = summary.select(F.concat_ws(".", "table_schema", "table_name").alias("table"), "n_fks", "complexity_score")
     t = levels.filter(F.col("level").isNotNull()).join(s, "table")
-    lv = F.lpad(F.col("level").cast("string"), 6, "0")
+    lv = F.lpad(F.col("level").cast("string"), 20, "0")
     opens = levels.filter(F.col("level").isNotNull()).select("level").distinct().select(
         *_line(1, F.concat(lv, F.lit("\u0000")), F.concat(F.lit("    subgraph Level"), F.col("level").cast("string"),
                                                           F.lit('["Nível '), F.col("level").cast("string"), F.lit('"]'))))

@@ -51,9 +51,8 @@ def clear_graph(spark: SparkSession, path: str, nodes_schema: str, edges_schema:
 def save_table_cache(entries: DataFrame, path: str) -> None:
     """K5: one partition per cache key (database identity), dynamic overwrite so
     only the keys present are replaced; rows carry ``cache_version``."""
-    entries.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (entries.withColumn("cache_version", F.lit(K.CACHE_VERSION))
-     .write.mode("overwrite").partitionBy("cache_key").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path))
 
 
 def load_table_cache(spark: SparkSession, path: str, cache_key: str | None = None) -> DataFrame:

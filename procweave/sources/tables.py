@@ -27,8 +27,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Procedure text per orders row. Procedure n calls P(n/2) and, for status F,
 # P(n/3): callees are always smaller, so the call graph is acyclic. The same
 # expression runs unchanged in DuckDB, which is what the oracles use.
+# Some procedures have a signature of over 500 characters (42 parameters) or a
+# body of over 4,000, longer than any cut the analysed tool makes.
+_MANY_PARAMETERS = "".join(f", p_extra_{i} IN NUMBER" for i in range(1, 41))
 CORPUS_TEXT_SQL = (
-    "'CREATE OR REPLACE PROCEDURE P' || CAST(o_orderkey AS VARCHAR(20)) || ' (p_id IN NUMBER, p_out OUT VARCHAR2) AS' || chr(10) || "
+    "'CREATE OR REPLACE PROCEDURE P' || CAST(o_orderkey AS VARCHAR(20)) || ' (p_id IN NUMBER, p_out OUT VARCHAR2' || "
+    f"CASE WHEN o_orderkey % 97 = 5 THEN '{_MANY_PARAMETERS}' ELSE '' END || ') AS' || chr(10) || "
+    "repeat(' NULL; -- step' || chr(10), CASE WHEN o_orderkey % 101 = 7 THEN 300 ELSE 0 END) || "
     "' v_total NUMBER;' || chr(10) || 'BEGIN' || chr(10) || "
     "CASE WHEN o_orderkey > 0 THEN ' CALL P' || CAST(CAST(FLOOR(o_orderkey/2.0) AS BIGINT) AS VARCHAR(20)) || '();' || chr(10) ELSE '' END || "
     "CASE WHEN o_orderkey > 2 AND o_orderstatus = 'F' THEN ' EXEC P' || CAST(CAST(FLOOR(o_orderkey/3.0) AS BIGINT) AS VARCHAR(20)) || ';' || chr(10) ELSE '' END || "

@@ -2,15 +2,16 @@
 
 New or changed ``*.prc`` files arrive in a directory; each micro-batch is
 analysed with the same stateless batch functions (static analysis,
-complexity, document text) and written as a new ``batch_id`` partition of
-the document and edge tables. Readers take, per key, the row of the latest
-batch (:func:`current`), which is the upsert semantics of the original
-vector index, without rewriting old data. Re-running a batch overwrites
-only its own partition, so a retried epoch stays exactly-once.
+complexity, document text) and written as a new ``run, batch_id`` partition of
+the document and edge tables (``run`` is the stream's id, so a stream with a new
+checkpoint never overwrites an older one's batches). Readers take, per key, the
+version of the latest file (:func:`current`), which is the upsert semantics of
+the original vector index, without rewriting old data. Re-running a batch
+overwrites only its own partition, so a retried epoch stays exactly-once.
 
 The file source tracks files by path: a changed procedure is delivered as
 a new file (for example in a new drop folder); its key (the upper-case
-stem) makes the newer batch supersede the older one.
+stem) makes the newer file supersede the older one.
 """
 
 from __future__ import annotations
@@ -35,17 +36,21 @@ def file_stream(spark: SparkSession, path: str, extension: str = "prc") -> DataF
 
 def index_batch(batch: DataFrame, batch_id: int, out: str, dim: int = 64) -> None:
     """foreachBatch body: analyse, embed, write this epoch's partition."""
-    spark = batch.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    latest = batch.groupBy("name").agg(F.max_by("source_code", "modified_at").alias("source_code"))
-    an = A.analyze(latest)
-    docs = V.embed_hashing(V.code_document(an), "text", dim)
-    docs.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite") \
-        .partitionBy("batch_id").parquet(f"{out}/documents")
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "manual"
+    latest = batch.groupBy("name").agg(F.max(F.struct("modified_at", "source_code")).alias("v")).select(
+        "name", "v.source_code", "v.modified_at")
+    an = A.analyze(latest.select("name", "source_code"))
+    versions = an.select("id", "proc").join(latest.select(F.col("name").alias("proc"), "modified_at"), "proc").select("id", "modified_at")
+
+    def write(df: DataFrame, key: str, name: str) -> None:
+        (df.join(versions.withColumnRenamed("id", key), key)
+         .withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")})
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch_id").parquet(f"{out}/{name}"))
+
+    write(V.embed_hashing(V.code_document(an), "text", dim), "node_id", "documents")
     calls = A.call_edges(an).select(F.col("id").alias("src"), F.col("callee").alias("dst"), F.lit("calls").alias("edge_type"))
     tabs = A.table_edges(an).select(F.col("id").alias("src"), F.col("table_name").alias("dst"), F.lit("accesses").alias("edge_type"))
-    calls.unionByName(tabs).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite") \
-        .partitionBy("batch_id").parquet(f"{out}/edges")
+    write(calls.unionByName(tabs), "src", "edges")
 
 
 def start(spark: SparkSession, source_dir: str, out: str, checkpoint: str, available_now: bool = True,
@@ -58,10 +63,12 @@ def start(spark: SparkSession, source_dir: str, out: str, checkpoint: str, avail
 
 
 def current(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
-    """Documents and edges as of the latest batch per procedure (K6 upsert view)."""
+    """Documents and edges of the latest file per procedure (K6 upsert view): newest
+    modification time, then batch, then run."""
     docs = spark.read.parquet(f"{out}/documents")
-    last = docs.groupBy("node_id").agg(F.max("batch_id").alias("batch_id"))
-    docs = docs.join(last, ["node_id", "batch_id"], "left_semi")
+    last = (docs.groupBy("node_id").agg(F.max(F.struct("modified_at", "batch_id", "run")).alias("v"))
+            .select("node_id", "v.batch_id", "v.run"))
+    docs = docs.join(last, ["node_id", "batch_id", "run"], "left_semi")
     edges = spark.read.parquet(f"{out}/edges").join(
-        last.withColumnRenamed("node_id", "src"), ["src", "batch_id"], "left_semi")
+        last.withColumnRenamed("node_id", "src"), ["src", "batch_id", "run"], "left_semi")
     return docs, edges

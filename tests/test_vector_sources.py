@@ -51,8 +51,8 @@ def test_hashing_embedding_and_hybrid(spark):
     edges = spark.createDataFrame([("A", "B", "calls"), ("A", "T1", "accesses"), ("C", "A", "calls")],
                                   "src string, dst string, edge_type string")
     h = V.hybrid_search(emb, edges, V.query_vector(vec), k=1, threshold=-1.0).collect()
-    assert {(r["node_id"], r["edge_type"], r["first_neighbours"]) for r in h} == \
-        {("A", "calls", "B, C"), ("A", "accesses", "T1")}
+    assert {(r["node_id"], r["edge_type"], r["other"], r["pos"], r["n_neighbours"]) for r in h} == \
+        {("A", "calls", "B", 1, 2), ("A", "calls", "C", 2, 2), ("A", "accesses", "T1", 1, 1)}
 
     def enc(texts):
         return np.ones((len(texts), 4)) / 2.0
