@@ -37,12 +37,6 @@ def table_complexity(n_columns, n_fks, n_indexes) -> Column:
     return F.least(score.cast("bigint"), F.lit(10).cast("bigint"))
 
 
-def score_from_text(text, code) -> Column:
-    """Score parsed from free text (first 1..10 token), else the code heuristic (P25)."""
-    parsed = F.regexp_extract(_col(text), K.SCORE_IN_TEXT_PATTERN, 1)
-    return F.coalesce(F.when(parsed != "", parsed.cast("bigint")), code_complexity(code))
-
-
 def repair_score(score) -> Column:
     """Out-of-range score -> 5."""
     s = _col(score)

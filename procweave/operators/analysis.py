@@ -89,27 +89,22 @@ def field_usage(analysis: DataFrame) -> DataFrame:
     select reads, insert writes, update writes, then transformations.
     Duplicates are kept, as in the original operation lists.
     """
-    parts = [
-        ("select_fields", "read", "select", None),
-        ("insert_fields", "write", "insert", None),
-        ("update_fields", "write", "update", None),
-    ]
-    frames = []
-    for i, (col, op, kind, _) in enumerate(parts):
-        frames.append(analysis.select(
-            "proc", F.posexplode_outer(col).alias("pos", "u")).filter(F.col("pos").isNotNull()).select(
-            "proc", F.col("u.field").alias("field"), F.lit(op).alias("operation"), F.lit(kind).alias("kind"),
-            F.col("u.context").alias("context"), F.lit(None).cast("string").alias("transformation"),
-            (F.lit(i << 32) + F.col("pos")).cast("bigint").alias("seq")))
-    frames.append(analysis.select("proc", F.posexplode_outer("transformations").alias("pos", "u")).filter(F.col("pos").isNotNull()).select(
-        "proc", F.col("u.field").alias("field"), F.lit("transform").alias("operation"),
-        F.lit("transform").alias("kind"), F.lit(None).cast("string").alias("context"),
-        F.col("u.transformation").alias("transformation"),
-        (F.lit(3 << 32) + F.col("pos")).cast("bigint").alias("seq")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    # one projection and one explode: the four lists become one tagged array, the
+    # extraction runs once per procedure
+    parts = [("select_fields", "read", "select"), ("insert_fields", "write", "insert"),
+             ("update_fields", "write", "update"), ("transformations", "transform", "transform")]
+    none = F.lit(None).cast("string")
+
+    def tagged(i, column, operation, kind):
+        moved = column == "transformations"
+        return F.transform(F.col(column), lambda u, pos: F.struct(
+            u["field"].alias("field"), F.lit(operation).alias("operation"), F.lit(kind).alias("kind"),
+            (none if moved else u["context"]).alias("context"), (u["transformation"] if moved else none).alias("transformation"),
+            (F.lit(i << 32) + pos).cast("bigint").alias("seq")))
+
+    rows = F.concat(*[tagged(i, *p) for i, p in enumerate(parts)])
+    return (analysis.select("proc", F.explode_outer(rows).alias("u")).filter(F.col("u").isNotNull())
+            .select("proc", "u.field", "u.operation", "u.kind", "u.context", "u.transformation", "u.seq"))
 
 
 def field_usage_one(usage: DataFrame, field: str, procedure: str | None = None,

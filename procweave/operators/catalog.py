@@ -155,6 +155,16 @@ def index_columns_from_definition(defs: DataFrame, def_col: str = "indexdef") ->
     return defs.select("*", cols.alias("columns"), F.upper(F.col(def_col)).contains("UNIQUE").alias("is_unique"))
 
 
+def index_rows_from_definitions(defs: DataFrame, def_col: str = "indexdef") -> DataFrame:
+    """PostgreSQL ``pg_indexes`` rows as index-column rows, the shape that
+    :func:`assemble_indexes` takes (one row per column, ``USING`` method as type)."""
+    parsed = index_columns_from_definition(defs, def_col)
+    method = F.nullif(F.regexp_extract(F.col(def_col), r"(?i)\bUSING\s+(\w+)", 1), F.lit(""))
+    return parsed.select("table_schema", "table_name", "index_name", F.posexplode("columns").alias("pos", "column_name"),
+                         "is_unique", method.alias("index_type")).select(
+        "table_schema", "table_name", "index_name", "column_name", (F.col("pos") + 1).alias("position"), "is_unique", "index_type")
+
+
 def table_ddl(cols: DataFrame, fks: DataFrame, style: str = "postgresql") -> DataFrame:
     """CREATE TABLE text per table from assembled columns and FKs.
 
@@ -229,18 +239,18 @@ def resolve_fk_targets(fks: DataFrame, tables: DataFrame, compat: bool = False)
     an undotted target against ``schema.table`` keys (``compat=True``); by
     default undotted targets are resolved on the last segment as well.
     """
-    t = tables.select(F.col("table").alias("cand"))
-    t_short = t.select("cand", F.substring_index("cand", ".", -1).alias("short"))
+    t = tables.select(F.col("table").alias("cand")).distinct()
+    # one candidate per last segment: a name that many schemas have stays one row
+    t_short = t.groupBy(F.substring_index("cand", ".", -1).alias("short")).agg(F.min("cand").alias("dst"))
     e = fks.select(F.concat_ws(".", "table_schema", "table_name").alias("src"), F.col("referenced_table").alias("target"),
                    "constraint_name", "columns", "referenced_columns")
-    exact = e.join(t, e.target == t.cand).select(*e.columns, F.col("cand").alias("dst"), F.lit(0).alias("prio"))
-    eligible = e.filter(F.col("target").contains(".")) if compat else e
-    by_short = (eligible.withColumn("short", F.substring_index("target", ".", -1)).join(t_short, "short")
-                .select(*e.columns, F.col("cand").alias("dst"), F.lit(1).alias("prio")))
-    keys = ["src", "target", "constraint_name", "columns", "referenced_columns"]
-    best = (exact.unionByName(by_short).groupBy(*keys)
-            .agg(F.min(F.struct("prio", "dst")).alias("b")))
-    return best.select("src", F.col("b.dst").alias("dst"), "constraint_name", "columns", "referenced_columns")
+    looked = e.distinct().join(t, e["target"] == t["cand"], "left")
+    exact = looked.filter(F.col("cand").isNotNull()).withColumn("dst", F.col("cand"))
+    # only targets without an exact table take the last-segment path
+    rest = looked.filter(F.col("cand").isNull() & (F.col("target").contains(".") if compat else F.lit(True)))
+    by_short = rest.withColumn("short", F.substring_index("target", ".", -1)).join(t_short, "short")
+    columns = ["src", "dst", "constraint_name", "columns", "referenced_columns"]
+    return exact.select(*columns).unionByName(by_short.select(*columns))
 
 
 def field_definition(cols: DataFrame, table: str, field: str, case_sensitive: bool = False) -> DataFrame:

@@ -7,9 +7,8 @@ distance, ``similarity = 1 - distance`` (for unit vectors ``2cos - 1``);
 * One query: similarity is a JVM-side higher-order expression over the
   embedding array; the top-k is ``orderBy(...).limit(k)`` which Spark runs as
   a per-partition top-k plus a small merge (no global sort).
-* Many queries: the query set must be small (its row count is checked
-  against ``max_queries`` before it is broadcast; larger sets are processed
-  in chunks of that size). Each task scores its documents against the
+* Many queries: the query set is counted and dealt into chunks of bounded
+  bytes; each chunk is broadcast. Each task scores its documents against the
   broadcast query matrix with numpy and keeps only k candidates per query,
   so no (query, document) pair is ever materialised in Spark; a final
   ranking keeps k per query out of ``k x partitions`` candidates.
@@ -75,18 +74,25 @@ def search(docs: DataFrame, query_vec: Column, k: int = 5, threshold: float = 0.
     return out.select("rank", id_col, "similarity")
 
 
-def _score_partition(bq, k: int, threshold: float, metric: str, id_col: str, vec_col: str):
+#: Cells of a (queries x documents) score matrix that a task holds at a time.
+SCORE_CELLS = 2_000_000
+
+
+def _score_partition(bq, k: int, threshold: float, metric: str, names: tuple[str, str, str]):
+    query_name, id_name, vec_name = names
+
     def run(batches):
         qids, qmat = bq.value  # broadcast: shipped once per executor, not per task
-        best_s = np.full((len(qids), 0), -np.inf)
-        best_i = np.zeros((len(qids), 0), dtype=np.int64)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+        n_q = len(qids)
+        rows = max(1, SCORE_CELLS // max(1, n_q))
+        best_s = np.full((n_q, 0), -np.inf)
+        best_i = np.zeros((n_q, 0), dtype=np.int64)  # positions in ``known``
+        known = np.zeros(0, dtype=object)  # ids of the current candidates, ascending
+        for pdf in (whole.iloc[s:s + rows] for whole in batches for s in range(0, len(whole), rows)):
+            ids = pdf[id_name].to_numpy(dtype=object)
+            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_name]])
             if metric == "l2":
-                s = np.zeros((len(qids), len(ids)))
+                s = np.zeros((n_q, len(ids)))
                 for j in range(mat.shape[1]):  # left-to-right sum, like the SQL form
                     diff = mat[None, :, j] - qmat[:, j, None]
                     s += diff * diff
@@ -94,61 +100,47 @@ def _score_partition(bq, k: int, threshold: float, metric: str, id_col: str, vec
             else:
                 s = (qmat @ mat.T) / (np.linalg.norm(qmat, axis=1)[:, None] * np.linalg.norm(mat, axis=1)[None, :])
             s = np.where(s >= threshold, s, -np.inf)
+            merged, at = np.unique(np.concatenate([known, ids]), return_inverse=True)
             cand_s = np.concatenate([best_s, s], axis=1)
-            cand_i = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
+            cand_i = np.concatenate([at[:len(known)][best_i], np.broadcast_to(at[len(known):], s.shape)], axis=1)
             # order: similarity desc, id asc; keep k
             order = np.lexsort((cand_i, -cand_s), axis=1)[:, :k]
             best_s = np.take_along_axis(cand_s, order, axis=1)
             best_i = np.take_along_axis(cand_i, order, axis=1)
-        rows_q, rows_i, rows_s = [], [], []
-        for qi in range(len(qids)):
-            keep = np.isfinite(best_s[qi])
-            rows_q.append(np.full(keep.sum(), qids[qi]))
-            rows_i.append(best_i[qi][keep])
-            rows_s.append(best_s[qi][keep])
-        if rows_q:
-            yield pd.DataFrame({"query_id": np.concatenate(rows_q).astype(np.int64),
-                                id_col: np.concatenate(rows_i).astype(np.int64),
-                                "similarity": np.concatenate(rows_s)})
+            kept, flat = np.unique(best_i, return_inverse=True)
+            known, best_i = merged[kept], flat.reshape(best_i.shape)
+        q, c = np.nonzero(np.isfinite(best_s))
+        if len(q):
+            yield pd.DataFrame({query_name: qids[q], id_name: known[best_i[q, c]], "similarity": best_s[q, c]})
     return run
 
 
 def search_many(docs: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0, metric: str = "l2",
-                id_col: str = "id", vec_col: str = "embedding", max_queries: int = 20_000,
+                id_col: str = "id", vec_col: str = "embedding", max_bytes: int = 64 << 20,
                 digits: int | None = 4) -> DataFrame:
-    """Top-k per query for a bounded set of query vectors ``queries(query_id, embedding)``.
+    """Top-k per query for a set of query vectors ``queries(query_id, embedding)``; ids of any type.
 
-    The query set is split by hash until each chunk is proven (by a bounded
-    collect) to hold at most ``max_queries`` rows; chunks are answered one by
-    one, so every broadcast stays bounded whatever the input.
+    The query set is counted first and dealt by hash into as many chunks as
+    keep a chunk's vectors under about ``max_bytes``; each chunk is broadcast
+    and the documents are scored against it, so a broadcast stays bounded
+    whatever the input. Repeated rows of the query set count once.
     """
     spark = docs.sparkSession
-    q = queries.select(F.col("query_id").cast("bigint"), F.col(vec_col).alias("_qv"))
-    # Split the query set by hash until every chunk is proven to hold at most
-    # max_queries rows (each chunk is collected with limit(max_queries + 1)).
-    pending = [(q, 0)]
-    results = []
-    while pending:
-        part, salt = pending.pop()
-        rows = part.limit(max_queries + 1).collect()
-        if len(rows) > max_queries:
-            n_sub = 4
-            bucket = F.pmod(F.xxhash64(F.col("query_id"), F.lit(salt + 1)), F.lit(n_sub))
-            pending.extend((part.filter(bucket == i), salt + 1) for i in range(n_sub))
-            continue
-        if not rows:
-            continue
-        qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+    q = queries.select("query_id", F.col(vec_col).alias("_qv")).distinct()
+    size = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_qv")), F.lit(0))).first()
+    chunks = max(1, -(-size[0] * (size[1] * 8 + 64) // max_bytes))
+    d = docs.select(F.col(id_col), F.col(vec_col))
+    schema = (f"query_id {q.schema['query_id'].dataType.simpleString()}, `{id_col}` {d.schema[id_col].dataType.simpleString()}, "
+              "similarity double")
+    cand = None
+    for i in range(chunks):
+        rows = q.filter(F.pmod(F.xxhash64("query_id", "_qv"), F.lit(chunks)) == i).collect()
+        qids = np.empty(len(rows), dtype=object)
+        qids[:] = [r["query_id"] for r in rows]
         qmat = np.array([np.asarray(r["_qv"], dtype=np.float64) for r in rows]).reshape(len(rows), -1)
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        fn = _score_partition(bq, k, threshold, metric, id_col, vec_col)
-        results.append(docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vec_col)).mapInPandas(
-            fn, f"query_id bigint, {id_col} bigint, similarity double"))
-    if not results:
-        return spark.createDataFrame([], f"query_id bigint, rank bigint, {id_col} bigint, similarity double")
-    cand = results[0]
-    for r in results[1:]:
-        cand = cand.unionByName(r)
+        fn = _score_partition(spark.sparkContext.broadcast((qids, qmat)), k, threshold, metric, ("query_id", id_col, vec_col))
+        part = d.mapInPandas(fn, schema)
+        cand = part if cand is None else cand.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(id_col))
     out = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     if digits is not None:
@@ -302,11 +294,6 @@ def preview(text, n: int = K.PREVIEW_CHARS) -> Column:
 
 
 # ------------------------------------------------------------- upkeep (K6, V6, V7)
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "node_id") -> DataFrame:
-    """K6: replace rows of existing ids, add new ones (delete-then-add)."""
-    return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
-
-
 def stale(nodes: DataFrame, marker, ts_col: str = "updated_at") -> DataFrame:
     """V6: nodes changed after the last indexing marker (only those are re-embedded)."""
     m = F.lit(marker) if not isinstance(marker, Column) else marker

@@ -276,12 +276,13 @@ SELECT n.id, CAST(count(e.dst) AS BIGINT) AS total_dependencies FROM nodes n LEF
 """
 
 
-def _walk(depth: int) -> str:
+def _walk(depth: int | None) -> str:
+    limit = f"WHERE w.depth < {depth}" if depth else ""
     return f"""{GRAPH},
 ce AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'calls'),
 te AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'accesses'),
-walk(root, node, depth) AS (SELECT id, id, 0 FROM nodes
-    UNION SELECT w.root, ce.dst, w.depth + 1 FROM walk w JOIN ce ON ce.src = w.node WHERE w.depth < {depth}),
+walk(root, node, depth) AS (SELECT id, id, 0 FROM nodes WHERE CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 100 = 0
+    UNION SELECT w.root, ce.dst, w.depth + 1 FROM walk w JOIN ce ON ce.src = w.node AND ce.dst <> ce.src {limit}),
 pf AS (SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY root, node),
 tf AS (SELECT pf.root, te.dst AS node, CAST(min(pf.depth) + 1 AS BIGINT) AS depth FROM pf JOIN te ON te.src = pf.node
        GROUP BY pf.root, te.dst),
@@ -291,7 +292,7 @@ summ AS (SELECT root, CAST(count(*) FILTER (WHERE node_type = 'procedure') AS BI
                 CAST(max(depth) FILTER (WHERE node_type = 'procedure') AS BIGINT) AS depth_reached FROM crawl GROUP BY root)"""
 
 
-ORACLES["crawl"] = f"WITH RECURSIVE {CORPUS}, {_walk(3)} SELECT * FROM crawl"
+ORACLES["crawl"] = f"WITH RECURSIVE {CORPUS}, {_walk(None)} SELECT * FROM crawl"
 ORACLES["crawl_summary"] = f"WITH RECURSIVE {CORPUS}, {_walk(5)} SELECT * FROM summ"
 ORACLES["impact"] = f"""
 WITH RECURSIVE {CORPUS}, {_walk(3)},
@@ -302,6 +303,7 @@ SELECT n.id AS root, coalesce(cl.caller_count, 0) AS caller_count, coalesce(s.pr
        CASE WHEN coalesce(s.procedures_found, 0) > 10 THEN 'alta' WHEN coalesce(s.procedures_found, 0) > 5 THEN 'média'
             ELSE 'baixa' END AS impact_class
 FROM nodes n LEFT JOIN summ s ON s.root = n.id LEFT JOIN cl ON cl.root = n.id
+WHERE CAST(regexp_extract(n.id, '([0-9]+)$', 1) AS BIGINT) % 100 = 0
 """
 
 
@@ -624,10 +626,14 @@ FROM s WHERE sim >= -1.0 ORDER BY sim DESC, vec_id LIMIT {k}"""
 
 ORACLES["semantic_topk"] = _topk(_L2, 10)
 ORACLES["cosine_topk"] = _topk(_COS, 10)
-ORACLES["semantic_topk_multi"] = f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE label = 0),
+ORACLES["semantic_topk_multi"] = f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT q.query_id, e.vec_id, {_L2} AS sim FROM embeddings e, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s WHERE sim >= -1.0)
 SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(sim, 4) AS similarity FROM r WHERE rank <= 5"""
+ORACLES["semantic_topk_nodes"] = f"""WITH q AS (SELECT 'APP.N' || CAST(vec_id AS VARCHAR) AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.query_id, 'APP.N' || CAST(e.vec_id AS VARCHAR) AS node_id, {_L2} AS sim FROM embeddings e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) AS rank FROM s WHERE sim >= -1.0)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, node_id, round(sim, 4) AS similarity FROM r WHERE rank <= 3"""
 ORACLES["hybrid_search"] = f"""WITH {CORPUS}, {GRAPH},
 q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
 s AS (SELECT 'UNKNOWN.P' || CAST(e.vec_id AS VARCHAR) AS node_id, {_L2} AS sim FROM embeddings e, q),
@@ -749,7 +755,7 @@ SELECT field, CAST(count(*) AS BIGINT) AS procedures, CAST(sum(r) AS BIGINT) AS
 ORACLES["trace_field"] = f"""WITH RECURSIVE {CORPUS}, {CALL_EDGES}, {FIELD_USAGE}, {ACCESS_CATALOG}, traw AS ({_T_RAW}),
 ce AS (SELECT DISTINCT proc AS src, callee AS dst FROM calls),
 st AS (SELECT 'P' || CAST(max(o_orderkey) AS VARCHAR) AS root FROM orders),
-walk(root, node, depth) AS (SELECT root, root, 0 FROM st UNION SELECT w.root, ce.dst, w.depth + 1 FROM walk w JOIN ce ON ce.src = w.node),
+walk(root, node, depth) AS (SELECT root, root, 0 FROM st UNION SELECT w.root, ce.dst, w.depth + 1 FROM walk w JOIN ce ON ce.src = w.node AND ce.dst <> ce.src),
 reach AS (SELECT root, node AS proc, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY ALL),
 hit AS (SELECT r.root, r.proc, r.depth, u.operation, u.transformation FROM reach r JOIN usage u ON u.proc = r.proc WHERE u.field = 'STATUS')
 SELECT root, 'step' AS kind, proc AS procedure, operation, depth, CAST(NULL AS VARCHAR) AS detail FROM hit

@@ -186,8 +186,7 @@ def _graph(spark, sf_dir):
 
 @register("graph_nodes")
 def graph_nodes(spark, sf_dir):
-    _, nodes, _ = _graph(spark, sf_dir)
-    return nodes
+    return G.procedure_nodes(corpus_analysis(spark, sf_dir))  # one consumer: nothing is written
 
 
 @register("graph_edges")
@@ -228,21 +227,23 @@ def _crawl_inputs(spark, sf_dir):
     _, nodes, edges = _graph(spark, sf_dir)
     calls = edges.filter(F.col("edge_type") == "calls").select("src", "dst")
     tabs = edges.filter(F.col("edge_type") == "accesses").select("src", "dst")
-    roots = nodes.filter(F.col("node_type") == "procedure").select(F.col("id").alias("root"))
+    # the query set: every procedure whose number is divisible by 100, against the whole graph
+    number = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
+    roots = nodes.filter((F.col("node_type") == "procedure") & (number % 100 == 0)).select(F.col("id").alias("root"))
     return calls, tabs, roots
 
 
 @register("crawl")
 def crawl_all(spark, sf_dir):
-    """G9 from every procedure at once, max depth 3 (the impact depth)."""
+    """The whole reach of every procedure of the query set."""
     calls, tabs, roots = _crawl_inputs(spark, sf_dir)
-    return TR.crawl(calls, roots, 3, tabs)
+    return TR.crawl(calls, roots, None, tabs)
 
 
 @register("crawl_summary")
 def crawl_summary_all(spark, sf_dir):
     calls, tabs, roots = _crawl_inputs(spark, sf_dir)
-    return TR.crawl_summary(TR.crawl(calls, roots, 5, tabs))
+    return TR.crawl_summary(TR.crawl(calls, roots, 5, tabs))  # the tool's default depth
 
 
 @register("impact")
@@ -349,10 +350,17 @@ from procweave.operators import relmap as RM  # noqa: E402
 
 
 def _rels(spark, sf_dir):
-    objs = S.ddl_objects(spark, sf_dir)
+    from procweave.session import materialize
+    objs = materialize(S.ddl_objects(spark, sf_dir), "objects")  # read by relations, name joins and node lists
     return objs, RM.relations(objs)
 
 
+def _degrees(spark, sf_dir):
+    from procweave.session import materialize
+    objs, r = _rels(spark, sf_dir)
+    return RM.degrees(objs, materialize(r, "relations"))  # extracted once for both directions
+
+
 @register("relations")
 def relations(spark, sf_dir):
     _, r = _rels(spark, sf_dir)
@@ -367,26 +375,22 @@ def relations_by_type(spark, sf_dir):
 
 @register("degrees")
 def degrees(spark, sf_dir):
-    objs, r = _rels(spark, sf_dir)
-    return RM.degrees(objs, r)
+    return _degrees(spark, sf_dir)
 
 
 @register("top_referenced")
 def top_referenced(spark, sf_dir):
-    objs, r = _rels(spark, sf_dir)
-    return RM.top_nodes(RM.degrees(objs, r), "in_degree")
+    return RM.top_nodes(_degrees(spark, sf_dir), "in_degree")
 
 
 @register("top_referencing")
 def top_referencing(spark, sf_dir):
-    objs, r = _rels(spark, sf_dir)
-    return RM.top_nodes(RM.degrees(objs, r), "out_degree")
+    return RM.top_nodes(_degrees(spark, sf_dir), "out_degree")
 
 
 @register("isolated_objects")
 def isolated_objects(spark, sf_dir):
-    objs, r = _rels(spark, sf_dir)
-    return RM.isolated(RM.degrees(objs, r))
+    return RM.isolated(_degrees(spark, sf_dir))
 
 
 @register("object_counts")
@@ -523,12 +527,20 @@ def cosine_topk(spark, sf_dir):
 
 @register("semantic_topk_multi")
 def semantic_topk_multi(spark, sf_dir):
-    """Top-5 neighbours of every label-0 vector (a bounded, checked query set)."""
+    """Top-5 neighbours of every vector whose id is divisible by 100, among all vectors."""
     emb = _embeddings(spark, sf_dir)
-    queries = emb.filter(F.col("label") == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = emb.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     return V.search_many(emb, queries, k=5, threshold=SEARCH_THRESHOLD, id_col="vec_id")
 
 
+@register("semantic_topk_nodes")
+def semantic_topk_nodes(spark, sf_dir):
+    """The same search over string node ids, by cosine, as graph documents are searched."""
+    emb = _embeddings(spark, sf_dir).select(F.concat(F.lit("APP.N"), F.col("vec_id").cast("string")).alias("node_id"), "vec_id", "embedding")
+    queries = emb.filter(F.col("vec_id") % 100 == 0).select(F.col("node_id").alias("query_id"), "embedding")
+    return V.search_many(emb, queries, k=3, threshold=SEARCH_THRESHOLD, id_col="node_id")
+
+
 @register("hybrid_search")
 def hybrid_search(spark, sf_dir):
     """Embeddings attached to corpus procedures (vec i -> procedure Pi), searched

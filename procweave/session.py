@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,10 @@ DEFAULT_CONF = {
 }
 
 
+#: Applications whose intermediate tables are dropped at the driver's end.
+_CLEANED: set[str] = set()
+
+
 def get_spark(master: str | None = None, app: str = "procweave",
               shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Return the active session or build one with :data:`DEFAULT_CONF`.
@@ -38,7 +44,7 @@ def get_spark(master: str | None = None, app: str = "procweave",
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         # local mode runs everything in the driver JVM: give it the heap
-        settings.setdefault("spark.driver.memory", os.environ.get("PROCWEAVE_DRIVER_MEMORY", "16g"))
+        settings.setdefault("spark.driver.memory", os.environ.get("PROCWEAVE_DRIVER_MEMORY", "8g"))
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -82,13 +88,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
 def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     """Write ``df`` once as Parquet under the checkpoint directory and read it back.
 
@@ -98,52 +97,38 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     shared one the cluster names in ``spark.checkpoint.dir``, so the result
     survives the loss of any executor.
     """
-    import uuid
-
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/procweave/{tag}-{uuid.uuid4().hex}"
+    path = f"{job_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _input_bytes(df: DataFrame) -> int | None:
-    """Total size of the files behind a scan (None when unknown)."""
-    try:
-        total = 0
-        for f in df.inputFiles():
-            if f.startswith("file:"):
-                total += os.path.getsize(f[len("file:"):])
-            else:
-                from pyarrow import fs as pafs
-                filesystem, path = pafs.FileSystem.from_uri(f)
-                total += filesystem.get_file_info(path).size
-        return total
-    except Exception:  # noqa: BLE001 - unknown size: decide on split count only
-        return None
-
-
-def spread(df: DataFrame, min_partitions: int | None = None, bytes_per_partition: int = 64 * 1024) -> DataFrame:
-    """Spread a scan over the cluster's cores when it yields fewer splits than it should.
+def job_dir(spark: SparkSession) -> str:
+    """The application's own folder for intermediate tables, dropped when the driver ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/procweave/{app}"
+    if app not in _CLEANED:
+        _CLEANED.add(app)
+        atexit.register(drop_intermediate, spark)
+    return path
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application (frames that read them must be done)."""
+    sc = spark.sparkContext
+    if sc._jsc is None:  # the session has been stopped
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(job_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over the cluster's cores when it yields fewer splits than there are.
 
     A big input already arrives in thousands of splits and is returned as
-    is. A small file (one Parquet row group is one task) that feeds
-    CPU-heavy per-row work (regexes, scoring, vectors) is redistributed
-    round-robin: to about one partition per ``bytes_per_partition`` of
-    input, at most the default parallelism, so a tiny dimension table is
-    left alone instead of being cut into thousands of empty tasks. Only
-    metadata is read to decide; no job is started.
+    is; a file of one row group (one task) that feeds CPU-heavy per-row work
+    (regexes, scoring, vectors) is dealt round-robin. Only the number of
+    splits is looked at: no file is opened or measured on the driver.
     """
-    try:
-        sc = df.sparkSession.sparkContext
-        target = min_partitions or sc.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
-        return df
-    size = _input_bytes(df)
-    if size is not None and min_partitions is None:
-        target = min(target, max(1, -(-size // bytes_per_partition)))
-    if current < target:
-        return df.repartition(target)
-    return df
-
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -4,9 +4,10 @@ The original asks the database 3-5 questions *per table* (N+1 round trips).
 Here each question is asked once for the whole schema, as a set-based query
 read by ``spark.read.jdbc``; assembly (joins, ordered lists, type text, DDL)
 then happens in Spark (:mod:`procweave.operators.catalog`). The schema
-predicate sits in the pushed SQL (F2). Large listings can be split across
-tasks with ``numPartitions`` + a numeric ``partitionColumn`` passed in
-``options``.
+predicate sits in the pushed SQL (F2). Questions are asked as ``dbtable``
+subqueries, so a large listing can be split across tasks with
+``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``
+passed in ``options``.
 
 The SQL below is written against each product's documented catalog views;
 the column names it returns are the shapes the catalog operators expect.
@@ -38,22 +39,21 @@ class Dialect:
     tables: str
     stats: str = ""
     extra: dict = field(default_factory=dict)
+    #: schema predicate when the caller names none
+    any_schema: str = "IS NOT NULL"
 
     def sql(self, what: str, schema: str | None) -> str:
         text = getattr(self, what) if hasattr(self, what) else self.extra[what]
-        cond = f"= {_lit(schema)}" if schema else "IS NOT NULL"
+        cond = f"= {_lit(schema)}" if schema else self.any_schema
         return text.replace("{schema_cond}", cond)
 
 
 POSTGRESQL = Dialect(
     name="postgresql", driver="org.postgresql.Driver", default_schema_dropped="public",
     procedures=(
-        "SELECT r.routine_schema AS schema, r.routine_name AS name, "
-        "COALESCE(CASE WHEN p.prokind = 'p' THEN pg_get_functiondef(p.oid) END, r.routine_definition) AS source_code "
-        "FROM information_schema.routines r "
-        "LEFT JOIN pg_proc p ON p.proname = r.routine_name "
-        "LEFT JOIN pg_namespace n ON n.oid = p.pronamespace AND n.nspname = r.routine_schema "
-        "WHERE r.routine_schema NOT IN ('pg_catalog', 'information_schema') AND r.routine_schema {schema_cond}"),
+        "SELECT n.nspname AS schema, p.proname AS name, pg_get_functiondef(p.oid) AS source_code "
+        "FROM pg_proc p JOIN pg_namespace n ON n.oid = p.pronamespace "
+        "WHERE p.prokind = 'p' AND n.nspname NOT IN ('pg_catalog', 'information_schema') AND n.nspname {schema_cond}"),
     columns=(
         "SELECT table_schema, table_name, column_name, ordinal_position AS ordinal, data_type, "
         "character_maximum_length AS char_len, numeric_precision AS num_precision, numeric_scale AS num_scale, "
@@ -84,13 +84,10 @@ POSTGRESQL = Dialect(
 
 ORACLE = Dialect(
     name="oracle", driver="oracle.jdbc.OracleDriver", default_schema_dropped=None,
+    # one row per source line: a text has no length limit, lines are joined in Spark
     procedures=(
-        "SELECT p.owner AS schema, p.object_name AS name, "
-        "LISTAGG(s.text, '') WITHIN GROUP (ORDER BY s.line) AS source_code "
-        "FROM (SELECT DISTINCT owner, object_name, object_type FROM all_procedures "
-        "      WHERE object_type IN ('PROCEDURE', 'FUNCTION')) p "
-        "JOIN all_source s ON s.owner = p.owner AND s.name = p.object_name AND s.type = p.object_type "
-        "WHERE p.owner {schema_cond} GROUP BY p.owner, p.object_name"),
+        "SELECT owner AS schema, name, line, text FROM all_source "
+        "WHERE type = 'PROCEDURE' AND owner {schema_cond}"),
     columns=(
         "SELECT owner AS table_schema, table_name, column_name, column_id AS ordinal, data_type, "
         "CASE WHEN data_precision IS NULL AND data_scale IS NULL THEN data_length END AS char_len, "
@@ -120,7 +117,8 @@ ORACLE = Dialect(
     extra={
         # The nine object kinds in one listing
         "objects": (
-            "SELECT owner AS schema, LOWER(object_type) || 's' AS obj_type, object_name AS name FROM all_objects "
+            "SELECT owner AS schema, CASE object_type WHEN 'INDEX' THEN 'indexes' ELSE LOWER(object_type) || 's' END AS obj_type, "
+            "object_name AS name FROM all_objects "
             "WHERE object_type IN ('TABLE', 'VIEW', 'PROCEDURE', 'FUNCTION', 'PACKAGE', 'TRIGGER', 'SEQUENCE', 'INDEX') "
             "AND owner {schema_cond} "
             "UNION ALL SELECT owner, 'constraints', constraint_name FROM all_constraints "
@@ -128,10 +126,13 @@ ORACLE = Dialect(
         # DDL text per object (storage / tablespace / segment clauses off
         # through the session's transform parameters)
         "ddl": (
-            "SELECT owner AS schema, LOWER(object_type) || 's' AS obj_type, object_name AS name, "
-            "DBMS_METADATA.GET_DDL(object_type, object_name, owner) AS ddl FROM all_objects "
+            "SELECT owner AS schema, CASE object_type WHEN 'INDEX' THEN 'indexes' ELSE LOWER(object_type) || 's' END AS obj_type, "
+            "object_name AS name, DBMS_METADATA.GET_DDL(object_type, object_name, owner) AS ddl FROM all_objects "
             "WHERE object_type IN ('TABLE', 'VIEW', 'PROCEDURE', 'FUNCTION', 'PACKAGE', 'TRIGGER', 'SEQUENCE', 'INDEX') "
-            "AND owner {schema_cond}"),
+            "AND owner {schema_cond} "
+            "UNION ALL SELECT owner, 'constraints', constraint_name, DBMS_METADATA.GET_DDL("
+            "CASE constraint_type WHEN 'R' THEN 'REF_CONSTRAINT' ELSE 'CONSTRAINT' END, constraint_name, owner) FROM all_constraints "
+            "WHERE constraint_type IN ('P', 'U', 'R', 'C') AND owner {schema_cond}"),
         "ddl_session_init": (
             "BEGIN "
             "DBMS_METADATA.SET_TRANSFORM_PARAM(DBMS_METADATA.SESSION_TRANSFORM, 'STORAGE', false); "
@@ -147,13 +148,28 @@ MSSQL = Dialect(
         "SELECT r.ROUTINE_SCHEMA AS [schema], r.ROUTINE_NAME AS name, m.definition AS source_code "
         "FROM INFORMATION_SCHEMA.ROUTINES r "
         "JOIN sys.sql_modules m ON m.object_id = OBJECT_ID(QUOTENAME(r.ROUTINE_SCHEMA) + '.' + QUOTENAME(r.ROUTINE_NAME)) "
-        "WHERE r.ROUTINE_SCHEMA {schema_cond}"),
+        "WHERE r.ROUTINE_TYPE = 'PROCEDURE' AND r.ROUTINE_SCHEMA {schema_cond}"),
     columns=(
         "SELECT TABLE_SCHEMA AS table_schema, TABLE_NAME AS table_name, COLUMN_NAME AS column_name, "
         "ORDINAL_POSITION AS ordinal, DATA_TYPE AS data_type, CHARACTER_MAXIMUM_LENGTH AS char_len, "
         "NUMERIC_PRECISION AS num_precision, NUMERIC_SCALE AS num_scale, IS_NULLABLE AS is_nullable, "
         "COLUMN_DEFAULT AS column_default, NULL AS comment FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_SCHEMA {schema_cond}"),
-    keys=POSTGRESQL.keys.replace("information_schema", "INFORMATION_SCHEMA"),
+    keys=(
+        "SELECT k.name AS constraint_name, 'PRIMARY KEY' AS constraint_type, s.name AS table_schema, t.name AS table_name, "
+        "c.name AS column_name, ic.key_ordinal AS ordinal, NULL AS ref_schema, NULL AS ref_table, NULL AS ref_column, "
+        "NULL AS delete_rule, NULL AS update_rule "
+        "FROM sys.key_constraints k JOIN sys.tables t ON t.object_id = k.parent_object_id JOIN sys.schemas s ON s.schema_id = t.schema_id "
+        "JOIN sys.index_columns ic ON ic.object_id = k.parent_object_id AND ic.index_id = k.unique_index_id "
+        "JOIN sys.columns c ON c.object_id = ic.object_id AND c.column_id = ic.column_id "
+        "WHERE k.type = 'PK' AND s.name {schema_cond} "
+        "UNION ALL SELECT f.name, 'FOREIGN KEY', s.name, t.name, c.name, fc.constraint_column_id, rs.name, rt.name, rc.name, "
+        "f.delete_referential_action_desc, f.update_referential_action_desc "
+        "FROM sys.foreign_keys f JOIN sys.foreign_key_columns fc ON fc.constraint_object_id = f.object_id "
+        "JOIN sys.tables t ON t.object_id = fc.parent_object_id JOIN sys.schemas s ON s.schema_id = t.schema_id "
+        "JOIN sys.columns c ON c.object_id = fc.parent_object_id AND c.column_id = fc.parent_column_id "
+        "JOIN sys.tables rt ON rt.object_id = fc.referenced_object_id JOIN sys.schemas rs ON rs.schema_id = rt.schema_id "
+        "JOIN sys.columns rc ON rc.object_id = fc.referenced_object_id AND rc.column_id = fc.referenced_column_id "
+        "WHERE s.name {schema_cond}"),
     indexes=(
         "SELECT s.name AS table_schema, t.name AS table_name, i.name AS index_name, c.name AS column_name, "
         "ic.key_ordinal AS position, i.is_unique, i.type_desc AS index_type "
@@ -163,17 +179,21 @@ MSSQL = Dialect(
         "WHERE i.name IS NOT NULL AND s.name {schema_cond}"),
     tables=("SELECT TABLE_SCHEMA AS table_schema, TABLE_NAME AS table_name FROM INFORMATION_SCHEMA.TABLES "
             "WHERE TABLE_TYPE = 'BASE TABLE' AND TABLE_SCHEMA {schema_cond}"),
-    stats=("SELECT s.name AS table_schema, t.name AS table_name, SUM(p.rows) AS row_count, "
-           "CAST(SUM(a.total_pages) * 8 / 1024 AS VARCHAR(20)) + ' MB' AS table_size "
+    # rows and pages are summed apart: a partition has several allocation units
+    stats=("SELECT s.name AS table_schema, t.name AS table_name, r.row_count, "
+           "CAST(a.pages * 8 / 1024 AS VARCHAR(20)) + ' MB' AS table_size "
            "FROM sys.tables t JOIN sys.schemas s ON s.schema_id = t.schema_id "
-           "JOIN sys.partitions p ON p.object_id = t.object_id AND p.index_id IN (0, 1) "
-           "JOIN sys.allocation_units a ON a.container_id = p.partition_id WHERE s.name {schema_cond} GROUP BY s.name, t.name"),
+           "JOIN (SELECT object_id, SUM(rows) AS row_count FROM sys.partitions WHERE index_id IN (0, 1) GROUP BY object_id) r "
+           "ON r.object_id = t.object_id "
+           "JOIN (SELECT p.object_id, SUM(u.total_pages) AS pages FROM sys.partitions p "
+           "JOIN sys.allocation_units u ON u.container_id = p.partition_id GROUP BY p.object_id) a ON a.object_id = t.object_id "
+           "WHERE s.name {schema_cond}"),
 )
 
 MYSQL = Dialect(
-    name="mysql", driver="com.mysql.cj.jdbc.Driver", default_schema_dropped=None,
+    name="mysql", driver="com.mysql.cj.jdbc.Driver", default_schema_dropped=None, any_schema="= DATABASE()",
     procedures=("SELECT ROUTINE_SCHEMA AS `schema`, ROUTINE_NAME AS name, ROUTINE_DEFINITION AS source_code "
-                "FROM information_schema.ROUTINES WHERE ROUTINE_SCHEMA {schema_cond}"),
+                "FROM information_schema.ROUTINES WHERE ROUTINE_TYPE = 'PROCEDURE' AND ROUTINE_SCHEMA {schema_cond}"),
     columns=POSTGRESQL.columns.replace("AND table_schema NOT IN ('pg_catalog', 'information_schema') ", ""),
     keys=(
         "SELECT tc.CONSTRAINT_NAME AS constraint_name, tc.CONSTRAINT_TYPE AS constraint_type, tc.TABLE_SCHEMA AS table_schema, "
@@ -209,8 +229,9 @@ def available_dialects() -> list[str]:
 
 def read_query(spark: SparkSession, url: str, query: str, options: dict | None = None,
                session_init: str | None = None) -> DataFrame:
-    """One JDBC query as a DataFrame (``query=`` option, pushed as a subquery)."""
-    r = spark.read.format("jdbc").option("url", url).option("query", query)
+    """One JDBC query as a DataFrame: a ``dbtable`` subquery, which Spark may read in
+    several tasks when ``options`` name a partition column."""
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) q")
     if session_init:
         r = r.option("sessionInitStatement", session_init)
     for k, v in (options or {}).items():
@@ -228,7 +249,38 @@ def read_catalog(spark: SparkSession, url: str, dialect: str, schema: str | None
         sql = d.sql(what, schema)
         if sql:
             out[what] = read_query(spark, url, sql, opts)
-    return out
+    return catalog_shapes(out, dialect)
+
+
+def catalog_shapes(frames: dict[str, DataFrame], dialect: str) -> dict[str, DataFrame]:
+    """Dialect rows in the shapes the catalog operators take (PostgreSQL index
+    definitions become index-column rows)."""
+    if dialect == "postgresql" and "indexes" in frames:
+        from procweave.operators.catalog import index_rows_from_definitions
+
+        return {**frames, "indexes": index_rows_from_definitions(frames["indexes"])}
+    return frames
+
+
+def list_objects(spark: SparkSession, url: str, dialect: str = "oracle", schema: str | None = None,
+                 options: dict | None = None) -> DataFrame:
+    """Objects of the nine kinds as ``(schema, obj_type, name)``."""
+    d = DIALECTS[dialect]
+    return read_query(spark, url, d.sql("objects", schema), {"driver": d.driver, **(options or {})})
+
+
+def read_ddl(spark: SparkSession, url: str, dialect: str = "oracle", schema: str | None = None,
+             options: dict | None = None) -> DataFrame:
+    """Objects with their DDL text as ``(schema, obj_type, name, ddl)``, without
+    storage clauses (set on the session before the query)."""
+    d = DIALECTS[dialect]
+    return read_query(spark, url, d.sql("ddl", schema), {"driver": d.driver, **(options or {})}, d.extra.get("ddl_session_init"))
+
+
+def join_source_lines(lines: DataFrame) -> DataFrame:
+    """S3: ``(schema, name, line, text)`` rows joined to one text per procedure, in line order."""
+    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    return lines.groupBy("schema", "name").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("source_code"))
 
 
 def read_procedures(spark: SparkSession, url: str, dialect: str, schema: str | None = None,
@@ -239,6 +291,8 @@ def read_procedures(spark: SparkSession, url: str, dialect: str, schema: str | N
     empty sources removed (F1)."""
     d = DIALECTS[dialect]
     df = read_query(spark, url, d.sql("procedures", schema), {"driver": d.driver, **(options or {})})
+    if "line" in {c.lower() for c in df.columns}:
+        df = join_source_lines(df)
     return procedure_keys(df, dialect, connected_database)
 
 
@@ -254,7 +308,7 @@ def procedure_keys(df: DataFrame, dialect: str, connected_database: str | None =
 
 def find_in_database(procs: DataFrame, name: str) -> DataFrame:
     """``upper(key) = upper(name)`` or key ending with ``.name``."""
-    return procs.filter((F.upper("name") == name.upper()) | F.col("name").endswith("." + name))
+    return procs.filter((F.upper("name") == name.upper()) | F.upper("name").endswith("." + name.upper()))
 
 
 def schemas_with_tables(tables: DataFrame) -> DataFrame:

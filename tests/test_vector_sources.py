@@ -25,7 +25,7 @@ def test_search_many_equals_brute_force(spark):
     m, df = _vectors(spark)
     m32 = m.astype(np.float32).astype(np.float64)
     queries = df.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
-    got = V.search_many(df.repartition(5), queries, k=3, threshold=-1.0, digits=None, max_queries=7).collect()
+    got = V.search_many(df.repartition(5), queries, k=3, threshold=-1.0, digits=None, max_bytes=7 * 200).collect()
     got = {(r["query_id"], r["rank"]): r["id"] for r in got}
     for q in range(0, 200, 10):
         sims = 1 - ((m32 - m32[q]) ** 2).sum(axis=1)
