@@ -29,13 +29,13 @@ def engine(spark):
 def test_procedure_and_crawl(engine):
     rows = engine.query_procedure("main_proc".upper(), include_callers=True).collect()
     rels = {(r["rel"], r["target"]) for r in rows}
-    assert ("called_procedures", "APP.SUB_PROC") in rels and ("called_tables", "ORDERS") in rels
+    assert ("called_procedures", "APP.SUB_PROC") in rels and ("called_tables", "APP.ORDERS") in rels
     crawl = {(r["node"], r["depth"]) for r in engine.crawl_procedure("MAIN_PROC").collect()}
-    assert ("APP.SUB_PROC", 1) in crawl and ("ORDERS", 1) in crawl
+    assert ("APP.SUB_PROC", 1) in crawl and ("APP.ORDERS", 1) in crawl
 
 
 def test_field_tools(engine):
-    usage = engine.analyze_field("status").collect()
+    usage = engine.analyze_field("status").filter("part = 'usage'").collect()
     assert {(r["proc"], r["operation"]) for r in usage} == {("APP.MAIN_PROC", "read"), ("APP.SUB_PROC", "write")}
     trace = engine.trace_field_flow("status", "MAIN_PROC").collect()
     kinds = {(r["kind"], r["procedure"]) for r in trace}

@@ -81,7 +81,7 @@ def test_profile(spark):
 def test_sample_and_guarded_query(spark):
     df = spark.range(500).withColumn("v", F.col("id") * 1.5)
     s = PR.sample_rows(df, ["id", "v"], limit=1000, order_by=["id"]).collect()
-    assert len(s) == 100 and s[1]["v"] == "1.5"
+    assert len(s) == 500 and s[1]["v"] == "1.5"  # the limit asked for, not a smaller one
     df.createOrReplaceTempView("nums")
     assert PR.guarded_query(spark, "SELECT id FROM nums", limit=5).count() == 5
     with pytest.raises(ValueError):
