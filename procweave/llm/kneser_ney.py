@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, delete_staged, stage
+from .common import chunks, delete_staged, packed, small, stage, unpack
 
 ORDER = 5
 HOLDOUT = 10
@@ -113,7 +113,7 @@ def _by_lang(langs: list[str], texts: list[str]) -> Iterator[tuple[str, list[int
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, c): counts of all ORDER-grams of ``docs`` (columns lang, text)."""
+    """(lang, gram, c): counts of all ORDER-grams of ``docs`` (columns lang and packed text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
@@ -134,8 +134,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         [pa.array([lang] * (e - s)), pa.array([text[i * ORDER:(i + 1) * ORDER] for i in range(s, e)]),
                          pa.array(c[s:e])], names=["lang", "gram", "c"])
 
-        for batch in chunks(batches, "text", 4 << 20):
-            langs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        for batch in chunks(batches, "text", 2 << 20):
+            langs, texts = batch.column(0).to_pylist(), [t.decode() for t in unpack(batch.column(1).to_pylist())]
             for lang, _, group in _by_lang(langs, texts):
                 codes, starts = _codes(group)
                 at = np.flatnonzero(_scored(starts, len(codes)))
@@ -340,7 +340,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     held = F.pmod(F.xxhash64("_key"), F.lit(holdout)) == 0
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    train = rows.join(trusted.where(~held), "_key", "left_semi").select("lang", "text")
+    # a merge join at every size: which texts move does not depend on how many labels there are
+    train = packed(rows).join(trusted.where(~held).hint("merge"), "_key", "left_semi").select("lang", "text")
     counts = stage(count_grams(train), "kneser-ney-counts")
     entries = stage(model(counts), "kneser-ney-model")
     numbered = rows.select("lang", "text", F.col("_key"), F.monotonically_increasing_id().alias("_row"))
@@ -351,7 +352,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     limits = (per.join(trusted.where(held), "_key", "left_semi").groupBy("lang")
               .agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)).alias("threshold")))
     # a row for each language
-    limits = known.join(limits, F.col("_known") == F.col("lang"), "left").select("_known", "threshold")
+    limits = small(known.join(limits, F.col("_known") == F.col("lang"), "left").select("_known", "threshold"))
     judged = per.join(limits, per["lang"] == limits["_known"], "left")
     known_lang = F.col("_known").isNotNull()
     return judged.select(F.col("_key").alias(key), F.col("lang"), "n_tokens",

@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import small, stage
+
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
 MIN_WORDS = 20
@@ -200,7 +202,7 @@ def apply_cutoffs(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
     rejected = F.lit(False)
     for m, value in named.items():
         rejected = rejected | F.coalesce(value > F.col(f"c_{m}"), F.lit(False))
-    joined = counts.join(one, F.col("_stratum").eqNullSafe(F.col("_cut_stratum")), "left")
+    joined = counts.join(small(one), F.col("_stratum").eqNullSafe(F.col("_cut_stratum")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_cut_stratum", *[f"c_{m}" for m in named])
 
 
@@ -211,8 +213,6 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     The counts are written once to the shared folder (a few numbers per text),
     so choosing cutoffs and applying them do not read the texts twice.
     """
-    from .common import stage
-
     counts = stage(measure(docs, key, text, stratum, carry), "quality")
     cutoffs = choose_cutoffs(counts, labels, key, risk=risk, delta=delta, grids=grids)
     return (apply_cutoffs(counts, cutoffs).drop("_stratum", "n_bangs", "n_lines").withColumnRenamed("_key", key)

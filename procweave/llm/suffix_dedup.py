@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, delete_staged, stage
+from .common import chunks, delete_staged, packed, stage, unpack
 
 SPAN = 100
 GRAM = 32
@@ -281,7 +281,7 @@ def _blocked(docs: DataFrame, key: str, text: str, blocks: int, carry: tuple[str
 def _in_order(table: pa.Table) -> tuple[list, list, list[bytes]]:
     """(doc, row, bytes) of a block's distinct documents, in order; null ids first."""
     rows = {(d is not None, d or 0, r): t for d, r, t in zip(
-        table.column("doc").to_pylist(), table.column("row").to_pylist(), table.column("body").cast(pa.binary()).to_pylist())}
+        table.column("doc").to_pylist(), table.column("row").to_pylist(), unpack(table.column("body").to_pylist()))}
     keys = sorted(rows)
     return [k[1] if k[0] else None for k in keys], [k[2] for k in keys], [rows[k] for k in keys]
 
@@ -377,7 +377,7 @@ def removed_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
             "body": pa.array([b""] * n + [raw[s:s + c - 1 + span] for s, c in zip(start.tolist(), count.tolist())], pa.binary())})
 
     fields = "bucket long, block long, doc long, row long, lo long, hi long, anchor int, dealt boolean, body binary"
-    suffixes = data.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(compare, fields)
+    suffixes = packed(data, "body").groupBy("block").cogroup(common.groupBy("block")).applyInArrow(compare, fields)
 
     def sort_bucket(table: pa.Table) -> pa.Table:
         anchor = table.column("anchor").to_numpy()
@@ -456,7 +456,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
             cuts.setdefault((d, r), []).append((lo, hi))
         out = []
         for d, r, raw in zip(block.column("doc").to_pylist(), block.column("row").to_pylist(),
-                             block.column("body").cast(pa.binary()).to_pylist()):
+                             unpack(block.column("body").to_pylist())):
             merged: list[list[int]] = []
             for lo, hi in sorted(cuts.get((d, r), ())):
                 if merged and lo <= merged[-1][1]:
@@ -481,6 +481,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept_text string, spans array<struct<lo: long, hi: long>>" if with_text else ""
-    out = data.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(rebuild, schema)
+    out = packed(data, "body").groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(rebuild, schema)
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text", "spans"] * with_text]
     return out.select(F.col("c0").alias(key), *made, *[F.col(f"c{i + 1}").alias(c) for i, c in enumerate(carry)])
