@@ -1,8 +1,8 @@
 """Field profiles, samples and guarded queries on real tables.
 
 Every profile is one aggregation pass over the table for all requested
-columns together (Spark plans the distinct counts with one Expand), and the
-per-column rows are produced by unpivoting that single result row.
+columns together, unpivoted to a row per column, and one distinct pass per
+column that reads that column only.
 """
 
 from __future__ import annotations
@@ -42,21 +42,32 @@ def field_profile(df: DataFrame, columns: list[str], exact: bool = True, avg_dig
     aggs = [F.count(F.lit(1)).alias("__total")]
     for c in columns:
         t = types[c]
-        dc = F.countDistinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c))
-        aggs += [F.count(F.col(c)).alias(f"{c}__nn"), dc.alias(f"{c}__dc"),
-                 text(F.min(F.col(c)), t).alias(f"{c}__min"), text(F.max(F.col(c)), t).alias(f"{c}__max"),
-                 avg_of(c, t).alias(f"{c}__avg")]
+        aggs += [F.count(F.col(c)).alias(f"{c}__nn"), text(F.min(F.col(c)), t).alias(f"{c}__min"),
+                 text(F.max(F.col(c)), t).alias(f"{c}__max"), avg_of(c, t).alias(f"{c}__avg")]
+        if not exact:
+            aggs.append(F.approx_count_distinct(F.col(c)).alias(f"{c}__dc"))
     one = df.agg(*aggs)
     rows = F.explode(F.array(*[
         F.struct(F.lit(c).alias("field_name"),
                  F.col("__total").cast("bigint").alias("total_count"),
                  F.col(f"{c}__nn").cast("bigint").alias("non_null_count"),
                  (F.col("__total") - F.col(f"{c}__nn")).cast("bigint").alias("null_count"),
-                 F.col(f"{c}__dc").cast("bigint").alias("distinct_count"),
+                 (F.lit(None) if exact else F.col(f"{c}__dc")).cast("bigint").alias("distinct_count"),
                  F.col(f"{c}__min").alias("min_value"), F.col(f"{c}__max").alias("max_value"),
                  F.round(F.col(f"{c}__avg"), avg_digits).cast("double").alias("avg_value"))
         for c in columns]))
-    return one.select(rows.alias("r")).select("r.*")
+    profile = one.select(rows.alias("r")).select("r.*")
+    if not exact:
+        return profile
+    # distinct values column by column: each reads its column only and combines
+    # map-side, instead of one Expand that multiplies every row by the columns
+    distinct = None
+    for c in columns:
+        n = (df.select(F.col(c).alias("v")).filter(F.col("v").isNotNull()).distinct()
+             .agg(F.lit(c).alias("field_name"), F.count(F.lit(1)).cast("bigint").alias("distinct_count")))
+        distinct = n if distinct is None else distinct.unionByName(n)
+    order = profile.columns
+    return profile.drop("distinct_count").join(distinct, "field_name").select(order)
 
 
 def sample_rows(df: DataFrame, columns: list[str] | None = None, limit: int = K.DEFAULT_SAMPLE,

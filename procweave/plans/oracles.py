@@ -527,17 +527,25 @@ _FLOATING = {"l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalpri
 def _profile(table: str, cols) -> str:
     parts = []
     for c in cols:
-        avg_t = "DECIMAL(38,10)" if c in _FLOATING else "DOUBLE"
+        avg = f"CAST(round(avg(TRY_CAST({c} AS DOUBLE)), 6) AS DOUBLE)"
+        if c in _FLOATING:
+            # the exact decimal average, rounded half away from zero in integers: a DOUBLE would miss ties
+            total = f"CAST(replace(CAST(sum(TRY_CAST({c} AS DECIMAL(38,10))) AS VARCHAR), '.', '') AS HUGEINT)"
+            n = f"CAST(nullif(count({c}), 0) AS HUGEINT) * 10000"
+            avg = f"sign({total}) * CAST((2 * abs({total}) + {n}) // (2 * {n}) AS DOUBLE) / 1000000"
         parts.append(
             f"SELECT '{c}' AS field_name, CAST(count(*) AS BIGINT) AS total_count, CAST(count({c}) AS BIGINT) AS non_null_count, "
             f"CAST(count(*) - count({c}) AS BIGINT) AS null_count, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count, "
             f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, "
-            f"CAST(round(avg(TRY_CAST({c} AS {avg_t})), 6) AS DOUBLE) AS avg_value FROM {table}")
+            f"{avg} AS avg_value FROM {table}")
     return " UNION ALL ".join(parts)
 
 
-ORACLES["field_profile_lineitem"] = _profile("lineitem", ["l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"])
-ORACLES["field_profile_orders"] = _profile("orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+ORACLES["field_profile_lineitem"] = _profile("lineitem", [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate"])
+ORACLES["field_profile_orders"] = _profile("orders", [
+    "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
 ORACLES["sample_orders"] = ("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice "
                             "FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10)")
 ORACLES["guarded_sql"] = ("SELECT o_orderpriority, CAST(count(*) AS VARCHAR) AS n, CAST(round(sum(o_totalprice), 2) AS VARCHAR) AS total "

@@ -430,13 +430,13 @@ from procweave.operators import tokens as TK  # noqa: E402
 @register("field_profile_lineitem")
 def field_profile_lineitem(spark, sf_dir):
     li = S.read_table(spark, sf_dir, "lineitem")
-    return PR.field_profile(li, ["l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"])
+    return PR.field_profile(li, li.columns)
 
 
 @register("field_profile_orders")
 def field_profile_orders(spark, sf_dir):
     o = S.read_table(spark, sf_dir, "orders")
-    return PR.field_profile(o, ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+    return PR.field_profile(o, o.columns)
 
 
 @register("sample_orders")
