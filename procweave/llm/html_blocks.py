@@ -53,7 +53,7 @@ FURNITURE_WORDS = frozenset((
     "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags",
     "teaser", "toolbar", "topbar", "trending", "widget", "widgets", "complementary", "alert", "dialog", "sponsors", "toc"))
 CONTENT_WORDS = frozenset((
-    "article", "articlebody", "blogpost", "body", "content", "entry", "main", "maincontent", "page", "post", "story", "text"))
+    "article", "articlebody", "blogpost", "content", "entry", "main", "maincontent", "post", "story", "text"))
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -61,7 +61,7 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|</?\Z|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I)
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 N_FEATURES = 10
@@ -129,9 +129,15 @@ def blocks(html: str) -> list[tuple]:
         if block:
             flush()
             state["a"] = 0
+            if not closing and tag != "p" and stack and stack[-1][0] == "p":  # a block ends an open paragraph
+                _, article, furniture = stack.pop()
         if tag in CONTAINERS or tag in ("p", "li"):
             if closing:
                 if any(s[0] == tag for s in stack):
+                    if not block:  # what stands in a marked inline element is a block of its own
+                        below = next(s for s in reversed(stack) if s[0] == tag)
+                        if below[2] != furniture:
+                            flush()
                     while stack:
                         name, article, furniture = stack.pop()
                         if name == tag:

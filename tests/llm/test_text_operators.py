@@ -35,6 +35,9 @@ def test_main_text_of_a_page():
     tree = html_blocks.labelled_tree()
     assert html_blocks.main_text(PAGE, tree) == "Head & line\nFirst para link text. More A\nOk.\nSaid so"
     assert html_blocks.main_text("<article><p>One two</p><p>three <b>fo", tree) == "One two\nthree fo"
+    assert html_blocks.main_text("<article><p>Some text <span class=ad>buy</span> goes on</p><p class='ad'>x<h2>Next</h2><p data-hidden=1>y</p></article>",
+                                 tree) == "Some text\ngoes on\nNext\ny"
+    assert html_blocks.main_text("<article><p>One</p><article class=comment><p>nice</p></article><p>Two</p></article>", tree) == "One\nTwo"
     assert html_blocks.main_text("<article><p>a < b &lt;c&gt; d</p></article><p", tree) == "a < b <c> d"
 
 
