@@ -46,7 +46,7 @@ from .common import chunks, delete_staged, packed, stage, unpack
 SPAN = 100
 GRAM = 32
 #: Rows of a document block, and bytes hashed at a time.
-BLOCK_ROWS = 1500
+BLOCK_ROWS = 1000
 SEGMENT = 1 << 20
 #: Every so many anchors one is a sample for the splitters.
 SAMPLE = 64
@@ -131,7 +131,7 @@ def _lead(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, new group starts) of rows of 64-bit keys: sort by one key, then only ties by the next."""
-    order = np.argsort(words[:, 0], kind="stable")
+    order = np.argsort(words[:, 0])
     first = words[order, 0]
     opens = np.concatenate([[True], first[1:] != first[:-1]]) if len(order) else np.zeros(0, bool)
     for depth in range(1, words.shape[1]):
@@ -190,11 +190,12 @@ def compare_block(texts: list[bytes], shared: np.ndarray, span: int):
     """
     buf, offsets = _concat(texts)
     valid = _valid_starts(offsets, len(buf), span)
-    at, own = [], []
+    at, own, placed = [], [], []
     for a, seg in _segments(buf, span):
         levels = _levels(seg, GRAM)
         grams, anchor = _anchors(levels, span)
         ok = valid[a:a + len(anchor)]
+        placed.append(anchor.astype(np.int32))
         p = np.unique(anchor[ok])
         at.append(a + p)
         own.append(grams[p])
@@ -208,14 +209,14 @@ def compare_block(texts: list[bytes], shared: np.ndarray, span: int):
     elsewhere = np.isin(own, shared)
     local = counts[inverse] > 1
     starts, hashes, owners = [], [], []
-    for a, seg in _segments(buf, span):
+    number = np.cumsum(np.bincount(at, minlength=len(buf))) - 1  # of the anchor at or before each position
+    for (a, seg), anchor in zip(_segments(buf, span), placed):
         lo, hi = np.searchsorted(at, (a, a + len(seg)))
         if not (elsewhere[lo:hi] | local[lo:hi]).any():
             continue
         levels = _levels(seg, 64)
-        _, anchor = _anchors({GRAM: levels[32]}, span)
-        owner = np.searchsorted(at, a + anchor)
-        take = np.flatnonzero(valid[a:a + len(anchor)] & (elsewhere | local)[np.minimum(owner, len(at) - 1)])
+        owner = number[a + anchor]
+        take = np.flatnonzero(valid[a:a + len(anchor)] & (elsewhere | local)[np.maximum(owner, 0)])
         starts.append(a + take)
         hashes.append(_string_hash(levels)[take])
         owners.append(owner[take])
@@ -248,15 +249,20 @@ def _doc_runs(starts: np.ndarray, offsets: np.ndarray, span: int):
 
 def _later(buf: np.ndarray, starts: np.ndarray, hashes: np.ndarray, span: int) -> np.ndarray:
     """Of strings listed in order: whether an equal one is listed before; equal hashes are checked byte by byte."""
-    order = np.argsort(hashes, kind="stable")
-    same = np.concatenate([[False], hashes[order][1:] == hashes[order][:-1]])
-    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    opens = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([opens, [len(order)]]))
+    several = np.repeat(sizes > 1, sizes)
     later = np.zeros(len(starts), bool)
-    later[order] = same
-    check = order[same]
-    heads = head[same]
+    check = order[several]
     if not len(check):
         return later
+    # the first of each group in list order heads it
+    sizes = sizes[sizes > 1]
+    heads = np.repeat(np.minimum.reduceat(check, np.cumsum(sizes) - sizes), sizes)
+    later[check] = check != heads
+    check, heads = check[check != heads], heads[check != heads]
     word = np.ndarray((len(buf) - 7,), "<u8", buf.tobytes() if not buf.flags["C_CONTIGUOUS"] else buf, strides=(1,))
     equal = np.ones(len(check), bool)
     for i in [*range(0, span - 8, 8), span - 8]:
@@ -347,7 +353,7 @@ def removed_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
 
     common = sent.select("shard", "hashes", "blocks").groupBy("shard").applyInArrow(answer, "block long, hashes binary")
     # one row of splitters, whatever the input's size
-    buckets = max(2, shards)
+    buckets = 4 * max(2, shards)  # a task takes its buckets one by one
     points = [i / buckets for i in range(1, buckets)]
     found = (sent.select(F.explode("leads").alias("lead"))
              .agg(F.percentile_approx("lead", F.array(*[F.lit(p) for p in points]), F.lit(20000)).alias("s")).first()["s"])
