@@ -28,14 +28,14 @@ never shortened.
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +48,11 @@ BLOCK = 1 << 18
 SENTENCE_PENALTY = 4.0
 GRID_PENALTY = 48.0
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE = 400_000
+#: Most pieces of a worker's word table (about 150 MB).
+CACHE = 1_000_000
 
-_SPACE_BEFORE_SPACE = re.compile(r"\s ")
+#: Any Unicode white space before a space.
+_SPACE_BEFORE_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
 class Encoder:
@@ -94,36 +96,52 @@ class Encoder:
         self.starts = np.concatenate([self.starts[:-1], first + len(self.flat), [len(self.flat) + len(ids)]])
         self.flat = np.concatenate([self.flat, ids])
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+    def batch(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         """Ids of every text, each with the end id behind it."""
-        split = [None if t[-1:] == " " or _SPACE_BEFORE_SPACE.search(t) else t.split(" ") for t in texts]
-        pieces = list(chain.from_iterable(p[1:] for p in split if p))
-        unseen = set(pieces).difference(self.words)
+        array = pa.array(texts, pa.string()) if isinstance(texts, list) else pc.fill_null(texts.cast(pa.string()), "")
+        if not len(array):
+            return []
+        # runs of white space are cut by what follows them: such texts are encoded as one
+        whole = pc.or_(pc.match_substring_regex(array, _SPACE_BEFORE_SPACE), pc.ends_with(array, " ")).to_numpy(zero_copy_only=False)
+        pieces = pc.split_pattern(array, " ")
+        offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        codes, names = coded.indices.to_numpy(), coded.dictionary
+        inner = np.repeat(~whole, np.diff(offsets))
+        inner[offsets[:-1]] = False  # a text's first piece has no space before it
+        codes_in = codes[inner]
+        used = np.unique(codes_in)
+        found = names.take(pa.array(used)).to_pylist()
+        unseen = [w for w in found if w not in self.words]
         if len(self.words) + len(unseen) > CACHE:
             self._reset()
-            unseen = set(pieces)
+            unseen = found
         if unseen:
-            self._learn(list(unseen))
-        code = np.fromiter(map(self.words.__getitem__, pieces), np.int64, len(pieces))
+            self._learn(unseen)
+        word = np.zeros(len(names), np.int64)
+        word[used] = [self.words[w] for w in found]
+        code = word[codes_in]
         sizes = self.starts[code + 1] - self.starts[code]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[code] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])
-        out, at = [], 0
-        for text, parts in zip(texts, split):
-            if parts is None:  # runs of white space are cut by what follows them: the text is encoded as one
-                own = [self.plain(text)]
-            else:
-                own = [self.plain(parts[0]), ids[bounds[at]:bounds[at + len(parts) - 1]]]
-                at += len(parts) - 1
-            out.append(np.concatenate([*own, np.array([self.end], np.uint32)]))
-        return out
+        counts = np.where(whole, 0, np.diff(offsets) - 1)
+        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        first = names.take(pa.array(codes[offsets[:-1]])).to_pylist()
+        end = np.array([self.end], np.uint32)
+        return [np.concatenate([self.plain(array[i].as_py() if whole[i] else first[i]), ids[at[i]:at[i + 1]], end])
+                for i in range(len(array))]
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """Positions after the tokens that end a sentence or a line."""
         return np.flatnonzero(self.closes[ids[:-1]]) + 1
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(ranks: str, end: int) -> Encoder:
+    """A worker's encoder: its word table serves all tasks of the worker."""
+    return Encoder(ranks, end)
+
+
 def best_cuts(cuts: list[tuple[int, float]], max_len: int, last: bool) -> list[int]:
     """Chosen window ends for ``cuts``, (position, penalty) ascending from 0 on, no gap over ``max_len``.
 
@@ -131,7 +149,9 @@ def best_cuts(cuts: list[tuple[int, float]], max_len: int, last: bool) -> list[i
     of the last window's length.
     """
     powers = [1 << k for k in range(max_len.bit_length()) if 1 << k <= max_len]
-    f, back, at = [0.0], [0], {0: 0}
+    f, back = [0.0], [0]
+    at: list[int | None] = [None] * (cuts[-1][0] + max_len + 1)  # cut number by position + max_len
+    at[max_len] = 0
     queue: deque[tuple[int, float, int]] = deque([(0, 0.0, 0)])  # (position, f + position, index), values ascending
     pos = [0]
     for j, penalty in cuts:
@@ -139,8 +159,9 @@ def best_cuts(cuts: list[tuple[int, float]], max_len: int, last: bool) -> list[i
             queue.popleft()
         head = queue[0]
         best, origin = head[1] + max_len - j, head[2]
+        shifted = j + max_len
         for p in powers:
-            i = at.get(j - p)
+            i = at[shifted - p]
             if i is not None and f[i] < best:
                 best, origin = f[i], i
         best += penalty
@@ -148,7 +169,7 @@ def best_cuts(cuts: list[tuple[int, float]], max_len: int, last: bool) -> list[i
         f.append(best)
         back.append(origin)
         pos.append(j)
-        at[j] = index
+        at[shifted] = index
         value = best + j
         while queue and queue[-1][1] >= value:
             queue.pop()
@@ -228,14 +249,14 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", max_len: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, key_type = Encoder(ranks, end), None
+        encode, key_type = encoder(ranks, end), None
         sequence = TaskContext.get().partitionId() << 32
 
         def rows() -> Iterator[tuple]:
             nonlocal key_type
             for batch in chunks(batches, "_text", 4 << 20):
                 key_type = batch.column(0).type
-                for k, ids in zip(batch.column(0).to_pylist(), encode.batch([t or "" for t in batch.column(1).to_pylist()])):
+                for k, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1))):
                     yield k, ids, encode.sentence_ends(ids)
 
         def table(out: list[tuple], pieces: list) -> pa.RecordBatch:
