@@ -65,12 +65,13 @@ def resolve_access(access: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def build_graph(analysis: DataFrame, table_nodes: DataFrame | None = None,
-                fk_edges: DataFrame | None = None, resolve: bool = True) -> tuple[DataFrame, DataFrame]:
+                fk_edges: DataFrame | None = None, resolve: bool = True, columns: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from a static analysis (and optionally a catalog).
 
     ``resolve=True`` points call edges at resolved node ids (G3), and access
     edges at the table nodes where a catalog is given;
-    ``resolve=False`` keeps the bare names as the original does.
+    ``resolve=False`` keeps the bare names as the original does. ``columns``
+    (assembled catalog columns) adds the field nodes and their edges.
     """
     nodes = procedure_nodes(analysis)
     if table_nodes is not None:
@@ -91,9 +92,38 @@ def build_graph(analysis: DataFrame, table_nodes: DataFrame | None = None,
         edges = calls.unionByName(access)
     if fk_edges is not None:
         edges = edges.unionByName(fk_edges.select("src", "dst", "edge_type", "relationship"))
+    if columns is not None:
+        fields, belongs = field_graph(columns)
+        nodes = nodes.unionByName(fields.select("id", "node_type", "schema", "name"), allowMissingColumns=True)
+        edges = edges.unionByName(belongs)
     return nodes, edges
 
 
+def field_graph(columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Field nodes and their ``belongs_to`` edges from assembled catalog columns.
+
+    Nodes ``(id, node_type, schema, name, data_type, is_primary_key,
+    is_foreign_key)`` with id ``schema.table.column``; one edge per field to its
+    table.
+    """
+    table = F.concat_ws(".", "table_schema", "table_name")
+    f = columns.select(F.concat_ws(".", table, F.col("column_name")).alias("id"), F.lit("field").alias("node_type"),
+                       F.col("table_schema").alias("schema"), F.col("column_name").alias("name"), "data_type",
+                       "is_primary_key", "is_foreign_key", table.alias("_table")).dropDuplicates(["id"])
+    edges = f.select(F.col("id").alias("src"), F.col("_table").alias("dst"), F.lit("belongs_to").alias("edge_type"),
+                     F.lit("field_of_table").alias("relationship"))
+    return f.drop("_table"), edges
+
+
+def field_relationships(nodes: DataFrame, edges: DataFrame, field: str | None = None) -> DataFrame:
+    """``(field, relationship, target)`` over the out-edges of the field nodes (of one field name, or all)."""
+    f = nodes.filter(F.col("node_type") == "field")
+    if field is not None:
+        f = f.filter(F.col("name") == field)
+    return (f.select(F.col("id").alias("src"), F.col("name").alias("field")).join(edges, "src")
+            .select("field", F.coalesce("relationship", F.lit("unknown")).alias("relationship"), F.col("dst").alias("target")).distinct())
+
+
 def find_node(nodes: DataFrame, name: str, node_type: str | None = None) -> DataFrame:
     """J6 for one name: at most one row (exact id first, then suffix/name, smallest id)."""
     q = nodes.sparkSession.createDataFrame([(name,)], "name string")

@@ -372,6 +372,14 @@ fke AS (SELECT table_schema || '.' || table_name AS src, referenced_table AS dst
         FROM fks WHERE referenced_table IN (SELECT tbl FROM tabs))"""
 
 ORACLES["catalog_columns"] = f"WITH {CATALOG} SELECT * FROM acols"
+ORACLES["field_nodes"] = f"""WITH {CATALOG}
+SELECT table_schema || '.' || table_name || '.' || column_name AS id, 'field' AS node_type, table_schema AS schema, column_name AS name,
+       data_type, is_primary_key, is_foreign_key FROM acols"""
+ORACLES["field_relationships"] = f"""WITH {CATALOG}
+SELECT DISTINCT column_name AS field, 'field_of_table' AS relationship, table_schema || '.' || table_name AS target FROM cols"""
+ORACLES["table_info"] = f"""WITH {CATALOG}
+SELECT table_schema || '.' || table_name AS "table", 'column' AS kind, column_name || ' ' || data_type AS value FROM acols
+UNION ALL SELECT src, 'foreign_key', dst FROM fke"""
 ORACLES["catalog_pk"] = f"WITH {CATALOG} SELECT * FROM pk"
 ORACLES["catalog_fks"] = f"WITH {CATALOG} SELECT * FROM fks"
 ORACLES["catalog_indexes"] = (f"WITH {CATALOG} SELECT table_schema, table_name, index_name, columns, is_unique, "

@@ -270,6 +270,31 @@ def catalog_columns(spark, sf_dir):
     return C.assemble_columns(cols, keys).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
+@register("field_nodes")
+def field_nodes(spark, sf_dir):
+    """A node for each catalog column."""
+    cols, keys, _ = _catalog(spark, sf_dir)
+    return G.field_graph(C.assemble_columns(cols, keys))[0]
+
+
+@register("field_relationships")
+def field_relationships(spark, sf_dir):
+    """The tables that every field name belongs to."""
+    cols, keys, _ = _catalog(spark, sf_dir)
+    nodes, edges = G.field_graph(C.assemble_columns(cols, keys))
+    return G.field_relationships(nodes, edges)
+
+
+@register("table_info")
+def table_info(spark, sf_dir):
+    """G5 for every table: its columns with types, then its foreign keys (table, kind, value)."""
+    cols, keys, _ = _catalog(spark, sf_dir)
+    key = F.concat_ws(".", "table_schema", "table_name").alias("table")
+    columns = C.assemble_columns(cols, keys).select(key, F.lit("column").alias("kind"), F.concat_ws(" ", "column_name", "data_type").alias("value"))
+    _, e = _fk_graph(spark, sf_dir)
+    return columns.unionByName(e.select(F.col("src").alias("table"), F.lit("foreign_key").alias("kind"), F.col("dst").alias("value")))
+
+
 @register("catalog_pk")
 def catalog_pk(spark, sf_dir):
     _, keys, _ = _catalog(spark, sf_dir)

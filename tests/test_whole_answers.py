@@ -190,3 +190,16 @@ def test_limits_are_refused_not_changed(spark, limit):
     with pytest.raises(ValueError):
         PR.sample_rows(spark.range(5), limit=limit)
     assert PR.sample_rows(spark.range(300), limit=200).count() == 200
+
+
+def test_field_nodes_belong_to_their_tables(spark):
+    columns = spark.createDataFrame([("app", "t", "id", "int", True, False), ("app", "t", "name", "text", False, False), ("ops", "u", "id", "int", True, False)],
+                                    "table_schema string, table_name string, column_name string, data_type string, is_primary_key boolean, is_foreign_key boolean")
+    nodes, edges = G.field_graph(columns)
+    assert {r["id"] for r in nodes.collect()} == {"app.t.id", "app.t.name", "ops.u.id"}
+    got = {(r["field"], r["relationship"], r["target"]) for r in G.field_relationships(nodes, edges, "id").collect()}
+    assert got == {("id", "field_of_table", "app.t"), ("id", "field_of_table", "ops.u")}
+    an = spark.createDataFrame([("P", "S", "P", "S.P", ["Q"], ["T"], 1)],
+                               "proc string, schema string, short_name string, id string, calls array<string>, tables array<string>, complexity_score int")
+    all_nodes, all_edges = G.build_graph(an, columns=columns)
+    assert all_nodes.filter("node_type = 'field'").count() == 3 and all_edges.filter("edge_type = 'belongs_to'").count() == 3
