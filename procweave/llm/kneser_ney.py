@@ -45,7 +45,9 @@ CHUNK = 1 << 19
 BEGIN, FINISH = 0xFDD0, 0xFDD1
 
 _MUL = np.random.default_rng(1995).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
-_CONTEXT = np.uint64(0x9E3779B97F4A7C15)
+#: Added by order, so that n-grams and contexts of different lengths have different keys.
+_GRAM_ORDER = np.arange(ORDER + 1, dtype=np.uint64) * _MUL[10]
+_CONTEXT_ORDER = np.arange(ORDER + 1, dtype=np.uint64) * _MUL[11] + np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,11 +83,11 @@ def _sums(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def _gram_key(total: np.ndarray, order: int, seed: np.uint64) -> np.ndarray:
-    return _mix(total + seed + np.uint64(order) * _MUL[10])
+    return _mix(total + seed + _GRAM_ORDER[order])
 
 
 def _context_key(total: np.ndarray, order: int, seed: np.uint64) -> np.ndarray:
-    return _mix(total + seed + np.uint64(order) * _MUL[11] + _CONTEXT)
+    return _mix(total + seed + _CONTEXT_ORDER[order])
 
 
 def _scored(starts: np.ndarray, size: int) -> np.ndarray:
