@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,21 +31,36 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Applications whose staged tables are deleted when the driver ends.
+_STAGING: set[str] = set()
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once under the shared folder and read it back (survives lost executors)."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{tag}-{uuid.uuid4().hex}"
+    """Write ``df`` once under the shared folder and read it back (survives lost executors).
+
+    The tables of an application are in a folder of its own, deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+    if folder not in _STAGING:
+        _STAGING.add(folder)
+        atexit.register(_delete, spark, folder)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # the session has not been stopped
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def delete_staged(df: DataFrame) -> None:
     """Delete the files of a :func:`stage` table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        if "/llm-" in f:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/llm-" in folder:
+            _delete(df.sparkSession, folder)
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
