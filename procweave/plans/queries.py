@@ -454,13 +454,13 @@ from procweave.operators import tokens as TK  # noqa: E402
 
 @register("field_profile_lineitem")
 def field_profile_lineitem(spark, sf_dir):
-    li = S.read_table(spark, sf_dir, "lineitem")
+    li = S.read_table(spark, sf_dir, "lineitem", deal=False)
     return PR.field_profile(li, li.columns)
 
 
 @register("field_profile_orders")
 def field_profile_orders(spark, sf_dir):
-    o = S.read_table(spark, sf_dir, "orders")
+    o = S.read_table(spark, sf_dir, "orders", deal=False)
     return PR.field_profile(o, o.columns)
 
 

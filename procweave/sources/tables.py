@@ -18,12 +18,13 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, deal: bool = True) -> DataFrame:
     """One driver table; spread over all cores when it arrives as fewer splits
     than the default parallelism (each test file is a single row group). The
-    dimension tables ``region`` and ``nation`` are left as they are."""
+    dimension tables ``region`` and ``nation`` are left as they are, and with
+    ``deal=False`` any table (light per-row work that reads single columns)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df if name in ("region", "nation") else spread(df)
+    return spread(df) if deal and name not in ("region", "nation") else df
 
 
 # Procedure text per orders row. Procedure n calls P(n/2) and, for status F,
