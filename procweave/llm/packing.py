@@ -28,7 +28,6 @@ never shortened.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -48,8 +47,8 @@ BLOCK = 1 << 18
 SENTENCE_PENALTY = 4.0
 GRID_PENALTY = 48.0
 RANKS = "byte_bpe_50k.tiktoken"
-#: Most pieces of a worker's word table (about 150 MB).
-CACHE = 1_000_000
+#: Most pieces of a task's word table (about 60 MB).
+CACHE = 400_000
 
 #: Any Unicode white space before a space.
 _SPACE_BEFORE_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
@@ -136,12 +135,6 @@ class Encoder:
         return np.flatnonzero(self.closes[ids[:-1]]) + 1
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(ranks: str, end: int) -> Encoder:
-    """A worker's encoder: its word table serves all tasks of the worker."""
-    return Encoder(ranks, end)
-
-
 def best_cuts(cuts: list[tuple[int, float]], max_len: int, last: bool) -> list[int]:
     """Chosen window ends for ``cuts``, (position, penalty) ascending from 0 on, no gap over ``max_len``.
 
@@ -249,7 +242,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", max_len: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, key_type = encoder(ranks, end), None
+        encode, key_type = Encoder(ranks, end), None  # of this task: a worker keeps no table between tasks
         sequence = TaskContext.get().partitionId() << 32
 
         def rows() -> Iterator[tuple]:
