@@ -1,19 +1,28 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
 Every text gets word, symbol, line and repetition counts in one projection. The
-fixed base rule rejects very short and very repetitive texts. On top, each
-measure (a ratio of counts) may reject texts above a cutoff, chosen per stratum
-(language) from a labelled holdout: for every cutoff on the grid, the good
-holdout texts it rejects are counted, and the cutoff is admissible when the
-exact one-sided binomial (Clopper-Pearson) test rejects "the false rejection
-rate is above ``risk / measures``" at level ``delta / (strata * measures)``
-(Bonferroni over strata and measures). Along the grid, cutoffs are tested in a
-fixed order from the most lenient to the strictest and testing stops at the
-first failure (fixed-sequence testing), which needs no further division of
-delta. So with probability ``1 - delta`` the learned rules falsely reject at
-most ``risk`` of the good texts in every stratum. Among admissible cutoffs the
-one that rejects most bad minus good holdout texts is used, and none if that is
-not positive.
+fixed base rule rejects very short and very repetitive texts. On top, one joint
+rule per stratum (language) rejects a text when any measure (a ratio of counts)
+is above that measure's cutoff. The cutoff vectors form one fixed sequence
+(:func:`sequence`): each step tightens one measure by one place of its grid, in
+the order of the places' share of the grid, so every step rejects all that the
+step before rejects. For every step, the good holdout texts it rejects are
+counted, and the step is admissible when the exact one-sided binomial
+(Clopper-Pearson) test rejects "the false rejection rate is above ``risk``" at
+level ``delta / families``; testing stops at the first failure (fixed-sequence
+testing), which divides neither risk nor delta by measures or steps.
+
+Families (Bonferroni) are the strata with enough good holdout texts to pass at
+``delta`` when none is rejected (299 for 0.01 and 0.05) and, if there is more
+than one stratum, the pool of all of them. A stratum too small to pass on its
+own uses the steps the pool admits, as far as they reject at most ``risk`` of
+its own good holdout texts (it needs one at least). So with probability
+``1 - delta`` the learned rules falsely reject at most ``risk`` of the good
+texts in every stratum tested on its own, and the small strata's rules at most
+``risk`` of the good texts of all strata taken together; for a small stratum
+by itself nothing is guaranteed. Among admissible steps the one that rejects
+most bad minus good holdout texts of the stratum is used (the most lenient of
+equals), and none if that is not positive.
 
 All labelled rows that pass the base rule are the holdout (nothing is fitted on
 them except the choice that the test controls).
@@ -151,6 +160,12 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(log_top) * total)
 
 
+def sequence(grids=GRIDS) -> list[tuple[str, float]]:
+    """The steps of the joint rule, lenient to strict: (measure, its cutoff from this step on)."""
+    steps = [((i + 1) / len(grid), n, m, c) for n, (m, grid) in enumerate(grids.items()) for i, c in enumerate(grid)]
+    return [(m, c) for _, _, m, c in sorted(steps)]
+
+
 def choose_cutoffs(counts: DataFrame, labels: DataFrame, key: str = "doc_id", good: str = "quality",
                    risk: float = RISK, delta: float = DELTA, grids=GRIDS) -> DataFrame:
     """(_stratum, measure, cutoff): the chosen cutoffs, at most one per stratum and measure.
@@ -162,36 +177,41 @@ def choose_cutoffs(counts: DataFrame, labels: DataFrame, key: str = "doc_id", go
     held = counts.where("not base_failed").select(
         "_key", "_stratum", *[c.alias(f"m_{m}") for m, c in measures().items() if m in grids])
     held = held.join(marks, "_key")
-    # every labelled text adds to one cell per measure: the first step of the (lenient to strict) grid that rejects it
-    cells = F.array(*[F.struct(F.lit(m).alias("measure"), sum(
-        [(F.col(f"m_{m}") <= c).cast("int") for c in grid], F.lit(1)).alias("first"), F.lit(len(grid)).alias("last"))
-        for m, grid in grids.items()])
-    binned = (held.select("_stratum", "_good", F.explode(cells).alias("c")).groupBy("_stratum", "c.measure", "c.first", "c.last")
-              .agg(F.sum((F.col("_good") == 1).cast("long")).alias("good"), F.sum((F.col("_good") == 0).cast("long")).alias("bad")))
-    # and is rejected by all steps from there on; step 0 counts everyone
-    later = F.when(F.col("first") <= F.col("last"), F.sequence("first", "last")).otherwise(F.array().cast("array<int>"))
-    ladder = binned.select("_stratum", "measure", F.explode(F.concat(F.array(F.lit(0)), later)).alias("step"), "good", "bad")
-    steps = ladder.groupBy("_stratum", "measure", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    everyone = steps.where("step = 0").select("_stratum", "measure", F.col("good").alias("n"))
-    strata = everyone.agg(F.countDistinct(F.coalesce(F.concat(F.lit("s"), "_stratum"), F.lit("")))).first()[0]
-    allowed, level = risk / len(grids), delta / max(1, strata * len(grids))
-    cutoff = F.lit(None).cast("double")
-    for m, grid in grids.items():
-        cutoff = F.when(F.col("measure") == m, F.get(F.array(*[F.lit(c) for c in grid]), F.col("step") - 1)).otherwise(cutoff)
-    # every grid step is tested, also those that no labelled text lies between
-    full = everyone.select("_stratum", "measure", "n", F.explode(F.sequence(F.lit(1), F.lit(max(map(len, grids.values()))))).alias("step"))
-    tested = (full.withColumn("cutoff", cutoff).where("cutoff is not null").alias("f")
-              .join(steps.alias("s"), F.col("f._stratum").eqNullSafe(F.col("s._stratum"))
-                    & (F.col("f.measure") == F.col("s.measure")) & (F.col("f.step") == F.col("s.step")), "left")
-              .select("f._stratum", "f.measure", "f.step", "f.cutoff", "f.n",
-                      F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad"))
-              .withColumn("p", binomial_tail(F.col("good").cast("double"), F.col("n").cast("double"), allowed)))
-    order = Window.partitionBy("_stratum", "measure").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    passed = tested.withColumn("worst", F.max("p").over(order)).where(F.col("worst") <= level)
+    # every labelled text adds to one cell: the first step of the sequence that rejects it, or the step behind the last
+    order = sequence(grids)
+    last = len(order)
+    first = F.least(F.lit(last + 1), *[F.coalesce(F.get(
+        F.array(*[F.lit(i + 1) for i, (name, _) in enumerate(order) if name == m]),
+        sum([(F.col(f"m_{m}") <= c).cast("int") for c in grid], F.lit(0))), F.lit(last + 1)) for m, grid in grids.items()])
+    cells = (held.select("_stratum", "_good", first.alias("step")).groupBy("_stratum", "step")
+             .agg(F.sum((F.col("_good") == 1).cast("long")).alias("good"), F.sum((F.col("_good") == 0).cast("long")).alias("bad")))
+    pool = cells.select(F.lit(True).alias("pool"), F.lit(None).cast("string").alias("_stratum"), "step", "good", "bad")
+    cells = cells.select(F.lit(False).alias("pool"), "_stratum", "step", "good", "bad").unionByName(pool)
+    # every step is tested, also those that no labelled text lies between
+    none = cells.select("pool", "_stratum").distinct().select(
+        "pool", "_stratum", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("step"), F.lit(0).alias("good"), F.lit(0).alias("bad"))
+    whole = Window.partitionBy("pool", "_stratum")
+    until = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    tested = (cells.unionByName(none).groupBy("pool", "_stratum", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+              .withColumns({"n": F.sum("good").over(whole), "good": F.sum("good").over(until), "bad": F.sum("bad").over(until)})
+              .where(F.col("step") <= last)
+              .withColumn("p", binomial_tail(F.col("good").cast("double"), F.col("n").cast("double"), risk))
+              .withColumn("worst", F.max("p").over(until)).withColumn("least", F.pow(F.lit(1 - risk), F.col("n"))))
+    tested = stage(tested, "quality-steps")
+    strata, alone = tested.where("not pool and step = 1").agg(
+        F.count(F.lit(1)), F.coalesce(F.sum((F.col("least") <= delta).cast("long")), F.lit(0))).first()
+    level = delta / max(1, alone + (strata > 1))
+    pooled = tested.where("pool").where(F.col("worst") <= level).agg(F.max("step")).first()[0] or 0
+    own_rate = (F.col("n") > 0) & (F.col("good") <= risk * F.col("n"))
+    passed = tested.where("not pool").where(F.when(F.col("least") <= level, F.col("worst") <= level)
+                                            .otherwise((F.col("step") <= pooled) & own_rate))
     gain = F.col("bad") - F.col("good")
-    return (passed.where(gain > 0).groupBy("_stratum", "measure")
-            .agg(F.max(F.struct(gain.alias("gain"), (-F.col("step")).alias("s"), F.col("cutoff"))).alias("best"))
-            .select("_stratum", "measure", "best.cutoff"))
+    best = (passed.where(gain > 0).groupBy("_stratum")
+            .agg(F.max(F.struct(gain.alias("gain"), (-F.col("step")).alias("s"))).alias("best")))
+    vectors = F.array(*[F.struct(F.lit(m).alias("measure"), F.get(F.array(*[
+        F.lit(min((c for name, c in order[:i + 1] if name == m), default=None)).cast("double") for i in range(last)]),
+        -F.col("best.s") - 1).alias("cutoff")) for m in grids])
+    return best.select("_stratum", F.explode(vectors).alias("v")).select("_stratum", "v.measure", "v.cutoff").where("cutoff is not null")
 
 
 def apply_cutoffs(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
