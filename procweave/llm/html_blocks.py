@@ -4,7 +4,12 @@ A page is cut into flat blocks at block-level tags. A block has its number of
 words and link density, those of the blocks before and behind it, whether it is
 a heading or a list item, and whether an open element around it names itself
 part of the article or of the page's furniture (element names, ``role``,
-``class`` and ``id`` words). A small decision tree (CART, Gini impurity) trained
+``class`` and ``id`` words). A name with a word of furniture marks furniture,
+unless that word only modifies: behind has, no, with or without (has-sidebar),
+in the title block of an article (entry-header; any header inside an article),
+or, on an element that is or names itself an article, in a tag or category
+(tag-privacy) or before a side (sidebar-left). ``main`` is never furniture by
+its names. A small decision tree (CART, Gini impurity) trained
 on :data:`LABELLED` decides which blocks are article text. Scripts, styles,
 markup, comments and form controls never become text.
 
@@ -55,6 +60,13 @@ FURNITURE_WORDS = frozenset((
 CONTENT_WORDS = frozenset((
     "article", "articlebody", "blogpost", "content", "entry", "main", "maincontent", "post", "story", "text"))
 
+#: Words that make furniture words behind them a layout's mark, first words of a post's own tags, sides of a layout's mark.
+LAYOUT_WORDS = frozenset(("has", "no", "with", "without"))
+TOPIC_WORDS = frozenset(("tag", "category", "cat", "topic"))
+SIDE_WORDS = frozenset(("left", "right", "both", "none", "off"))
+#: Content words whose header is the title block of an article, wherever it stands.
+TITLED_WORDS = frozenset(("article", "blogpost", "content", "entry", "post", "story"))
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(" + "|".join(HIDDEN) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*+[^>]*+>|(?=<body[\s>])|\Z)"
@@ -67,21 +79,39 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 N_FEATURES = 10
 
 
+def _name_kind(name: str, in_article: bool) -> tuple[int, bool]:
+    """(kind, whether an element of the article overrules it) of one name of ``class``, ``id`` or ``role``."""
+    parts = [x.lower() for x in _PARTS.findall(name)]
+    words = [x for x in re.split(r"[_-]+", name.lower()) if x]
+    found = set(parts + words)
+    bad = found & FURNITURE_WORDS
+    for row in (parts, words):
+        for i, word in enumerate(row):
+            if word in FURNITURE_WORDS and i and row[i - 1] in LAYOUT_WORDS:
+                bad.discard(word)
+    if in_article or found & TITLED_WORDS:
+        bad.discard("header")
+    if bad:
+        return -1, any(len(row) > 1 and (row[0] in TOPIC_WORDS or row[-1] in SIDE_WORDS) for row in (parts, words))
+    # a mark of the layout (has-content, no-header) says nothing of the element itself
+    return int(bool(found & CONTENT_WORDS) and not found & LAYOUT_WORDS), False
+
+
 def _kind(tag: str, attributes: str, in_article: bool) -> int:
     """1: part of the article, -1: page furniture, 0: neither, by element name and the words of its attributes."""
-    if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return -1
-    words: set[str] = set()
+    kinds: list[tuple[int, bool]] = []
     if attributes:
         for m in _NAMED.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                 return -1
-            words.update(x.lower() for x in _PARTS.findall(value))
-            words.update(re.split(r"[\s_-]+", value.lower()))
-    if words & FURNITURE_WORDS and tag != "body":
+            kinds += [_name_kind(x, in_article) for x in value.split()]
+    content = tag in ("article", "main") or tag not in ("body", "span") and any(k > 0 for k, _ in kinds)
+    if tag in FURNITURE_TAGS or (tag == "header" and not in_article and not content):
+        return -1
+    if tag not in ("body", "main") and any(k < 0 and not (content and overruled) for k, overruled in kinds):
         return -1
-    return 1 if tag in ("article", "main") or words & CONTENT_WORDS and tag not in ("body", "span") else 0
+    return int(content)
 
 
 def blocks(html: str) -> list[tuple]:
@@ -225,6 +255,9 @@ LABELLED = (
     "<body><h1>+{6}</h1><p>+{44}</p><p>+{8}</p><div><a>-{2}</a></div><div>-{4}</div></body>",
     "<body><div>+{150}</div><div>-{2}</div></body>",
     "<body><ul><li><a>-{2}</a></li><li><a>-{3}</a></li></ul><p>+{15}</p><p>+{11}</p></body>",
+    "<body class=has-sidebar><header class=site-header><a>-{2}</a></header><div class='content has-sidebar'><h1>+{6}</h1><p>+{55}</p><p>+{3}</p><p>+{21}</p></div><div class=sidebar><p>-{22}</p></div></body>",
+    "<body><article class='post tag-privacy category-legal'><header class=entry-header><h1>+{5}</h1></header><div class=entry-content><p>+{40}</p><p>+{2}</p></div><div class=entry-meta>-{6}</div></article></body>",
+    "<body><main class='main-content no-sidebar'><div class=article-header><h1>+{4}</h1><p>+{14}</p></div><p>+{65}</p><div class=share><a>-{1}</a></div></main></body>",
 )
 
 

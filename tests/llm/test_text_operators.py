@@ -41,6 +41,24 @@ def test_main_text_of_a_page():
     assert html_blocks.main_text("<article><p>a < b &lt;c&gt; d</p></article><p", tree) == "a < b <c> d"
 
 
+@pytest.mark.parametrize("opened,closed", [
+    ("<div class='content has-sidebar'>", "</div>"), ("<main class='main-content no-sidebar'>", "</main>"), ("<div id=main class=page-with-sidebar>", "</div>"),
+    ("<article class='post tag-privacy category-legal'>", "</article>"), ("<div class='post sidebar-left hasToc'>", "</div>"),
+    ("<main role=main class=search>", "</main>")])
+def test_layout_marks_are_no_furniture(opened, closed):
+    tree = html_blocks.labelled_tree()
+    own = ("<header class=entry-header><h1>A title</h1></header><div class=article-header><p>Lead text</p></div><p>" + "word " * 30 + "</p>"
+           "<div class=entry-meta>by me</div><div class=comment-text><p>nice text of a reader</p></div>")
+    page = f"<body class=has-sidebar><header class=main-header><p>Site name</p></header>{opened}{own}{closed}<div class=sidebar-left><p>{'other ' * 9}</p></div></body>"
+    assert html_blocks.main_text(page, tree).split("\n") == ["A title", "Lead text", ("word " * 30).strip()]
+
+
+@pytest.mark.parametrize("name", ["ad", "sidebar-left", "comment-content", "post-meta", "tag-links", "main-menu", "mainMenu", "site-header", "widget_text"])
+def test_furniture_stays_out(name):
+    page = f"<body><article><p>{'word ' * 30}</p></article><div class='x {name}'><p>{'other ' * 12}</p></div></body>"
+    assert html_blocks.main_text(page, html_blocks.labelled_tree()) == ("word " * 30).strip()
+
+
 def test_labelled_blocks_are_learnt():
     tree = html_blocks.labelled_tree()
     for page in html_blocks.LABELLED:
