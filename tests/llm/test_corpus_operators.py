@@ -233,6 +233,21 @@ def test_perplexity_matches_brute_force(spark):
     assert got[203, "xx", 4] == (None, None, True) and got[204, "", 2] == (None, None, True)
 
 
+def test_one_odd_held_out_text_sets_no_threshold(spark):
+    rng = random.Random(5)
+    ids = spark.range(400).select("id", (F.pmod(F.xxhash64("id"), F.lit(kneser_ney.HOLDOUT)) == 0).alias("h")).collect()
+    held = [r.id for r in ids if r.h]
+    assert 20 < len(held) < 100
+    rows = [(i, words(rng, 20, 30)) for i in range(400)]
+    rows[held[0]] = (held[0], "0123456789" * 10)
+    rows.append((400, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(100))))  # junk
+    labels = spark.createDataFrame([(i, int(i < 400), 0) for i in range(401)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.classify(docs(spark, rows), labels).collect()}
+    assert got[held[0]].perplexity > got[400].perplexity > got[0].threshold
+    assert not got[400].kept and not got[held[0]].kept
+    assert sum(got[i].kept for i in held) == math.ceil(kneser_ney.QUANTILE * len(held))
+
+
 def test_language_model_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = kneser_ney.classify(docs(spark, [(1, "a"), (1, None)]), none)
