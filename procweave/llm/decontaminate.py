@@ -15,7 +15,10 @@ ends on the text side, all candidates of a batch at once).
 
 The benchmark is read in shards of at most ``SHARD_CHARS`` characters (its size
 is summed first); each shard's index is broadcast and the documents are scanned
-once per shard. A probe shorter than q is searched exactly.
+once per shard. A probe too short for the lemma to ask for one shared q-gram at
+its budget (13 to 15 characters at the default rate) is cut into e + 1 pieces,
+one of which a match holds unchanged; the probe is aligned around every place of
+a piece. A probe shorter than q is searched exactly.
 
 Defined results: null and empty texts and items match nothing; repeated
 documents and items are treated row by row; an empty benchmark marks nothing;
@@ -81,11 +84,15 @@ class Index:
         self.items = [i for i, _ in items]
         self.short = [p for p, t in enumerate(self.texts) if len(t) < Q]
         sizes = np.array([len(t) for t in self.texts], np.int64)
-        # the largest budget for which the lemma still asks for a shared q-gram
-        self.edits = np.maximum(0, np.minimum((sizes * rate).astype(np.int64), (sizes + 1) // Q - 2))
+        self.edits = np.where(sizes < Q, 0, (sizes * rate).astype(np.int64))
+        # budgets for which the lemma asks for no shared q-gram: these probes are searched by (offset, piece)
+        self.pieces: dict[int, list[tuple[int, str]]] = {}
+        for p in np.flatnonzero((sizes >= Q) & (self.edits > sizes // Q - 1)).tolist():
+            cuts = np.linspace(0, sizes[p], int(self.edits[p]) + 2).astype(int).tolist()
+            self.pieces[p] = [(a, self.texts[p][a:b]) for a, b in zip(cuts, cuts[1:])]
         self.least = sizes + 1 - Q * (self.edits + 1)
         self.band = self.edits + 1
-        grams = [_grams(_codes(t)) for t in self.texts]
+        grams = [_grams(_codes("" if p in self.pieces else t)) for p, t in enumerate(self.texts)]
         if grams:
             h = np.concatenate(grams)
             p = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -140,6 +147,18 @@ class Index:
         probe, band = probe[enough], band[enough]
         return probe, band * self.band[probe] - 2 * PROBE
 
+    def piece_candidates(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, first diagonal of the band) around every place of a piece."""
+        found: set[tuple[int, int]] = set()
+        for p, pieces in self.pieces.items():
+            for offset, piece in pieces:
+                at = text.find(piece)
+                while at >= 0:
+                    found.add((p, at - offset - int(self.edits[p])))
+                    at = text.find(piece, at + 1)
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
     def verify(self, codes: np.ndarray, probe: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edits, end of the match) of the best alignment within the band of each candidate."""
         n = len(probe)
@@ -203,6 +222,14 @@ def _scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]
             at = text.find(index.texts[p])
             if at >= 0:
                 add(i, p, 0, at + len(index.texts[p]))
+        if index.pieces and text:
+            probe, diagonal = index.piece_candidates(text)
+            codes = _codes(text) if len(probe) else None
+            for s in range(0, len(probe), 512):
+                p, d = probe[s:s + 512], diagonal[s:s + 512]
+                edits, end = index.verify(codes, p, d)
+                for k in np.flatnonzero(edits <= index.edits[p]):
+                    add(i, int(p[k]), int(edits[k]), min(int(end[k]), len(text)))
         if len(text) >= Q:
             group.append(i)
             held += len(text)

@@ -189,6 +189,26 @@ def test_leaks_match_brute_force(spark):
     assert kept.columns == docs(spark, rows).columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - set(want)
 
 
+def test_short_items_have_their_whole_budget():
+    rng = random.Random(12)
+    items = [(n, words(rng, 30, 30)[:n].replace(" ", "x")) for n in range(8, 52)]
+    index = decontaminate.Index(items)
+    assert [len(x) for x in index.texts] == list(range(8, 52))
+    assert index.edits.tolist() == [int(decontaminate.RATE * n) for n in range(8, 52)]
+    texts = []
+    for n, item in items:
+        for change in range(12):
+            y = list(item)
+            for _ in range(int(decontaminate.RATE * n) + (change % 4 == 3)):
+                k = rng.randrange(len(y))
+                y[k:k + rng.randint(0, 1)] = rng.choice(["", "0", "1 "])
+            texts.append(decontaminate.normalise(("", words(rng, 4))[change % 2] + " " + "".join(y) + ("", " " + words(rng, 4))[change // 6]))
+    got = {(row, item): edits for row, item, edits, _, _ in decontaminate._scan(texts, index)}
+    want = {(i, p): e for i, text in enumerate(texts) for p, probe in enumerate(index.texts)
+            if (e := brute.least_edits(probe, text)) <= int(decontaminate.RATE * len(probe))}
+    assert got == want and all(any((i, n - 8) in want for i in range(len(texts))) for n in range(8, 52))
+
+
 def test_leak_edges(spark):
     bench = spark.createDataFrame([(1, "A passage of the benchmark that leaks out")] * 2, "item_id long, text string")
     rows = [(None, "so a passage of  the benchmark that leaks out here"), (2, "clean"), (2, "a passage of the benchmark that leaks out")]
