@@ -19,7 +19,8 @@ lost task gives the same cuts and ids again.
 Token ids are those of the ``tokenizers`` file ``byte_bpe_50k.json`` without
 special tokens; they are computed with ``tiktoken`` over the same vocabulary
 (the ids are equal, see the tests) through a bounded word table, followed by
-id ``END``. Strings like ``<|endoftext|>`` in a text are ordinary text.
+id ``END``. A text is cut at the vocabulary's added tokens (``<|endoftext|>``), which
+have ids of their own, as ``tokenizers`` does it.
 
 Defined results: a null or empty text is one token (``END``); repeated rows are
 packed one by one; an empty table gives no pieces; texts of any length are cut,
@@ -47,6 +48,8 @@ BLOCK = 1 << 18
 SENTENCE_PENALTY = 4.0
 GRID_PENALTY = 48.0
 RANKS = "byte_bpe_50k.tiktoken"
+# The added tokens of the vocabulary.
+ADDED = {"<|endoftext|>": 50256}
 #: Most pieces of a task's word table (about 60 MB).
 CACHE = 400_000
 
@@ -63,8 +66,9 @@ class Encoder:
     only space it has) and kept in the table.
     """
 
-    def __init__(self, ranks: str = RANKS, end: int = END):
+    def __init__(self, ranks: str = RANKS, end: int = END, added: dict[str, int] = ADDED):
         import base64
+        import re
 
         import public_tokenizers
         import tiktoken
@@ -72,12 +76,14 @@ class Encoder:
         with open(public_tokenizers.path(ranks), "rb") as file:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        size = max(table.values()) + 1
+        size = max(*table.values(), *added.values()) + 1
         self.opens, self.closes = np.zeros(size, bool), np.zeros(size, bool)
         for token, i in table.items():
             self.opens[i] = token[:1] == b" "
             self.closes[i] = token[-1:] in (b".", b"!", b"?") or b"\n" in token
         self.end = end
+        self.added = dict(added)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self._reset()
 
     def _reset(self) -> None:
@@ -85,7 +91,10 @@ class Encoder:
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), np.uint32)
+        if self.cuts is None or not self.cuts.search(text):
+            return np.array(self.encoding.encode_ordinary(text), np.uint32)
+        parts = ([self.added[t]] if t in self.added else self.encoding.encode_ordinary(t) for t in self.cuts.split(text))
+        return np.array([i for p in parts for i in p], np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
         ids = self.plain(" " + " ".join(pieces))
@@ -100,8 +109,11 @@ class Encoder:
         array = pa.array(texts, pa.string()) if isinstance(texts, list) else pc.fill_null(texts.cast(pa.string()), "")
         if not len(array):
             return []
-        # runs of white space are cut by what follows them: such texts are encoded as one
-        whole = pc.or_(pc.match_substring_regex(array, _SPACE_BEFORE_SPACE), pc.ends_with(array, " ")).to_numpy(zero_copy_only=False)
+        # runs of white space are cut by what follows them, added tokens by nothing: such texts are encoded as one
+        whole = pc.or_(pc.match_substring_regex(array, _SPACE_BEFORE_SPACE), pc.ends_with(array, " "))
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(array, token))
+        whole = whole.to_numpy(zero_copy_only=False)
         pieces = pc.split_pattern(array, " ")
         offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()

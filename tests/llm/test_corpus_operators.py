@@ -286,7 +286,6 @@ def test_ids_equal_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice(["a", "b ", " ", "\n", "É", ".", "1", "'s", " ", "the "]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
     encoder = packing.Encoder()
