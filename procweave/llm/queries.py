@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_blocks, kneser_ney, license_scan, packing, quality_rules, simhash, suffix_dedup, url_reputation
+from . import (best_fit, chat, decontaminate, html_blocks, kneser_ney, license_scan, packing, periodic_runs, quality_rules, ranked_search,
+               simhash, suffix_dedup, url_reputation)
 from .common import table
 
 
@@ -59,6 +60,40 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def plant_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every document whose id's CRC-32 ends in 0 the words from one place on are repetitions."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    n = F.size("_words")
+    chosen = docs.select("doc_id", "text", words.alias("_words"), g.alias("_g"))
+    placed = chosen.select("*", (F.col("_g") % n).cast("int").alias("_a"))
+    placed = placed.select("*", (F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)) + 1).cast("int").alias("_p"))
+    root = F.slice("_words", F.col("_a") + 1, F.col("_p"))
+    # the root is longer than a tenth of what it replaces, so eleven copies always suffice
+    planted = F.slice(F.concat(F.slice("_words", F.lit(1), F.col("_a")), F.flatten(F.array_repeat(root, 11))), F.lit(1), n)
+    return placed.select("doc_id", F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(plant_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("_r"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    period = -F.col("_r.period")
+    return best.select("doc_id", "n_runs", (-F.col("_r.start")).alias("start"), F.col("_r.length").alias("length"), period.alias("period"),
+                       F.expr("1000 * _r.length div -_r.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_kneser_ney": op2_kneser_ney,
@@ -70,4 +105,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_license_scan": op10_license_scan,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_best_fit": op13_best_fit,
 }
