@@ -2,25 +2,30 @@
 
 A page is cut into flat blocks at block-level tags. A block has its number of
 words and link density, those of the blocks before and behind it, whether it is
-a heading or a list item, and whether an open element around it names itself
-part of the article or of the page's furniture (element names, ``role``,
-``class`` and ``id`` words). A name with a word of furniture marks furniture,
-unless that word only modifies: behind has, no, with or without (has-sidebar),
-in the title block of an article (entry-header; any header inside an article),
-or, on an element that is or names itself an article, in a tag or category
-(tag-privacy) or before a side (sidebar-left). ``main`` is never furniture by
-its names. A small decision tree (CART, Gini impurity) trained
-on :data:`LABELLED` decides which blocks are article text. Scripts, styles,
-markup, comments and form controls never become text.
+a heading or a list item, and its context: whether an element around it names itself
+part of the article, and whether the page's furniture is around it for sure
+(element names such as ``nav``, words such as sidebar or comments in ``role``, ``class``
+and ``id``) or perhaps (words that may as well name a topic or a kind of page: menu,
+search, legal). A name counts as perhaps furniture unless it ends in a content
+word (search-results-article); of an article's mark and a perhaps, the nearer one
+holds. A furniture word only modifies behind has, no, with or without
+(has-ads-banner), in the title block of an article (entry-header; any header inside
+an article), or, on an element that is or names itself an article, in a tag or
+category (tag-privacy) or before a side (sidebar-left). ``main`` is never furniture
+by its names. A small decision tree (CART, Gini impurity) trained on
+:data:`LABELLED` decides which blocks are article text; there, long text without
+links overrules a perhaps. Scripts, styles, markup, comments and form controls
+never become text.
 
 Text of a kept block: character references decoded, white space turned into
-single spaces, trimmed; blocks are joined in page order by a line break. A
+single spaces, trimmed; blocks are joined in page order by two line breaks. A
 ``<br>`` is white space inside its block.
 
 Defined results: null or empty html, and a page without article blocks, give an
 empty text; repeated rows are extracted one by one; unclosed elements end with
 the element around them; a tag cut off by the end of the page is markup; pages
-of any length are read whole.
+of any length are read whole, in time proportional to their length however deeply
+elements are nested.
 """
 
 from __future__ import annotations
@@ -60,6 +65,10 @@ FURNITURE_WORDS = frozenset((
 CONTENT_WORDS = frozenset((
     "article", "articlebody", "blogpost", "content", "entry", "main", "maincontent", "post", "story", "text"))
 
+#: Furniture words that may also name a topic, a kind of page or a part of a text.
+PERHAPS_WORDS = frozenset((
+    "alert", "banner", "copyright", "discussion", "feedback", "header", "legal", "links", "masthead", "menu", "meta", "notice",
+    "popular", "privacy", "disclaimer", "promotion", "responses", "search", "tags", "trending", "toc"))
 #: Words that make furniture words behind them a layout's mark, first words of a post's own tags, sides of a layout's mark.
 LAYOUT_WORDS = frozenset(("has", "no", "with", "without"))
 TOPIC_WORDS = frozenset(("tag", "category", "cat", "topic"))
@@ -79,49 +88,60 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 N_FEATURES = 10
 
 
+#: Kinds of elements: sure furniture, perhaps furniture, neither, part of the article.
+SURE, PERHAPS, PLAIN, CONTENT = -2, -1, 0, 1
+
+
 def _name_kind(name: str, in_article: bool) -> tuple[int, bool]:
     """(kind, whether an element of the article overrules it) of one name of ``class``, ``id`` or ``role``."""
-    parts = [x.lower() for x in _PARTS.findall(name)]
-    words = [x for x in re.split(r"[_-]+", name.lower()) if x]
-    found = set(parts + words)
+    rows = [x.lower() for x in _PARTS.findall(name)], [x for x in re.split(r"[_-]+", name.lower()) if x]
+    found = {x for row in rows for x in row}
     bad = found & FURNITURE_WORDS
-    for row in (parts, words):
-        for i, word in enumerate(row):
-            if word in FURNITURE_WORDS and i and row[i - 1] in LAYOUT_WORDS:
-                bad.discard(word)
+    for row in rows:
+        layout = next((i for i, word in enumerate(row) if word in LAYOUT_WORDS), len(row))
+        bad -= set(row[layout + 1:])
     if in_article or found & TITLED_WORDS:
         bad.discard("header")
-    if bad:
-        return -1, any(len(row) > 1 and (row[0] in TOPIC_WORDS or row[-1] in SIDE_WORDS) for row in (parts, words))
-    # a mark of the layout (has-content, no-header) says nothing of the element itself
-    return int(bool(found & CONTENT_WORDS) and not found & LAYOUT_WORDS), False
+    if bad - PERHAPS_WORDS or (bad and rows[0] and rows[0][-1] in bad) or (bad and rows[1] and rows[1][-1] in bad):
+        kind = SURE
+    elif bad and not any(row and row[-1] in CONTENT_WORDS for row in rows):
+        kind = PERHAPS
+    else:
+        # a mark of the layout (has-content, no-header) says nothing of the element itself
+        return (CONTENT if found & CONTENT_WORDS and not found & LAYOUT_WORDS else PLAIN), False
+    return kind, any(len(row) > 1 and (row[0] in TOPIC_WORDS or row[-1] in SIDE_WORDS) for row in rows)
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> int:
-    """1: part of the article, -1: page furniture, 0: neither, by element name and the words of its attributes."""
+    """Kind of an element by its name and the words of its attributes."""
     kinds: list[tuple[int, bool]] = []
     if attributes:
         for m in _NAMED.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return -1
+                return SURE
             kinds += [_name_kind(x, in_article) for x in value.split()]
-    content = tag in ("article", "main") or tag not in ("body", "span") and any(k > 0 for k, _ in kinds)
+    content = tag in ("article", "main") or tag not in ("body", "span") and any(k == CONTENT for k, _ in kinds)
     if tag in FURNITURE_TAGS or (tag == "header" and not in_article and not content):
-        return -1
-    if tag not in ("body", "main") and any(k < 0 and not (content and overruled) for k, overruled in kinds):
-        return -1
-    return int(content)
+        return SURE
+    worst = min((k for k, overruled in kinds if k < 0 and not (content and overruled)), default=PLAIN)
+    if worst < 0 and tag not in ("body", "main"):
+        return worst if worst == SURE or not content else CONTENT
+    return CONTENT if content else PLAIN
 
 
 def blocks(html: str) -> list[tuple]:
-    """Flat blocks of a page: (text, words, link density, heading, list item, in article, in furniture)."""
+    """Flat blocks of a page: (text, words, link density, heading, list item, in article, furniture).
+
+    ``furniture`` is 2 inside sure furniture, 1 if the nearest mark around the block is a perhaps, else 0.
+    """
     out: list[tuple] = []
-    stack: list[tuple[str, int, int]] = []  # (element, article depth, furniture depth) of open containers
-    article = furniture = 0
+    stack: list[tuple[str, tuple]] = []  # open containers with the context outside them
+    open_names: dict[str, int] = {}
+    context = (False, False, False)  # in article, perhaps, sure
     parts: list[str] = []
     links: list[str] = []
-    state = {"a": 0, "leaf": ""}
+    in_link, leaf = False, ""
 
     def flush() -> None:
         if parts:
@@ -129,17 +149,28 @@ def blocks(html: str) -> list[tuple]:
             if text:
                 n = text.count(" ") + 1
                 linked = len(unescape(" ".join(links)).split())
-                leaf = state["leaf"]
+                article, perhaps, sure = context
                 out.append((text, n, min(1.0, linked / n), leaf in HEADINGS, leaf in ("li", "dt", "dd", "td", "th"),
-                            article > 0, furniture > 0))
+                            article, 2 if sure else int(perhaps)))
             parts.clear()
             links.clear()
 
     def said(text: str) -> None:
         parts.append(text)
-        if state["a"]:
+        if in_link:
             links.append(text)
 
+    def push(tag: str, kind: int) -> tuple:
+        stack.append((tag, context))
+        open_names[tag] = open_names.get(tag, 0) + 1
+        article, perhaps, sure = context
+        return article or kind == CONTENT, kind == PERHAPS or perhaps and kind != CONTENT, sure or kind == SURE
+
+    def pop() -> tuple[str, tuple]:
+        name, outside = stack.pop()
+        open_names[name] -= 1
+        return name, outside
+
     last = 0
     for m in _TAG.finditer(html):
         if m.start() > last:
@@ -150,7 +181,7 @@ def blocks(html: str) -> list[tuple]:
             continue
         tag, closing = tag.lower(), bool(m[2] or m[5])
         if tag == "a":
-            state["a"] = 0 if closing else 1
+            in_link = not closing
             continue
         if tag == "br":
             parts.append(" ")
@@ -158,34 +189,29 @@ def blocks(html: str) -> list[tuple]:
         block = tag in BLOCKS
         if block:
             flush()
-            state["a"] = 0
+            in_link = False
             if not closing and tag != "p" and stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                _, article, furniture = stack.pop()
+                _, context = pop()
         if tag in CONTAINERS or tag in ("p", "li"):
             if closing:
-                if any(s[0] == tag for s in stack):
-                    if not block:  # what stands in a marked inline element is a block of its own
-                        below = next(s for s in reversed(stack) if s[0] == tag)
-                        if below[2] != furniture:
-                            flush()
-                    while stack:
-                        name, article, furniture = stack.pop()
-                        if name == tag:
-                            break
+                if open_names.get(tag):
+                    name = ""
+                    while name != tag:  # elements inside it end with it
+                        name, outside = pop()
+                    if outside != context:  # what stands in a marked inline element is a block of its own
+                        flush()
+                        context = outside
             elif tag not in ("p", "li"):
-                attributes = m[4] or m[7] or ""
-                kind = _kind(tag, attributes, article > 0)
+                kind = _kind(tag, m[4] or m[7] or "", context[0])
                 if kind < 0 and not block and parts:
                     flush()
-                stack.append((tag, article, furniture))
-                article, furniture = article + (kind > 0), furniture + (kind < 0)
-            elif m[4] and _kind(tag, m[4], article > 0) < 0:  # a marked paragraph or item holds its own text only
-                stack.append((tag, article, furniture))
-                furniture += 1
+                context = push(tag, kind)
+            elif m[4] and (kind := _kind(tag, m[4], context[0])) < 0:  # a marked paragraph or item holds its own text only
+                context = push(tag, kind)
             elif stack and stack[-1][0] == tag:  # the marked paragraph before was not closed
-                _, article, furniture = stack.pop()
+                _, context = pop()
         if block:
-            state["leaf"] = "" if closing else tag
+            leaf = "" if closing else tag
     if last < len(html):
         said(html[last:])
     flush()
@@ -232,7 +258,7 @@ def _w(n: int) -> str:
     return " ".join(["word"] * n)
 
 
-#: The labelled table: small pages whose blocks open with + (article) or - (not). ``{n}`` stands for n words.
+#: The labelled table (names of furniture around real text too): small pages whose blocks open with + (article) or - (not). ``{n}`` stands for n words.
 LABELLED = (
     "<body><nav><ul><li><a>-{1}</a></li><li><a>-{1}</a></li><li><a>-{2}</a></li></ul></nav><div class=ad>-{8}</div><article><h1>+{9}</h1><p>+{30}</p><p>+{1}</p><p>+{2}</p><p>+{60}</p></article><footer>-{6}</footer></body>",
     "<body><header><a>-{2}</a><p>-{12}</p></header><main><h1>+{4}</h1><p>+{45}</p><ul><li>+{6}</li><li>+{2}</li></ul><h2>+{1}</h2><p>+{80}</p></main><aside><p>-{25}</p><a>-{4}</a></aside><footer><p>-{30}</p></footer></body>",
@@ -247,6 +273,19 @@ LABELLED = (
     "<body><article><p>+{1}</p></article></body>",
     "<body><main><blockquote>+{16}</blockquote><p><a>+{9}</a></p><table><tr><td>+{1}</td><td>+{2}</td></tr></table></main></body>",
     "<body><p>+{26}</p></body>",
+    "<body><p>+{1}</p></body>",
+    "<body><div>+{4}</div></body>",
+    "<body><div class=menu-page><nav><a>-{1}</a></nav><article><h1>+{3}</h1><p>+{20}</p><p>+{2}</p></article></div></body>",
+    "<body><div class=legal-section><h1>+{8}</h1><p>+{44}</p><p>+{31}</p></div></body>",
+    "<body><div class=privacy-box><p>+{60}</p></div></body>",
+    "<body><article><p>+{3}</p><section class=comments><div class=content><p>-{90}</p><p>-{200}</p></div></section></article><footer><p>-{120}</p></footer></body>",
+    "<body><aside><p>-{150}</p></aside><p>+{150}</p><aside><p>-{44}</p></aside></body>",
+    "<body><div class=sidebar>-{60}</div></body>",
+    "<body><div class=menu-box><p>-{4}</p></div><p>+{40}</p><p>+{11}</p><div class=meta-box>-{3}</div></body>",
+    "<body><div class=search-form-box><p>-{3}</p><p><a>-{2}</a></p></div><p>+{50}</p><div class=tags-list><p>-{5}</p></div></body>",
+    "<body><section id=search-results-article><p>+{3}</p><p>+{17}</p></section></body>",
+    "<body><article><p>+{28}</p><div class=legal-text><p>+{9}</p></div><div class=notice-box><p>-{4}</p></div></article></body>",
+    "<body><div class='has-ads-banner post'><h1>+{2}</h1><p>+{12}</p></div></body>",
     "<body><article><h1>+{4}</h1><p>+{30}</p><p>+{2}</p></article></body>",
     "<body><article><h1>+{2}</h1><p>+{75}</p><p>+{7}</p><p>+{4}</p></article></body>",
     "<body><article><h1>+{3}</h1><p>+{12}</p><p><a>+{3}</a></p><p>+{9}</p><p><a>+{5}</a></p><p>+{90}</p><p><a>+{2}</a></p></article></body>",
@@ -273,7 +312,7 @@ def labelled_tree() -> tuple | int:
 
 def main_text(html: str, tree: tuple | int) -> str:
     found = blocks(html)
-    return "\n".join(b[0] for b, row in zip(found, features(found).tolist()) if decide(tree, row))
+    return "\n\n".join(b[0] for b, row in zip(found, features(found).tolist()) if decide(tree, row))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,11 +34,11 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header cla
 
 def test_main_text_of_a_page():
     tree = html_blocks.labelled_tree()
-    assert html_blocks.main_text(PAGE, tree) == "Head & line\nFirst para link text. More A\nOk.\nSaid so"
-    assert html_blocks.main_text("<article><p>One two</p><p>three <b>fo", tree) == "One two\nthree fo"
+    assert html_blocks.main_text(PAGE, tree) == "Head & line\n\nFirst para link text. More A\n\nOk.\n\nSaid so"
+    assert html_blocks.main_text("<article><p>One two</p><p>three <b>fo", tree) == "One two\n\nthree fo"
     assert html_blocks.main_text("<article><p>Some text <span class=ad>buy</span> goes on</p><p class='ad'>x<h2>Next</h2><p data-hidden=1>y</p></article>",
-                                 tree) == "Some text\ngoes on\nNext\ny"
-    assert html_blocks.main_text("<article><p>One</p><article class=comment><p>nice</p></article><p>Two</p></article>", tree) == "One\nTwo"
+                                 tree) == "Some text\n\ngoes on\n\nNext\n\ny"
+    assert html_blocks.main_text("<article><p>One</p><article class=comment><p>nice</p></article><p>Two</p></article>", tree) == "One\n\nTwo"
     assert html_blocks.main_text("<article><p>a < b &lt;c&gt; d</p></article><p", tree) == "a < b <c> d"
 
 
@@ -50,7 +51,7 @@ def test_layout_marks_are_no_furniture(opened, closed):
     own = ("<header class=entry-header><h1>A title</h1></header><div class=article-header><p>Lead text</p></div><p>" + "word " * 30 + "</p>"
            "<div class=entry-meta>by me</div><div class=comment-text><p>nice text of a reader</p></div>")
     page = f"<body class=has-sidebar><header class=main-header><p>Site name</p></header>{opened}{own}{closed}<div class=sidebar-left><p>{'other ' * 9}</p></div></body>"
-    assert html_blocks.main_text(page, tree).split("\n") == ["A title", "Lead text", ("word " * 30).strip()]
+    assert html_blocks.main_text(page, tree).split("\n\n") == ["A title", "Lead text", ("word " * 30).strip()]
 
 
 @pytest.mark.parametrize("name", ["ad", "sidebar-left", "comment-content", "post-meta", "tag-links", "main-menu", "mainMenu", "site-header", "widget_text"])
@@ -59,6 +60,24 @@ def test_furniture_stays_out(name):
     assert html_blocks.main_text(page, html_blocks.labelled_tree()) == ("word " * 30).strip()
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><p>Short.</p></body>", "Short."), ("<div class=menu-page><article><p>Some words.</p></article></div>", "Some words."),
+    ("<div class='has-ads-banner post'><p>Some words.</p></div>", "Some words."), ("<section id=search-results-article><p>Some words.</p></section>", "Some words."),
+    ("<article><p>One two three</p><div class=legal-text><p>stays here</p></div></article>", "One two three\n\nstays here"),
+    ("<article><p>One two three</p><div class=notice-box><p>goes</p></div><section class=comments><div class=content><p>" + "w " * 90 + "</p></div></section></article>", "One two three"),
+    ("<body><div class=privacy-section><p>" + "w " * 60 + "</p></div></body>", ("w " * 60).strip())])
+def test_names_of_furniture_around_real_text(page, text):
+    assert html_blocks.main_text(page, html_blocks.labelled_tree()) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x" + "</span>" * 20_000, "<div><span>" * 20_000 + "x" + "</span>" * 20_000, "<p class=ad>" * 40_000,
+                                  "<a><b><div" * 30_000])
+def test_deep_nesting_takes_linear_time(page):
+    begin = time.process_time()
+    html_blocks.main_text(page, html_blocks.labelled_tree())
+    assert time.process_time() - begin < 3  # under 0.3 s where it was 23 s
+
+
 def test_labelled_blocks_are_learnt():
     tree = html_blocks.labelled_tree()
     for page in html_blocks.LABELLED:
@@ -75,7 +94,7 @@ def test_held_out_pages(spark, sf_small):
     for r in pages.collect():
         body = r.html.split("<article>", 1)[1].split("</article>")[0]
         parts = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", re.sub(r"<[^>]*\Z", "", body))]
-        want = "\n".join(p for p in parts if p)
+        want = "\n\n".join(p for p in parts if p)
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
 
 
@@ -231,6 +250,57 @@ def test_license_expressions(expression, labels, score):
     assert license_scan.evaluate(expression) == (labels, pytest.approx(score))
 
 
+@pytest.mark.parametrize("expression,labels,score", [
+    ("mit this file is part of foo and the bar copyright 2020", {"mit"}, 1.0), ("(gpl-2.0 proprietary", {"gpl", "proprietary"}, 0.0),
+    ("(gpl-2.0 some text mit) proprietary", {"gpl", "mit"}, 0.3), ("mit; and gpl-3.0", {"mit"}, 1.0), ("* mit */ gpl-3.0", {"mit"}, 1.0), ("mit (see file)", {"mit"}, 1.0),
+    ("mit) or gpl-3.0", {"mit"}, 1.0), ("or mit", set(), 0.0), ("gpl-2.0 with (mit", {"gpl"}, 0.3), ("gpl-3.0+ with x or mit", {"gpl", "mit"}, 1.0),
+    ("gpl-2.0 with and mit", {"gpl"}, 0.3), ("()", set(), 0.0), ("(mit) (gpl-3.0)", {"mit"}, 1.0), ("mit and\tapache-2.0.", {"mit", "apache"}, 1.0)])
+def test_where_expressions_end(expression, labels, score):
+    assert license_scan.evaluate(expression) == (labels, pytest.approx(score))
+
+
+def brute_value(tree):
+    if isinstance(tree, str):
+        return license_scan.OPENNESS.get(license_scan.family(tree), license_scan.UNKNOWN_OPENNESS)
+    op, a, b = tree
+    a, b = brute_value(a), 1.0 if op == "with" else brute_value(b)
+    return max(a, b) if op == "or" else min(a, b) if op == "and" else (a + 1) / 2
+
+
+def test_random_expressions_match_their_trees():
+    rng = random.Random(8)
+    names = ["mit", "gpl-2.0", "apache-2.0", "agpl-3.0", "mpl-2.0", "odd-1", "cc-by-4.0", "lgpl-2.1"]
+    rank = {"or": 1, "and": 2, "with": 3}
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.2:
+            name = rng.choice(names)
+            return ("with", name, "some-exception") if rng.random() < 0.2 else name
+        return rng.choice(["and", "or"]), grow(depth - 1), grow(depth - 1)
+
+    def write(tree, outer=0):
+        if isinstance(tree, str):
+            return tree
+        op, a, b = tree
+        body = f"{write(a, rank[op])} {op} {write(b, rank[op] + 1)}"
+        return f"({body})" if rank[op] < outer or rng.random() < 0.2 and op != "with" else body
+
+    for _ in range(500):
+        tree = grow(rng.randrange(6))
+        text = write(tree)
+        assert license_scan.evaluate(text)[1] == pytest.approx(brute_value(tree)), text
+        assert license_scan.evaluate(text + " trailing words")[1] == pytest.approx(brute_value(tree)), text
+
+
+def test_tags_of_one_line_take_linear_time():
+    words, tags = license_scan._automata()
+    for body in ("mit and ", "(mit odd ", "((((", "mit"):
+        raw = (f"SPDX-License-Identifier: {body} " * 4000).encode()
+        begin = time.process_time()
+        license_scan.scan_text(raw, words, tags)
+        assert time.process_time() - begin < 1
+
+
 def test_license_tags(spark):
     rows = [(1, "// SPDX-License-Identifier: (MIT OR GPL-2.0-only) */\nrest", "en"), (2, "SPDX-License-Identifier: GPL-3.0 AND MIT", "en"),
             (3, "Mozilla Public License and MIT License", "en"), (3, "none", "en"), (None, "All rights reserved", "en")]
