@@ -4,12 +4,17 @@ A text is lower-cased (A-Z), cut into words (ASCII letters and digits, and all
 non-ASCII characters) and re-joined by single spaces; one Aho-Corasick automaton
 over all notice phrases runs once over that string, so a phrase matches where
 its words stand consecutively. Identifier tags (``SPDX-License-Identifier:``)
-are found by a second automaton in the raw text; the expression behind a tag, to
-the end of its line, is parsed by the shunting-yard algorithm (WITH binds before
-AND before OR) and evaluated: an identifier has the openness of its family, OR
-takes the best, AND the worst operand, WITH lifts the licence half way to 1.
-The score of a text is the worst value over its notices and expressions (0
-without any). A malformed expression counts as AND of the identifiers in it.
+are found by a second automaton in the raw text; the expression behind a tag is
+parsed by the shunting-yard algorithm (WITH binds before AND before OR) and
+evaluated: an identifier has the openness of its family, OR takes the best, AND the
+worst operand, WITH lifts the licence half way to 1. An expression ends at the
+first token that cannot continue it, at the end of its line or at the next tag;
+what follows is text. The score of a text is the worst value over its notices and
+expressions (0 without any). A malformed expression (an operator without operand, an
+open bracket) counts as AND of the identifiers in it; after an operand without
+operator in a bracket these are the known ones up to the bracket's end. Every
+expression is read once, so time grows with the length of a text however many tags a
+line has.
 
 Defined results: a null or empty text has no words, no labels, score 0; repeated
 rows are scanned one by one; texts of any length are scanned whole, in one pass.
@@ -64,6 +69,8 @@ _DELIMS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKENS = re.compile(r"[()]|[^\s()]+")
+#: Characters of comments and quotes around an expression; one behind an identifier ends it.
+_AROUND = "*/#;,.-<>!\"'`"
 
 
 def family(identifier: str) -> str:
@@ -73,46 +80,73 @@ def family(identifier: str) -> str:
     return max(known, key=len) if known else plain
 
 
-def evaluate(expression: str) -> tuple[set[str], float]:
-    """(labels, openness) of a lower-case licence expression, by shunting-yard."""
-    tokens = _TOKENS.findall(expression)
-    output: list[tuple[str | None, float]] = []
+def evaluate(text: str, start: int = 0, stop: int | None = None) -> tuple[set[str], float]:
+    """(labels, openness) of the lower-case licence expression that begins at ``start``, by shunting-yard."""
+    output: list[float] = []
     operators: list[str] = []
     labels: set[str] = set()
-    previous = ""
+    depth, operand, broken, exception = 0, False, False, False  # operand: the last token completes one
 
     def apply(op: str) -> None:
-        (_, b), (_, a) = output.pop(), output.pop()
-        output.append((None, max(a, b) if op == "or" else min(a, b) if op == "and" else (a + 1) / 2))
-
-    try:
-        for token in tokens:
-            if token in _PRECEDENCE:
-                while operators and operators[-1] != "(" and _PRECEDENCE[operators[-1]] >= _PRECEDENCE[token]:
-                    apply(operators.pop())
-                operators.append(token)
+        b, a = output.pop(), output.pop()
+        output.append(max(a, b) if op == "or" else min(a, b) if op == "and" else (a + 1) / 2)
+
+    for m in _TOKENS.finditer(text, start, len(text) if stop is None else stop):
+        token = m[0]
+        if token in "()":
+            depth += 1 if token == "(" else -1
+            if broken:
+                if depth <= 0:
+                    break
             elif token == "(":
+                if operand or exception:
+                    break  # text in brackets behind an expression, or no exception's name
                 operators.append(token)
-            elif token == ")":
+            elif depth < 0 or not operand:
+                broken = depth >= 0
+                break
+            else:
                 while operators[-1] != "(":
                     apply(operators.pop())
                 operators.pop()
-            elif previous == "with":  # an exception's name, not a licence
-                output.append((token, 1.0))
+            continue
+        name = token.strip(_AROUND)
+        if broken:
+            if (label := family(name)) in OPENNESS:
+                labels.add(label)
+        elif not name:
+            if operand:
+                break  # the end of a comment
+        elif operand:
+            if name in _PRECEDENCE and name == token:
+                while operators and operators[-1] != "(" and _PRECEDENCE[operators[-1]] >= _PRECEDENCE[name]:
+                    apply(operators.pop())
+                operators.append(name)
+                operand, exception = False, name == "with"
+            elif operators and depth > 0:
+                broken = True
+                if (label := family(name)) in OPENNESS:
+                    labels.add(label)
+            else:
+                break
+        elif name in _PRECEDENCE:
+            broken = True
+            break
+        else:
+            if exception:  # an exception's name, not a licence
+                output.append(1.0)
             else:
-                label = family(token)
+                label = family(name)
                 labels.add(label)
-                output.append((label, OPENNESS.get(label, UNKNOWN_OPENNESS)))
-            previous = token
-        while operators:
-            apply(operators.pop())
-        if len(output) != 1:
-            raise IndexError
-        return labels, output[0][1]
-    except (IndexError, KeyError):
-        names = [t for t in tokens if t not in _PRECEDENCE and t not in "()"]
-        labels = {family(t) for t in names}
+                output.append(OPENNESS.get(label, UNKNOWN_OPENNESS))
+            operand, exception = True, False
+            if not depth and not token.endswith(name) and not token.endswith(name + "+"):
+                break  # punctuation behind it
+    if broken or not operand or "(" in operators:
         return labels, min((OPENNESS.get(x, UNKNOWN_OPENNESS) for x in labels), default=0.0)
+    while operators:
+        apply(operators.pop())
+    return labels, output[0]
 
 
 def _automata():
@@ -150,9 +184,13 @@ def scan_text(raw: bytes, words, tags) -> tuple:
             last = at if last is None else max(last, at)
     if " spdx license identifier " in joined:
         lower = raw.translate(_LOWER).decode("latin-1")
-        for end, _ in tags.iter(lower):
-            stop = lower.find("\n", end)
-            found, value = evaluate(lower[end + 1:stop if stop >= 0 else len(lower)].strip(" \t\r*/#;-<>!"))
+        ends = [end + 1 for end, _ in tags.iter(lower)]
+        line = -1
+        for end, following in zip(ends, [*(e - len(TAG) for e in ends[1:]), len(lower)]):
+            if line < end:
+                line = lower.find("\n", end)
+                line = len(lower) if line < 0 else line
+            found, value = evaluate(lower, end, min(line, following))
             labels |= found
             if found:
                 score = min(score, value)
