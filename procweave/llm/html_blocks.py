@@ -279,6 +279,11 @@ LABELLED = (
     "<body><div class=legal-section><h1>+{8}</h1><p>+{44}</p><p>+{31}</p></div></body>",
     "<body><div class=privacy-box><p>+{60}</p></div></body>",
     "<body><article><p>+{3}</p><section class=comments><div class=content><p>-{90}</p><p>-{200}</p></div></section></article><footer><p>-{120}</p></footer></body>",
+    "<body><p>+{60}</p><p>+{14}</p></body>",
+    "<body><article><p>+{90}</p><p>+{3}</p></article></body>",
+    "<body><div class=content><p>+{55}</p><p>+{80}</p><p>+{6}</p></div></body>",
+    "<body><h1>+{3}</h1><p>+{70}</p><p>+{33}</p><p>+{12}</p></body>",
+    "<body><article><p>+{40}</p><p>+{120}</p><p>+{1}</p></article><div>-{3}</div></body>",
     "<body><aside><p>-{150}</p></aside><p>+{150}</p><aside><p>-{44}</p></aside></body>",
     "<body><div class=sidebar>-{60}</div></body>",
     "<body><div class=menu-box><p>-{4}</p></div><p>+{40}</p><p>+{11}</p><div class=meta-box>-{3}</div></body>",
