@@ -1,6 +1,6 @@
 """Iterative graph jobs: dependency levels, cycles, crawl, impact.
 
-All of them are level-synchronous loops of DataFrame joins. Each round's
+All of them are loops of DataFrame joins. Each round's
 state is written once under the session's checkpoint directory
 (:func:`procweave.session.materialize`) so lineage stays short and a lost
 executor only costs the current round. Frontiers are joined without
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from procweave.session import materialize
 
 
-def _internal_edges(nodes: DataFrame, edges: DataFrame, drop_self: bool) -> DataFrame:
+def internal_edges(nodes: DataFrame, edges: DataFrame, drop_self: bool) -> DataFrame:
     e = edges.select("src", "dst")
     if drop_self:
         e = e.filter(F.col("src") != F.col("dst"))
@@ -31,43 +31,61 @@ def _internal_edges(nodes: DataFrame, edges: DataFrame, drop_self: bool) -> Data
     return e.select("src", "dst").distinct()
 
 
-def _peel(nodes: DataFrame, e: DataFrame, forward: bool, tag: str):
-    """Kahn peeling with counters. forward: repeatedly remove nodes without
-    remaining out-edges (backward: without remaining in-edges).
+#: Level of a node on or above a cycle while levels are computed.
+_ENDLESS = 1 << 61
 
-    The edge list is written once and never rewritten; the state is one row
-    per still-unpeeled node with its count of remaining edges. Each round
-    counts the edges that point into the current frontier (the frontier is
-    small, so AQE broadcasts it and the edge scan is not shuffled),
-    subtracts, and writes the shrunken state once: per round O(|E|) read,
-    O(|unpeeled|) written. Round r removes exactly the nodes whose longest
-    path to a sink is r.
 
-    Returns (peeled frames with ``level``, edges among the nodes never peeled).
+def _longest_paths(nodes: DataFrame, e: DataFrame, tag: str) -> DataFrame:
+    """(node, level): number of edges of the longest path from a node, NULL on or above a cycle.
+
+    What a node still waits for is kept as weighted edges, what it already knows as a
+    least level. A round has two steps. Edges into the nodes finished last (those
+    without edges) leave; their callers learn ``level + weight``. Then every node with a
+    single edge, the function ``max(known, level(target) + weight)``, is put in place of
+    itself in its callers, all at once: a chain of n single calls halves each round
+    (about log2 n rounds), and a layer of finished nodes leaves in the same rounds.
+    Parallel edges keep the heaviest. A path that comes back to its start or gets longer
+    than the number of nodes is endless. If nothing finished and no edge moved, every node
+    left waits for others that do too: on or above a cycle.
+
+    Written per round: the unfinished nodes and their edges, both shrinking.
     """
-    near, far = ("src", "dst") if forward else ("dst", "src")
-    e = materialize(e.select("src", "dst"), f"{tag}-e")
-    deg = e.groupBy(F.col(near).alias("node")).agg(F.count(F.lit(1)).alias("c"))
-    state = materialize(nodes.select("node").join(deg, "node", "left")
-                        .select("node", F.coalesce("c", F.lit(0)).cast("bigint").alias("remaining")), f"{tag}-s")
-    frontier = state.filter(F.col("remaining") == 0).select("node")
-    alive = state.filter(F.col("remaining") > 0)
-    out = []
-    r = 0
-    while not frontier.isEmpty():
-        out.append(frontier.withColumn("level", F.lit(r).cast("bigint")))
-        hit = (e.join(frontier.select(F.col("node").alias(far)), far)
-               .groupBy(F.col(near).alias("node")).agg(F.count(F.lit(1)).alias("c")))
-        state = materialize(alive.join(hit, "node", "left")
-                            .select("node", (F.col("remaining") - F.coalesce("c", F.lit(0))).cast("bigint").alias("remaining")),
-                            f"{tag}-s")
-        frontier = state.filter(F.col("remaining") == 0).select("node")
-        alive = state.filter(F.col("remaining") > 0)
-        r += 1
-    left = alive.select("node")
-    rest = (e.join(left.select(F.col("node").alias("src")), "src", "left_semi")
-            .join(left.select(F.col("node").alias("dst")), "dst", "left_semi"))
-    return out, rest
+    total = nodes.count()
+    edges = materialize(e.select("src", "dst", F.lit(1).cast("bigint").alias("w")), f"{tag}-e")
+    live = nodes.select("node", F.lit(0).cast("bigint").alias("known"))
+    endless = F.col("known") >= _ENDLESS
+    done, finished = [], None
+    while True:
+        if finished is not None:
+            met = edges.join(finished.select(F.col("node").alias("dst"), F.col("known").alias("level")), "dst", "left")
+            learnt = (met.where("level IS NOT NULL").groupBy(F.col("src").alias("node"))
+                      .agg(F.least(F.max(F.col("level") + F.col("w")), F.lit(_ENDLESS)).alias("learnt")))
+            live = live.join(learnt, "node", "left").select("node", F.greatest("known", F.coalesce("learnt", F.lit(0))).alias("known"))
+            edges = met.where("level IS NULL").select("src", "dst", "w")
+        out = (edges.groupBy(F.col("src").alias("node"))
+               .agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("target"), F.max("w").alias("step")))
+        state = materialize(live.join(out, "node", "left")
+                            .select("node", "known", F.when(endless, 0).otherwise(F.coalesce("n", F.lit(0))).alias("n"), "target", "step"), f"{tag}-s")
+        finished = state.where("n = 0").select("node", "known")
+        done.append(finished.select("node", F.when(~endless, F.col("known")).alias("level")))
+        live = state.where("n > 0").select("node", "known")
+        if live.isEmpty():
+            break
+        single = state.where("n = 1").select(F.col("node").alias("dst"), "known", "target", "step")
+        seen = edges.join(live.select(F.col("node").alias("src")), "src", "left_semi").join(single, "dst", "left")
+        moved = seen.select("src", F.coalesce("target", "dst").alias("to"), (F.col("w") + F.coalesce("step", F.lit(0))).alias("w"),
+                            (F.col("known") + F.col("w")).alias("known"), F.col("target").isNotNull().alias("moved"))
+        back = (F.col("to") == F.col("src")) | (F.col("w") > total)
+        moved = moved.select("src", F.when(~back, F.col("to")).alias("dst"), "w",
+                             F.when(back, F.lit(_ENDLESS)).otherwise(F.col("known")).alias("known"), "moved")
+        step = materialize(moved.groupBy("src", "dst").agg(F.max("w").alias("w"), F.max("known").alias("known"), F.max("moved").alias("moved")), f"{tag}-e")
+        if finished.isEmpty() and step.where("moved").isEmpty():
+            done.append(live.select("node", F.lit(None).cast("bigint").alias("level")))
+            break
+        edges = step.where("dst IS NOT NULL").select("src", "dst", "w")
+        learnt = step.where("known IS NOT NULL").groupBy(F.col("src").alias("node")).agg(F.max("known").alias("learnt"))
+        live = live.join(learnt, "node", "left").select("node", F.greatest("known", F.coalesce("learnt", F.lit(0))).alias("known"))
+    return _union(done, nodes.select("node", F.lit(0).cast("bigint").alias("level")))
 
 
 def _union(frames, schema_df: DataFrame) -> DataFrame:
@@ -91,15 +109,10 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame, drop_self: bool = True
     matches the call pattern).
     """
     nodes = nodes.select("node").distinct()
-    e = _internal_edges(nodes, edges, drop_self)
-    peeled, _ = _peel(nodes, e, True, "levels")
-    done = _union(peeled, nodes.withColumn("level", F.lit(0).cast("bigint")))
-    rest = nodes.join(done.select("node"), "node", "left_anti")
-    result = (done.withColumn("in_cycle", F.lit(False))
-              .unionByName(rest.select("node", F.lit(None).cast("bigint").alias("level"), F.lit(True).alias("in_cycle"))))
+    e = internal_edges(nodes, edges, drop_self)
+    result = _longest_paths(nodes, e, "levels").withColumn("in_cycle", F.col("level").isNull())
     if compat:
-        cyclic = rest.limit(1).count() > 0
-        if cyclic:
+        if not result.where("in_cycle").isEmpty():
             result = result.select("node", F.lit(0).cast("bigint").alias("level"), F.lit(False).alias("in_cycle"))
     return result
 
@@ -158,18 +171,24 @@ def _min_label_scc(nodes: DataFrame, e: DataFrame, tag: str) -> DataFrame:
 def cycle_members(nodes: DataFrame, edges: DataFrame, drop_self: bool = False) -> DataFrame:
     """(node, scc, scc_size) for every node lying on a directed cycle.
 
-    First peel sinks (forward) and sources (backward): what is left is on a
-    cycle or between cycles. Exact components are then computed on that
+    Nodes without a level forward lie on or above a cycle, without one backward
+    too on or between cycles. Exact components are then computed on that
     residue only, which is small unless most of the graph is cyclic. A node
     with a self-call counts as a cycle of one unless ``drop_self``.
     """
     nodes = nodes.select("node").distinct()
-    e = _internal_edges(nodes, edges, drop_self=True)
-    _, e_fwd = _peel(nodes, e, True, "cyc-f")
-    residue = e_fwd.select(F.col("src").alias("node")).union(e_fwd.select(F.col("dst").alias("node"))).distinct()
-    _, e_both = _peel(residue, e_fwd, False, "cyc-b")
-    residue = e_both.select(F.col("src").alias("node")).union(e_both.select(F.col("dst").alias("node"))).distinct()
-    comps = _min_label_scc(residue, e_both, "scc")
+    e = internal_edges(nodes, edges, drop_self=True)
+    e = materialize(e, "cyc-e")
+
+    def among(edges: DataFrame, kept: DataFrame) -> DataFrame:
+        return (edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi")
+                .join(kept.select(F.col("node").alias("dst")), "dst", "left_semi"))
+
+    above = materialize(_longest_paths(nodes, e, "cyc-f").where("level IS NULL").select("node"), "cyc-a")
+    e_fwd = materialize(among(e, above), "cyc-e")
+    turned = e_fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    residue = materialize(_longest_paths(above, turned, "cyc-b").where("level IS NULL").select("node"), "cyc-r")
+    comps = _min_label_scc(residue, among(e_fwd, residue), "scc")
     sizes = comps.groupBy("scc").agg(F.count(F.lit(1)).alias("scc_size"))
     members = comps.join(sizes, "scc").filter(F.col("scc_size") > 1).select("node", "scc", F.col("scc_size").cast("bigint"))
     if not drop_self:

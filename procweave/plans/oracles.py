@@ -8,7 +8,7 @@ recursive CTEs, window functions), independently of the Spark code.
 from __future__ import annotations
 
 from procweave.functions import constants as K
-from procweave.sources.tables import CORPUS_NAME_SQL, CORPUS_TEXT_SQL
+from procweave.sources.tables import CORPUS_NAME_SQL, CORPUS_TEXT_SQL, CYCLES_TEXT_SQL
 
 ORACLES: dict = {}
 
@@ -239,6 +239,31 @@ SELECT node AS proc, CAST(max(depth) AS BIGINT) AS level, false AS in_cycle FROM
 UNION ALL SELECT n, NULL, true FROM bad
 """
 
+ORACLES["hierarchy_rows"] = f"WITH RECURSIVE {CORPUS}, {LEVELS} SELECT level, proc FROM lv"
+
+NESTED_CORPUS = "corpus AS (SELECT " + CORPUS_NAME_SQL + " AS proc, " + CYCLES_TEXT_SQL + " AS code FROM orders)"
+ORACLES["cycle_paths"] = f"""
+WITH RECURSIVE {NESTED_CORPUS}, {CALL_EDGES}, {INTERNAL_EDGES},
+p(start, last, path) AS (
+  SELECT src, dst, [src, dst] FROM e WHERE dst > src
+  UNION ALL SELECT p.start, e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.last
+  WHERE e.dst > p.start AND NOT list_contains(p.path, e.dst) AND len(p.path) < 8)
+SELECT p.start, CAST(len(p.path) AS BIGINT) AS length, array_to_string(list_append(p.path, p.start), ' -> ') AS cycle
+FROM p JOIN e ON e.src = p.last AND e.dst = p.start
+"""
+ORACLES["proc_levels_condensed"] = f"""
+WITH RECURSIVE {NESTED_CORPUS}, {CALL_EDGES}, {INTERNAL_EDGES},
+reach(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst),
+mutual AS (SELECT a.src AS node, min(a.dst) AS component, count(*) AS n FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+groups AS (SELECT c.proc AS node, coalesce(m.component, c.proc) AS component, m.n IS NOT NULL AS in_cycle,
+                  CAST(coalesce(m.n, 1) AS BIGINT) AS component_size FROM corpus c LEFT JOIN mutual m ON m.node = c.proc),
+ce AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN groups a ON a.node = e.src JOIN groups b ON b.node = e.dst
+       WHERE a.component <> b.component),
+paths(node, depth) AS (SELECT component, 0 FROM groups UNION SELECT ce.src, p.depth + 1 FROM paths p JOIN ce ON ce.dst = p.node),
+lv AS (SELECT node, CAST(max(depth) AS BIGINT) AS level FROM paths GROUP BY node)
+SELECT g.node AS proc, lv.level, g.in_cycle, g.component_size FROM groups g JOIN lv ON lv.node = g.component
+"""
+
 # ---------------------------------------------------------------- graph
 GRAPH = f"""{CALL_EDGES}, t_raw AS ({_unnest_union(K.TABLE_PATTERNS)}),
 tabs AS (SELECT DISTINCT proc, v AS tbl FROM t_raw),
@@ -276,12 +301,15 @@ SELECT n.id, CAST(count(e.dst) AS BIGINT) AS total_dependencies FROM nodes n LEF
 """
 
 
-def _walk(depth: int | None) -> str:
+ALL_ROOTS = "TRUE"
+
+
+def _walk(depth: int | None, roots: str = "CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 100 = 0") -> str:
     limit = f"WHERE w.depth < {depth}" if depth else ""
     return f"""{GRAPH},
 ce AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'calls'),
 te AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'accesses'),
-walk(root, node, depth) AS (SELECT id, id, 0 FROM nodes WHERE CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 100 = 0
+walk(root, node, depth) AS (SELECT id, id, 0 FROM nodes WHERE {roots}
     UNION SELECT w.root, ce.dst, w.depth + 1 FROM walk w JOIN ce ON ce.src = w.node AND ce.dst <> ce.src {limit}),
 pf AS (SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY root, node),
 tf AS (SELECT pf.root, te.dst AS node, CAST(min(pf.depth) + 1 AS BIGINT) AS depth FROM pf JOIN te ON te.src = pf.node
@@ -292,6 +320,61 @@ summ AS (SELECT root, CAST(count(*) FILTER (WHERE node_type = 'procedure') AS BI
                 CAST(max(depth) FILTER (WHERE node_type = 'procedure') AS BIGINT) AS depth_reached FROM crawl GROUP BY root)"""
 
 
+# whole reach on a graph with cycles: pairs first, depths by a bound no shortest path exceeds would not end, so
+# depth is the first round a pair appears in (USING KEY keeps one row per pair)
+def _whole() -> str:
+    return f"""{GRAPH},
+ce AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'calls'),
+te AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'accesses'),
+walk(root, node, depth) USING KEY (root, node) AS (SELECT id, id, 0 FROM nodes
+    UNION SELECT w.root, ce.dst, min(w.depth) + 1 FROM walk w JOIN ce ON ce.src = w.node LEFT JOIN recurring.walk old
+      ON old.root = w.root AND old.node = ce.dst WHERE old.node IS NULL GROUP BY w.root, ce.dst),
+pf AS (SELECT root, node, CAST(depth AS BIGINT) AS depth FROM walk),
+tf AS (SELECT DISTINCT pf.root, te.dst AS node FROM pf JOIN te ON te.src = pf.node),
+summ AS (SELECT p.root, p.n AS procedures_found, CAST(coalesce(t.n, 0) AS BIGINT) AS tables_found, p.depth_reached
+         FROM (SELECT root, CAST(count(*) AS BIGINT) AS n, max(depth) AS depth_reached FROM pf GROUP BY root) p
+         LEFT JOIN (SELECT root, count(*) AS n FROM tf GROUP BY root) t ON t.root = p.root)"""
+
+
+_IMPACT = """,
+cl AS (SELECT dst AS root, CAST(count(*) AS BIGINT) AS caller_count FROM ce WHERE dst IN (SELECT id FROM nodes) GROUP BY dst)
+SELECT n.id AS root, coalesce(cl.caller_count, 0) AS caller_count, coalesce(s.procedures_found, 0) AS dependency_count,
+       coalesce(s.tables_found, 0) AS affected_table_count,
+       coalesce(cl.caller_count, 0) + coalesce(s.procedures_found, 0) AS total_impact_score,
+       CASE WHEN coalesce(s.procedures_found, 0) > 10 THEN 'alta' WHEN coalesce(s.procedures_found, 0) > 5 THEN 'média'
+            ELSE 'baixa' END AS impact_class
+FROM nodes n LEFT JOIN summ s ON s.root = n.id LEFT JOIN cl ON cl.root = n.id"""
+ORACLES["crawl_summary_all"] = f"WITH RECURSIVE {CORPUS}, {_walk(5, ALL_ROOTS)} SELECT * FROM summ"
+ORACLES["crawl_summary_whole"] = f"WITH RECURSIVE {NESTED_CORPUS}, {_whole()} SELECT * FROM summ"
+ORACLES["impact_all"] = f"WITH RECURSIVE {CORPUS}, {_walk(3, ALL_ROOTS)}{_IMPACT}"
+ORACLES["impact_whole"] = f"WITH RECURSIVE {NESTED_CORPUS}, {_whole()}{_IMPACT}"
+ORACLES["crawl_tree"] = f"""
+WITH RECURSIVE {CORPUS}, {GRAPH},
+ch AS (SELECT src, dst, kind, row_number() OVER (PARTITION BY src ORDER BY kind, dst) - 1 AS seq
+       FROM (SELECT DISTINCT src, dst, CASE edge_type WHEN 'calls' THEN 0 ELSE 1 END AS kind FROM edges)),
+w(root, node, path, depth) AS (
+  SELECT id, id, CAST([] AS BIGINT[]), 0 FROM nodes WHERE CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 100 = 0
+  UNION ALL SELECT w.root, ch.dst, list_append(w.path, ch.seq), w.depth + 1 FROM w JOIN ch ON ch.src = w.node AND ch.kind = 0 WHERE w.depth < 5),
+chosen AS (SELECT root, node, path, depth FROM (
+  SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY depth, path) AS k FROM w) WHERE k = 1),
+entries AS (SELECT o.root, ch.dst AS name, ch.kind, ch.seq, o.path AS above, o.depth + 1 AS depth, list_append(o.path, ch.seq) AS path
+            FROM chosen o JOIN nodes n ON n.id = o.node JOIN ch ON ch.src = o.node),
+width AS (SELECT 'T_' || CAST(l_orderkey AS VARCHAR) AS name, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1),
+rows AS (
+  SELECT c.root, c.path, CAST(NULL AS BIGINT[]) AS above, 0 AS seq, 'procedure' AS node_type, c.node AS name, 0 AS depth, true AS expanded,
+         false AS truncated, NULL AS error, n.complexity_score, CAST(NULL AS BIGINT) AS columns FROM chosen c JOIN nodes n ON n.id = c.node WHERE c.depth = 0
+  UNION ALL
+  SELECT e.root, e.path, e.above, e.seq, 'procedure', e.name, e.depth, coalesce(c.path = e.path, false) AND n.id IS NOT NULL, e.depth > 5,
+         CASE WHEN c.path = e.path AND n.id IS NULL THEN 'Procedure not found in graph' END,
+         CASE WHEN c.path = e.path THEN n.complexity_score END, NULL
+  FROM entries e LEFT JOIN chosen c ON c.root = e.root AND c.node = e.name LEFT JOIN nodes n ON n.id = e.name WHERE e.kind = 0
+  UNION ALL
+  SELECT t.root, t.path, t.above, t.seq, 'table', t.name, t.depth, false, false, NULL, NULL, coalesce(width.n, 0)
+  FROM (SELECT *, row_number() OVER (PARTITION BY root, name ORDER BY depth, path) AS k FROM entries WHERE kind = 1) t
+  LEFT JOIN width ON width.name = t.name WHERE t.k = 1)
+SELECT root, array_to_string(path, '/') AS path, array_to_string(above, '/') AS parent_path, CAST(seq AS BIGINT) AS seq, node_type, name,
+       CAST(depth AS BIGINT) AS depth, expanded, truncated, error, complexity_score, CAST(columns AS BIGINT) AS columns FROM rows
+"""
 ORACLES["crawl"] = f"WITH RECURSIVE {CORPUS}, {_walk(None)} SELECT * FROM crawl"
 ORACLES["crawl_summary"] = f"WITH RECURSIVE {CORPUS}, {_walk(5)} SELECT * FROM summ"
 ORACLES["impact"] = f"""

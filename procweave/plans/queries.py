@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from procweave.functions.scoring import complexity_class
 from procweave.operators import analysis as A
+from procweave.operators import cycles as CY
 from procweave.operators import graph as G
+from procweave.operators import reach as RE
 from procweave.operators import traversal as TR
-from procweave.sources.tables import procedure_corpus, procedure_corpus_cyclic
+from procweave.sources.tables import procedure_corpus, procedure_corpus_cycles, procedure_corpus_cyclic
 
 QUERIES: dict = {}
 
@@ -141,6 +143,13 @@ def hierarchy_rows(spark, sf_dir):
                                     F.min("node").alias("first_name"), F.max("node").alias("last_name")))
 
 
+@register("hierarchy_rows")
+def hierarchy_names(spark, sf_dir):
+    """Every procedure under its level."""
+    lv, _ = _levels(spark, sf_dir)
+    return TR.hierarchy(lv).select("level", F.col("node").alias("proc"))
+
+
 @register("proc_statistics")
 def proc_statistics(spark, sf_dir):
     """A1: total procedures, average complexity, maximum dependency level."""
@@ -178,6 +187,24 @@ def proc_levels_cyclic(spark, sf_dir):
     return lv.select(F.col("node").alias("proc"), "level", "in_cycle")
 
 
+def _nested_cycles(spark, sf_dir):
+    an = A.shared(A.analyze(procedure_corpus_cycles(spark, sf_dir)), A.CALL_COLUMNS)
+    return an.select(F.col("proc").alias("node")), A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
+
+
+@register("cycle_paths")
+def cycle_paths(spark, sf_dir):
+    """Every elementary cycle of up to eight procedures, written out, on the corpus of nested cycles."""
+    found = CY.cycle_paths(*_nested_cycles(spark, sf_dir))
+    return found.select("start", "length", F.array_join(F.concat("path", F.array("start")), " -> ").alias("cycle"))
+
+
+@register("proc_levels_condensed")
+def proc_levels_condensed(spark, sf_dir):
+    """G16 on the corpus of nested cycles: every procedure has a level, a component counting as one node."""
+    return CY.condensed_levels(*_nested_cycles(spark, sf_dir)).withColumnRenamed("node", "proc")
+
+
 def _graph(spark, sf_dir):
     an = A.shared(corpus_analysis(spark, sf_dir))
     nodes, edges = G.build_graph(an)
@@ -252,6 +279,47 @@ def impact_all(spark, sf_dir):
     return TR.impact(calls, tabs, roots, 3)
 
 
+def _reach_inputs(spark, sf_dir, procs=None):
+    an = A.shared(A.analyze(procs) if procs is not None else corpus_analysis(spark, sf_dir))
+    nodes, edges = G.build_graph(an)
+    ends = nodes.filter(F.col("node_type") == "procedure").select(F.col("id").alias("node"), "complexity_score")
+    return ends, edges.filter(F.col("edge_type") == "calls").select("src", "dst"), edges.filter(F.col("edge_type") == "accesses").select("src", "dst")
+
+
+@register("crawl_summary_all")
+def crawl_summary_every(spark, sf_dir):
+    """A20 of every procedure to the tool's default depth 5."""
+    return RE.reach_counts(*_reach_inputs(spark, sf_dir), 5).withColumnRenamed("node", "root")
+
+
+@register("crawl_summary_whole")
+def crawl_summary_whole(spark, sf_dir):
+    """A20 of every procedure over its whole reach, on the corpus of nested cycles."""
+    return RE.reach_counts(*_reach_inputs(spark, sf_dir, procedure_corpus_cycles(spark, sf_dir))).withColumnRenamed("node", "root")
+
+
+@register("impact_all")
+def impact_every(spark, sf_dir):
+    """A21 of every procedure to the tool's default depth 3."""
+    return RE.impact_all(*_reach_inputs(spark, sf_dir), 3)
+
+
+@register("impact_whole")
+def impact_whole(spark, sf_dir):
+    """A21 of every procedure over its whole reach, on the condensed graph of the corpus of nested cycles."""
+    nodes, calls, tables = _reach_inputs(spark, sf_dir, procedure_corpus_cycles(spark, sf_dir))
+    return RE.impact_all(nodes, calls, tables, None, CY.components(nodes, calls))
+
+
+@register("crawl_tree")
+def crawl_tree(spark, sf_dir):
+    """The dependency tree, to depth 5, of every procedure of the query set (numbers divisible by 100)."""
+    nodes, calls, tables = _reach_inputs(spark, sf_dir)
+    roots = nodes.filter(F.regexp_extract("node", r"(\d+)$", 1).cast("bigint") % 100 == 0).select(F.col("node").alias("root"))
+    columns = S.catalog_columns(spark, sf_dir).select(F.concat(F.lit("T_"), F.substring("table_name", 2, 30)).alias("table"))
+    return RE.crawl_tree(nodes, calls, tables, roots, 5, columns)
+
+
 # ------------------------------------------------------------- catalog
 from procweave.operators import catalog as C  # noqa: E402
 from procweave.sources import tables as S  # noqa: E402

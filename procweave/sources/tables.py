@@ -76,6 +76,19 @@ def procedure_corpus_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("source_code")).alias("source_code"))
 
 
+#: Calls that close nested cycles with shared edges: every tenth procedure n also calls P(2n) and P(6n), from which
+#: P(n) is reached again over one, two or three calls.
+CYCLES_TEXT_SQL = (
+    f"{CORPUS_TEXT_SQL} || CASE WHEN o_orderkey % 10 = 3 THEN chr(10) || ' CALL P' || CAST(o_orderkey * 2 AS VARCHAR(20)) || '();' || chr(10) || "
+    "' CALL P' || CAST(o_orderkey * 6 AS VARCHAR(20)) || '();' ELSE '' END"
+)
+
+
+def procedure_corpus_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with many small components of nested cycles (:data:`CYCLES_TEXT_SQL`)."""
+    return read_table(spark, sf_dir, "orders").selectExpr(f"{CORPUS_NAME_SQL} AS name", "CAST(NULL AS STRING) AS schema", f"{CYCLES_TEXT_SQL} AS source_code")
+
+
 # ---------------------------------------------------------------- catalog
 def _lineitem_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with (l_orderkey, l_linenumber) made unique: keep the first row by
