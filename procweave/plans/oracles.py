@@ -733,6 +733,26 @@ ORACLES["semantic_topk_nodes"] = f"""WITH q AS (SELECT 'APP.N' || CAST(vec_id AS
 s AS (SELECT q.query_id, 'APP.N' || CAST(e.vec_id AS VARCHAR) AS node_id, {_L2} AS sim FROM embeddings e, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) AS rank FROM s WHERE sim >= -1.0)
 SELECT query_id, CAST(rank AS BIGINT) AS rank, node_id, round(sim, 4) AS similarity FROM r WHERE rank <= 3"""
+ORACLES["semantic_topk_indexed"] = ORACLES["semantic_topk_multi"]
+ORACLES["pooled_embeddings"] = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '([^ \t\n\x0B\f\r]+)', 1)) AS token FROM documents),
+h AS (SELECT doc_id, md5(token) AS m FROM t),
+p AS (SELECT doc_id, strpos('0123456789abcdef', substr(m, 2, 1)) - 1 AS axis, sum(CASE WHEN substr(m, 3, 1) < '8' THEN 1 ELSE -1 END) AS s
+      FROM h GROUP BY doc_id, 2),
+n AS (SELECT doc_id, sqrt(sum(s * s)) AS length FROM p GROUP BY doc_id),
+axes AS (SELECT doc_id, a.axis FROM documents, (SELECT unnest(range(16)) AS axis) a)
+SELECT x.doc_id, CAST(x.axis AS BIGINT) AS axis, round(CASE WHEN n.length > 0 THEN coalesce(p.s, 0) / n.length ELSE 0.0 END, 4) AS value
+FROM axes x LEFT JOIN p ON p.doc_id = x.doc_id AND p.axis = x.axis LEFT JOIN n ON n.doc_id = x.doc_id
+"""
+ORACLES["bucket_upsert"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderkey % 10 = 3 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 10 <> 7
+"""
+ORACLES["index_upkeep"] = """
+WITH c AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'new' WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS action FROM orders
+           UNION ALL SELECT 'deleted' FROM orders WHERE o_orderkey % 7 = 0)
+SELECT action, 'procedure' AS node_type, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY action
+"""
 ORACLES["hybrid_search"] = f"""WITH {CORPUS}, {GRAPH},
 q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
 s AS (SELECT 'UNKNOWN.P' || CAST(e.vec_id AS VARCHAR) AS node_id, {_L2} AS sim FROM embeddings e, q),

@@ -7,6 +7,8 @@ and aliased so they line up with the DuckDB oracles in :mod:`procweave.plans.ora
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ from procweave.operators import cycles as CY
 from procweave.operators import graph as G
 from procweave.operators import reach as RE
 from procweave.operators import traversal as TR
-from procweave.sources.tables import procedure_corpus, procedure_corpus_cycles, procedure_corpus_cyclic
+from procweave.operators import vector_index as VI
+from procweave.session import job_dir, materialize
+from procweave.sinks.bucket_store import BucketStore
+from procweave.sources.tables import procedure_corpus, procedure_corpus_cycles, procedure_corpus_cyclic, read_table
 
 QUERIES: dict = {}
 
@@ -634,6 +639,59 @@ def semantic_topk_nodes(spark, sf_dir):
     return V.search_many(emb, queries, k=3, threshold=SEARCH_THRESHOLD, id_col="node_id")
 
 
+@register("semantic_topk_indexed")
+def semantic_topk_indexed(spark, sf_dir):
+    """V4 by an index: the exact answer of ``semantic_topk_multi`` from the cells that can hold it."""
+    emb = _embeddings(spark, sf_dir)
+    queries = emb.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return VI.CellIndex.build(emb, "vec_id").search(queries, 5, exact=True, threshold=SEARCH_THRESHOLD)
+
+
+@register("semantic_index_recall")
+def semantic_index_recall(spark, sf_dir):
+    """Recall of the index's nearest cells against the exact answer, measured on the query set."""
+    emb = _embeddings(spark, sf_dir)
+    queries = emb.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    index = VI.CellIndex.build(emb, "vec_id")
+    return VI.recall(index.search(queries, 5), index.search(queries, 5, exact=True), "vec_id")
+
+
+@register("pooled_embeddings")
+def pooled_embeddings(spark, sf_dir):
+    """V1: unit vectors of whole documents, pooled over windows of 512 tokens (a row per axis)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = VI.embed_long(docs, lambda w: V.embed_with(w, VI.token_hash_encoder(16), dim=16), "doc_id", size=512)
+    return out.select("doc_id", F.posexplode("embedding").alias("axis", "v")).select("doc_id", F.col("axis").cast("bigint").alias("axis"), F.round("v", 4).alias("value"))
+
+
+@register("bucket_upsert")
+def bucket_upsert(spark, sf_dir):
+    """K6 as a bucketed store: orders, then a commit that replaces one key in ten and deletes another."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    store = BucketStore(spark, f"{job_dir(spark)}/store-{uuid.uuid4().hex}", "o_orderkey", 16)
+    store.upsert(orders)
+    changed = orders.filter("o_orderkey % 10 = 3").select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_custkey") + 1).alias("o_custkey"))
+    store.upsert(changed, orders.filter("o_orderkey % 10 = 7"))
+    return store.read()
+
+
+@register("index_upkeep")
+def index_upkeep(spark, sf_dir):
+    """V2 + V6: what a sync does to an index of an older state of the corpus (some nodes missing, changed, gone since)."""
+    docs = V.code_document(corpus_analysis(spark, sf_dir)).select("node_id", "node_type", "text")
+    docs = materialize(docs.withColumn("n", F.regexp_extract("node_id", r"(\d+)$", 1).cast("bigint")), "nodes")
+    now = docs.select("node_id", "node_type", "text")
+    before = (docs.filter("n % 3 <> 0").select("node_id", "node_type", F.when(F.col("n") % 5 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text")).alias("text"))
+              .unionByName(docs.filter("n % 7 = 0").select(F.concat("node_id", F.lit(".GONE")).alias("node_id"), "node_type", "text")))
+    store = BucketStore(spark, f"{job_dir(spark)}/index-{uuid.uuid4().hex}", "node_id", 16)
+
+    def embed(frame):
+        return V.embed_hashing(frame, dim=16)
+
+    VI.sync_index(before, store, embed, "2024-01-01")
+    return VI.sync_index(now, store, embed, "2024-01-02")
+
+
 @register("hybrid_search")
 def hybrid_search(spark, sf_dir):
     """Embeddings attached to corpus procedures (vec i -> procedure Pi), searched
