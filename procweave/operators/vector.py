@@ -155,11 +155,11 @@ def embed_hashing(df: DataFrame, text_col: str = "text", dim: int = 64, out_col:
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True)
+    tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=r"\W+", toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
     norm = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0)
-    out = norm.transform(tf.transform(tok.transform(df)))
-    return out.withColumn(out_col, vector_to_array("_nv", "float32")).drop("_tok", "_tf", "_nv")
+    out = norm.transform(tf.transform(tok.transform(df.withColumn("_text", F.coalesce(text_col, F.lit(""))))))
+    return out.withColumn(out_col, vector_to_array("_nv", "float32")).drop("_text", "_tok", "_tf", "_nv")
 
 
 def embed_with(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], text_col: str = "text",

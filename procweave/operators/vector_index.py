@@ -3,7 +3,8 @@
 * Search: vectors are dealt into cells around centroids. The centroids are
   fitted by k-means on a sample of about ``SAMPLE`` rows (chosen by a hash of the
   id, so the same rows every time); every row is then assigned and stored with
-  its cell. A query looks into its nearest cells only. An exact answer needs the
+  its cell. A query looks into its nearest cells only; how many is measured when the
+  index is built, from the exact neighbours of a small sample of rows. An exact answer needs the
   cells that the ball around the query's k-th hit so far can touch: distance to the centroid
   less the cell's radius; so the exact way probes a few more cells, not all.
   What is broadcast is the centroids: at most ``MAX_CELLS`` vectors.
@@ -35,6 +36,10 @@ from procweave.sinks.bucket_store import BucketStore
 SAMPLE = 20_000
 #: Most cells.
 MAX_CELLS = 4096
+#: Rows (about) whose exact neighbours set the number of cells a search looks into, their neighbours, and the recall aimed at.
+CALIBRATION_ROWS = 200
+CALIBRATION_K = 10
+CALIBRATION_RECALL = 0.95
 #: Rows and queries of a block.
 BLOCK_ROWS = 20_000
 BLOCK_QUERIES = 2_000
@@ -92,8 +97,8 @@ def assign(vectors: DataFrame, centroids: np.ndarray, id_col: str = "id", vec_co
 class CellIndex:
     """Vectors stored by cell, with the centroids and radii to search them."""
 
-    def __init__(self, rows: DataFrame, centroids: np.ndarray, id_col: str, vec_col: str):
-        self.rows, self.centroids, self.id_col, self.vec_col = rows, centroids, id_col, vec_col
+    def __init__(self, rows: DataFrame, centroids: np.ndarray, id_col: str, vec_col: str, probes: int | None = None):
+        self.rows, self.centroids, self.id_col, self.vec_col, self.probes = rows, centroids, id_col, vec_col, probes
         self.sizes, self.radii = np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
         for cell, n, radius in rows.groupBy("cell").agg(F.count(F.lit(1)), F.max("distance")).collect():  # a row per cell
             self.sizes[cell], self.radii[cell] = n, radius
@@ -104,16 +109,40 @@ class CellIndex:
         centroids = fit_centroids(vectors, id_col, vec_col, cells)
         rows = assign(vectors, centroids, id_col, vec_col).repartitionByRange("cell", F.xxhash64(id_col)).sortWithinPartitions("cell")
         if path is None:
-            return cls(materialize(rows, "cells"), centroids, id_col, vec_col)
+            index = cls(materialize(rows, "cells"), centroids, id_col, vec_col)
+            index.probes = index._calibrated()
+            return index
         rows.write.mode("overwrite").parquet(f"{path}/rows")
         spark = vectors.sparkSession
-        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
-        return cls.open(spark, path, id_col, vec_col)
+        index = cls(spark.read.parquet(f"{path}/rows"), centroids, id_col, vec_col)
+        index.probes = index._calibrated()
+        (spark.createDataFrame([(i, c.tolist(), index.probes) for i, c in enumerate(centroids)], "cell int, centroid array<double>, probes int")
+         .write.mode("overwrite").parquet(f"{path}/centroids"))
+        return index
 
     @classmethod
     def open(cls, spark, path: str, id_col: str = "id", vec_col: str = "embedding") -> CellIndex:
-        centroids = [r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()]
-        return cls(spark.read.parquet(f"{path}/rows"), np.array(centroids), id_col, vec_col)
+        stored = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+        return cls(spark.read.parquet(f"{path}/rows"), np.array([r["centroid"] for r in stored]), id_col, vec_col, stored[0]["probes"] if stored else None)
+
+    def _calibrated(self) -> int:
+        """Cells to look into so that :data:`CALIBRATION_RECALL` of the sample's neighbours (other rows) are found."""
+        total = int(self.sizes.sum())
+        filled = int((self.sizes > 0).sum())
+        if filled <= 1:
+            return filled
+        part = F.pmod(F.xxhash64(self.id_col, F.lit(1)), F.lit(max(1, total // CALIBRATION_ROWS))) == 0
+        sample = self.rows.where(part).select(F.col(self.id_col).alias("query_id"), F.col(self.vec_col))
+        hits = materialize(self.search(sample, CALIBRATION_K, probes=max(1, filled // 4), exact=True, digits=None), "sample").where(F.col("query_id") != F.col(self.id_col))
+        found = (hits.select("query_id", self.id_col).join(self.rows.select(self.id_col, "cell"), self.id_col)
+                 .join(sample.withColumnRenamed(self.vec_col, "_qv"), "query_id").select("_qv", "cell").toPandas())  # the sample's neighbours
+        if not len(found):
+            return filled
+        d = _distances(_matrix(found["_qv"]), self.centroids)
+        d[:, self.sizes == 0] = np.inf
+        own = d[np.arange(len(d)), found["cell"].to_numpy()]
+        place = (d < own[:, None]).sum(axis=1)
+        return int(np.sort(place)[min(len(place) - 1, int(np.ceil(CALIBRATION_RECALL * len(place))))]) + 1
 
     # ------------------------------------------------------------- search
     def _probe(self, queries: DataFrame, probes: int | None, skip: int) -> DataFrame:
@@ -179,11 +208,11 @@ class CellIndex:
                digits: int | None = 4) -> DataFrame:
         """Top-``k`` of ``queries(query_id, embedding)``: (query_id, rank, id, similarity), similarity 1 - squared distance.
 
-        ``probes`` nearest cells are searched, by default one in eight and four at least; ``exact`` then adds every
+        ``probes`` nearest cells are searched, by default as many as the calibration found; ``exact`` then adds every
         cell that can hold a nearer row.
         """
         filled = int((self.sizes > 0).sum())
-        probes = min(filled, probes or max(4, -(-filled // 8)))
+        probes = min(filled, probes or self.probes or filled)
         asked = materialize(queries.select("query_id", F.col(self.vec_col).cast("array<double>").alias("_qv")).where("_qv IS NOT NULL").distinct(), "asked")
         order = Window.partitionBy("query_id").orderBy("d", "_id")
 
