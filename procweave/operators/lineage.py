@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procweave.operators import traversal as TR
+from procweave.session import materialize
 
 
 def _norm(field: str | None, case_sensitive: bool):
@@ -126,3 +127,42 @@ def trace(call_edges: DataFrame, usage: DataFrame, starts: DataFrame, field: str
             F.lit("read_from_table").alias("operation"), "depth", F.concat(F.col("table"), F.lit(" (table)")).alias("detail"))
         out = out.unionByName(tab)
     return out
+
+
+def trace_fields(call_edges: DataFrame, usage: DataFrame, starts: DataFrame, max_depth: int | None = None,
+                 table_edges: DataFrame | None = None, columns: DataFrame | None = None, fields: DataFrame | None = None,
+                 case_sensitive: bool = False) -> DataFrame:
+    """G10/J10 for many fields and many starts at once: (root, field, kind, procedure, operation, depth, detail, column_info).
+
+    One crawl of ``starts(root)`` serves all fields (``fields(field)``, else every field in ``usage``). Rows are those of
+    :func:`trace`; a table source also tells what the catalog knows of the column (``column_info``, a JSON object
+    of the columns that ``columns`` has beside the names).
+    """
+    wanted = (usage if fields is None else fields).select("field").distinct()
+    if not case_sensitive and fields is not None:
+        wanted = wanted.select(F.upper("field").alias("field")).distinct()
+    reach = materialize(TR.crawl(call_edges, starts, max_depth).filter(F.col("node_type") == "procedure")
+                        .select("root", F.col("node").alias("proc"), "depth"), "trace-r")
+    hit = reach.join(usage if fields is None else usage.join(wanted, "field", "left_semi"), "proc")
+    text = F.lit(None).cast("string")
+
+    def row(frame: DataFrame, kind: str, procedure, operation, detail, info=text) -> DataFrame:
+        return frame.select("root", "field", F.lit(kind).alias("kind"), procedure.alias("procedure"), operation.alias("operation"), "depth",
+                            detail.alias("detail"), info.alias("column_info"))
+
+    proc = F.col("proc")
+    used = (hit.groupBy("root", "field", "proc", "depth")
+            .agg(F.max(F.col("operation") == "write").alias("writes"), F.max(F.col("operation") == "read").alias("reads")))
+    changed = (hit.filter(F.col("operation") == "transform").groupBy("root", "field", "transformation").agg(F.min("depth").alias("depth")))
+    out = (row(hit, "step", proc, F.col("operation"), text)
+           .unionByName(row(used.filter("writes"), "source", proc, F.lit("write"), text))
+           .unionByName(row(used.filter("reads"), "destination", proc, F.lit("read"), text))
+           .unionByName(row(changed, "transformation", text, F.lit("transform"), F.col("transformation"))))
+    if table_edges is None or columns is None:
+        return out
+    named = F.col("column_name") if case_sensitive else F.upper("column_name")
+    more = [c for c in columns.columns if c not in ("table_schema", "table_name", "column_name")]
+    known = (columns.select(named.alias("field"), F.concat_ws(".", "table_schema", "table_name").alias("table"),
+                            (F.to_json(F.struct(*more)) if more else text).alias("info")).join(wanted, "field", "left_semi").distinct())
+    accessed = table_edges.select(F.col("src").alias("proc"), F.col("dst").alias("table")).distinct().join(known, "table")
+    return out.unionByName(row(reach.join(accessed, "proc"), "source", proc, F.lit("read_from_table"), F.concat("table", F.lit(" (table)")), F.col("info")))

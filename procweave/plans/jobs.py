@@ -13,6 +13,7 @@ from procweave.operators import analysis as A
 from procweave.operators import catalog as C
 from procweave.operators import graph as G
 from procweave.operators import relmap as RM
+from procweave.operators import tokens as TK
 from procweave.operators import traversal as TR
 from procweave.operators import vector as V
 from procweave.sinks import reports as RP
@@ -41,8 +42,15 @@ def fast_index(procs: DataFrame, out: str | None = None, dim: int = 64, encoder=
     return result
 
 
-def analyze_procedures(procs: DataFrame) -> dict[str, DataFrame]:
-    """Procedure analysis (K1 sections): per-procedure facts with levels, hierarchy rows, statistics."""
+def token_sections(metrics: DataFrame) -> dict[str, DataFrame]:
+    """The token section of an export: statistics, every request, and the comparison of the compact format."""
+    return {"token_totals": TK.totals(metrics), "token_overall": TK.overall(metrics), "token_by_operation": TK.by_operation(metrics),
+            "token_requests": metrics, "token_comparison": TK.compare_overall(metrics), "token_comparison_by_operation": TK.compare_by_operation(metrics)}
+
+
+def analyze_procedures(procs: DataFrame, token_metrics: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Procedure analysis (K1 sections): per-procedure facts with levels, hierarchy rows, statistics, and, where
+    model requests were metered, their token sections."""
     an = A.analyze(procs)
     nodes = an.select(F.col("proc").alias("node"))
     e = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
@@ -51,7 +59,8 @@ def analyze_procedures(procs: DataFrame) -> dict[str, DataFrame]:
     stats = per.agg(F.count(F.lit(1)).cast("bigint").alias("total_procedures"),
                     F.avg("complexity_score").alias("avg_complexity"),
                     F.coalesce(F.max("level"), F.lit(0)).cast("bigint").alias("max_dependency_level"))
-    return {"procedures": per.drop("source_code"), "hierarchy": TR.hierarchy(lv), "statistics": stats}
+    return {"procedures": per.drop("source_code"), "hierarchy": TR.hierarchy(lv), "statistics": stats,
+            **(token_sections(token_metrics) if token_metrics is not None else {})}
 
 
 def analyze_tables(columns: DataFrame, key_rows: DataFrame, index_rows: DataFrame,
@@ -75,8 +84,12 @@ def analyze_tables(columns: DataFrame, key_rows: DataFrame, index_rows: DataFram
 
 
 def relationship_map(objects: DataFrame, generated_at: str) -> dict[str, DataFrame]:
-    """Relationship map (K3, K12, K13): relations, degrees, DOT and Markdown lines, all schemas at once."""
+    """Relationship map (K3, K12, K13): relations, degrees, the ten most referenced and most referencing objects,
+    isolated objects, relations by type, DOT and Markdown lines, all schemas at once."""
     rels = materialize(RM.relations(objects), "relations")  # many consumers: extract once
     deg = RM.degrees(objects, rels)
+    deg = materialize(deg, "degrees")
     return {"relations": rels, "degrees": deg, "object_counts": RM.object_counts(objects),
+            "top_referenced": RM.top_nodes(deg, "in_degree"), "top_referencing": RM.top_nodes(deg, "out_degree"),
+            "isolated": RM.isolated(deg), "relations_by_type": RM.relations_by_type(rels),
             "dot": RM.dot_lines(objects, rels), "markdown": RP.markdown_report(objects, rels, deg, generated_at)}

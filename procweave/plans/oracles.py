@@ -734,6 +734,10 @@ s AS (SELECT q.query_id, 'APP.N' || CAST(e.vec_id AS VARCHAR) AS node_id, {_L2}
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) AS rank FROM s WHERE sim >= -1.0)
 SELECT query_id, CAST(rank AS BIGINT) AS rank, node_id, round(sim, 4) AS similarity FROM r WHERE rank <= 3"""
 ORACLES["semantic_topk_indexed"] = ORACLES["semantic_topk_multi"]
+ORACLES["semantic_index_recall"] = """
+SELECT CAST(count(*) AS BIGINT) AS queries, CAST(count(*) * least(5, (SELECT count(*) FROM embeddings)) AS BIGINT) AS neighbours, true AS recall_reached
+FROM embeddings WHERE vec_id % 100 = 0
+"""
 ORACLES["pooled_embeddings"] = r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '([^ \t\n\x0B\f\r]+)', 1)) AS token FROM documents),
 h AS (SELECT doc_id, md5(token) AS m FROM t),
@@ -1031,3 +1035,53 @@ UNION ALL SELECT DISTINCT schema, 8, {_NL} || '### Relacionamentos por Tipo' ||
 UNION ALL SELECT schema, 9, '| ' || type || ' | ' || CAST(c AS VARCHAR) || ' |' FROM byt
 UNION ALL SELECT DISTINCT schema, 10, {_NL} || '## Relacionamentos' || {_NL} || {_NL} || '| Origem | Tipo | Destino |' || {_NL} || '|--------|------|---------|' FROM objs
 UNION ALL SELECT schema, 11, '| ' || source || ' | ' || type || ' | ' || target || ' |' FROM ordered"""
+
+
+# ---------------------------------------------------------------- whole answers beside the single ones above
+ORACLES["trace_field_all"] = f"""WITH RECURSIVE {CORPUS}, {CALL_EDGES}, {FIELD_USAGE}, {ACCESS_CATALOG}, traw AS ({_T_RAW}),
+ce AS (SELECT DISTINCT proc AS src, callee AS dst FROM calls),
+walk(root, node, depth) AS (SELECT proc, proc, 0 FROM corpus WHERE CAST(substr(proc, 2) AS BIGINT) % 100 = 0
+    UNION SELECT w.root, ce.dst, w.depth + 1 FROM walk w JOIN ce ON ce.src = w.node AND ce.dst <> ce.src),
+reach AS (SELECT root, node AS proc, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY ALL),
+hit AS (SELECT r.root, u.field, r.proc, r.depth, u.operation, u.transformation FROM reach r JOIN usage u ON u.proc = r.proc)
+SELECT root, field, 'step' AS kind, proc AS procedure, operation, depth, CAST(NULL AS VARCHAR) AS detail, CAST(NULL AS VARCHAR) AS column_info FROM hit
+UNION ALL SELECT DISTINCT r.root, c.col, 'source', r.proc, 'read_from_table', r.depth, c.tbl || ' (table)',
+    '{{"data_type":"' || CASE WHEN c.col = 'STATUS' THEN 'text' ELSE 'numeric' END || '"}}'
+  FROM reach r JOIN traw t ON t.proc = r.proc JOIN tcols c ON upper(split_part(c.tbl, '.', 2)) = t.v WHERE c.col IN (SELECT field FROM usage)
+UNION ALL SELECT DISTINCT root, field, 'source', proc, 'write', depth, NULL, NULL FROM hit WHERE operation = 'write'
+UNION ALL SELECT DISTINCT root, field, 'destination', proc, 'read', depth, NULL, NULL FROM hit WHERE operation = 'read'
+UNION ALL SELECT root, field, 'transformation', NULL, 'transform', min(depth), transformation, NULL FROM hit WHERE operation = 'transform' GROUP BY root, field, transformation"""
+ORACLES["field_sources_first"] = f"""WITH {CORPUS}, {FIELD_USAGE},
+u AS (SELECT DISTINCT field, proc FROM usage),
+f AS (SELECT field, proc FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY proc) AS k FROM u) WHERE k <= 10)
+SELECT DISTINCT usage.field, 'procedure' AS source_type, usage.proc AS name FROM usage JOIN f ON f.field = usage.field AND f.proc = usage.proc
+WHERE usage.operation = 'write'"""
+ORACLES["node_documents_full"] = f"""WITH {CORPUS}, {CATALOG},
+t AS (SELECT table_schema, table_name, CAST(substr(table_name, 2) AS BIGINT) AS k,
+             string_agg(column_name || ' ' || data_type, ', ' ORDER BY ordinal, column_name, data_type) AS columns FROM cols GROUP BY ALL),
+f AS (SELECT src, string_agg(dst, ', ' ORDER BY dst) AS dsts FROM (SELECT DISTINCT src, dst FROM fke) GROUP BY src),
+p AS (SELECT proc, CAST({SCORE_SQL} AS BIGINT) AS score, regexp_extract_all(code, {_PAR}, 1) AS params FROM corpus)
+SELECT t.table_schema || '.' || t.table_name AS node_id, 'table' AS node_type,
+       concat_ws(chr(10), 'Table: ' || t.table_name, 'Schema: ' || t.table_schema,
+                 CASE WHEN k % 3 = 0 THEN 'Purpose: Keeps ' || t.table_name END, 'Columns: ' || t.columns,
+                 'References: ' || f.dsts, CASE WHEN k % 4 = 1 THEN 'Logic: Filled once for ' || t.table_name END,
+                 CASE WHEN k % 11 <> 0 THEN 'Complexity: ' || CAST(k % 11 AS VARCHAR) END) AS text
+FROM t LEFT JOIN f ON f.src = t.table_schema || '.' || t.table_name
+UNION ALL
+SELECT 'UNKNOWN.' || proc, 'procedure',
+       concat_ws(chr(10), 'Procedure: ' || proc, 'Schema: UNKNOWN', CASE WHEN len(params) > 0 THEN 'Parameters: ' || array_to_string(params, ', ') END,
+                 CASE WHEN score <> 0 THEN 'Complexity: ' || CAST(score AS VARCHAR) END) FROM p"""
+ORACLES["llm_prompts_all"] = f"""WITH {CORPUS}, {CATALOG},
+ddl AS ({ORACLES["table_ddl"]}),
+names AS (SELECT table_schema, table_name, string_agg(column_name, ', ' ORDER BY ordinal, column_name) AS columns FROM cols GROUP BY ALL)
+SELECT 'business_logic' AS kind, proc AS name, 'Describe the business logic of procedure ' || proc || '.' || chr(10) || 'Code:' || chr(10) || code AS prompt FROM corpus
+UNION ALL SELECT 'dependencies', proc, 'List the procedures and tables used by this code as JSON.' || chr(10) || 'Code:' || chr(10) || code FROM corpus
+UNION ALL SELECT 'table_purpose', d.table_schema || '.' || d.table_name,
+    'Describe the purpose of table ' || d.table_schema || '.' || d.table_name || '.' || chr(10) || 'Columns: ' || n.columns || chr(10) || 'DDL:' || chr(10) || d.ddl
+FROM ddl d JOIN names n USING (table_schema, table_name)"""
+ORACLES["merged_dependencies"] = f"""WITH {CORPUS}, {CALL_EDGES}
+SELECT proc, callee FROM calls
+UNION SELECT proc, unnest(['MODEL_' || CAST(CAST(substr(proc, 2) AS BIGINT) % 13 AS VARCHAR), 'P1']) FROM corpus WHERE CAST(substr(proc, 2) AS BIGINT) % 2 = 0"""
+ORACLES["document_previews"] = f"""SELECT doc_id, CASE WHEN length(text) > {K.PREVIEW_CHARS} THEN substr(text, 1, {K.PREVIEW_CHARS}) || '...' ELSE text END AS preview
+FROM documents"""
+ORACLES["non_empty_procedures"] = "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 3"

@@ -649,11 +649,12 @@ def semantic_topk_indexed(spark, sf_dir):
 
 @register("semantic_index_recall")
 def semantic_index_recall(spark, sf_dir):
-    """Recall of the index's nearest cells against the exact answer, measured on the query set."""
+    """Recall of the index's nearest cells against the exact answer, measured on the query set: whether it reaches 0.9."""
     emb = _embeddings(spark, sf_dir)
     queries = emb.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     index = VI.CellIndex.build(emb, "vec_id")
-    return VI.recall(index.search(queries, 5), index.search(queries, 5, exact=True), "vec_id")
+    found = VI.recall(index.search(queries, 5), index.search(queries, 5, exact=True), "vec_id")
+    return found.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("recall_reached"))
 
 
 @register("pooled_embeddings")
@@ -1016,3 +1017,81 @@ def mermaid_table_hierarchy_lines(spark, sf_dir):
     levels = lv.select(F.col("node").alias("table"), "level")
     return RP.table_hierarchy_diagram(levels, _summary(spark, sf_dir), e).select(
         F.col("section").cast("bigint").alias("section"), "line")
+
+
+# ------------------------------------------------------------- whole answers beside the single ones above
+@register("trace_field_all")
+def trace_field_all(spark, sf_dir):
+    """Every field, traced from every procedure of the query set (numbers divisible by 100) over its whole
+    reach, with the columns of the accessed tables."""
+    an = A.shared(corpus_analysis(spark, sf_dir), A.GRAPH_COLUMNS + A.USAGE_COLUMNS)
+    columns = _access_catalog(spark, sf_dir).withColumn("data_type", F.when(F.upper("column_name") == "STATUS", "text").otherwise("numeric"))
+    tables = columns.select(F.concat_ws(".", "table_schema", "table_name").alias("id"), F.lit("table").alias("node_type"),
+                            F.col("table_schema").alias("schema"), F.col("table_name").alias("name")).distinct()
+    access = G.resolve_access(A.table_edges(an).select(F.col("proc").alias("src"), F.col("table_name").alias("dst")), tables)
+    edges = A.call_edges(an).select(F.col("proc").alias("src"), F.col("callee").alias("dst"))
+    starts = an.filter(F.substring("proc", 2, 20).cast("bigint") % 100 == 0).select(F.col("proc").alias("root"))
+    return LN.trace_fields(edges, A.field_usage(an), starts, None, access, columns)
+
+
+@register("field_sources_first")
+def field_sources_first(spark, sf_dir):
+    """Of every field the first ten procedures using it, by name, tested for writes."""
+    return LN.sources(_usage(spark, sf_dir), max_results=10, compat=True)
+
+
+@register("node_documents_full")
+def node_documents_full(spark, sf_dir):
+    """Documents of tables (purpose, columns, foreign keys, logic) and of procedures with their parameters."""
+    cols, keys, _ = _catalog(spark, sf_dir)
+    key = F.concat_ws(".", "table_schema", "table_name")
+    k = F.substring("table_name", 2, 20).cast("bigint")
+    tables = cols.select("table_schema", "table_name").distinct().select(
+        key.alias("id"), F.lit("table").alias("node_type"), F.col("table_schema").alias("schema"), F.col("table_name").alias("name"),
+        (k % 11).alias("complexity_score"), F.when(k % 3 == 0, F.concat(F.lit("Keeps "), "table_name")).alias("business_purpose"),
+        F.when(k % 4 == 1, F.concat(F.lit("Filled once for "), "table_name")).alias("business_logic"))
+    procs = corpus_analysis(spark, sf_dir).select("id", F.lit("procedure").alias("node_type"), "schema", F.col("short_name").alias("name"),
+                                                  F.col("complexity_score").cast("bigint").alias("complexity_score"), "parameters")
+    _, e = _fk_graph(spark, sf_dir)
+    columns = cols.select(key.alias("table"), "ordinal", "column_name", "data_type")
+    return V.node_document(tables.unionByName(procs, allowMissingColumns=True), e.select("src", "dst", F.lit("references").alias("edge_type")),
+                           columns).select("node_id", "node_type", "text")
+
+
+@register("llm_prompts_all")
+def llm_prompts_all(spark, sf_dir):
+    """The prompts of the other three templates: logic and dependencies of procedures, purpose of tables."""
+    procs = procedure_corpus(spark, sf_dir)
+    out = None
+    for kind in ("business_logic", "dependencies"):
+        part = procs.select(F.lit(kind).alias("kind"), "name", L.prompt(kind, name=F.col("name"), code=F.col("source_code")).alias("prompt"))
+        out = part if out is None else out.unionByName(part)
+    cols, keys, _ = _catalog(spark, sf_dir)
+    names = cols.groupBy("table_schema", "table_name").agg(F.sort_array(F.collect_list(F.struct("ordinal", "column_name"))).alias("c"))
+    ddl = C.table_ddl(C.assemble_columns(cols, keys), C.foreign_keys(keys)).join(names, ["table_schema", "table_name"])
+    full = F.concat_ws(".", "table_schema", "table_name")
+    text = L.prompt("table_purpose", name=full, ddl=F.col("ddl"), columns=F.transform("c", lambda x: x["column_name"]))
+    return out.unionByName(ddl.select(F.lit("table_purpose").alias("kind"), full.alias("name"), text.alias("prompt")))
+
+
+@register("merged_dependencies")
+def merged_dependencies(spark, sf_dir):
+    """Callees found by the patterns united with a model's list where it gave one (every other procedure)."""
+    an = corpus_analysis(spark, sf_dir)
+    n = F.substring("proc", 2, 20).cast("bigint")
+    answer = F.when(n % 2 == 0, F.array(F.concat(F.lit("MODEL_"), (n % 13).cast("string")), F.lit("P1")))
+    return an.select("proc", F.explode(L.union_dependencies(F.col("calls"), answer)).alias("callee"))
+
+
+@register("document_previews")
+def document_previews(spark, sf_dir):
+    """The preview shown beside each whole document."""
+    return S.read_table(spark, sf_dir, "documents").select("doc_id", V.preview("text").alias("preview"))
+
+
+@register("non_empty_procedures")
+def non_empty_procedures(spark, sf_dir):
+    """procedures whose text has more than white space."""
+    o = S.read_table(spark, sf_dir, "orders")
+    text = F.when(F.col("o_orderkey") % 4 == 0, "").when(F.col("o_orderkey") % 4 == 1, " \n\t ").when(F.col("o_orderkey") % 4 == 2, F.lit(None)).otherwise("x")
+    return A.non_empty(o.select("o_orderkey", text.alias("source_code"))).select("o_orderkey")

@@ -51,8 +51,11 @@ class Dialect:
 POSTGRESQL = Dialect(
     name="postgresql", driver="org.postgresql.Driver", default_schema_dropped="public",
     procedures=(
-        "SELECT n.nspname AS schema, p.proname AS name, pg_get_functiondef(p.oid) AS source_code "
+        # the definition, else the routine's own text; a specific name is the name with the oid
+        "SELECT n.nspname AS schema, p.proname AS name, "
+        "COALESCE(NULLIF(pg_get_functiondef(p.oid), ''), r.routine_definition) AS source_code "
         "FROM pg_proc p JOIN pg_namespace n ON n.oid = p.pronamespace "
+        "LEFT JOIN information_schema.routines r ON r.specific_schema = n.nspname AND r.specific_name = p.proname || '_' || p.oid "
         "WHERE p.prokind = 'p' AND n.nspname NOT IN ('pg_catalog', 'information_schema') AND n.nspname {schema_cond}"),
     columns=(
         "SELECT table_schema, table_name, column_name, ordinal_position AS ordinal, data_type, "
@@ -80,6 +83,11 @@ POSTGRESQL = Dialect(
     stats=(
         "SELECT schemaname AS table_schema, relname AS table_name, n_live_tup AS row_count, "
         "pg_size_pretty(pg_total_relation_size(relid)) AS table_size FROM pg_stat_user_tables WHERE schemaname {schema_cond}"),
+    extra={
+        # Every schema, with tables or not
+        "schemas": ("SELECT schema_name AS table_schema FROM information_schema.schemata "
+                    "WHERE schema_name NOT IN ('pg_catalog', 'information_schema', 'pg_toast') AND schema_name {schema_cond}"),
+    },
 )
 
 ORACLE = Dialect(
@@ -194,7 +202,7 @@ MYSQL = Dialect(
     name="mysql", driver="com.mysql.cj.jdbc.Driver", default_schema_dropped=None, any_schema="= DATABASE()",
     procedures=("SELECT ROUTINE_SCHEMA AS `schema`, ROUTINE_NAME AS name, ROUTINE_DEFINITION AS source_code "
                 "FROM information_schema.ROUTINES WHERE ROUTINE_TYPE = 'PROCEDURE' AND ROUTINE_SCHEMA {schema_cond}"),
-    columns=POSTGRESQL.columns.replace("AND table_schema NOT IN ('pg_catalog', 'information_schema') ", ""),
+    columns=POSTGRESQL.columns.replace("table_schema NOT IN ('pg_catalog', 'information_schema') AND ", ""),
     keys=(
         "SELECT tc.CONSTRAINT_NAME AS constraint_name, tc.CONSTRAINT_TYPE AS constraint_type, tc.TABLE_SCHEMA AS table_schema, "
         "tc.TABLE_NAME AS table_name, ku.COLUMN_NAME AS column_name, ku.ORDINAL_POSITION AS ordinal, "
@@ -314,3 +322,26 @@ def find_in_database(procs: DataFrame, name: str) -> DataFrame:
 def schemas_with_tables(tables: DataFrame) -> DataFrame:
     """Schemas that hold tables, ordered (for the 'schema not found' message)."""
     return tables.select("table_schema").distinct().orderBy("table_schema")
+
+
+def schema_overview(tables: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Every schema as ``(table_schema, n_tables)``, those with tables first, each by name."""
+    n = tables.groupBy("table_schema").agg(F.count(F.lit(1)).cast("bigint").alias("n_tables"))
+    return (schemas.select("table_schema").distinct().join(n, "table_schema", "full")
+            .select("table_schema", F.coalesce("n_tables", F.lit(0)).cast("bigint").alias("n_tables"))
+            .orderBy(F.col("n_tables") == 0, "table_schema"))
+
+
+def missing_schema_message(tables: DataFrame, schemas: DataFrame, wanted: str, most: int = 1000) -> str:
+    """The message when a schema has no tables: what there is instead (at most ``most`` names), and whether it exists."""
+    seen = schema_overview(tables, schemas)
+    filled = [r["table_schema"] for r in seen.where("n_tables > 0").limit(most).collect()]
+    every = [r["table_schema"] for r in seen.limit(most).collect()]
+    text = f"no tables found in schema '{wanted}'"
+    if filled:
+        text += f"; schemas with tables: {', '.join(filled)}"
+    elif every:
+        text += f"; schemas without tables: {', '.join(every)}"
+    else:
+        text += "; the database has no schemas"
+    return text if not seen.where(F.col("table_schema") == wanted).isEmpty() else f"{text}; schema '{wanted}' does not exist"
