@@ -10,24 +10,30 @@ anchors at equal places, and anchors lie about 35 bytes apart.
 
 1. Per document block the distinct anchor hashes are sent to hash shards; a
    shard answers which of a block's anchors another block has too.
-2. Blocks compare their own strings locally (the first stays), and send out the
-   stretch of strings around each anchor that other blocks have, one copy of
-   each distinct string per block.
+2. Blocks sort their own candidate strings and compare neighbours (the first of
+   equal ones stays), and send out the stretch of strings around each anchor that
+   other blocks have, one copy of each distinct string per block.
 3. Sampled splitters over the gram's leading bytes range-partition these
    suffixes; a leading value that fills several ranges (a passage that a large
    part of the documents share) is dealt over all of them. Each bucket sorts its
-   suffixes by multikey quicksort (eight bytes a key), and finds, within equal
-   grams, later occurrences of each string, compared byte by byte.
+   suffixes by multikey quicksort (eight bytes a key), the strings of equal
+   grams over all 100 bytes, and compares neighbours in that order.
 4. What was dealt over several buckets is compared across their boundaries: the
-   strings still unmatched meet by hash, and all but the earliest are later ones.
+   strings still unmatched meet by their bytes, and all but the earliest are later.
 5. The runs go back to their blocks, where the remaining bytes are put together.
 
+No byte is removed on a hash: anchor hashes only choose what is compared, so a
+collision compares a string too many. Blocks, shards and buckets are as many as the
+counted bytes ask for (``BLOCK_BYTES``, ``SHARD_BYTES``, ``BUCKET_BYTES``), so none of
+their tasks grows with the input.
+
 Blocks are dealt by a hash of id and text, so no block, shard or bucket grows
 with the copies of one text: identical strings are sent once per block.
 
 Defined results: null text is empty; texts under 100 bytes lose nothing; rows of
 equal id and text are one document (each such row gets its result); rows of
-equal id and different text are ordered by text hash; a null id comes first.
+equal id and different text are ordered by text hash; a null id comes first; ids
+may be of any type that Spark and Arrow order alike (numbers, strings, dates).
 Texts of any length are judged whole, in segments. Extra columns may be carried.
 """
 
@@ -45,9 +51,13 @@ from .common import chunks, delete_staged, packed, stage, unpack
 
 SPAN = 100
 GRAM = 32
-#: Rows of a document block, and bytes hashed at a time.
+#: Rows and bytes of a document block (about; one document at least), and bytes hashed at a time.
 BLOCK_ROWS = 1000
+BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 20
+#: Bytes of text whose anchors one shard compares, and whose stretches one bucket sorts (about).
+SHARD_BYTES = 256 << 20
+BUCKET_BYTES = 16 << 20
 #: Every so many anchors one is a sample for the splitters.
 SAMPLE = 64
 
@@ -67,7 +77,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _levels(buf: np.ndarray, upto: int) -> dict[int, np.ndarray]:
-    """Hashes of all substrings of lengths 1, 2, 4, ... ``upto``."""
+    """Hashes of all substrings of the length ``upto``, put together from halves."""
     out = {1: _TABLE[buf]}
     size, k = 1, 0
     while size < upto:
@@ -77,8 +87,7 @@ def _levels(buf: np.ndarray, upto: int) -> dict[int, np.ndarray]:
         joined += h[size:] * _MUL[k + 1]
         size, k = size * 2, k + 2
         out[size] = joined
-        if size // 2 not in (4, 32):  # lengths that later hashes are put together from
-            del out[size // 2]
+        del out[size // 2]
     return out
 
 
@@ -96,13 +105,6 @@ def _anchors(levels: dict[int, np.ndarray], span: int) -> tuple[np.ndarray, np.n
     return grams, (key & np.uint64((1 << 21) - 1)).astype(np.int64)
 
 
-def _string_hash(levels: dict[int, np.ndarray]) -> np.ndarray:
-    """Hash of the 100 bytes from each position: of 64, 32 and 4 bytes."""
-    h64, h32, h4 = levels[64], levels[32], levels[4]
-    n = len(h4) - 96
-    return _mix(h64[:n] * _MUL[10] + h32[64:64 + n] * _MUL[11] + h4[96:96 + n] * _MUL[12])
-
-
 def _valid_starts(offsets: np.ndarray, n: int, span: int) -> np.ndarray:
     """Whether the string from each start lies in one document; ``offsets``: document bounds in the buffer."""
     ok = np.ones(n, bool)
@@ -129,21 +131,44 @@ def _lead(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (word ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, new group starts) of rows of 64-bit keys: sort by one key, then only ties by the next."""
-    order = np.argsort(words[:, 0])
-    first = words[order, 0]
-    opens = np.concatenate([[True], first[1:] != first[:-1]]) if len(order) else np.zeros(0, bool)
-    for depth in range(1, words.shape[1]):
-        group = np.cumsum(opens) - 1
-        tied = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else group
+def multikey_sort(words) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new group starts) of rows of 64-bit keys: sort by one key, then only ties by the next.
+
+    ``words`` is a matrix, or (rows, keys, function) where the function gives the keys of one depth for given rows
+    (None: all); a depth is looked up for rows still tied only, and groups whose rows all agree there are not sorted.
+    """
+    if isinstance(words, np.ndarray):
+        matrix = words
+        words = len(matrix), matrix.shape[1], lambda depth, rows: matrix[:, depth] if rows is None else matrix[rows, depth]
+    n, depths, key = words
+    first = key(0, None)
+    order = np.argsort(first)
+    first = first[order]
+    opens = np.concatenate([[True], first[1:] != first[:-1]]) if n else np.zeros(0, bool)
+    tied = None
+    for depth in range(1, depths):
+        if tied is None or depth in (2, 4, 8):  # rows whose group has others
+            single = opens & np.append(opens[1:], True)
+            tied = np.flatnonzero(~single)
         if not len(tied):
             break
         rows = order[tied]
-        rows = rows[np.lexsort((words[rows, depth], group[tied]))]
-        order[tied] = rows
-        later = tied[~opens[tied]]
-        opens[later] = words[order[later], depth] != words[order[later - 1], depth]
+        word = key(depth, rows)
+        head = opens[tied]
+        differs = word[1:] != word[:-1]
+        differs &= ~head[1:]
+        if not differs.any():
+            continue
+        group = np.cumsum(head) - 1
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[1:][differs]] = True
+        part = np.flatnonzero(mixed[group])
+        g, w = group[part], word[part]
+        ranked = np.lexsort((w, g))
+        order[tied[part]] = rows[part][ranked]
+        w = w[ranked]
+        fresh = np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])])
+        opens[tied[part]] = fresh
     return order, opens
 
 
@@ -208,22 +233,22 @@ def compare_block(texts: list[bytes], shared: np.ndarray, span: int):
     _, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
     elsewhere = np.isin(own, shared)
     local = counts[inverse] > 1
-    starts, hashes, owners = [], [], []
+    starts, owners = [], []
     number = np.cumsum(np.bincount(at, minlength=len(buf))) - 1  # of the anchor at or before each position
     for (a, seg), anchor in zip(_segments(buf, span), placed):
         lo, hi = np.searchsorted(at, (a, a + len(seg)))
         if not (elsewhere[lo:hi] | local[lo:hi]).any():
             continue
-        levels = _levels(seg, 64)
         owner = number[a + anchor]
         take = np.flatnonzero(valid[a:a + len(anchor)] & (elsewhere | local)[np.maximum(owner, 0)])
         starts.append(a + take)
-        hashes.append(_string_hash(levels)[take])
         owners.append(owner[take])
     if not starts:
         return (empty,) * 3, (empty,) * 4, buf, offsets
-    starts, hashes, owners = map(np.concatenate, (starts, hashes, owners))
-    later = _later(buf, starts, hashes, span)
+    starts, owners = map(np.concatenate, (starts, owners))
+    later = np.zeros(len(starts), bool)
+    mine = np.flatnonzero(local[owners])  # a string whose gram the block has once is there once
+    later[mine] = _later(buf, starts[mine], span)
     doc = lambda p: np.searchsorted(offsets, p, side="right") - 1
     removed = _doc_runs(starts[later], offsets, span)
     keep = ~later & elsewhere[owners]
@@ -247,46 +272,31 @@ def _doc_runs(starts: np.ndarray, offsets: np.ndarray, span: int):
     return doc, lo - offsets[doc], hi - offsets[doc]
 
 
-def _later(buf: np.ndarray, starts: np.ndarray, hashes: np.ndarray, span: int) -> np.ndarray:
-    """Of strings listed in order: whether an equal one is listed before; equal hashes are checked byte by byte."""
-    order = np.argsort(hashes)
-    ranked = hashes[order]
-    opens = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(order) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([opens, [len(order)]]))
-    several = np.repeat(sizes > 1, sizes)
+def _later(buf: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """Of strings listed in order: whether an equal one is listed before, by sorting them and comparing neighbours."""
     later = np.zeros(len(starts), bool)
-    check = order[several]
-    if not len(check):
+    if len(starts) < 2:
         return later
-    # the first of each group in list order heads it
-    sizes = sizes[sizes > 1]
-    heads = np.repeat(np.minimum.reduceat(check, np.cumsum(sizes) - sizes), sizes)
-    later[check] = check != heads
-    check, heads = check[check != heads], heads[check != heads]
-    word = np.ndarray((len(buf) - 7,), "<u8", buf.tobytes() if not buf.flags["C_CONTIGUOUS"] else buf, strides=(1,))
-    equal = np.ones(len(check), bool)
-    for i in [*range(0, span - 8, 8), span - 8]:
-        equal &= word[starts[check] + i] == word[starts[heads] + i]
-    if not equal.all():  # a hash collision: settle its strings by their bytes
-        for h in np.unique(hashes[check[~equal]]):
-            seen: set[bytes] = set()
-            for i in np.flatnonzero(hashes == h):
-                text = buf[starts[i]:starts[i] + span].tobytes()
-                later[i] = text in seen
-                seen.add(text)
+    word = np.ndarray((len(buf) - 7,), ">i8", buf, strides=(1,))  # eight bytes from every place; any order groups equals
+    depths = [*range(0, span - 8, 8), span - 8]
+    order, opens = multikey_sort((len(starts), len(depths), lambda d, rows: word[(starts if rows is None else starts[rows]) + depths[d]].astype(np.int64)))
+    heads = np.flatnonzero(opens)
+    least = np.minimum.reduceat(order, heads)
+    later[:] = True
+    later[least] = False
     return later
 
 
 def _blocked(docs: DataFrame, key: str, text: str, blocks: int, carry: tuple[str, ...] = ()) -> DataFrame:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     hashed = F.xxhash64(F.col(key), body)
-    return docs.select(F.pmod(hashed, F.lit(blocks)).cast("long").alias("block"), F.col(key).cast("long").alias("doc"),
+    return docs.select(F.pmod(hashed, F.lit(blocks)).cast("long").alias("block"), F.col(key).alias("doc"),
                        F.xxhash64(body).alias("row"), body.alias("body"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
 
 
 def _in_order(table: pa.Table) -> tuple[list, list, list[bytes]]:
     """(doc, row, bytes) of a block's distinct documents, in order; null ids first."""
-    rows = {(d is not None, d or 0, r): t for d, r, t in zip(
+    rows = {(d is not None, d, r): t for d, r, t in zip(
         table.column("doc").to_pylist(), table.column("row").to_pylist(), unpack(table.column("body").to_pylist()))}
     keys = sorted(rows)
     return [k[1] if k[0] else None for k in keys], [k[2] for k in keys], [rows[k] for k in keys]
@@ -297,9 +307,12 @@ def removed_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     if span != SPAN:
         raise ValueError("strings of 100 bytes are supported")
     spark = docs.sparkSession
-    blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_rows, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()
+    blocks = max(1, -(-n_rows // BLOCK_ROWS), -(-n_bytes // BLOCK_BYTES))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(partitions, -(-n_bytes // SHARD_BYTES))
     data = _blocked(docs, key, text, blocks)
+    kind = data.schema["doc"].dataType.simpleString()
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -353,10 +366,10 @@ def removed_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
 
     common = sent.select("shard", "hashes", "blocks").groupBy("shard").applyInArrow(answer, "block long, hashes binary")
     # one row of splitters, whatever the input's size
-    buckets = 4 * max(2, shards)  # a task takes its buckets one by one
+    buckets = max(4 * max(2, partitions), -(-n_bytes // BUCKET_BYTES))  # a task takes its buckets one by one
     points = [i / buckets for i in range(1, buckets)]
     found = (sent.select(F.explode("leads").alias("lead"))
-             .agg(F.percentile_approx("lead", F.array(*[F.lit(p) for p in points]), F.lit(20000)).alias("s")).first()["s"])
+             .agg(F.percentile_approx("lead", points, max(20_000, 4 * buckets)).alias("s")).first()["s"])
     splitters = np.array(found or [], np.int64)
 
     def compare(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -374,7 +387,7 @@ def removed_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
         return pa.table({
             "bucket": pa.array(np.concatenate([number % buckets + np.zeros(n, np.int64), deal]).astype(np.int64)),
             "block": pa.array(np.full(n + m, number, np.int64)),
-            "doc": pa.array([ids[d] for d in rd] + [ids[d] for d in sd], pa.int64()),
+            "doc": pa.array([ids[d] for d in rd] + [ids[d] for d in sd], block.schema.field("doc").type),
             "row": pa.array(np.concatenate([own[rd], own[sd]]).astype(np.int64)),
             "lo": pa.array(np.concatenate([lo, start - offsets[sd]]).astype(np.int64)),
             "hi": pa.array(np.concatenate([hi, start - offsets[sd] + count - 1 + span]).astype(np.int64)),
@@ -382,23 +395,21 @@ def removed_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
             "dealt": pa.array(np.concatenate([np.zeros(n, bool), several])),
             "body": pa.array([b""] * n + [raw[s:s + c - 1 + span] for s, c in zip(start.tolist(), count.tolist())], pa.binary())})
 
-    fields = "bucket long, block long, doc long, row long, lo long, hi long, anchor int, dealt boolean, body binary"
+    fields = f"bucket long, block long, doc {kind}, row long, lo long, hi long, anchor int, dealt boolean, body binary"
     suffixes = packed(data, "body").groupBy("block").cogroup(common.groupBy("block")).applyInArrow(compare, fields)
 
     def sort_bucket(table: pa.Table) -> pa.Table:
         anchor = table.column("anchor").to_numpy()
         local = anchor < 0
         names = ["block", "doc", "row", "lo", "hi"]
-        done = table.select(names).filter(pa.array(local)).append_column("hash", pa.nulls(int(local.sum()), pa.int64()))
+        done = table.select(names).filter(pa.array(local)).append_column("string", pa.nulls(int(local.sum()), pa.binary()))
         part = table.filter(pa.array(~local))
         n = len(part)
         if not n:
             return done
         # in document order, so that the first of equal strings is the earliest
-        ids = part.column("doc")
-        none = pa.compute.is_null(ids).to_numpy(zero_copy_only=False)
-        doc, row = pa.compute.fill_null(ids, 0).to_numpy(), part.column("row").to_numpy()
-        part = part.take(pa.array(np.lexsort((part.column("lo").to_numpy(), row, doc, ~none))))
+        doc = pa.compute.rank(part.column("doc"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        part = part.take(pa.array(np.lexsort((part.column("lo").to_numpy(), part.column("row").to_numpy(), doc))))
         buf, offsets = _concat(part.column("body").to_pylist())
         anchor = part.column("anchor").to_numpy() + offsets[:-1]
         words = np.stack([_lead(buf, anchor + 8 * i) for i in range(GRAM // 8)], axis=1)
@@ -407,18 +418,12 @@ def removed_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
         grams[order] = np.cumsum(opens) - 1
         several = np.bincount(grams)[grams] > 1
         dealt = part.column("dealt").to_numpy(zero_copy_only=False)
-        starts, hashes = [], []
         valid = _valid_starts(offsets, len(buf), span)
         valid &= np.repeat(several | dealt, np.diff(offsets))  # a gram that nothing else here has needs no comparison
-        for a, seg in _segments(buf, span):
-            take = np.flatnonzero(valid[a:a + len(seg) - span + 1])
-            if len(take):
-                starts.append(a + take)
-                hashes.append(_string_hash(_levels(seg, 64))[take])
-        if not starts:
+        starts = np.flatnonzero(valid)
+        if not len(starts):
             return done
-        starts, hashes = np.concatenate(starts), np.concatenate(hashes)
-        later = _later(buf, starts, hashes, span)
+        later = _later(buf, starts, span)
         d, lo, hi = _doc_runs(starts[later], offsets, span)
         open_ = ~later & dealt[np.searchsorted(offsets, starts, side="right") - 1]
         p = starts[open_]
@@ -428,19 +433,18 @@ def removed_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
         out = part.select(["block", "doc", "row"]).take(which)
         begin = np.concatenate([base[d] + lo, base[pd] + p - offsets[pd]])
         end = np.concatenate([base[d] + hi, base[pd] + p - offsets[pd] + span])
-        mark = pa.array(np.concatenate([np.zeros(len(d), np.int64), hashes[open_].view(np.int64)]),
-                        mask=np.concatenate([np.ones(len(d), bool), np.zeros(len(pd), bool)]))
-        out = (out.append_column("lo", pa.array(begin)).append_column("hi", pa.array(end)).append_column("hash", mark))
+        mark = pa.array([None] * len(d) + [buf[x:x + span].tobytes() for x in p.tolist()], pa.binary())
+        out = (out.append_column("lo", pa.array(begin)).append_column("hi", pa.array(end)).append_column("string", mark))
         return pa.concat_tables([done, out.cast(done.schema)])
 
     sorted_ = stage(suffixes.groupBy("bucket").applyInArrow(
-        sort_bucket, "block long, doc long, row long, lo long, hi long, hash long"), "suffix-runs")
+        sort_bucket, f"block long, doc {kind}, row long, lo long, hi long, string binary"), "suffix-runs")
     delete_staged(sent)
-    inside = sorted_.where("hash is null").drop("hash")
-    across = sorted_.where("hash is not null")
+    inside = sorted_.where("string is null").drop("string")
+    across = sorted_.where("string is not null")
     place = F.struct(F.col("doc").isNotNull().alias("some"), "doc", "row", "lo")
-    heads = across.groupBy("hash").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "head")
-    later = across.withColumn("place", place).join(heads, "hash").where("place <> head").select(inside.columns)
+    heads = across.groupBy("string").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("string", "head")
+    later = across.withColumn("place", place).join(heads, "string").where("NOT place <=> head").select(inside.columns)
     return inside.unionByName(later), blocks
 
 
@@ -451,7 +455,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
     ``kept_text`` is the remaining bytes as text; a character cut by a run is left out of it.
     """
     runs, blocks = removed_runs(docs, key, text, span)
-    data = _blocked(docs.withColumn("_llm_key", F.col(key)), key, text, blocks, ("_llm_key", *carry))
+    data = _blocked(docs, key, text, blocks, carry)
     carried = [f for f in data.schema.fields if f.name.startswith("c") and f.name[1:].isdigit()]
 
     names = [f.name for f in carried]
@@ -483,10 +487,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
         if with_text:
             made["kept_text"] = pa.array(cols[4], pa.string())
             made["spans"] = pa.array(cols[5], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
-        return pa.table({**{c: block.column(c) for c in names}, **made})
+        return pa.table({**{c: block.column(c) for c in ["doc", *names]}, **made})
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [data.schema["doc"], *carried]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept_text string, spans array<struct<lo: long, hi: long>>" if with_text else ""
     out = packed(data, "body").groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(rebuild, schema)
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text", "spans"] * with_text]
-    return out.select(F.col("c0").alias(key), *made, *[F.col(f"c{i + 1}").alias(c) for i, c in enumerate(carry)])
+    return out.select(F.col("doc").alias(key), *made, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])

@@ -144,6 +144,41 @@ def test_repeats_edges(spark):
     assert suffix_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def test_equal_anchor_hashes_remove_nothing_more(spark, monkeypatch):
+    """Every gram hashes alike: all strings are compared, and only equal bytes go, dealt strings too."""
+    monkeypatch.setattr(suffix_dedup, "_mix", lambda x: x * np.uint64(0) + np.uint64(1 << 40))
+    monkeypatch.setattr(suffix_dedup, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    rows = suffix_rows()[:35]
+    want = brute.repeats(rows)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(docs(spark, rows)).collect()}
+    assert got == {i: w[:4] for i, w in want.items()}
+
+
+def test_ids_of_any_type(spark):
+    rows = suffix_rows()[:30]
+    want = brute.repeats([(f"id{i:04d}", t) for i, t in rows])
+    frame = spark.createDataFrame([(f"id{i:04d}", t, 1, "own") for i, t in rows], "doc_id string, text string, doc int, _llm_key string").repartition(3)
+    got = {r.doc_id: r for r in suffix_dedup.dedup(frame, with_text=True, carry=("doc", "_llm_key")).collect()}
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == {i: w[:4] for i, w in want.items()}
+    assert {(r.doc, r._llm_key) for r in got.values()} == {(1, "own")}
+
+
+def test_group_sizes_follow_the_bytes(spark, monkeypatch):
+    rows = [(i, words(random.Random(i), 300)) for i in range(20)]
+    size = sum(len(t) for _, t in rows)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", size // 5)
+    assert suffix_dedup.removed_runs(docs(spark, rows))[1] == 6 - (size % (size // 5) == 0)
+
+
+def test_multikey_sort_of_looked_up_keys():
+    rng = np.random.default_rng(5)
+    w = rng.integers(0, 2, (700, 9))
+    w[300:] = w[:400]
+    order, opens = suffix_dedup.multikey_sort((700, 9, lambda d, rows: w[:, d] if rows is None else w[rows, d]))
+    assert [tuple(x) for x in w[order]] == sorted(map(tuple, w)) and opens.sum() == len(set(map(tuple, w)))
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(3)
     w = rng.integers(0, 3, (500, 4))
