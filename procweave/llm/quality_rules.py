@@ -13,14 +13,14 @@ level ``delta / families``; testing stops at the first failure (fixed-sequence
 testing), which divides neither risk nor delta by measures or steps.
 
 Families (Bonferroni) are the strata with enough good holdout texts to pass at
-``delta`` when none is rejected (299 for 0.01 and 0.05) and, if there is more
-than one stratum, the pool of all of them. A stratum too small to pass on its
-own uses the steps the pool admits, as far as they reject at most ``risk`` of
-its own good holdout texts (it needs one at least). So with probability
-``1 - delta`` the learned rules falsely reject at most ``risk`` of the good
-texts in every stratum tested on its own, and the small strata's rules at most
-``risk`` of the good texts of all strata taken together; for a small stratum
-by itself nothing is guaranteed. Among admissible steps the one that rejects
+``delta`` when none is rejected (299 for 0.01 and 0.05) and, if there are others,
+those others taken together as one more stratum. A stratum that is too small to
+pass on its own at the level of a family belongs to the others too; it uses the steps
+that their joint holdout admits, as far as they reject at most ``risk`` of its own good
+holdout texts (it needs one at least). Labels of a stratum tested on its own lend the
+others nothing. So with probability ``1 - delta`` the learned rules falsely reject at
+most ``risk`` of the good texts in every stratum: each large one, and the others taken
+as one. A stratum without proof keeps the base rule. Among admissible steps the one that rejects
 most bad minus good holdout texts of the stratum is used (the most lenient of
 equals), and none if that is not positive.
 
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import small, stage
+from .common import free_name, small, stage
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
@@ -185,26 +185,28 @@ def choose_cutoffs(counts: DataFrame, labels: DataFrame, key: str = "doc_id", go
         sum([(F.col(f"m_{m}") <= c).cast("int") for c in grid], F.lit(0))), F.lit(last + 1)) for m, grid in grids.items()])
     cells = (held.select("_stratum", "_good", first.alias("step")).groupBy("_stratum", "step")
              .agg(F.sum((F.col("_good") == 1).cast("long")).alias("good"), F.sum((F.col("_good") == 0).cast("long")).alias("bad")))
-    pool = cells.select(F.lit(True).alias("pool"), F.lit(None).cast("string").alias("_stratum"), "step", "good", "bad")
-    cells = cells.select(F.lit(False).alias("pool"), "_stratum", "step", "good", "bad").unionByName(pool)
     # every step is tested, also those that no labelled text lies between
-    none = cells.select("pool", "_stratum").distinct().select(
-        "pool", "_stratum", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("step"), F.lit(0).alias("good"), F.lit(0).alias("bad"))
-    whole = Window.partitionBy("pool", "_stratum")
+    none = cells.select("_stratum").distinct().select(
+        "_stratum", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("step"), F.lit(0).alias("good"), F.lit(0).alias("bad"))
+    whole = Window.partitionBy("_stratum")
     until = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    tested = (cells.unionByName(none).groupBy("pool", "_stratum", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    tested = (cells.unionByName(none).groupBy("_stratum", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
               .withColumns({"n": F.sum("good").over(whole), "good": F.sum("good").over(until), "bad": F.sum("bad").over(until)})
               .where(F.col("step") <= last)
               .withColumn("p", binomial_tail(F.col("good").cast("double"), F.col("n").cast("double"), risk))
               .withColumn("worst", F.max("p").over(until)).withColumn("least", F.pow(F.lit(1 - risk), F.col("n"))))
     tested = stage(tested, "quality-steps")
-    strata, alone = tested.where("not pool and step = 1").agg(
+    strata, alone = tested.where("step = 1").agg(
         F.count(F.lit(1)), F.coalesce(F.sum((F.col("least") <= delta).cast("long")), F.lit(0))).first()
-    level = delta / max(1, alone + (strata > 1))
-    pooled = tested.where("pool").where(F.col("worst") <= level).agg(F.max("step")).first()[0] or 0
+    level = delta / max(1, alone + (strata > alone))
+    if strata == alone and not tested.where(F.col("least") > level).isEmpty():  # some pass at delta, not at a family's level
+        level = delta / (alone + 1)
+    joint = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # a row per step
+    pooled = (tested.where(F.col("least") > level).groupBy("step").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+              .withColumn("p", binomial_tail(F.col("good").cast("double"), F.col("n").cast("double"), risk))
+              .withColumn("worst", F.max("p").over(joint)).where(F.col("worst") <= level).agg(F.max("step")).first()[0] or 0)
     own_rate = (F.col("n") > 0) & (F.col("good") <= risk * F.col("n"))
-    passed = tested.where("not pool").where(F.when(F.col("least") <= level, F.col("worst") <= level)
-                                            .otherwise((F.col("step") <= pooled) & own_rate))
+    passed = tested.where(F.when(F.col("least") <= level, F.col("worst") <= level).otherwise((F.col("step") <= pooled) & own_rate))
     gain = F.col("bad") - F.col("good")
     best = (passed.where(gain > 0).groupBy("_stratum")
             .agg(F.max(F.struct(gain.alias("gain"), (-F.col("step")).alias("s"))).alias("best")))
@@ -243,8 +245,9 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **options) -> DataFrame:
     """``docs`` without the rows that the rules reject."""
     # rows of one id are judged by their own text: the verdicts are joined on id and content
-    marked = docs.withColumn("_llm_hash", F.xxhash64(text, stratum))
-    verdicts = judge(marked, labels, key, text, stratum, carry=("_llm_hash",), **options).where("kept")
-    verdicts = verdicts.select(F.col(key).alias("_llm_key"), F.col("_llm_hash").alias("_llm_h")).distinct()
-    return (marked.join(verdicts, marked[key].eqNullSafe(verdicts["_llm_key"]) & (marked["_llm_hash"] == verdicts["_llm_h"]), "left_semi")
-            .select(docs.columns))
+    mark = free_name(docs)
+    marked = docs.withColumn(mark, F.xxhash64(text, stratum))
+    verdicts = judge(marked, labels, key, text, stratum, carry=(mark,), **options).where("kept")
+    verdicts = verdicts.select(F.col(key).alias("k"), F.col(mark).alias("h")).distinct()
+    return (marked.join(verdicts, marked[key].eqNullSafe(verdicts["k"]) & (marked[mark] == verdicts["h"]), "left_semi")
+            .select(*[marked[c] for c in docs.columns]))

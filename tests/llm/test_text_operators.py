@@ -154,18 +154,22 @@ def test_cutoffs_are_risk_controlled(spark):
     assert few.where("not kept").count() == 0  # too few labels for the bound
 
 
-def test_cutoffs_of_small_languages(spark):
-    """Some hundred labels of a language admit its cutoffs; a smaller one takes what the pool admits and its own good texts allow."""
+@pytest.mark.parametrize(("es", "admitted"), [(100, False), (400, True)])
+def test_cutoffs_of_small_languages(spark, es, admitted):
+    """Some hundred labels of a language admit its cutoffs; smaller ones are one stratum together, to which large ones lend nothing."""
     words = " ".join(f"w{i}" for i in range(30))
     junk = " ".join(f"w{i}%%%" for i in range(30))
-    kinds = [("fr", words, 1, 480), ("fr", junk, 0, 40), ("es", words, 1, 100), ("es", junk, 0, 20), ("it", junk, 1, 1), ("it", junk, 0, 9),
-             ("pt", junk, 0, 9), (None, words, 1, 5), (None, junk, 0, 5)]
+    kinds = [("fr", words, 1, 900), ("fr", junk, 0, 40), ("es", words, 1, es), ("es", junk, 0, 20), ("it", junk, 1, 1), ("it", junk, 0, 9),
+             ("pt", junk, 0, 9), (None, words, 1, 250), (None, junk, 0, 5)]
     rows = [(text, lang, good) for lang, text, good, n in kinds for _ in range(n)]
     labels = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "doc_id long, quality int")
     got = {r.doc_id: r.kept for r in quality_rules.judge(docs(spark, [(i, r[0], r[1]) for i, r in enumerate(rows)]), labels).collect()}
+    n_small = es + 250 + 1  # of it's good texts the rule rejects one
+    level = 0.05 / (2 + (es >= 299))
+    assert (sum(math.comb(n_small, k) * 0.01 ** k * 0.99 ** (n_small - k) for k in range(2)) <= level) == admitted
     for i, (text, lang, _) in enumerate(rows):
         # it: the rule rejects its good texts; pt: no good text
-        assert got[i] == (text == words or lang in ("it", "pt"))
+        assert got[i] == (text == words or lang in ("it", "pt") or (lang != "fr" and not admitted)), (i, lang)
     steps = quality_rules.sequence()
     assert len(steps) == sum(map(len, quality_rules.GRIDS.values()))
     assert all([c for name, c in steps if name == m] == list(grid) for m, grid in quality_rules.GRIDS.items())
