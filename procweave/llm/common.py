@@ -63,6 +63,15 @@ def delete_staged(df: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+def free_name(df: DataFrame, base: str = "_llm_mark") -> str:
+    """A column name that ``df`` does not have (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    name = base
+    while name in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` marked for a broadcast join if a count proves it to have at most ``rows`` rows; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, free_name
 
 Q = 8
 RATE = 0.08
@@ -293,8 +293,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    marked = docs.withColumn("_llm_hash", F.xxhash64(F.col(text)))
-    leaks = (find_leaks(marked, benchmark, key, text, carry=("_llm_hash",), **options)
-             .select(F.col(key).alias("_k"), F.col("_llm_hash").alias("_h")).distinct())
-    return (marked.join(leaks, marked[key].eqNullSafe(leaks["_k"]) & (marked["_llm_hash"] == leaks["_h"]), "left_anti")
-            .select(docs.columns))
+    mark = free_name(docs)
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text)))
+    leaks = (find_leaks(marked, benchmark, key, text, carry=(mark,), **options)
+             .select(F.col(key).alias("k"), F.col(mark).alias("h")).distinct())
+    return (marked.join(leaks, marked[key].eqNullSafe(leaks["k"]) & (marked[mark] == leaks["h"]), "left_anti")
+            .select(*[marked[c] for c in docs.columns]))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stage
+from .common import chunks, free_name, stage
 from .components import components
 
 SHINGLE = 3
@@ -202,10 +202,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest id (then text hash) stays, once."""
-    marked = docs.withColumn("_llm_hash", F.xxhash64(F.col(text)))
-    found = near_duplicates(marked, key, text, carry=("_llm_hash",), **options)
+    mark = free_name(docs)
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text)))
+    found = near_duplicates(marked, key, text, carry=(mark,), **options)
     keepers = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"),
-                                                       F.col("_llm_hash").alias("hash"))).alias("k"))
-    keepers = keepers.select(F.col("k.id").alias("_llm_id"), F.col("k.hash").alias("_llm_h")).distinct()
-    kept = marked.join(keepers, marked[key].eqNullSafe(keepers["_llm_id"]) & (marked["_llm_hash"] == keepers["_llm_h"]), "left_semi")
-    return kept.dropDuplicates([key, "_llm_hash"]).select(docs.columns)
+                                                       F.col(mark).alias("hash"))).alias("k"))
+    keepers = keepers.select(F.col("k.id").alias("i"), F.col("k.hash").alias("h")).distinct()
+    kept = marked.join(keepers, marked[key].eqNullSafe(keepers["i"]) & (marked[mark] == keepers["h"]), "left_semi")
+    return kept.dropDuplicates([key, mark]).select(docs.columns)

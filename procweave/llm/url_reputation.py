@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Fixed rules: (verdict, rule); a rule is host + path prefix.
 RULES = (
     ("allow", "com/"),
@@ -110,7 +112,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, key: str = "page_id",
     hosts = (keyed.join(marks, "_key", "left").groupBy("host")
              .agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")))
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = hosts.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix"))
+    # a row per host, read five times from here on: the pages and outcomes are read once
+    hosts = stage(hosts.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix")), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # three rows of level totals, whatever the number of hosts

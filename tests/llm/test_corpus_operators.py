@@ -423,6 +423,15 @@ def test_stages_on_an_empty_table(spark, sf_small):
     assert corpus_pipeline.STAGES[-1][1](spark, frame, sf_small).columns[0] == "doc_id"
 
 
+def test_stages_leave_columns_of_any_name(spark, sf_small):
+    rng = random.Random(2)
+    frame = spark.createDataFrame([(i, words(rng, 60), "en", "own", "mark", i) for i in range(6)],
+                                  "doc_id long, text string, lang string, _llm_hash string, _llm_mark string, _LLM_MARK_ long")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, frame, sf_small)
+        assert out.columns == frame.columns and {(r["_llm_hash"], r["_llm_mark"], r["_LLM_MARK_"] - r["doc_id"]) for r in out.collect()} == {("own", "mark", 0)}
+
+
 def test_stages_keep_columns(spark, sf_small):
     rng = random.Random(1)
     frame = docs(spark, [(1, words(rng, 60)), (None, words(rng, 60), None), (2, None), (3, ""), (3, words(rng, 40))])
