@@ -53,9 +53,9 @@ POSTGRESQL = Dialect(
     procedures=(
         # the definition, else the routine's own text; a specific name is the name with the oid
         "SELECT n.nspname AS schema, p.proname AS name, "
-        "COALESCE(NULLIF(pg_get_functiondef(p.oid), ''), r.routine_definition) AS source_code "
+        "COALESCE(NULLIF(pg_get_functiondef(p.oid), ''), (SELECT r.routine_definition FROM information_schema.routines r "
+        "WHERE r.specific_schema = n.nspname AND r.specific_name = p.proname || '_' || p.oid)) AS source_code "
         "FROM pg_proc p JOIN pg_namespace n ON n.oid = p.pronamespace "
-        "LEFT JOIN information_schema.routines r ON r.specific_schema = n.nspname AND r.specific_name = p.proname || '_' || p.oid "
         "WHERE p.prokind = 'p' AND n.nspname NOT IN ('pg_catalog', 'information_schema') AND n.nspname {schema_cond}"),
     columns=(
         "SELECT table_schema, table_name, column_name, ordinal_position AS ordinal, data_type, "

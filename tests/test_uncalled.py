@@ -29,7 +29,7 @@ def test_readers_ask_their_dialect(spark, monkeypatch):
 
 def test_postgresql_falls_back_to_the_routine_text():
     text = jdbc.DIALECTS["postgresql"].sql("procedures", "app")
-    assert "COALESCE(NULLIF(pg_get_functiondef(p.oid), ''), r.routine_definition) AS source_code" in text
+    assert "COALESCE(NULLIF(pg_get_functiondef(p.oid), ''), (SELECT r.routine_definition FROM information_schema.routines r " in text
     assert "r.specific_name = p.proname || '_' || p.oid" in text and text.endswith("n.nspname = 'app'")
     assert "schemata" in jdbc.DIALECTS["postgresql"].sql("schemas", None)
     assert "NOT IN" not in jdbc.DIALECTS["mysql"].sql("columns", "s")
