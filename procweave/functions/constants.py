@@ -64,7 +64,10 @@ CALL_PATTERNS = [
     r"(?i)([a-z_][a-z0-9_]*\.[a-z_][a-z0-9_]*)\s*\(",
 ]
 # Call patterns of the LLM analyser's regex fallback.
-CALL_PATTERNS_SHORT = CALL_PATTERNS[:2]
+CALL_PATTERNS_SHORT = [
+    r"(?i)(?:EXECUTE|EXEC|CALL)\s+(" + IDENT + ")",
+    r"(?i)(" + IDENT + r")\s*\(",
+]
 
 # Table patterns: FROM, JOIN, INTO, UPDATE, DELETE FROM, MERGE INTO.
 TABLE_PATTERNS = [
@@ -76,7 +79,12 @@ TABLE_PATTERNS = [
     r"(?i)MERGE\s+INTO\s+(" + IDENT + ")",
 ]
 # Table patterns of the LLM analyser's regex fallback (no JOIN, no MERGE).
-TABLE_PATTERNS_SHORT = [TABLE_PATTERNS[0], TABLE_PATTERNS[2], TABLE_PATTERNS[3], TABLE_PATTERNS[4]]
+TABLE_PATTERNS_SHORT = [
+    r"(?i)FROM\s+(" + IDENT + ")",
+    r"(?i)INTO\s+(" + IDENT + ")",
+    r"(?i)UPDATE\s+(" + IDENT + ")",
+    r"(?i)DELETE\s+FROM\s+(" + IDENT + ")",
+]
 
 SELECT_PATTERN = r"(?isd)SELECT\s+(.*?)\s+FROM"
 INSERT_PATTERN = r"(?id)INSERT\s+INTO\s+\w+\s*\((.*?)\)"
