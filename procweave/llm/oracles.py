@@ -65,9 +65,28 @@ suffix_post AS (SELECT suffix, (k * p + bad) / (k + n) AS m FROM suffixes, suffi
 domain_post AS (SELECT domain, suffix, (k * m + bad) / (k + n) AS m FROM domains JOIN suffix_post USING (suffix), domain_level_k),
 host_post AS (
   SELECT host, k * m + h.bad AS al, k * (1 - m) + h.n - h.bad AS be FROM hosts h JOIN domain_post USING (domain, suffix), host_level_k),
+shape AS (
+  SELECT host, al, be, ln(al / be) AS c, sqrt(1 / al + 1 / be) AS sd, asinh(12 + 30 / (least(al, be) * sqrt(1 / al + 1 / be))) AS r
+  FROM host_post WHERE al > 0 AND be > 0),
+grid AS (
+  SELECT *, c + sd * (exp(r * x) - exp(-r * x)) / 2 AS u, (exp(r * x) + exp(-r * x)) / 2 AS jac
+  FROM (SELECT *, 2 * i / 256.0::DOUBLE - 1 AS x FROM shape, (SELECT unnest(range(257)) AS i))),
+density AS (
+  SELECT host, i, c, sd, r, jac * exp(al * (u - c) - (al + be) * (greatest(u, 0) + ln(1 + exp(-abs(u))) - greatest(c, 0) - ln(1 + exp(-abs(c))))) AS w
+  FROM grid),
+cells AS (
+  SELECT *, coalesce((w + lag(w) OVER (PARTITION BY host ORDER BY i)) / 2, 0) AS mass, 0.05::DOUBLE * sum(w) OVER (PARTITION BY host) AS goal
+  FROM density),
+summed AS (SELECT *, sum(mass) OVER (PARTITION BY host ORDER BY i) AS upto FROM cells),
+cut AS (
+  SELECT host, any_value(c) AS c, any_value(sd) AS sd, any_value(r) AS r,
+         min_by(i - 1 + (goal - (upto - mass)) / mass, i) AS pos
+  FROM summed WHERE upto >= goal GROUP BY host),
 rated AS (
-  SELECT host, al / (al + be) AS mean,
-         al / (al + be) - sqrt(0.95 / 0.05) * sqrt((al / (al + be)) * (1 - al / (al + be)) / (al + be + 1)) AS low FROM host_post),
+  SELECT h.host, al / (al + be) AS mean,
+         CASE WHEN al <= 0 THEN 0 WHEN be <= 0 THEN 1
+              ELSE least(al / (al + be), 1 / (1 + exp(-(c + sd * (exp(r * (2 * pos / 256 - 1)) - exp(-r * (2 * pos / 256 - 1))) / 2)))) END AS low
+  FROM host_post h LEFT JOIN cut USING (host)),
 ruled AS (
   SELECT page_id, host, path, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -79,7 +98,7 @@ ruled AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
-       round(mean, 9) AS bad_rate, round(low, 9) AS bad_rate_lower
+       round(mean, 9) AS bad_rate, round(low, 6) AS bad_rate_lower
 FROM ruled JOIN rated USING (host)
 """
 

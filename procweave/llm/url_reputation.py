@@ -5,9 +5,14 @@ domain and suffix form a hierarchy; at each level a beta prior is centred on
 the parent's posterior mean and its strength (the number of pseudo-pages) is
 the method-of-moments estimate over all labelled children, so a host with few
 labelled pages is pulled to its domain, a domain to its suffix, a suffix to the
-overall rate. A page without a matching rule is blocked when the lower bound of
-its host's posterior bad rate (Cantelli's inequality, good for any shape and so
-for hosts with few pages) exceeds ``max_bad_rate``.
+overall rate. A page without a matching rule is blocked when the lower bound of its
+host's bad rate exceeds ``max_bad_rate``: the ``LEVEL`` quantile of the host's beta
+posterior, or its mean where a very skewed posterior has that below the quantile. The quantile comes from the posterior's mass on a fixed grid
+(:func:`beta_quantile`), the same work for a host of one page and of a billion.
+
+Suffixes are a table (column ``suffix``, as of the public suffix list without its
+wildcards) of any size, joined with the hosts; without one they are the last label
+and ``TWO_LABEL_SUFFIXES``.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 no rule, and is judged by the reputation of the empty host. Outcome rows with a
@@ -19,12 +24,10 @@ only the key and url columns are read.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 
 #: Fixed rules: (verdict, rule); a rule is host + path prefix.
 RULES = (
@@ -35,14 +38,18 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-#: Suffixes of two labels; any other suffix is the last label.
+#: Suffixes of two labels where no table of suffixes is given; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in")
 
 #: Bounds of the intra-parent correlation estimate (prior strength is 1 / rho - 1).
 RHO_MIN, RHO_MAX = 0.001, 0.9
-#: Cantelli: with z = sqrt((1 - d) / d) the posterior mass below mean - z * sd is at most d, whatever its shape; here d = 0.05.
-Z = math.sqrt(0.95 / 0.05)
+#: The lower bound leaves this posterior mass below it.
+LEVEL = 0.05
 MAX_BAD_RATE = 0.5
+#: Cells of the quantile's grid.
+CELLS = 256
+#: Labels of a host's longest possible suffix in a table of suffixes.
+SUFFIX_LABELS = 5
 
 
 def url_host(url: Column) -> Column:
@@ -66,6 +73,55 @@ def domain_and_suffix(host: Column, two_label=TWO_LABEL_SUFFIXES) -> tuple[Colum
     return domain, suffix
 
 
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` (column host, a row each) with domain and suffix; the longest listed suffix wins, else the last label."""
+    if suffixes is None:
+        domain, suffix = domain_and_suffix(F.col("host"))
+        return hosts.select("*", domain.alias("domain"), suffix.alias("suffix"))
+    labels = F.split(F.regexp_replace(F.regexp_replace("host", r"(?s)^.*@", ""), r":\d*$", ""), r"\.")
+    listed = small(suffixes.select(F.lower("suffix").alias("_tail")).where("_tail is not null").distinct())
+    lengths = F.sequence(F.lit(1), F.least(F.size("_labels"), F.lit(SUFFIX_LABELS)))
+    tails = (hosts.select("host", labels.alias("_labels")).select("host", "_labels", F.explode(lengths).alias("_n"))
+             .select("host", "_n", F.array_join(F.expr("slice(_labels, -_n, _n)"), ".").alias("_tail")))
+    found = tails.join(listed, "_tail").groupBy("host").agg(F.max("_n").alias("_n"))
+    cut = hosts.join(found, "host", "left").select(*hosts.columns, labels.alias("_labels"), F.coalesce("_n", F.lit(1)).alias("_n"))
+    last = "array_join(slice(_labels, -least(size(_labels), {0}), least(size(_labels), {0})), '.')"
+    return cut.select(*hosts.columns, F.expr(last.format("_n + 1")).alias("domain"), F.expr(last.format("_n")).alias("suffix"))
+
+
+def beta_quantile(alpha: Column, beta: Column, level: float = LEVEL, cells: int = CELLS) -> Column:
+    """The ``level`` quantile of the beta distribution, to about four digits.
+
+    With u = ln(t / (1 - t)) the density is exp(alpha u - (alpha + beta) ln(1 + e^u)), smooth and with exponential
+    tails; u = mode + sd * sinh(v) puts a grid of equal steps in v close around the mode and far into the tails.
+    The masses of the cells are added up to the level, and the last cell is parted in proportion.
+    """
+    mode, sd = F.log(alpha / beta), F.sqrt(1 / alpha + 1 / beta)
+    reach = F.asinh(12 + 30 / (F.least(alpha, beta) * sd))  # tails beyond it hold less than e^-30 of the mass
+
+    def place(i: Column) -> Column:
+        return mode + sd * F.sinh(reach * (2 * i / cells - 1))
+
+    def log_density(u: Column) -> Column:
+        return alpha * u - (alpha + beta) * (F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u))))
+
+    def weight(i: Column) -> Column:
+        return F.exp(log_density(place(i)) - log_density(mode)) * F.cosh(reach * (2 * i / cells - 1))
+
+    weights = F.transform(F.sequence(F.lit(0), F.lit(cells)), weight)
+    # a cell's mass is the mean of its two ends, in units of the step
+    goal = level * F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+
+    def step(state: Column, w: Column) -> Column:
+        mass = F.when(state["i"] < 0, 0.0).otherwise((state["last"] + w) / 2)
+        open_ = state["at"].isNull() & (state["sum"] + mass >= goal)
+        at = F.when(open_, state["i"] + F.when(mass > 0, (goal - state["sum"]) / mass).otherwise(1.0)).otherwise(state["at"])
+        return F.struct((state["i"] + 1).alias("i"), w.alias("last"), (state["sum"] + mass).alias("sum"), at.alias("at"))
+
+    start = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("last"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"))
+    return F.aggregate(weights, start, step, lambda s: 1 / (1 + F.exp(-place(F.greatest(s["at"], F.lit(0.0))))))
+
+
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule whose host is the url's host or a parent of it and whose path is a prefix."""
     rule = verdict = None
@@ -101,7 +157,7 @@ def _strength(s, a, b) -> float:
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url: str = "url",
-                    z: float = Z) -> DataFrame:
+                    level: float = LEVEL, suffix_table: DataFrame | None = None) -> DataFrame:
     """Per host: labelled counts and posterior (alpha, beta, mean, lower bound) of the bad rate.
 
     ``outcomes`` has ``key`` and ``bad`` (0 / 1).
@@ -111,9 +167,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, key: str = "page_id",
     keyed = pages.select(F.col(key).alias("_key"), url_host(F.col(url)).alias("host"))
     hosts = (keyed.join(marks, "_key", "left").groupBy("host")
              .agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")))
-    domain, suffix = domain_and_suffix(F.col("host"))
     # a row per host, read five times from here on: the pages and outcomes are read once
-    hosts = stage(hosts.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix")), "hosts")
+    hosts = stage(with_domains(hosts, suffix_table).select("host", "n", "bad", "domain", "suffix"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # three rows of level totals, whatever the number of hosts
@@ -133,20 +188,22 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, key: str = "page_id",
     alpha = k["host"] * F.col("domain_mean") + F.col("bad")
     beta = k["host"] * (1 - F.col("domain_mean")) + F.col("n") - F.col("bad")
     post = hosts.join(domains, ["domain", "suffix"]).select("host", "n", "bad", alpha.alias("alpha"), beta.alias("beta"))
-    m, total = F.col("alpha") / (F.col("alpha") + F.col("beta")), F.col("alpha") + F.col("beta")
-    return post.select("host", "n", "bad", "alpha", "beta", m.alias("mean"),
-                       (m - z * F.sqrt(m * (1 - m) / (total + 1))).alias("lower"))
+    # an overall rate of 0 or 1 leaves one of the two at zero: the whole mass is at that end
+    lower = (F.when(F.col("alpha") <= 0, 0.0).when(F.col("beta") <= 0, 1.0)
+             .otherwise(beta_quantile(F.col("alpha"), F.col("beta"), level)))
+    mean_rate = F.col("alpha") / (F.col("alpha") + F.col("beta"))
+    return post.select("host", "n", "bad", "alpha", "beta", mean_rate.alias("mean"), F.least(lower, mean_rate).alias("lower"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
-                max_bad_rate: float = MAX_BAD_RATE, z: float = Z) -> DataFrame:
+                max_bad_rate: float = MAX_BAD_RATE, level: float = LEVEL, suffix_table: DataFrame | None = None) -> DataFrame:
     """One row per page: key, host, path, rule, verdict (``allow`` / ``block``), posterior mean and lower bound."""
     host, path = url_host(F.col(url)), url_path(F.col(url))
-    rated = host_reputation(pages, outcomes, key, url, z).select("host", "mean", "lower")
+    rated = host_reputation(pages, outcomes, key, url, level, suffix_table).select("host", "mean", "lower")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("lower") > max_bad_rate, F.lit("block")).otherwise(F.lit("allow"))
     # every host is in the rated table once; a hot host's pages are split by AQE's skew join
     return (pages.select(F.col(key), host.alias("host"), path.alias("path"))
             .join(rated, "host", "left")
             .select(key, "host", "path", rule.alias("rule"), F.coalesce(verdict, judged).alias("verdict"),
-                    F.round("mean", 9).alias("bad_rate"), F.round("lower", 9).alias("bad_rate_lower")))
+                    F.round("mean", 9).alias("bad_rate"), F.round("lower", 6).alias("bad_rate_lower")))

@@ -219,6 +219,70 @@ def test_reputation_shrinks_and_blocks(spark):
     assert all(0 <= h.lower <= h.mean <= 1 for h in hosts.values() if h.lower >= 0)
 
 
+def incomplete_beta(a, b, x):
+    """I_x(a, b) by midpoint sums of the density in ln(t / (1 - t)), far finer than the operator's grid."""
+    top = math.log(a / b)
+    step = 0.002 * math.sqrt(1 / a + 1 / b)
+
+    def mass(lo, hi):
+        n = max(1, int((hi - lo) / step))
+        us = (lo + (hi - lo) * (i + 0.5) / n for i in range(n))
+        return (hi - lo) / n * sum(math.exp(a * (u - top) - (a + b) * (math.log1p(math.exp(u)) - math.log1p(math.exp(top)))) for u in us)
+
+    cut = math.log(x / (1 - x))
+    low, high = top - 40 * math.sqrt(1 / a + 1 / b), top + 40 * math.sqrt(1 / a + 1 / b)
+    left = mass(low, cut)
+    return left / (left + mass(cut, high))
+
+
+def test_beta_quantile(spark):
+    shapes = [(0.8, 2.5), (1.0, 1.0), (3.0, 1.5), (12.0, 4.0), (150.0, 850.0), (60.2, 0.9), (4e5, 6e5)]
+    frame = spark.createDataFrame(shapes, "a double, b double")
+    for level in (0.05, 0.5):
+        for r in frame.select("a", "b", url_reputation.beta_quantile(F.col("a"), F.col("b"), level).alias("q")).collect():
+            assert abs(incomplete_beta(r.a, r.b, r.q) - level) < 2e-3 * level + 3e-4, r
+
+
+def test_only_the_reputation_blocks(spark):
+    """Hosts without any rule: those whose posterior has at most LEVEL of its mass up to the cutoff are blocked, by brute force."""
+    rng = random.Random(4)
+    hosts = {f"h{i}.d{i % 7}.org": (rng.randint(1, 40), rng.choice([0.05, 0.1, 0.6, 0.97])) for i in range(60)}
+    rows, marks = [], []
+    for host, (n, rate) in hosts.items():
+        for _ in range(n):
+            rows.append((len(rows), f"https://{host}/x/{len(rows)}"))
+            marks.append((len(marks), int(rng.random() < rate)))
+    pages, outcomes = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, bad int")
+    rated = {r.host: r for r in url_reputation.host_reputation(pages, outcomes).collect()}
+    found = url_reputation.filter_urls(pages, outcomes, rules=()).collect()
+    blocked = {r.host for r in found if r.verdict == "block"}
+    assert all(r.rule is None for r in found) and 5 <= len(blocked) <= 40
+    for host, r in rated.items():
+        mass = incomplete_beta(r.alpha, r.beta, 0.5)
+        if abs(mass - 0.05) > 1e-3:
+            assert (mass < 0.05) == (host in blocked), (host, mass)
+
+
+def test_all_pages_good_or_bad(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/") for i in range(30)], "page_id long, url string")
+    for bad, verdict in ((0, "allow"), (1, "block")):
+        marks = pages.select("page_id", F.lit(bad).alias("bad"))
+        assert {(r.verdict, r.bad_rate, r.bad_rate_lower) for r in url_reputation.filter_urls(pages, marks).collect()} == {(verdict, bad, bad)}
+
+
+def test_table_of_suffixes(spark):
+    pages = spark.createDataFrame([(0, "http://a.b.city.kawasaki.jp/"), (1, "http://x.github.io:80/"), (2, "http://u@www.shop.co.uk/"),
+                                   (3, "http://plain.org/"), (4, "http://co.uk/"), (5, "http://localhost/"), (6, None)], "page_id long, url string")
+    suffixes = spark.createDataFrame([("co.uk",), ("GitHub.io",), ("city.kawasaki.jp",), ("kawasaki.jp",), ("jp",), ("co.uk",), (None,)], "suffix string")
+    hosts = pages.select(url_reputation.url_host(F.col("url")).alias("host"))
+    got = {r.host: (r.domain, r.suffix) for r in url_reputation.with_domains(hosts, suffixes).collect()}
+    assert got == {"a.b.city.kawasaki.jp": ("b.city.kawasaki.jp", "city.kawasaki.jp"), "x.github.io:80": ("x.github.io", "github.io"),
+                   "u@www.shop.co.uk": ("shop.co.uk", "co.uk"), "plain.org": ("plain.org", "org"), "co.uk": ("co.uk", "co.uk"),
+                   "localhost": ("localhost", "localhost"), "": ("", "")}
+    none = spark.createDataFrame([], "page_id long, bad int")
+    assert url_reputation.filter_urls(pages, none, suffix_table=suffixes).count() == 7
+
+
 def test_page_outcomes(spark):
     pages = spark.createDataFrame([(1, "http://a/en/12.html"), (2, "http://a/en/13/?x"), (3, "http://a/en/"), (4, None)], "page_id long, url string")
     labels = spark.createDataFrame([(12, 1, 1), (13, 1, 0)], "doc_id long, quality int, toxic int")
