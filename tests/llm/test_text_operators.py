@@ -371,6 +371,49 @@ def test_tags_of_one_line_take_linear_time():
         assert time.process_time() - begin < 1
 
 
+def test_every_notice_matches_brute_force():
+    """All phrases of the tables, whole, cut short, run together and interrupted, against a search of word lists."""
+    rng = random.Random(8)
+    tables = license_scan.DEFAULT
+    pairs = license_scan.BASE_PHRASES + tables.phrases
+    words, tags = license_scan._automata()
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            phrase = rng.choice(pairs)[0].split()
+            parts += phrase[:rng.choice([len(phrase), len(phrase), len(phrase) - 1])] + rng.choice([[], ["the"], ["license"]])
+        text = "".join(w.upper() + rng.choice([" ", "\n", ", ", " (", "-"]) for w in parts)
+        want = {label for phrase, label in pairs for i in range(len(parts)) if parts[i:i + len(phrase.split())] == phrase.split()}
+        got = license_scan.scan_text(text.encode(), words, tags)
+        assert got[0] == len(parts) and got[5] == ",".join(sorted(want)), text
+        assert got[6] == min((tables.openness[x] for x in want), default=0.0)
+
+
+def test_clauses_and_given_tables(spark):
+    clause = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software\n"
+              "// and associated documentation files (the \"Software\")")
+    rows = [(0, clause, "en"), (1, "Acme Open-Source Deal applies; see MIT License", "en"),
+            (2, "SPDX-License-Identifier: acme-1.0 WITH Acme-Lift", "en"), (3, "SPDX-License-Identifier: acme-1.0 WITH other", "en"),
+            (4, "the zlib license", "en"), (5, None, None)]
+    plain = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(docs(spark, rows)).collect()}
+    assert plain[0] == ("mit", 1.0) and plain[1] == ("mit", 1.0) and plain[4] == ("zlib", 1.0) and plain[5] == ("", 0.0)
+    assert plain[2] == plain[3] == ("acme-1.0", pytest.approx(0.55))
+    given = license_scan.licences(
+        spark.createDataFrame([("Acme open source DEAL", "acme"), ("MIT license", "expat"), ("acme open source deal", "deal"), (None, "x"), ("...", "y")], "phrase string, label string"),
+        spark.createDataFrame([("acme", 0.2), ("Acme", 0.4), ("acme", 0.3), ("deal", 0.7), ("mit", 1.0), (None, 1.0)], "label string, openness double"),
+        spark.createDataFrame([("Acme-Lift", 1.0)], "exception string, lift double"))
+    got = {r.doc_id: (r.labels, r.base_labels, r.score) for r in license_scan.scan_licenses(docs(spark, rows), tables=given).collect()}
+    assert got[0] == ("", "", 0.0) and got[1] == ("acme,deal,expat,mit", "mit", license_scan.UNKNOWN_OPENNESS)
+    assert got[2] == ("acme", "", 1.0) and got[3] == ("acme", "", pytest.approx(0.6)) and got[4] == ("", "", 0.0)
+
+
+def test_a_table_beyond_the_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "MAX_TABLE", 3)
+    with pytest.raises(ValueError):
+        license_scan.licences(spark.range(4).selectExpr("concat('p', id) AS phrase", "'l' AS label"))
+    assert len(license_scan.licences(spark.range(3).selectExpr("concat('p', id) AS phrase", "'l' AS label")).phrases) == 3
+
+
 def test_license_tags(spark):
     rows = [(1, "// SPDX-License-Identifier: (MIT OR GPL-2.0-only) */\nrest", "en"), (2, "SPDX-License-Identifier: GPL-3.0 AND MIT", "en"),
             (3, "Mozilla Public License and MIT License", "en"), (3, "none", "en"), (None, "All rights reserved", "en")]
