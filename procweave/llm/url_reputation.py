@@ -96,30 +96,40 @@ def beta_quantile(alpha: Column, beta: Column, level: float = LEVEL, cells: int
     tails; u = mode + sd * sinh(v) puts a grid of equal steps in v close around the mode and far into the tails.
     The masses of the cells are added up to the level, and the last cell is parted in proportion.
     """
-    mode, sd = F.log(alpha / beta), F.sqrt(1 / alpha + 1 / beta)
-    reach = F.asinh(12 + 30 / (F.least(alpha, beta) * sd))  # tails beyond it hold less than e^-30 of the mass
-
-    def place(i: Column) -> Column:
-        return mode + sd * F.sinh(reach * (2 * i / cells - 1))
+    def bound(value: Column, use) -> Column:
+        """``use`` of a value that is worked out once, not wherever it is named."""
+        return F.transform(F.array(value), use)[0]
 
-    def log_density(u: Column) -> Column:
-        return alpha * u - (alpha + beta) * (F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u))))
+    def place(p: Column, i: Column) -> Column:
+        return p["mode"] + p["sd"] * F.sinh(p["reach"] * (i * (2 / cells) - 1))
 
-    def weight(i: Column) -> Column:
-        return F.exp(log_density(place(i)) - log_density(mode)) * F.cosh(reach * (2 * i / cells - 1))
+    def log_density(p: Column, u: Column) -> Column:
+        return p["a"] * u - p["ab"] * (F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u))))
 
-    weights = F.transform(F.sequence(F.lit(0), F.lit(cells)), weight)
-    # a cell's mass is the mean of its two ends, in units of the step
-    goal = level * F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+    def weight(p: Column, i: Column) -> Column:
+        return F.exp(log_density(p, place(p, i)) - p["top"]) * F.cosh(p["reach"] * (i * (2 / cells) - 1))
 
     def step(state: Column, w: Column) -> Column:
+        # a cell's mass is the mean of its two ends, in units of the step; the first weight ends no cell
         mass = F.when(state["i"] < 0, 0.0).otherwise((state["last"] + w) / 2)
-        open_ = state["at"].isNull() & (state["sum"] + mass >= goal)
-        at = F.when(open_, state["i"] + F.when(mass > 0, (goal - state["sum"]) / mass).otherwise(1.0)).otherwise(state["at"])
-        return F.struct((state["i"] + 1).alias("i"), w.alias("last"), (state["sum"] + mass).alias("sum"), at.alias("at"))
-
-    start = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("last"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"))
-    return F.aggregate(weights, start, step, lambda s: 1 / (1 + F.exp(-place(F.greatest(s["at"], F.lit(0.0))))))
+        at = F.coalesce(state["at"], F.when(state["sum"] + mass >= state["goal"],
+                                            state["i"] + F.when(mass > 0, (state["goal"] - state["sum"]) / mass).otherwise(1.0)))
+        return F.struct((state["i"] + 1).alias("i"), w.alias("last"), (state["sum"] + mass).alias("sum"), at.alias("at"),
+                        state["goal"].alias("goal"))
+
+    def walk(p: Column, weights: Column) -> Column:
+        goal = level * F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+        start = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("last"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"),
+                         goal.alias("goal"))
+        return F.aggregate(weights, start, step, lambda s: 1 / (1 + F.exp(-place(p, F.greatest(s["at"], F.lit(0.0))))))
+
+    numbers = F.sequence(F.lit(0), F.lit(cells))
+    mode, sd = F.log(alpha / beta), F.sqrt(1 / alpha + 1 / beta)
+    shape = F.struct(alpha.alias("a"), (alpha + beta).alias("ab"), mode.alias("mode"), sd.alias("sd"),
+                     F.asinh(12 + 30 / (F.least(alpha, beta) * sd)).alias("reach"))  # less than e^-30 of the mass lies beyond
+    return bound(shape, lambda q: bound(
+        q.withField("top", log_density(q, q["mode"])),
+        lambda p: bound(F.transform(numbers, lambda i: weight(p, i)), lambda weights: walk(p, weights))))
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
