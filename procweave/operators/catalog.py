@@ -111,13 +111,15 @@ def assemble_columns(columns: DataFrame, key_rows: DataFrame, dialect: str = "po
     """Columns left-joined to PK membership and to the *first* FK of
     each column (by constraint name), with the full type text."""
     keys = ["table_schema", "table_name", "column_name"]
-    pk = (key_rows.filter(F.col("constraint_type") == "PRIMARY KEY").select(*keys).distinct()
-          .withColumn("is_primary_key", F.lit(True)))
-    fk = (key_rows.filter(F.col("constraint_type") == "FOREIGN KEY")
-          .groupBy(*keys).agg(F.min(F.struct("constraint_name", "ref_schema", "ref_table", "ref_column")).alias("f"))
-          .select(*keys, F.concat_ws(".", "f.ref_schema", "f.ref_table").alias("foreign_key_table"),
-                  F.col("f.ref_column").alias("foreign_key_column")))
-    out = columns.join(pk, keys, "left").join(fk, keys, "left")
+    kind = F.col("constraint_type")
+    first = F.struct("constraint_name", "ref_schema", "ref_table", "ref_column")
+    # one pass over the constraint rows for both kinds of key
+    marks = (key_rows.filter(kind.isin("PRIMARY KEY", "FOREIGN KEY")).groupBy(*keys)
+             .agg(F.max(kind == "PRIMARY KEY").alias("is_primary_key"), F.min(F.when(kind == "FOREIGN KEY", first)).alias("f"))
+             .select(*keys, "is_primary_key",
+                     F.when(F.col("f").isNotNull(), F.concat_ws(".", "f.ref_schema", "f.ref_table")).alias("foreign_key_table"),
+                     F.col("f.ref_column").alias("foreign_key_column")))
+    out = columns.join(marks, keys, "left")
     return out.select(
         "table_schema", "table_name", "column_name", "ordinal",
         type_text(dialect).alias("data_type"),

@@ -330,13 +330,20 @@ from procweave.operators import catalog as C  # noqa: E402
 from procweave.sources import tables as S  # noqa: E402
 
 
-def _catalog(spark, sf_dir):
-    cols = S.catalog_columns(spark, sf_dir)
-    keys = S.catalog_key_rows(spark, sf_dir)
-    idx_rows = S.catalog_index_rows(spark, sf_dir)
+def _catalog(spark, sf_dir, lines=None):
+    cols = S.catalog_columns(spark, sf_dir, lines)
+    keys = S.catalog_key_rows(spark, sf_dir, lines)
+    idx_rows = S.catalog_index_rows(spark, sf_dir, lines)
     return cols, keys, idx_rows
 
 
+def _catalog_lines_once(spark, sf_dir):
+    """The catalog's rows written once, for queries that assemble several parts of it."""
+    from procweave.session import materialize
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"]
+    return materialize(S.catalog_lines(spark, sf_dir).select(*columns), "catalog-lines")
+
+
 @register("catalog_columns")
 def catalog_columns(spark, sf_dir):
     cols, keys, _ = _catalog(spark, sf_dir)
@@ -399,8 +406,8 @@ def table_ddl(spark, sf_dir):
     return C.table_ddl(C.assemble_columns(cols, keys), C.foreign_keys(keys))
 
 
-def _summary(spark, sf_dir):
-    cols, keys, idx_rows = _catalog(spark, sf_dir)
+def _summary(spark, sf_dir, lines=None):
+    cols, keys, idx_rows = _catalog(spark, sf_dir, lines)
     return C.table_summary(cols, C.foreign_keys(keys), C.assemble_indexes(idx_rows, keys))
 
 
@@ -414,8 +421,8 @@ def table_statistics(spark, sf_dir):
     return C.table_statistics(_summary(spark, sf_dir))
 
 
-def _fk_graph(spark, sf_dir, compat=False):
-    cols, keys, _ = _catalog(spark, sf_dir)
+def _fk_graph(spark, sf_dir, compat=False, lines=None):
+    cols, keys, _ = _catalog(spark, sf_dir, lines)
     tables = cols.select(F.concat_ws(".", "table_schema", "table_name").alias("table")).distinct()
     return tables, C.resolve_fk_targets(C.foreign_keys(keys), tables, compat=compat)
 
@@ -429,7 +436,7 @@ def fk_edges(spark, sf_dir):
 @register("table_levels")
 def table_levels(spark, sf_dir):
     """G18 longest-path mode: level = longest FK chain down to a table without FKs."""
-    tables, e = _fk_graph(spark, sf_dir)
+    tables, e = _fk_graph(spark, sf_dir, lines=_catalog_lines_once(spark, sf_dir))
     lv = TR.dependency_levels(tables.select(F.col("table").alias("node")), e.select("src", "dst"))
     return lv.select(F.col("node").alias("table"), "level")
 
@@ -880,9 +887,14 @@ def flowchart_lines(spark, sf_dir):
 
 @register("mermaid_er_lines")
 def mermaid_er_lines(spark, sf_dir):
-    cols, keys, _ = _catalog(spark, sf_dir)
-    tables, e = _fk_graph(spark, sf_dir)
-    return RP.er_diagram(C.assemble_columns(cols, keys), e).select(F.col("section").cast("bigint").alias("section"), "line")
+    from procweave.session import materialize
+    lines = _catalog_lines_once(spark, sf_dir)
+    cols, keys, _ = _catalog(spark, sf_dir, lines)
+    _, e = _fk_graph(spark, sf_dir, lines=lines)
+    # both are read by the choice of tables, by the boxes and by the links
+    e = materialize(e, "fk-edges")
+    columns = materialize(C.assemble_columns(cols, keys), "catalog-columns")
+    return RP.er_diagram(columns, e).select(F.col("section").cast("bigint").alias("section"), "line")
 
 
 @register("report_lines")
@@ -1012,10 +1024,14 @@ def node_documents(spark, sf_dir):
 
 @register("mermaid_table_hierarchy_lines")
 def mermaid_table_hierarchy_lines(spark, sf_dir):
-    tables, e = _fk_graph(spark, sf_dir)
+    from procweave.session import materialize
+    lines = _catalog_lines_once(spark, sf_dir)
+    tables, e = _fk_graph(spark, sf_dir, lines=lines)
+    e = materialize(e, "fk-edges")  # read by the levels and by two sections
     lv = TR.dependency_levels(tables.select(F.col("table").alias("node")), e.select("src", "dst"))
     levels = lv.select(F.col("node").alias("table"), "level")
-    return RP.table_hierarchy_diagram(levels, _summary(spark, sf_dir), e).select(
+    summary = materialize(_summary(spark, sf_dir, lines), "table-summary")
+    return RP.table_hierarchy_diagram(levels, summary, e).select(
         F.col("section").cast("bigint").alias("section"), "line")
 
 

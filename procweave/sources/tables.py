@@ -90,13 +90,15 @@ def procedure_corpus_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- catalog
-def _lineitem_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with (l_orderkey, l_linenumber) made unique: keep the first row by
     (l_partkey, l_suppkey, l_quantity, l_extendedprice).
 
     A ``min(struct)`` aggregate instead of a ranking window: it combines
     map-side, so a key holding a third of all rows is pre-reduced before the
-    shuffle instead of being sorted in one task.
+    shuffle instead of being sorted in one task. A query with several consumers
+    writes these rows once and hands them to the ``catalog_*`` readers as ``lines``;
+    each of them then reads the columns it needs.
     """
     li = read_table(spark, sf_dir, "lineitem")
     order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -105,14 +107,14 @@ def _lineitem_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("l_orderkey", "l_linenumber", "b.*")
 
 
-def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalog_columns(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """``information_schema.columns``-shaped rows, one per column.
 
     Table ``S<k % 5>.T<k>`` for ``l_orderkey`` k, column ``C<l_linenumber>``,
     type by ``l_linenumber % 4``: varchar(n), numeric(p,s), integer, date;
     nullable when ``l_linestatus = 'O'``.
     """
-    li = _lineitem_dedup(spark, sf_dir)
+    li = catalog_lines(spark, sf_dir) if lines is None else lines
     t = F.col("l_linenumber") % 4
     return li.select(
         F.concat(F.lit("S"), (F.col("l_orderkey") % 5).cast("string")).alias("table_schema"),
@@ -129,14 +131,14 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def catalog_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalog_key_rows(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Key-constraint rows (constraints x key usage x referenced columns x rules).
 
     Line 1 of an order is the primary key ``PK_T<k>(C1)``; line 2 is a foreign
     key ``FK_T<k>(C2)`` to ``S<j % 5>.T<j>(C1)`` with ``j = floor(k / 2)``,
     which is missing when order j has no line items.
     """
-    li = _lineitem_dedup(spark, sf_dir).filter(F.col("l_linenumber").isin(1, 2))
+    li = (catalog_lines(spark, sf_dir) if lines is None else lines).filter(F.col("l_linenumber").isin(1, 2))
     k = F.col("l_orderkey")
     j = F.floor(k / 2).cast("bigint")
     is_pk = F.col("l_linenumber") == 1
@@ -155,11 +157,11 @@ def catalog_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def catalog_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalog_index_rows(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Index-column rows: one index per (table, l_returnflag) over that flag's
     columns in ordinal order, unique for flag N. The flag-N index is named
     ``PK_T<k>_N`` so that the primary-key name test (P33) can mark it."""
-    li = _lineitem_dedup(spark, sf_dir)
+    li = catalog_lines(spark, sf_dir) if lines is None else lines
     k = F.col("l_orderkey")
     return li.select(
         F.concat(F.lit("S"), (k % 5).cast("string")).alias("table_schema"),
@@ -302,5 +304,5 @@ LOADER_TEXT_SQL = (
 
 def loader_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``procedures(name, schema, source_code)``: one loader procedure per line item."""
-    return _lineitem_dedup(spark, sf_dir).selectExpr(
+    return catalog_lines(spark, sf_dir).selectExpr(
         f"{LOADER_NAME_SQL} AS name", "CAST(NULL AS STRING) AS schema", f"{LOADER_TEXT_SQL} AS source_code")
