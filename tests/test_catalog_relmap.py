@@ -149,3 +149,19 @@ def test_placeholder_ddl(spark):
     keys = spark.createDataFrame([], KEYS)
     ddl = C.table_ddl(C.assemble_columns(cols, keys), C.foreign_keys(keys), style="placeholder").first()["ddl"]
     assert ddl == "-- DDL para s.t\n-- (Reconstruído a partir de metadados)"
+
+
+def test_key_marks_of_a_column(spark):
+    cols = spark.createDataFrame([("s", "t", c, i) for i, c in enumerate("abcde")], "table_schema string, table_name string, column_name string, ordinal int")
+    cols = cols.selectExpr("*", "'integer' AS data_type", "CAST(NULL AS INT) AS char_len", "CAST(NULL AS INT) AS num_precision",
+                           "CAST(NULL AS INT) AS num_scale", "'NO' AS is_nullable", "CAST(NULL AS STRING) AS column_default")
+    keys = spark.createDataFrame(
+        [("PK", "PRIMARY KEY", "a", None, None, None), ("PK", "PRIMARY KEY", "b", None, None, None), ("F2", "FOREIGN KEY", "b", "s", "y", "k2"),
+         ("F1", "FOREIGN KEY", "b", "s", "x", "k1"), ("F3", "FOREIGN KEY", "c", None, "z", None), ("U", "UNIQUE", "d", None, None, None)],
+        "constraint_name string, constraint_type string, column_name string, ref_schema string, ref_table string, ref_column string")
+    keys = keys.selectExpr("*", "'s' AS table_schema", "'t' AS table_name")
+    got = {r.column_name: (r.is_primary_key, r.is_foreign_key, r.foreign_key_table, r.foreign_key_column)
+           for r in C.assemble_columns(cols, keys).collect()}
+    assert got == {"a": (True, False, None, None), "b": (True, True, "s.x", "k1"), "c": (False, True, "z", None),
+                   "d": (False, False, None, None), "e": (False, False, None, None)}
+    assert C.assemble_columns(cols, keys.limit(0)).filter("is_primary_key or is_foreign_key").count() == 0
