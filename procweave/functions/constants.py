@@ -232,3 +232,19 @@ ER_TYPE_CHARS = 30
 
 # Fallback DDL text of the Oracle and MySQL loaders when no DDL can be rebuilt.
 PLACEHOLDER_DDL = "-- DDL para {schema}.{table}\n-- (Reconstruído a partir de metadados)"
+
+# Headings and sentences of the relationship report, in the order of the report.
+REPORT_TITLE = "# Mapa de Relacionamentos - Schema: "
+REPORT_STATISTICS = "\n\n**Gerado em:** {generated_at}\n\n## Estatísticas\n\n- **Total de objetos:** "
+REPORT_TOTAL_RELATIONS = "\n- **Total de relacionamentos:** "
+REPORT_BY_KIND = "\n\n### Objetos por Tipo\n\n| Tipo | Quantidade |\n|------|------------|"
+REPORT_TOP_REFERENCED = "\n### Objetos Mais Referenciados\n\n| Objeto | Referências |\n|--------|-------------|"
+REPORT_TOP_REFERENCING = "\n### Objetos que Mais Referenciam Outros\n\n| Objeto | Referências |\n|--------|-------------|"
+REPORT_ISOLATED = "\n### Objetos Isolados ("
+REPORT_BY_TYPE = "\n### Relacionamentos por Tipo\n\n| Tipo | Quantidade |\n|------|------------|"
+REPORT_RELATIONS = "\n## Relacionamentos\n\n| Origem | Tipo | Destino |\n|--------|------|---------|"
+REPORT_SHOWN = "\n*Mostrando {shown} de "
+REPORT_SHOWN_END = " relacionamentos. Ver arquivo JSON para lista completa.*"
+
+# The sentence of a table without a purpose.
+DEFAULT_PURPOSE = ("Tabela ", " com ", " colunas")

@@ -115,7 +115,8 @@ def match_purposes(batch_tables: DataFrame, answers: DataFrame, n_columns_col: s
     cand = j.select("batch_id", "t.table", prio.alias("prio"), "a.key", "a.purpose").filter(F.col("prio").isNotNull())
     best = cand.groupBy("batch_id", "table").agg(F.min(F.struct("prio", "key", "purpose")).alias("b"))
     out = batch_tables.join(best, ["batch_id", "table"], "left")
-    default = F.concat(F.lit("Tabela "), F.col("table"), F.lit(" com "), F.col(n_columns_col).cast("string"), F.lit(" colunas"))
+    before, between, after = map(F.lit, K.DEFAULT_PURPOSE)
+    default = F.concat(before, F.col("table"), between, F.col(n_columns_col).cast("string"), after)
     return out.select("batch_id", "table", F.coalesce(F.col("b.purpose"), default).alias("purpose"),
                       F.col("b.prio").isNull().alias("used_default"))
 

@@ -1085,3 +1085,18 @@ UNION SELECT proc, unnest(['MODEL_' || CAST(CAST(substr(proc, 2) AS BIGINT) % 13
 ORACLES["document_previews"] = f"""SELECT doc_id, CASE WHEN length(text) > {K.PREVIEW_CHARS} THEN substr(text, 1, {K.PREVIEW_CHARS}) || '...' ELSE text END AS preview
 FROM documents"""
 ORACLES["non_empty_procedures"] = "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 3"
+
+ORACLES["ddl_files"] = f"""WITH {OBJS}
+SELECT schema || '/' || obj_type || '/' || name || CASE obj_type WHEN 'procedures' THEN '.prc' WHEN 'functions' THEN '.fnc' ELSE '.sql' END AS path, ddl AS content
+FROM objs
+"""
+
+# The newest version of a procedure: the nested corpus where it came last, else the corpus; none where it was deleted.
+STREAM_CORPUS = f"""corpus AS (
+  SELECT {CORPUS_NAME_SQL} AS proc, CASE WHEN o_orderkey % 5 = 0 THEN {CYCLES_TEXT_SQL} ELSE {CORPUS_TEXT_SQL} END AS code
+  FROM orders WHERE o_orderkey % 7 <> 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 3 <> 1))"""
+ORACLES["graph_stream"] = f"""WITH {STREAM_CORPUS}, {CALL_EDGES}, t_raw AS ({_unnest_union(K.TABLE_PATTERNS)})
+SELECT 'UNKNOWN.' || proc AS id, callee AS dst, 'calls' AS edge_type FROM calls
+UNION SELECT 'UNKNOWN.' || proc, v, 'accesses' FROM t_raw
+UNION SELECT 'UNKNOWN.' || proc, 'UNKNOWN.' || proc, 'node' FROM corpus
+"""

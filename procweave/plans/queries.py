@@ -20,8 +20,10 @@ from procweave.operators import reach as RE
 from procweave.operators import traversal as TR
 from procweave.operators import vector_index as VI
 from procweave.session import job_dir, materialize
+from procweave.sinks import file_tree as FT
 from procweave.sinks.bucket_store import BucketStore
 from procweave.sources.tables import procedure_corpus, procedure_corpus_cycles, procedure_corpus_cyclic, read_table
+from procweave.streaming import keyed_graph as KG
 
 QUERIES: dict = {}
 
@@ -1111,3 +1113,29 @@ def non_empty_procedures(spark, sf_dir):
     o = S.read_table(spark, sf_dir, "orders")
     text = F.when(F.col("o_orderkey") % 4 == 0, "").when(F.col("o_orderkey") % 4 == 1, " \n\t ").when(F.col("o_orderkey") % 4 == 2, F.lit(None)).otherwise("x")
     return A.non_empty(o.select("o_orderkey", text.alias("source_code"))).select("o_orderkey")
+
+
+@register("ddl_files")
+def ddl_files(spark, sf_dir):
+    """One file per object, written by the file-tree sink and read back."""
+    folder = f"{job_dir(spark)}/ddl-{uuid.uuid4().hex}"
+    FT.write_files(FT.export_files(S.ddl_objects(spark, sf_dir)), folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    return files.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+/[^/]+)$", 1).alias("path"), F.col("value").alias("content"))
+
+
+@register("graph_stream")
+def graph_stream(spark, sf_dir):
+    """The graph that a stream of procedure versions leaves (older texts, the corpus, deletions and late files, out of order)."""
+    n = F.substring("name", 2, 20).cast("bigint")
+    now = procedure_corpus(spark, sf_dir).select("name", "source_code", F.lit("2024-01-03").cast("timestamp").alias("modified_at"))
+    older = procedure_corpus_cycles(spark, sf_dir).filter(n % 3 != 1)
+    versions = (now.filter(n % 5 != 0)
+                .unionByName(older.select("name", "source_code", F.when(n % 5 == 0, "2024-01-04").otherwise("2024-01-01").cast("timestamp").alias("modified_at")))
+                .unionByName(now.filter(n % 7 == 0).select("name", F.lit("").alias("source_code"), F.lit("2024-01-05").cast("timestamp").alias("modified_at"))))
+    folder = f"{job_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # a version is in any of the files and a micro-batch takes a few of them: no order of times is kept
+    versions.repartition(6, F.xxhash64("name", "modified_at")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    KG.start(stream, f"{folder}/log", f"{folder}/state").awaitTermination()
+    return KG.current(spark.read.parquet(f"{folder}/log"))

@@ -183,11 +183,11 @@ def markdown_report(schema_objects: DataFrame, rels: DataFrame, deg: DataFrame,
     total = counts.filter(F.col("obj_type") == "total").select("schema", F.col("count").alias("n_obj"))
     head = schemas.join(total, "schema").join(n_rel, "schema", "left").select(
         "schema", *_line(0, "", F.concat(
-            F.lit("# Mapa de Relacionamentos - Schema: "), F.col("schema"),
-            F.lit(f"\n\n**Gerado em:** {generated_at}\n\n## Estatísticas\n\n- **Total de objetos:** "),
-            F.col("n_obj").cast("string"), F.lit("\n- **Total de relacionamentos:** "),
+            F.lit(K.REPORT_TITLE), F.col("schema"),
+            F.lit(K.REPORT_STATISTICS.format(generated_at=generated_at)),
+            F.col("n_obj").cast("string"), F.lit(K.REPORT_TOTAL_RELATIONS),
             F.coalesce(F.col("n_rel"), F.lit(0)).cast("string"),
-            F.lit("\n\n### Objetos por Tipo\n\n| Tipo | Quantidade |\n|------|------------|"))))
+            F.lit(K.REPORT_BY_KIND))))
     kind_idx = F.create_map(*[x for i, k in enumerate(K.OBJECT_KINDS) for x in (F.lit(k), F.lit(i))])
     kinds = counts.filter(F.col("obj_type") != "total").select(
         "schema", *_line(1, F.lpad(kind_idx[F.col("obj_type")].cast("string"), 20, "0"),
@@ -198,15 +198,15 @@ def markdown_report(schema_objects: DataFrame, rels: DataFrame, deg: DataFrame,
     top_out = RM.top_nodes(deg, "out_degree", top_n).select(
         "schema", *_line(5, F.lpad(F.col("rank").cast("string"), 20, "0"),
                          F.concat(F.lit("| "), F.col("name"), F.lit(" | "), F.col("count").cast("string"), F.lit(" |"))))
-    heads = schemas.select("schema", *_line(2, "", F.lit("\n### Objetos Mais Referenciados\n\n| Objeto | Referências |\n|--------|-------------|"))) \
-        .unionByName(schemas.select("schema", *_line(4, "", F.lit("\n### Objetos que Mais Referenciam Outros\n\n| Objeto | Referências |\n|--------|-------------|"))))
+    heads = schemas.select("schema", *_line(2, "", F.lit(K.REPORT_TOP_REFERENCED))) \
+        .unionByName(schemas.select("schema", *_line(4, "", F.lit(K.REPORT_TOP_REFERENCING))))
     iso = RM.isolated(deg).select("schema", *_line(7, F.col("name"), F.col("name")))
     iso_head = (RM.isolated(deg).groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
-                .select("schema", *_line(6, "", F.concat(F.lit("\n### Objetos Isolados ("), F.col("n").cast("string"), F.lit(")\n")))))
+                .select("schema", *_line(6, "", F.concat(F.lit(K.REPORT_ISOLATED), F.col("n").cast("string"), F.lit(")\n")))))
     by_type = RM.relations_by_type(rels).select(
         "schema", *_line(9, F.concat(F.lpad((F.lit((1 << 63) - 1) - F.col("count")).cast("string"), 20, "0"), F.col("type")),
                          F.concat(F.lit("| "), F.col("type"), F.lit(" | "), F.col("count").cast("string"), F.lit(" |"))))
-    bt_head = schemas.select("schema", *_line(8, "", F.lit("\n### Relacionamentos por Tipo\n\n| Tipo | Quantidade |\n|------|------------|")))
+    bt_head = schemas.select("schema", *_line(8, "", F.lit(K.REPORT_BY_TYPE)))
     w = Window.partitionBy("schema").orderBy("ord")
     row = F.concat(F.lit("| "), F.col("source"), F.lit(" | "), F.col("type"), F.lit(" | "), F.col("target"), F.lit(" |"))
     if max_relations is None:
@@ -215,10 +215,9 @@ def markdown_report(schema_objects: DataFrame, rels: DataFrame, deg: DataFrame,
     else:
         first = (rels.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max_relations)
                  .select("schema", *_line(11, F.lpad(F.col("r").cast("string"), 20, "0"), row)))
-    r_head = schemas.select("schema", *_line(10, "", F.lit("\n## Relacionamentos\n\n| Origem | Tipo | Destino |\n|--------|------|---------|")))
+    r_head = schemas.select("schema", *_line(10, "", F.lit(K.REPORT_RELATIONS)))
     more = n_rel.filter(F.col("n_rel") > (F.lit(max_relations) if max_relations is not None else F.col("n_rel"))).select(
-        "schema", *_line(12, "", F.concat(F.lit(f"\n*Mostrando {max_relations} de "), F.col("n_rel").cast("string"),
-                                          F.lit(" relacionamentos. Ver arquivo JSON para lista completa.*"))))
+        "schema", *_line(12, "", F.concat(F.lit(K.REPORT_SHOWN.format(shown=max_relations)), F.col("n_rel").cast("string"), F.lit(K.REPORT_SHOWN_END))))
     out = head
     for f in (kinds, heads, top_in, top_out, iso_head, iso, bt_head, by_type, r_head, first, *([more] if max_relations is not None else [])):
         out = out.unionByName(f)
