@@ -118,3 +118,69 @@ def kneser_ney(train, texts, order=5):
         x = pad(t)
         out.append(sum(math.log(p(x[i - order + 1:i + 1])) for i in range(order - 1, len(x))))
     return out
+
+
+GRIDS = {
+    "symbols": (4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1, 0.05),
+    "chars": (40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 10.0, 9.0, 8.0),
+    "lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
+    "bangs": (2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1, 0.05),
+}
+
+
+def quality_verdicts(rows, labels, risk=0.01, delta=0.05):
+    """Verdict (kept) of every (id, text, stratum) row under the risk-controlled rules, and the number of rejecting steps by stratum."""
+    counts = [quality_counts(t) for _, t, _ in rows]
+    base_failed = [c[0] < 20 or 100 * c[4] > 30 * c[0] for c in counts]
+    ratios = []
+    for (_, text, _), c in zip(rows, counts):
+        lines = [x for x in (text or "").split("\n") if SPACE_WORD.search(x)]
+        ratios.append({"symbols": c[2] / max(c[0], 1), "chars": c[1] / max(c[0], 1), "lines": c[3] / max(len(lines), 1),
+                       "bangs": (text or "").count("!") / max(c[0], 1)})
+    order = sorted(((i + 1) / len(grid), number, name, cutoff) for number, (name, grid) in enumerate(GRIDS.items()) for i, cutoff in enumerate(grid))
+    vectors = [{name: cutoff for _, _, name, cutoff in order[:k]} for k in range(len(order) + 1)]  # the last cutoff of a measure is its strictest
+
+    def rejects(step, ratio):
+        return any(ratio[name] > cutoff for name, cutoff in vectors[step].items())
+
+    worst = {}
+    for i, good in labels:
+        if i is not None and good is not None:
+            worst[i] = min(worst.get(i, good), good)
+    held = [(stratum, worst[i], ratio) for (i, _, stratum), failed, ratio in zip(rows, base_failed, ratios) if not failed and i in worst]
+
+    def rejected(strata, good, step):
+        return sum(rejects(step, r) for s, g, r in held if s in strata and (g == 1) == good and g in (0, 1))
+
+    def size(strata):
+        return sum(g == 1 for s, g, _ in held if s in strata)
+
+    def admitted(strata, level):
+        """Steps that pass one after the other."""
+        n, step = size(strata), 0
+        while step < len(order):
+            k = rejected(strata, True, step + 1)
+            if sum(math.comb(n, j) * risk ** j * (1 - risk) ** (n - j) for j in range(k + 1)) > level:
+                break
+            step += 1
+        return step
+
+    strata = {s for s, _, _ in held}
+    least = {s: (1 - risk) ** size({s}) for s in strata}
+    alone = sum(v <= delta for v in least.values())
+    level = delta / max(1, alone + (len(strata) > alone))
+    if len(strata) == alone and any(v > level for v in least.values()):
+        level = delta / (alone + 1)
+    others = {s for s in strata if least[s] > level}
+    together = admitted(others, level) if others else 0
+    chosen = {}
+    for s in strata:
+        if s in others:
+            steps = [k for k in range(1, together + 1) if size({s}) and rejected({s}, True, k) <= risk * size({s})]
+        else:
+            steps = list(range(1, admitted({s}, level) + 1))
+        gains = [(rejected({s}, False, k) - rejected({s}, True, k), -k) for k in steps]
+        if gains and max(gains)[0] > 0:
+            chosen[s] = -max(gains)[1]
+    kept = [not failed and not (s in chosen and rejects(chosen[s], ratio)) for (_, _, s), failed, ratio in zip(rows, base_failed, ratios)]
+    return kept, chosen

@@ -386,26 +386,22 @@ def test_repeated_rows_and_empty_table(spark):
 
 # ------------------------------------------------------------------ pipeline
 
-def test_pipeline_matches_brute_force(spark, sf_small):
-    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
-    counts = {i: brute.quality_counts(r.text) for i, r in rows.items()}
-    # too few labels here for any learned cutoff: the base rule decides
-    df = spark.read.parquet(f"{sf_small}/documents.parquet")
-    assert quality_rules.choose_cutoffs(quality_rules.measure(df), spark.read.parquet(f"{sf_small}/labels.parquet")).count() == 0
-    left = sorted(i for i, c in counts.items() if not (c[0] < 20 or 100 * c[4] > 30 * c[0]))
-    group = brute.groups([brute.fingerprint(rows[i].text) for i in left], lambda a, b: (a ^ b).bit_count() <= 2)
+def after_quality(texts, left, items):
+    """Plain version of the stages after the quality rules: {id: text} that reach packing."""
+    group = brute.groups([brute.fingerprint(texts[i]) for i in left], lambda a, b: (a ^ b).bit_count() <= 2)
     left = [i for i, g in zip(left, group) if g == left.index(i)]
-    cut = {i: w[4].decode("utf-8", "ignore") for i, w in brute.repeats([(i, rows[i].text) for i in left]).items()}
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect()]
+    cut = {i: w[4].decode("utf-8", "ignore") for i, w in brute.repeats([(i, texts[i]) for i in left]).items()}
     index = decontaminate.Index(items)
     clean = {i: decontaminate.normalise(t) for i, t in cut.items()}
     leaks = {i for i, t in clean.items() if any(p in t for p in index.texts)}
     near = {i for i in set(clean) - leaks if decontaminate._scan([clean[i]], index)}
     assert all(min(brute.least_edits(p, clean[i][:4000]) - e for p, e in zip(index.texts, index.edits)) <= 0 for i in list(near)[:3])
-    want = {i: t for i, t in cut.items() if i not in leaks | near}
-    ids = dict(zip(want, packing.Encoder().batch(list(want.values()))))
+    return {i: t for i, t in cut.items() if i not in leaks | near}
 
-    out = corpus_pipeline.run(spark, sf_small).collect()
+
+def hold_packed(out, want):
+    """The packed pieces are the ids of the texts of ``want``, each once."""
+    ids = dict(zip(want, packing.Encoder().batch(list(want.values()))))
     got = {}
     for r in out:
         got.setdefault(r.doc_id, []).append(r)
@@ -414,6 +410,51 @@ def test_pipeline_matches_brute_force(spark, sf_small):
         assert np.array_equal(np.concatenate([p.ids for p in sorted(pieces, key=lambda p: p.start)]), ids[i])
 
 
+def test_pipeline_matches_brute_force(spark, sf_small):
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    counts = {i: brute.quality_counts(r.text) for i, r in rows.items()}
+    # too few labels here for any learned cutoff: the base rule decides
+    df = spark.read.parquet(f"{sf_small}/documents.parquet")
+    assert quality_rules.choose_cutoffs(quality_rules.measure(df), spark.read.parquet(f"{sf_small}/labels.parquet")).count() == 0
+    left = sorted(i for i, c in counts.items() if not (c[0] < 20 or 100 * c[4] > 30 * c[0]))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect()]
+    want = after_quality({i: r.text for i, r in rows.items()}, left, items)
+    hold_packed(corpus_pipeline.run(spark, sf_small).collect(), want)
+
+
+def test_pipeline_with_learned_rules_matches_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    item = words(rng, 30)
+    passage = words(rng, 40)
+    rows, labels = [], []
+    for k in range(520):
+        text, good = words(rng, rng.randint(25, 60)), 1
+        if k % 8 == 3:
+            text, good = " ".join(w + "%%" for w in text.split()), 0  # only the learned rule rejects it
+        elif k % 40 == 1:
+            text += " " + passage
+        elif k % 90 == 2:
+            text += " " + item + " " + words(rng, 5)
+        elif k % 60 == 4:
+            text = rows[k - 60][1] if k > 60 else text  # a copy
+        elif k % 100 == 5:
+            text = words(rng, 6)
+        rows.append((k, text, "xx" if k % 50 == 7 else "en"))
+        if k % 16 != 3:  # some junk has no label
+            labels.append((k, good, 0))
+    rows += [(520, None, "en"), (521, "", None)]
+    frame = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept, chosen = brute.quality_verdicts(rows, [(i, q) for i, q, _ in labels])
+    left = [r[0] for r, k in zip(rows, kept) if k]
+    assert "en" in chosen and not any(i % 8 == 3 and rows[i][2] == "en" for i in left)
+    want = after_quality({r[0]: r[1] for r in rows}, left, [(1, item)])
+    assert any(len(want[i]) < len(rows[i][1]) for i in want) and len(want) < len(left)
+    hold_packed(corpus_pipeline.run(spark, str(tmp_path)).collect(), want)
+
+
 def test_stages_on_an_empty_table(spark, sf_small):
     frame = docs(spark, [])
     for _, function in corpus_pipeline.STAGES:

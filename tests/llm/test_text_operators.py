@@ -1,6 +1,7 @@
 """HTML text, quality rules, URL filter, licence scan, chat perspectives."""
 
 import math
+import os
 import random
 import re
 import time
@@ -175,6 +176,40 @@ def test_cutoffs_of_small_languages(spark, es, admitted):
     assert all([c for name, c in steps if name == m] == list(grid) for m, grid in quality_rules.GRIDS.items())
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_verdicts_match_brute_force(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("driver test data not present")
+    documents, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+    kept, chosen = brute.quality_verdicts(rows, [(r.doc_id, r.quality) for r in labels.collect()])
+    got = {r.doc_id: r.kept for r in quality_rules.judge(documents, labels).collect()}
+    assert len(got) == len(rows) and got == {i: k for (i, _, _), k in zip(rows, kept)}
+    if sf == "sf0.1":  # the learned rules act here
+        assert {"en", "fr", "de"} <= set(chosen) and {r.doc_id for r in quality_rules.keep(documents, labels).collect()} == {i for i, k in got.items() if k}
+
+
+def test_verdicts_of_random_strata_match_brute_force(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for stratum, good, bad in (("a", 700, 60), ("b", 330, 30), ("c", 200, 30), (None, 150, 10), ("d", 3, 9), ("e", 0, 20)):
+        for k in range(good + bad):
+            junk = k >= good
+            plain = [f"{stratum}{rng.randrange(10 ** 6)}" for _ in range(rng.randint(21, 40))]
+            if rng.random() < (0.9 if junk else 0.004):  # some good texts look like junk, some junk does not
+                mark = rng.choice(["%", "!!", "#*", "q" * 30])
+                plain = [w + (mark if rng.random() < rng.choice([0.1, 0.5, 1]) else "") for w in plain]
+            rows.append((len(rows), " ".join(plain), stratum))
+            if rng.random() < 0.97:
+                labels.append((rows[-1][0], 0 if junk else 1))
+    labels += [(5, 0), (None, 1), (6, None)]
+    kept, chosen = brute.quality_verdicts(rows, labels)
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert got == {i: k for (i, _, _), k in zip(rows, kept)}
+    assert chosen and not all(kept)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     rows = [(None, "a b", None), (1, "w " * 5, "en"), (1, " ".join(f"w{i}" for i in range(25)), "en"), (1, None, None)]
