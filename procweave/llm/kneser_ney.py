@@ -8,12 +8,15 @@ context totals and the next lower order's probabilities. Lower orders use
 continuation counts; discounts D1, D2, D3+ come from counts of counts.
 
 For scoring, the model's entries (every seen n-gram's probability, every seen
-context's back-off weight) are dealt into shards of at most ``SHARD_ENTRIES``
-entries by the two characters before the scored one, since a character's
-probability needs only entries that share them (entries of shorter contexts go
-into every shard). Each shard is broadcast and the documents are scanned once
-per shard; a document's log-probability is the sum over shards. The model of a
-language is bounded by its character n-grams, so one shard is the usual case.
+context's back-off weight) of a language are dealt into shards of at most about
+``SHARD_ENTRIES`` entries by the two characters before the scored one, since a
+character's probability needs only entries that share them (entries of shorter
+contexts go into every shard). Documents and shards are joined in parts, each one
+task: a part has one shard of one language, which is sent ahead, and a group of the
+language's documents, which are scored as they come in; a document's log-probability
+is the sum over shards. Groups have ``GROUP_RATIO`` times the bytes of the shard, so
+sending it to each of them costs little beside the texts. Nothing of the model goes
+through the driver or is broadcast. A hot language has many groups.
 
 A document is kept when its per-character perplexity is at most the ``QUANTILE``
 quantile of the held-out trusted documents of its language (so about
@@ -35,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import chunks, delete_staged, packed, small, stage, unpack
 
@@ -43,6 +47,8 @@ HOLDOUT = 10
 QUANTILE = 0.95
 SHARD_ENTRIES = 8_000_000
 CHUNK = 1 << 19
+#: A part has at least so many bytes of text, and so many times the bytes of the model that it reads.
+GROUP_BYTES, GROUP_RATIO, ENTRY_BYTES = 8 << 20, 8, 12
 #: Noncharacters that stand for the begin and the end of a text.
 BEGIN, FINISH = 0xFDD0, 0xFDD1
 
@@ -212,30 +218,48 @@ def model(counts: DataFrame) -> DataFrame:
     return entries
 
 
-def _entry_keys(entries: DataFrame, shards: int) -> DataFrame:
-    """(key, value, shard): hashed entries; shard -1 goes to all shards."""
+def _shares(docs: DataFrame, entries: DataFrame, shard_entries: int) -> DataFrame:
+    """(lang, shards, groups, first): for every language of the model, the shards of its entries, the groups that its
+    documents are dealt into, and its first part; shard s and group g meet in part ``first + s * groups + g``."""
+    sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    held = entries.groupBy("lang").agg(F.count(F.lit(1)).alias("entries"))
+    dealt = (held.join(sizes, "lang", "left").withColumn("shards", F.ceil(F.col("entries") / shard_entries))
+             .withColumn("least", F.greatest(F.lit(GROUP_BYTES), GROUP_RATIO * ENTRY_BYTES * F.col("entries") / F.col("shards")))
+             .withColumn("groups", F.greatest(F.lit(1), F.ceil(F.coalesce("bytes", F.lit(0)) / F.col("least")))))
+    before = Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)  # a row for each language of the model
+    first = F.coalesce(F.sum(F.col("shards") * F.col("groups")).over(before), F.lit(0))
+    return dealt.select("lang", "shards", "groups", first.alias("first"))
+
+
+def _entry_keys(entries: DataFrame) -> DataFrame:
+    """(lang, shard, keys, logs): hashed entries (columns lang, shards, kind, n, gram, value), many a row; shard -1 goes to all shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, n, lang, gram = (batch.column(i).to_pylist() for i in range(4))
-            keys, shard = np.zeros(len(n), np.uint64), np.full(len(n), -1, np.int64)
+            kind, n, lang, gram, of = (batch.column(i).to_pylist() for i in range(5))
+            value = batch.column(5).to_numpy().astype(np.float32)
             groups: dict[tuple, list[int]] = {}
-            for i, k in enumerate(zip(kind, n, lang)):
+            for i, k in enumerate(zip(lang, kind, n, of)):
                 groups.setdefault(k, []).append(i)
-            for (k, size, name), rows in groups.items():
-                seed, at = _lang_seed(name), np.array(rows)
+            found: dict[tuple, list[tuple]] = {}
+            for (name, k, size, shards), rows in groups.items():
+                seed = _lang_seed(name)
                 codes = np.frombuffer("".join([gram[i] for i in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)
                 codes = codes.reshape(len(rows), size).astype(np.uint64) + np.uint64(1) if size else np.zeros((len(rows), 0), np.uint64)
                 total = np.zeros(len(rows), np.uint64)
                 for j in range(size):
                     total += codes[:, size - 1 - j] * _MUL[j]
-                keys[at] = _gram_key(total, size, seed) if k == "p" else _context_key(total, size, seed)
+                keys = _gram_key(total, size, seed) if k == "p" else _context_key(total, size, seed)
                 last = size - 2 if k == "p" else size - 1  # the character before the scored one
-                if last >= 1:
-                    shard[at] = _shard(codes[:, last], codes[:, last - 1], shards)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(4), pa.array(shard)], names=["key", "value", "shard"])
+                shard = _shard(codes[:, last], codes[:, last - 1], shards) if last >= 1 else np.full(len(rows), -1)
+                for one in np.unique(shard).tolist():
+                    found.setdefault((name, one), []).append((keys[shard == one], value[rows][shard == one]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()),
+                 *(pa.array([np.concatenate([x[c] for x in parts]).tobytes() for parts in found.values()], pa.binary()) for c in (0, 1))],
+                names=["lang", "shard", "keys", "logs"])
 
-    return entries.select("kind", "n", "lang", "gram", "value").mapInArrow(run, "key long, value double, shard long")
+    return entries.select("kind", "n", "lang", "gram", "shards", "value").mapInArrow(run, "lang string, shard long, keys binary, logs binary")
 
 
 def _shard(last: np.ndarray, before: np.ndarray, shards: int) -> np.ndarray:
@@ -289,48 +313,69 @@ def log_probabilities(codes: np.ndarray, at: np.ndarray, seed: np.uint64, table:
     return out
 
 
-def score(docs: DataFrame, entries: DataFrame, n_entries: int, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """(columns of ``docs`` but text, n_tokens, log_p): ``docs`` has lang and text and may have others."""
-    spark = docs.sparkSession
-    shards = max(1, -(-n_entries // shard_entries))
-    keyed = _entry_keys(entries, shards)
-    if shards > 1:
-        keyed = stage(keyed, "kneser-ney-keys")
-    others = [c for c in docs.columns if c != "text"]
-    data = docs.select(*others, "text")
-    at_lang, at_text = others.index("lang"), len(others)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.schema.fields[:-1])
-    result = None
-    for shard in range(shards):
-        own = keyed if shards == 1 else keyed.where((F.col("shard") == shard) | (F.col("shard") == -1))
-        found = own.select("key", "value").toArrow()  # at most about shard_entries entries of 16 bytes
-        keys = found.column("key").to_numpy().view(np.uint64)
-        shared = spark.sparkContext.broadcast((keys, found.column("value").to_numpy().astype(np.float32)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, shard=shard) -> Iterator[pa.RecordBatch]:
-            table = Table(*shared.value)
-            for batch in chunks(batches, "text", 4 << 20):
-                langs, texts = batch.column(at_lang).to_pylist(), [t or "" for t in batch.column(at_text).to_pylist()]
-                tokens, log_p = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-                for lang, rows, group in _by_lang(langs, texts):
-                    codes, starts = _codes(group)
-                    ok = _scored(starts, len(codes))
-                    if shards > 1:
-                        c = codes.astype(np.uint64) + np.uint64(1)
-                        ok[2:] &= _shard(c[1:-1], c[:-2], shards) == shard
-                    at = np.flatnonzero(ok)
-                    row = np.searchsorted(starts, at, side="right") - 1
-                    values = log_probabilities(codes, at, _lang_seed(lang), table)
-                    tokens[rows] = np.bincount(row, minlength=len(rows))
-                    log_p[rows] = np.bincount(row, weights=values, minlength=len(rows))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at_text], pa.array(tokens), pa.array(log_p)],
-                                                 names=[*others, "n_tokens", "log_p"])
-
-        part = data.mapInArrow(run, f"{kinds}, n_tokens long, log_p double")
-        result = part if result is None else result.unionByName(part)
-    if shards > 1:
-        result = result.groupBy(*others).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_p").alias("log_p"))
-    return result
+def score(docs: DataFrame, entries: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """(columns of ``docs`` but text, n_tokens, log_p): ``docs`` has lang and text (neither null) and others that tell rows apart.
+
+    A language's entries and documents meet in its parts: a part is one task, which reads its shard of the entries
+    first and then scores its documents as they come. Without a model of its language a document's log_p is 0.
+    """
+    own = docs.withColumn("n_tokens", (F.length("text") + 1).cast("long"))
+    others = [c for c in own.columns if c != "text"]
+    shares = stage(_shares(docs, entries, shard_entries), "kneser-ney-shares")
+    parts, most = shares.agg(F.sum(F.col("shards") * F.col("groups")), F.max("shards")).first()
+    if not parts:
+        return own.select(*others, F.lit(0.0).alias("log_p"))
+    by_lang = small(shares)
+    group = F.pmod(F.xxhash64(*others), F.col("groups"))
+    texts = packed(own).join(by_lang, "lang", "left")
+    texts = texts.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("shards"), F.lit(1)) - 1)))
+    texts = texts.select(
+        F.coalesce(F.col("first") + F.col("shard") * F.col("groups") + group, F.pmod(F.xxhash64(*others), F.lit(parts))).cast("int").alias("part"),
+        F.lit(1).alias("kind"), *others, F.when(F.col("shards").isNotNull(), F.col("text")).alias("text"), "shards", "shard",
+        *[F.lit(None).cast("binary").alias(c) for c in ("keys", "logs")])
+    model_rows = _entry_keys(entries.join(by_lang, "lang")).join(by_lang, "lang")
+    every = F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)
+    model_rows = model_rows.withColumn("at", F.explode(F.when(F.col("shard") < 0, every).otherwise(F.array("shard"))))
+    model_rows = model_rows.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select(
+        (F.col("first") + F.col("at") * F.col("groups") + F.col("group")).cast("int").alias("part"), F.lit(0).alias("kind"),
+        *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in others], F.lit(None).cast("binary").alias("text"),
+        *[F.lit(None).cast("long").alias(c) for c in ("shards", "shard")], "keys", "logs")
+    met = model_rows.unionByName(texts).repartitionById(parts, "part").sortWithinPartitions("kind").drop("part")
+    width = len(others)
+    at_lang = 1 + others.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, table = [(np.zeros(0, np.uint64), np.zeros(0, np.float32))], None
+        for batch in chunks(batches, "text", 2 << 20):
+            first = int(np.searchsorted(batch.column(0).to_numpy(), 1))
+            held += [(np.frombuffer(k, np.uint64), np.frombuffer(v, np.float32)) for k, v in
+                     zip(batch.column(width + 4)[:first].to_pylist(), batch.column(width + 5)[:first].to_pylist())]
+            batch = batch.slice(first)
+            if not batch.num_rows:
+                continue
+            if table is None:
+                table, held = Table(*(np.concatenate(x) for x in zip(*held))), []
+            log_p = np.zeros(batch.num_rows)
+            body = batch.column(width + 1)
+            with_model = np.flatnonzero(body.is_valid().to_numpy(zero_copy_only=False))
+            texts = [t.decode() for t in unpack(body.drop_null().to_pylist())]
+            langs = batch.column(at_lang).take(pa.array(with_model)).to_pylist()
+            for lang, rows, group in _by_lang(langs, texts):
+                codes, starts = _codes(group)
+                ok = _scored(starts, len(codes))
+                where = with_model[rows]
+                shards, shard = (batch.column(width + c)[int(where[0])].as_py() for c in (2, 3))  # the same for all of a part
+                if shards > 1:
+                    c = codes.astype(np.uint64) + np.uint64(1)
+                    ok[2:] &= _shard(c[1:-1], c[:-2], shards) == shard
+                at = np.flatnonzero(ok)
+                row = np.searchsorted(starts, at, side="right") - 1
+                log_p[where] = np.bincount(row, weights=log_probabilities(codes, at, _lang_seed(lang), table), minlength=len(rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:1 + width], pa.array(log_p)], names=[*others, "log_p"])
+
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in others)
+    scored = met.mapInArrow(run, f"{kinds}, log_p double")
+    return scored if most == 1 else scored.groupBy(*others).agg(F.sum("log_p").alias("log_p"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -349,7 +394,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     counts = stage(count_grams(train), "kneser-ney-counts")
     entries = stage(model(counts), "kneser-ney-model")
     numbered = rows.select("lang", "text", F.col("_key"), F.monotonically_increasing_id().alias("_row"))
-    scored = stage(score(numbered, entries, entries.count(), shard_entries), "kneser-ney-scores")
+    scored = stage(score(numbered, entries, shard_entries), "kneser-ney-scores")
     delete_staged(counts)
     known = entries.where("kind = 'b' and n = 0").select(F.col("lang").alias("_known"))
     per = scored.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_tokens")))
