@@ -303,6 +303,25 @@ def test_one_odd_held_out_text_sets_no_threshold(spark):
     assert sum(got[i].kept for i in held) == math.ceil(kneser_ney.QUANTILE * len(held))
 
 
+def test_scores_do_not_depend_on_the_dealing(spark, monkeypatch):
+    """Repeated rows, languages without a model and several groups and shards a language."""
+    rng = random.Random(9)
+    rows = [(i % 70, words(rng, rng.randint(1, 40), 40), ("en", "fr", "xx")[i % 7 % 3]) for i in range(140)]
+    rows += [(5, "same text", "en")] * 30 + [(300, None, "xx"), (None, "", None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 70) if i % 7 % 3 < 2], "doc_id long, quality int, toxic int").where("doc_id % 7 <> 2")
+    known = {g for i, _, g in rows if i is not None and i < 70 and g != "xx"}
+    found = []
+    for size, shard_entries in ((8 << 20, 10 ** 7), (300, 500)):
+        monkeypatch.setattr(kneser_ney, "GROUP_BYTES", size)
+        monkeypatch.setattr(kneser_ney, "GROUP_RATIO", 0)
+        out = kneser_ney.classify(docs(spark, rows), labels, shard_entries=shard_entries).collect()
+        found.append(sorted(((r.doc_id or -1, r.lang, r.n_tokens, r.perplexity, r.kept) for r in out), key=lambda r: (r[:3], r[3] or 0)))
+    assert len(found[0]) == len(found[1]) == len(rows) and known == {"en", "fr"}
+    for a, b in zip(*found):
+        assert a[:3] == b[:3] and a[4] == b[4] and a[3] == (b[3] if b[3] is None else pytest.approx(b[3], rel=1e-4))
+    assert all((r[3] is None) == (r[1] not in known) for r in found[0] if r[1] != "xx")
+
+
 def test_language_model_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = kneser_ney.classify(docs(spark, [(1, "a"), (1, None)]), none)
