@@ -133,3 +133,28 @@ def test_loader_corpus_expectations(spark, sf_small):
         ["CONCAT(FIRST_NAME)", "LOWER(NAME)", "REPLACE(CODE)", "SUBSTR(NAME)", "TRIM(PRICE)"]
     assert set(an["variables"]) == {"L_QTY", "V_X"}
     assert any(t.startswith("TOTALS_") for t in an["tables"]) and "V_X" in an["tables"]
+
+
+def test_call_patterns_start_an_attempt_per_identifier_only(spark):
+    """Attempts behind a letter are cut off and patterns whose matches another one finds are left out: same names."""
+    import re
+
+    from procweave.functions import constants as K
+    texts = ["CALL x; a.b.c (1) 9abc(2) _q9.z( upper(name) a.9b(3) pkg.run(x.y(1)) éa(1)", "delete from t merge into s from from u FROM a.DELETE FROM x join j",
+             "aaaaaaaa.bbbbbbbb" * 3 + "(", "f (g(h ( i", "a1.b (c2.d( e.f.g.h(", "insert into into q.r values"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.called_procedures("t").alias("c"), X.called_tables("t").alias("u")).collect()
+    for row in got:
+        def plain(patterns):
+            return list(dict.fromkeys(m.upper() for p in patterns for m in re.findall(p, row.t, re.ASCII)))
+        assert row.c == [x for x in plain(K.CALL_PATTERNS) if "." in x or x not in K.SQL_BUILTINS]
+        assert row.u == plain(K.TABLE_PATTERNS)
+    assert all(p.startswith("(?i)(?<![a-z_])") for p in map(X._fast_call_pattern, K.CALL_PATTERNS[1:]))
+    assert X._uncovered(K.CALL_PATTERNS) == K.CALL_PATTERNS[:2] and X._uncovered(K.TABLE_PATTERNS_SHORT) == K.TABLE_PATTERNS_SHORT[:3]
+
+
+def test_a_table_is_dealt_by_its_rows(spark, tmp_path):
+    """Tasks of text work keep their size as the table grows."""
+    from procweave.sources import tables as S
+    spark.range(S.TASK_ROWS * 6 + 1).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    assert S.read_table(spark, str(tmp_path), "orders").rdd.getNumPartitions() == 7
+    assert S.read_table(spark, str(tmp_path), "orders", deal=False).rdd.getNumPartitions() < 7
