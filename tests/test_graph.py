@@ -102,3 +102,24 @@ def test_degrees_sum_invariant(spark):
     s = d.agg(F.sum("in_degree"), F.sum("out_degree")).first()
     assert s[0] == s[1] == 3
     assert [r["id"] for r in G.isolated(d).collect()] == ["D"]
+
+
+def test_layers_are_taken_off_before_anything_is_contracted(spark, monkeypatch):
+    """A wide graph of few layers, a cycle above it and a node without a name need no contraction."""
+    def refuse(*_):
+        raise AssertionError("contracted")
+
+    monkeypatch.setattr(TR, "_contracted", refuse)
+    pairs = [(f"P{i}", f"P{i // k}") for i in range(1, 40) for k in (2, 3)] + [("X", "Y"), ("Y", "X"), ("Z", "X"), ("Y", "P1")]
+    nodes = nodes_df(spark, [f"P{i}" for i in range(40)] + ["X", "Y", "Z", None])
+    got = [(r["node"], r["level"]) for r in TR.dependency_levels(nodes, edges_df(spark, pairs)).collect()]
+    want = {f"P{i}": i.bit_length() for i in range(40)} | {"X": None, "Y": None, "Z": None, None: 0}
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_layers_and_contraction_meet(spark, monkeypatch):
+    """What the last layer leaves keeps the levels it has learnt."""
+    monkeypatch.setattr(TR, "LAYERS", 2)
+    pairs = [(f"P{i}", f"P{i - 1}") for i in range(1, 9)] + [("P8", "P1"), ("Q", "P2"), ("Q", "P7"), ("R", "P1")]
+    got = {r["node"]: r["level"] for r in TR.dependency_levels(nodes_df(spark, [f"P{i}" for i in range(9)] + ["Q", "R"]), edges_df(spark, pairs)).collect()}
+    assert got == {f"P{i}": i for i in range(9)} | {"Q": 8, "R": 2}
