@@ -10,6 +10,7 @@ from procweave.functions import extract as X
 from procweave.functions.scoring import code_complexity
 from procweave.operators import traversal as TR
 from procweave.session import bucketed
+from procweave.sinks import file_tree as FT
 
 
 # ------------------------------------------------------------------ extraction
@@ -47,3 +48,30 @@ def test_wide_layers_meet_edges_where_they_lie(spark, monkeypatch):
     joined = lying.join(nodes.withColumnRenamed("node", "dst").hint("shuffle_hash"), "dst")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and joined.count() == len(edges)  # was two: the edges were dealt again in every round
+
+
+# ------------------------------------------------------------------ file tree
+
+def test_files_are_read_back_by_their_paths(spark, tmp_path):
+    rows = [("a/t/X.sql", "é\n"), ("a/t/X.sql", "é\n"), ("b/t/Y.sql", ""), ("b/u/Z.gz", "z")]
+    files = spark.createDataFrame(rows, "path string, content string").repartition(3)
+    folder = str(tmp_path / "out")
+    FT.write_files(files, folder)
+    back = FT.read_files(files, folder)
+    assert sorted(map(tuple, back.collect())) == sorted(set(rows))
+    assert "FileScan" not in back._jdf.queryExecution().executedPlan().toString()  # was a listing of every file on the driver
+
+
+def test_commit_holds_the_files_of_one_task(tmp_path, monkeypatch):
+    writer = FT.FileTreeWriter(str(tmp_path), ["path", "content"])
+    messages = [writer.write(iter([(f"k/{task}-{i}.sql", "x") for i in range(5)])) for task in range(4)]
+    held = []
+
+    class Pool(FT.ThreadPoolExecutor):
+        def map(self, fn, moves):
+            held.append(len(moves))
+            return super().map(fn, moves)
+
+    monkeypatch.setattr(FT, "ThreadPoolExecutor", Pool)
+    writer.commit(messages)
+    assert held == [5] * 4 and len(list((tmp_path / "k").iterdir())) == 20  # was one list of all 20
