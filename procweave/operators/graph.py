@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procweave.functions.scoring import complexity_class
+from procweave.session import few, materialize
 
 
 def procedure_nodes(analysis: DataFrame) -> DataFrame:
@@ -58,7 +59,9 @@ def resolve_names(names: DataFrame, nodes: DataFrame, node_type: str | None = "p
 def resolve_access(access: DataFrame, nodes: DataFrame) -> DataFrame:
     """Access edges whose extracted table names are replaced by the table node they
     mean (names without a node stay)."""
-    r = resolve_names(access.select(F.col("dst").alias("name")), nodes, "table", ignore_case=True)
+    # a few names stand in all rows: written first, so that no row is dealt by its name while they are few
+    r = materialize(resolve_names(access.select(F.col("dst").alias("name")), nodes, "table", ignore_case=True), "access-r")
+    r = few(r)
     others = [c for c in access.columns if c != "dst"]
     return (access.join(r, access["dst"] == r["name"], "left")
             .select(*others, F.coalesce("resolved_id", "dst").alias("dst")).select(access.columns))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procweave.operators import traversal as TR
-from procweave.session import materialize
+from procweave.session import few, materialize
 
 
 def _norm(field: str | None, case_sensitive: bool):
@@ -100,10 +100,11 @@ def trace(call_edges: DataFrame, usage: DataFrame, starts: DataFrame, field: str
     a ``source`` ``TABLE (table)`` step at the procedure's depth.
     """
     f = _norm(field, case_sensitive)
-    reach = TR.crawl(call_edges, starts, max_depth).filter(F.col("node_type") == "procedure") \
-        .select("root", F.col("node").alias("proc"), "depth")
+    # few procedures are reached or many: written, so that their number is known, and what they do with the field once
+    reach = few(materialize(TR.crawl(call_edges, starts, max_depth).filter(F.col("node_type") == "procedure")
+                            .select("root", F.col("node").alias("proc"), "depth"), "trace-r"))
     u = usage.filter(F.col("field") == f)
-    hit = reach.join(u, "proc")
+    hit = materialize(reach.join(u, "proc").select("root", "proc", "depth", "operation", "transformation"), "trace-h")
     steps = hit.select("root", F.lit("step").alias("kind"), F.col("proc").alias("procedure"), "operation", "depth",
                        F.lit(None).cast("string").alias("detail"))
     ops = hit.groupBy("root", "proc", "depth").agg(F.collect_set("operation").alias("ops"))
@@ -141,9 +142,10 @@ def trace_fields(call_edges: DataFrame, usage: DataFrame, starts: DataFrame, max
     wanted = (usage if fields is None else fields).select("field").distinct()
     if not case_sensitive and fields is not None:
         wanted = wanted.select(F.upper("field").alias("field")).distinct()
-    reach = materialize(TR.crawl(call_edges, starts, max_depth).filter(F.col("node_type") == "procedure")
-                        .select("root", F.col("node").alias("proc"), "depth"), "trace-r")
-    hit = reach.join(usage if fields is None else usage.join(wanted, "field", "left_semi"), "proc")
+    reach = few(materialize(TR.crawl(call_edges, starts, max_depth).filter(F.col("node_type") == "procedure")
+                            .select("root", F.col("node").alias("proc"), "depth"), "trace-r"))
+    hit = materialize(reach.join(usage if fields is None else usage.join(wanted, "field", "left_semi"), "proc")
+                      .select("root", "proc", "depth", "field", "operation", "transformation"), "trace-h")
     text = F.lit(None).cast("string")
 
     def row(frame: DataFrame, kind: str, procedure, operation, detail, info=text) -> DataFrame:
@@ -164,5 +166,6 @@ def trace_fields(call_edges: DataFrame, usage: DataFrame, starts: DataFrame, max
     more = [c for c in columns.columns if c not in ("table_schema", "table_name", "column_name")]
     known = (columns.select(named.alias("field"), F.concat_ws(".", "table_schema", "table_name").alias("table"),
                             (F.to_json(F.struct(*more)) if more else text).alias("info")).join(wanted, "field", "left_semi").distinct())
+    known = few(materialize(known, "trace-k"))  # a table's name may stand in every access
     accessed = table_edges.select(F.col("src").alias("proc"), F.col("dst").alias("table")).distinct().join(known, "table")
     return out.unionByName(row(reach.join(accessed, "proc"), "source", proc, F.lit("read_from_table"), F.concat("table", F.lit(" (table)")), F.col("info")))
