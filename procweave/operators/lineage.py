@@ -78,13 +78,20 @@ def destinations(usage: DataFrame, field: str | None = None, case_sensitive: boo
 
 
 def flow(usage: DataFrame, columns: DataFrame | None = None) -> DataFrame:
-    """G13 totals per field: number of sources and destinations."""
-    s = sources(usage, columns).groupBy("field").agg(F.count(F.lit(1)).cast("bigint").alias("total_sources"))
-    d = destinations(usage).groupBy("field").agg(F.count(F.lit(1)).cast("bigint").alias("total_destinations"))
-    fields = usage.select("field").distinct()
-    return (fields.join(s, "field", "left").join(d, "field", "left")
-            .select("field", F.coalesce("total_sources", F.lit(0)).cast("bigint").alias("total_sources"),
-                    F.coalesce("total_destinations", F.lit(0)).cast("bigint").alias("total_destinations")))
+    """G13 totals per field: number of sources (as :func:`sources`) and destinations (as :func:`destinations`).
+
+    The usage rows are read once: a procedure's operations on a field are put together first, then the procedures are counted.
+    """
+    per = usage.groupBy("field", "proc").agg(F.max(F.col("operation") == "write").alias("writes"), F.max(F.col("operation") == "read").alias("reads"))
+    # a usage without a field has neither
+    counted = per.groupBy("field").agg(F.count(F.when(F.col("writes") & F.col("field").isNotNull(), 1)).alias("w"),
+                                       F.count(F.when(F.col("reads") & F.col("field").isNotNull(), 1)).cast("bigint").alias("total_destinations"))
+    if columns is None:
+        return counted.select("field", F.col("w").cast("bigint").alias("total_sources"), "total_destinations")
+    having = (columns.select(F.upper("column_name").alias("field"), F.concat_ws(".", "table_schema", "table_name").alias("name")).distinct()
+              .groupBy("field").agg(F.count(F.lit(1)).alias("t")))
+    return (counted.join(having, "field", "left")
+            .select("field", (F.col("w") + F.coalesce("t", F.lit(0))).cast("bigint").alias("total_sources"), "total_destinations"))
 
 
 def trace(call_edges: DataFrame, usage: DataFrame, starts: DataFrame, field: str, max_depth: int | None = 10,
